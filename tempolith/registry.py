@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,6 +21,15 @@ class Entry:
     operators: tuple[str, ...]
 
 
+def _shipping(f: Query) -> Query:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 class Registry:
     def __init__(self) -> None:
         self.entries: dict[str, Entry] = {}
@@ -35,7 +47,7 @@ class Registry:
         return wrap
 
     def queries(self) -> dict[str, Query]:
-        return {k: e.run for k, e in self.entries.items()}
+        return {k: _shipping(e.run) for k, e in self.entries.items()}
 
     def oracle_sql(self) -> dict[str, str]:
         return {k: e.oracle for k, e in self.entries.items() if e.oracle}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +31,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, **extra: s
     for k, v in (conf | extra).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once an application, so that it needn't be installed there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="tempolith-", suffix=".zip")
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for d, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.join("tempolith", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
