@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..tables import load
-from . import chat, mixing
+from . import chat, mixing, token_counts, token_files, tokens
 
 LLM = Registry()
 
@@ -49,3 +49,14 @@ def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@LLM.query("llm-3")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.token_files(docs, tokens.public_path("byte_bpe_50k.json"), end_id=2)
+
+
+@LLM.query("llm-4")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), tokens.public_path("piece_bpe_32k.model"), limit=4096)
