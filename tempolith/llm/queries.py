@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..tables import load
-from . import chat, mixing, token_counts, token_files, tokens
+from . import chat, mixing, packing, token_counts, token_files, tokens
 
 LLM = Registry()
 
@@ -60,3 +60,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("llm-4")
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), tokens.public_path("piece_bpe_32k.model"), limit=4096)
+
+
+@LLM.query("llm-6")
+def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    d = packing.pack(docs, tokens.public_path("word_bpe_49k.json"), end_id=2, capacity=4096)
+    return d.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row")
