@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..tables import load
-from . import chat, mixing, packing, token_counts, token_files, tokens
+from . import chat, fingerprints, mixing, packing, token_counts, token_files, tokens
 
 LLM = Registry()
 
@@ -67,3 +67,8 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     d = packing.pack(docs, tokens.public_path("word_bpe_49k.json"), end_id=2, capacity=4096)
     return d.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row")
+
+
+@LLM.query("llm-10")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(load(spark, sf_dir, "documents").select("doc_id", "text"))
