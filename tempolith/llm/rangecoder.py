@@ -20,12 +20,16 @@ import numpy as np
 BLOCK = 2048
 #: log2 of table entries a block, for orders 1 and 2.
 T1, T2 = 10, 11
-#: Bits of the mixing weights; least weight that order 0 keeps.
-WBITS, FLOOR = 16, 2048
+#: Bits of the mixing weights; what orders 2 and 1 get at most.
+WBITS = 16
+MOST = np.int32((1 << WBITS) - 2048)
+#: What a right prediction adds to its weight.
+GAIN = np.int32(62000 >> 5)
 U64, I64, I32 = np.uint64, np.int64, np.int32
 _W = U64(WBITS)
 _LOW = U64(1 << 32)
 _S32 = U64(32)
+_ALL = U64(1 << WBITS)
 
 
 def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
@@ -46,51 +50,51 @@ def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
 
 
 class _Model:
-    """State of the blocks of a group, and the tables of its order 0."""
+    """State of the blocks of a group, and the tables of its order 0. Ranks count from 1; 0 is "no prediction".
 
-    def __init__(self, lanes: int, values: np.ndarray, freq: np.ndarray) -> None:
-        self.lane1 = np.arange(lanes, dtype=I32) << T1
-        self.lane2 = np.arange(lanes, dtype=I32) << T2
+    Table entries are rank << 2 | confidence. Weights decay by 1/32 an id and never below 31, so that every
+    prediction keeps an interval; contexts without a prediction have weight 0, and nothing ever adds to it.
+    """
+
+    def __init__(self, lanes: int, freq: np.ndarray) -> None:
+        self.lane1 = np.arange(lanes, dtype=np.intp) << T1
+        self.lane2 = np.arange(lanes, dtype=np.intp) << T2
         self.lane0 = np.arange(lanes, dtype=I32) << 5
-        self.t1 = np.zeros(lanes << T1, dtype=I32)  # (rank + 1) << 2 | confidence; 0: nothing yet
+        self.t1 = np.zeros(lanes << T1, dtype=I32)
         self.t2 = np.zeros(lanes << T2, dtype=I32)
-        init2 = np.tile(np.repeat([0, 20000, 40000, 56000], 8), lanes)
-        init1 = np.tile(np.tile(np.repeat([0, 12000, 28000, 48000], 2), 4), lanes)
-        self.w2, self.w1 = init2.astype(I32), init1.astype(I32)
-        self.prev, self.prev2 = np.zeros(lanes, dtype=I32), np.zeros(lanes, dtype=I32)
-        self.cum = np.concatenate([[0], np.cumsum(freq.astype(np.int64))])[:-1].astype(U64)
-        self.freq = freq.astype(U64)
-        self.n = lanes
+        # by confidence of order 2, of order 1, and whether both predict the same
+        self.w2 = np.tile(np.repeat(np.array([0, 20000, 40000, 56000], I32), 8), lanes)
+        self.w1 = np.tile(np.tile(np.outer([0, 12000, 28000, 48000], [1, 0]).ravel().astype(I32), 4), lanes)
+        self.hash = np.zeros(lanes, dtype=np.uint32)
+        self.older = np.zeros(lanes, dtype=np.uint32)
+        self.cum = np.concatenate([[0, 0], np.cumsum(freq.astype(np.int64))])[:-1].astype(U64)
+        self.freq = np.concatenate([[0], freq]).astype(U64)
 
     def predict(self, n: int) -> None:
-        """For the first n blocks: predicted ranks and the weights of orders 2 and 1."""
-        prev = self.prev[:n]
-        self.i1 = self.lane1[:n] + ((prev * I32(-1640531527) >> (32 - T1)) & ((1 << T1) - 1))
-        self.i2 = self.lane2[:n] + (((prev * I32(-1640531527) + self.prev2[:n] * I32(40503127)) * I32(-2048144789) >> (32 - T2)) & ((1 << T2) - 1))
+        """For the first n blocks: predicted ranks, and the weights of orders 2 and 1."""
+        h = self.hash[:n]
+        self.i1 = (h >> np.uint32(32 - T1)) + self.lane1[:n]
+        self.i2 = ((h + self.older[:n]) * np.uint32(0x85EBCA6B) >> np.uint32(32 - T2)) + self.lane2[:n]
         self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.p1, self.p2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
-        same = self.p1 == self.p2
-        self.i0 = self.lane0[:n] + (((self.e2 & 3) << 3) | ((self.e1 & 3) << 1) | same)
-        self.q2, self.q1 = self.w2.take(self.i0), self.w1.take(self.i0)
-        top = (1 << WBITS) - FLOOR
-        # a prediction keeps some weight however often it failed
-        self.live2, self.live1 = self.e2 != 0, (self.e1 != 0) & ~same
-        self.a2 = ((self.q2 * (top >> 8)) >> 8) + (self.live2.astype(I32) << 4)
-        self.a1 = (((top - self.a2) * (self.q1 >> 8)) >> 8) * self.live1 + (self.live1.astype(I32) << 4)
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        i0 = ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1)
+        i0 += self.p1 == self.p2
+        i0 += self.lane0[:n]
+        self.i0 = i0.astype(np.intp)
+        self.a2, self.q1 = self.w2.take(self.i0), self.w1.take(self.i0)
+        self.a1 = np.minimum(self.q1, MOST - self.a2)
 
     def update(self, rank: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, n: int) -> None:
-        q2 = self.q2 + ((((hit2.astype(I32) << WBITS) - self.q2) >> 5) & -self.live2.astype(I32))
-        self.w2[self.i0] = q2
-        live = self.live1 & ~hit2
-        q1 = self.q1 + ((((hit1.astype(I32) << WBITS) - self.q1) >> 5) & -live.astype(I32))
-        self.w1[self.i0] = q1
-        fresh = ((rank + 1) << 2) | 1
-        for t, i, e, p in ((self.t1, self.i1, self.e1, self.p1), (self.t2, self.i2, self.e2, self.p2)):
-            c = e & 3
-            hit = p == rank
-            t[i] = np.where(hit, e + (c < 3), np.where(c > 1, e - 1, fresh))
-        self.prev2[:n] = self.prev[:n]
-        self.prev[:n] = rank
+        """hit1: order 1 was right and order 2 wasn't."""
+        self.w2[self.i0] = self.a2 + (hit2 * GAIN - (self.a2 >> 5))
+        self.w1[self.i0] = self.q1 + (hit1 * GAIN - (self.q1 >> 5))
+        fresh = rank << 2
+        sure = fresh | 3
+        fresh |= 1
+        self.t2[self.i2] = np.where(hit2, np.minimum(self.e2 + 1, sure), fresh)
+        self.t1[self.i1] = np.where(self.p1 == rank, np.minimum(self.e1 + 1, sure), fresh)
+        self.older[:n] = self.hash[:n] * np.uint32(0x9E3779B1)
+        self.hash[:n] = rank.view(np.uint32) * np.uint32(0x9E3779B1)
 
 
 def _layout(n: int) -> tuple[int, int]:
@@ -115,9 +119,9 @@ def encode_group(ids: np.ndarray) -> bytes:
     values, freq, bits, rank = _order0(ids)
     lanes, last = _layout(n)
     grid = np.zeros(lanes * BLOCK, dtype=I32)
-    grid[:n] = rank
+    grid[:n] = rank + 1
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    m = _Model(lanes, values, freq)
+    m = _Model(lanes, freq)
     low, rng = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64)
     out = np.zeros((lanes, BLOCK + 4), dtype=np.uint32)
     flat, width = out.reshape(-1), BLOCK + 4
@@ -135,10 +139,14 @@ def encode_group(ids: np.ndarray) -> bytes:
         a2, a1 = m.a2.astype(U64), m.a1.astype(U64)
         unit = rng[:live] >> _W
         # order 2 owns [0, a2), order 1 [a2, a2 + a1), order 0 the rest
-        w0 = U64(1 << WBITS) - a2 - a1
-        unit0 = (unit * w0) >> _b
-        start = np.where(hit2, U64(0), np.where(hit1, unit * a2, unit * (a2 + a1) + unit0 * m.cum.take(r)))
-        size = np.where(hit2, unit * a2, np.where(hit1, unit * a1, unit0 * m.freq.take(r)))
+        both = a2 + a1
+        unit0 = (unit * (_ALL - both)) >> _b
+        start = unit * both + unit0 * m.cum.take(r)
+        size = unit0 * m.freq.take(r)
+        i = np.flatnonzero(m.p2 == r)
+        start[i], size[i] = U64(0), unit[i] * a2[i]
+        i = np.flatnonzero(hit1)
+        start[i], size[i] = unit[i] * a2[i], unit[i] * a1[i]
         lo = low[:live] + start
         over = np.flatnonzero(lo < start)
         if len(over):
@@ -188,8 +196,8 @@ def decode_group(data: bytes, blocks: range | None = None) -> np.ndarray:
     # only the last block can be shorter than the others
     last = int(sizes[-1])
     longest = int(sizes.max())
-    m = _Model(lanes, values, freq)
-    find = np.repeat(np.arange(n_values, dtype=I32), freq.astype(I64))
+    m = _Model(lanes, freq)
+    find = np.repeat(np.arange(1, n_values + 1, dtype=I32), freq.astype(I64))
     code = (words[first] << _S32) | words[first + 1]
     ptr = first + 2
     rng = np.full(lanes, 2**64 - 1, U64)
@@ -201,18 +209,25 @@ def decode_group(data: bytes, blocks: range | None = None) -> np.ndarray:
         a2, a1 = m.a2.astype(U64), m.a1.astype(U64)
         unit = rng[:live] >> _W
         c = code[:live]
-        end2, end1 = unit * a2, unit * (a2 + a1)
-        hit2 = c < end2
-        hit1 = (c < end1) & ~hit2
-        w0 = U64(1 << WBITS) - a2 - a1
-        unit0 = (unit * w0) >> _b
-        slot = np.minimum(((c - end1) // unit0).astype(I64), top)
-        slot[hit2 | hit1] = 0
-        r0 = find.take(slot)
-        rank = np.where(hit2, m.p2, np.where(hit1, m.p1, r0))
-        lit = unit0 * m.cum.take(r0) + end1
-        c = c - np.where(hit2, U64(0), np.where(hit1, end2, lit))
-        size = np.where(hit2, end2, np.where(hit1, end1 - end2, unit0 * m.freq.take(r0)))
+        both = a2 + a1
+        end1 = unit * both
+        unit0 = (unit * (_ALL - both)) >> _b
+        above = c - end1  # wraps round where order 2 or 1 was right
+        slot = np.minimum((above // unit0).view(I64), top)
+        short = np.flatnonzero(c < end1)
+        slot[short] = 0
+        rank = find.take(slot)
+        size = unit0 * m.freq.take(rank)
+        c = above - unit0 * m.cum.take(rank)
+        hit2 = np.zeros(live, dtype=bool)
+        hit1 = np.zeros(live, dtype=bool)
+        if len(short):
+            cs, end2 = code[short], unit[short] * a2[short]
+            two = cs < end2
+            hit2[short], hit1[short] = two, ~two
+            rank[short] = np.where(two, m.p2[short], m.p1[short])
+            c[short] = np.where(two, cs, cs - end2)
+            size[short] = np.where(two, end2, end1[short] - end2)
         i = np.flatnonzero(size < _LOW)
         if len(i):
             p = ptr[i]
@@ -222,7 +237,7 @@ def decode_group(data: bytes, blocks: range | None = None) -> np.ndarray:
         code[:live], rng[:live] = c, size
         out[k, :live] = rank
         m.update(rank, hit2, hit1, live)
-    ids = values[out.T.reshape(-1)]
+    ids = values[np.maximum(out.T.reshape(-1) - 1, 0)]
     keep = (np.arange(longest)[None, :] < sizes[:, None]).reshape(-1)
     ids = ids[keep].astype("<u4")
     raw, a = ids.tobytes(), 0
