@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..tables import load
-from . import chat, fingerprints, mixing, packing, token_counts, token_files, tokens
+from . import chat, fingerprints, mixing, near_dups, packing, token_counts, token_files, tokens
 
 LLM = Registry()
 
@@ -72,3 +72,9 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("llm-10")
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@LLM.query("llm-7")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = near_dups.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+    return d.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
