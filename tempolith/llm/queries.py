@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..tables import load
-from . import chat, fingerprints, mixing, near_dups, packing, token_counts, token_files, tokens
+from . import chat, fingerprints, langid, mixing, near_dups, packing, token_counts, token_files, tokens, toxicity
 
 LLM = Registry()
 
@@ -78,3 +78,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_dups.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
     return d.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+
+
+@LLM.query("llm-1")
+def op1_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@LLM.query("llm-9")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels"))).select("doc_id", "severity", "grade", "is_toxic")
