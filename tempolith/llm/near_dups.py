@@ -6,14 +6,14 @@
    meets most others over all its buckets, so in a family of edited copies the original tends to be it. Each
    class is compared with the centre that it shares most buckets with. Full sets confirm or reject the link.
 3. Buckets that still hold more than one component are gone through for links across components. Only the
-   classes outside the bucket's largest component are compared, with all others in it; where sketches say that
-   a pair is over 4.5 deviations too far apart it is dropped, all others are confirmed on full sets. Work is
+   classes outside the bucket's largest component are compared, with all others in it; where sketches four times
+   as long say that a pair is over 4.5 deviations too far apart it is dropped, all others are confirmed on full sets. Work is
    dealt in blocks of ``BLOCK`` classes; buckets with very many classes outside are banded again by further
    coordinates first. No bucket is capped.
 4. Components of all confirmed links give the groups.
 
 A pair at exactly the threshold 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8, and its
-sketches err that far with probability 3e-6; both fall steeply above the threshold.
+longer sketches err that far with probability 3e-6; both fall steeply above the threshold.
 
 Sets are compared as 48-bit digests of shingles. Texts are read twice: for sketches, and, of classes that
 share a bucket, for sets, which go to the shared folder.
@@ -36,6 +36,8 @@ from .common import written
 COORDINATES, ROWS, BANDS = 256, 4, 32
 #: Classes compared side by side; classes outside the largest component from which a bucket is banded again.
 BLOCK, CROWDED = 512, 4096
+#: Coordinates of the longer sketches, a byte each, that classes of mixed buckets get.
+FINE = 1024
 #: Deviations of a sketch's estimate that a pair may lie under the threshold and still be confirmed.
 DEVIATIONS = 4.5
 #: Bytes of text worked on at once.
@@ -77,8 +79,20 @@ def _sketch_tasks(k: int):
     return run
 
 
+def _band_keys(sketches: np.ndarray, first: int, bands: int) -> np.ndarray:
+    """Keys of ``bands`` bands from coordinate ``first`` on, a row a sketch."""
+    from . import shingles
+
+    use = np.ascontiguousarray(sketches[:, first : first + ROWS * bands]).view(np.uint64).reshape(len(sketches), bands)
+    return shingles.mix(use ^ shingles.mix(np.arange(bands, dtype=np.uint64), 9)[None, :], 3)
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, COORDINATES)
+
+
 def _band_tasks(first: int, bands: int):
-    """A row for each class and band: the bucket's key. ``bucket``, if there is one, is part of it."""
+    """A row for each class and band: the bucket's key. A ``key`` that is there already becomes part of it."""
 
     def run(batches):
         import pyarrow as pa
@@ -86,9 +100,7 @@ def _band_tasks(first: int, bands: int):
         from . import shingles
 
         for b in batches:
-            sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            use = np.ascontiguousarray(sk[:, first : first + ROWS * bands]).view(np.uint64).reshape(len(sk), bands)
-            key = shingles.mix(use ^ shingles.mix(np.arange(bands, dtype=np.uint64), 9)[None, :], 3)
+            key = _band_keys(_sketches(b.column("sketch").to_pylist()), first, bands)
             if "key" in b.schema.names:
                 key = shingles.mix(key + b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)[:, None], 4)
             doc = np.repeat(b.column("doc").to_numpy(zero_copy_only=False), bands)
@@ -113,6 +125,19 @@ def _set_tasks(k: int):
     return run
 
 
+def _fine_tasks(batches):
+    import pyarrow as pa
+
+    from . import shingles
+
+    for b in batches:
+        sets = [_numbers(x) for x in b.column("set").to_pylist()]
+        for a in range(0, len(sets), 512):
+            part = sets[a : a + 512]
+            fine = shingles.fast_sketches(np.concatenate(part), np.array(list(map(len, part)), np.int64), FINE).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("doc").slice(a, 512), b.column("sketch").slice(a, 512), pa.array([r.tobytes() for r in fine], pa.binary())], names=["doc", "sketch", "fine"])
+
+
 def _numbers(raw: bytes) -> np.ndarray:
     x = np.zeros((len(raw) // 6, 8), np.uint8)
     x[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -150,26 +175,34 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(least: float):
-    """Pairs across components in a block: those outside the bucket's main component with everything in it."""
+    """Pairs across components in a block: those outside the bucket's main component with everything in it.
+
+    A pair that shares several buckets comes up in the first of them only.
+    """
 
     def run(pdf):
         import pandas as pd
 
-        out = pdf[pdf["outside"]].sort_values("doc").reset_index(drop=True)
-        sk = lambda d: np.frombuffer(b"".join(d["sketch"]), np.uint16).reshape(-1, COORDINATES)
-        inside = pdf[~pdf["outside"]]
-        a_s, a_doc, a_comp = sk(out), out["doc"].to_numpy(), out["comp"].to_numpy()
-        first = bool(out["first"].iloc[0]) if len(out) else False
-        i_s, i_doc = sk(inside), inside["doc"].to_numpy()
         xs, ys = [], []
-        for i in range(len(out)):
-            near = np.flatnonzero((i_s == a_s[i]).mean(axis=1) >= least) if len(i_s) else []
-            xs += [a_doc[i]] * len(near)
-            ys += list(i_doc[near])
-            if first and i + 1 < len(out):  # in one block only
-                near = np.flatnonzero(((a_s[i + 1 :] == a_s[i]).mean(axis=1) >= least) & (a_comp[i + 1 :] != a_comp[i])) + i + 1
-                xs += [a_doc[i]] * len(near)
-                ys += list(a_doc[near])
+        out = pdf[pdf["outside"]].sort_values("doc")
+        inside = pdf[~pdf["outside"]]
+        if len(out):
+            # in one block of the bucket, those outside meet each other, too
+            other = pd.concat([inside, out]) if out["first"].iloc[0] else inside
+            a_s, b_s = (np.frombuffer(b"".join(d["fine"]), np.uint8).reshape(-1, FINE) for d in (out, other))
+            a_keys, b_keys = (_band_keys(_sketches(d["sketch"]), 0, BANDS) for d in (out, other))
+            key = np.int64(pdf["key"].iloc[0]).view(np.uint64)
+            a_doc, b_doc, a_comp, b_comp = out["doc"].to_numpy(), other["doc"].to_numpy(), out["comp"].to_numpy(), other["comp"].to_numpy()
+            within = np.concatenate([np.zeros(len(inside), bool), np.ones(len(other) - len(inside), bool)])
+            for i in range(len(out)):
+                near = np.flatnonzero((b_comp != a_comp[i]) & (~within | (b_doc > a_doc[i])))
+                near = near[(b_s[near] == a_s[i]).mean(axis=1) >= least]
+                if len(near):
+                    same = b_keys[near] == a_keys[i]
+                    shared = same.any(axis=1) & (a_keys[i] == key).any()  # a finer bucket has a key of its own
+                    near = near[~shared | (a_keys[i][same.argmax(axis=1)] == key)]
+                    xs += [a_doc[i]] * len(near)
+                    ys += list(b_doc[near])
         return pd.DataFrame({"a": np.array(xs, np.int64), "b": np.array(ys, np.int64)})
 
     return run
@@ -183,9 +216,11 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(main, "key").withColumn("outside", F.col("comp") != F.col("main"))
 
 
-def _candidates(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+def _candidates(rows: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs across components in the buckets ``rows`` (key, doc, comp)."""
     mixed = written(_mixed(rows), "dups-mixed")
+    fine = sketches.join(sets, "doc").join(mixed.select("doc").distinct(), "doc", "left_semi")
+    fine = fine.select("doc", "sketch", "set").mapInArrow(_fine_tasks, "doc long, sketch binary, fine binary")
     calm = mixed.filter(F.col("n_outside") <= CROWDED).select("key", "doc", "comp", "outside", "size")
     if mixed.filter(F.col("n_outside") > CROWDED).limit(1).count():
         # crowded with classes that mostly share a passage: four further coordinates each leave few of them together
@@ -197,7 +232,7 @@ def _candidates(rows: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     calm = calm.withColumn("block", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).withColumn("first", F.col("block") == 0)
-    d = calm.join(sketches, "doc").select("key", "block", "doc", "comp", "outside", "first", "sketch")
+    d = calm.join(fine, "doc").select("key", "block", "doc", "comp", "outside", "first", "sketch", "fine")
     return d.groupBy("key", "block").applyInPandas(_across(least), "a long, b long").distinct()
 
 
@@ -232,9 +267,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     rows = multi.select("key", "doc").join(comp, multi.doc == comp.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     share = percent / 100
-    least = share - DEVIATIONS * (share * (1 - share) / COORDINATES) ** 0.5
+    least = share - DEVIATIONS * (share * (1 - share) / FINE) ** 0.5
     sketches = base.select(F.col("doc_id").alias("doc"), "sketch").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    more = written(_candidates(rows, sketches, least), "dups-pairs")
+    more = written(_candidates(rows, sketches, sets, least), "dups-pairs")
     links = written(links.unionByName(verify(more, sets, percent)), "dups-links")
 
     comp = connected_components(links, written, "a", "b")
