@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import cutting, tokens
 from .common import partitions, scratch, written
 
-ENCODED = "part int, row long, doc_id long, n long, class int, rank long, full_before long, ids binary"
+ENCODED = "part int, row long, doc_id long, n long, class int, rank long, full_before long, crcs array<long>, ids binary"
 _LONGS = "array<struct<start:long,length:long,sequence_id:long,offset:long>>"
 
 
@@ -41,21 +41,22 @@ def _encode(vocabulary: str, end_id: int, capacity: int, unit: int):
         narrow = t.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         ranks, full, row = np.zeros(-(-capacity // unit) + 1, dtype=np.int64), 0, 0
         for b in batches:
-            out = {k: [] for k in ("row", "n", "class", "rank", "full_before", "ids")}
-            for text in b.column("text"):
-                ids = t.encode(text.as_py()) + end
+            out = {k: [] for k in ("row", "n", "class", "rank", "full_before", "crcs", "ids")}
+            for ids in t.encode_many(b.column("text").to_pylist()):
+                ids += end
                 n = len(ids) // 4
                 k = -(-(n % capacity) // unit)  # 0: no rest
                 for name, v in (("row", row), ("n", n), ("class", k), ("rank", int(ranks[k])), ("full_before", full)):
                     out[name].append(v)
+                out["crcs"].append([zlib.crc32(ids[a : a + 4 * capacity]) for a in range(0, len(ids), 4 * capacity)])
                 out["ids"].append(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
                 ranks[k] += 1
                 full += n // capacity
                 row += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * b.num_rows, pa.int32()), pa.array(out["row"], pa.int64()), b.column("doc_id").cast(pa.int64()), pa.array(out["n"], pa.int64()),
-                 pa.array(out["class"], pa.int32()), pa.array(out["rank"], pa.int64()), pa.array(out["full_before"], pa.int64()), pa.array(out["ids"], pa.binary())],
-                names=["part", "row", "doc_id", "n", "class", "rank", "full_before", "ids"],
+                 pa.array(out["class"], pa.int32()), pa.array(out["rank"], pa.int64()), pa.array(out["full_before"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), pa.array(out["ids"], pa.binary())],
+                names=["part", "row", "doc_id", "n", "class", "rank", "full_before", "crcs", "ids"],
             )
 
     return run
@@ -122,6 +123,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096
     of_class = by.select("part", "class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank_base"))
     full = by.groupBy("part").agg(F.sum("_full").alias("_f"))
     full = full.select("part", F.coalesce(F.sum("_f").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_full_base"))
+    of_class = written(of_class, "packing-bases")
     placed = rows.join(of_class.join(full, "part"), ["part", "class"])
     placed = placed.withColumn("rank", F.col("rank") + F.col("_rank_base")).withColumn("full_before", F.col("full_before") + F.col("_full_base")).drop("_rank_base", "_full_base")
     placed = written(placed.withColumn("rest", F.col("n") % capacity), "packing-ranks")
@@ -135,7 +137,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096
     slotted = slotted.withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("each")))
     w = Window.partitionBy("sequence_id").orderBy(F.desc("rest"), "part", "row")
     slotted = slotted.withColumn("offset", F.coalesce(F.sum("rest").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    slotted = written(slotted.select("part", "row", (F.col("n") - F.col("rest")).alias("start"), F.col("rest").alias("length"), "sequence_id", "offset"), "packing-slots")
+    piece = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    number = ((F.col("part").cast("long") * (1 << 36)) + F.col("row")).alias("row")
+    slotted = slotted.select(number, "doc_id", (F.col("n") - F.col("rest")).alias("start"), F.col("rest").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
+    slotted = written(slotted, "packing-slots")
 
     # 2. the other rests on a line
     stream = rests.filter("NOT _in").select("part", "row", (F.col("n") - F.col("rest")).alias("_doc_at"), "rest")
@@ -171,10 +176,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096
 
     # 5. sequences that a document fills alone
     alone = placed.filter(F.col("n") >= capacity).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / capacity) - 1)))
-    alone = alone.select("part", "row", (F.col("_k") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), (F.col("full_before") + F.col("_k") + sid).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-
-    pieces = slotted.unionByName(cut).unionByName(alone)
-    # a document has pieces for each ``capacity`` ids and a few for its rest: the list is as bounded as its text
-    lists = pieces.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
-    d = encoded.select("part", "row", "doc_id", "n", "ids").join(lists, ["part", "row"])
-    return d.mapInArrow(_cut_tasks, "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    alone = alone.select(number, "doc_id", (F.col("_k") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), F.col("crcs")[F.col("_k").cast("int")].alias("ids_crc32"),
+                         F.col("n").alias("doc_tokens"), (F.col("full_before") + F.col("_k") + sid).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+    # 6. checksums: whole pieces have theirs from the encoding; only documents that are cut need their ids again
+    lists = cut.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
+    bases = F.broadcast(of_class) if of_class.count() <= 200_000 else of_class
+    again = encoded.filter("class > 0").join(bases, ["part", "class"]).filter(F.col("rank") + F.col("_rank_base") >= limit)
+    d = again.select("part", "row", "doc_id", "n", "ids").join(lists, ["part", "row"])
+    cut = d.mapInArrow(_cut_tasks, "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return slotted.select(piece).unionByName(alone.select(piece)).unionByName(cut.select(piece))

@@ -16,6 +16,13 @@ from functools import lru_cache
 #: Parts in each of a worker's two generations; about 200 bytes each.
 CACHE = 350_000
 
+#: Characters of text whose parts are looked up together.
+AT_ONCE = 400_000
+#: A control character, as a word.
+_MARK = "\x01"
+#: Characters whose small letters may depend on their neighbours or the Unicode version, and marks that combine.
+_ODD = re.compile("[^\x00-\u012f\u2010-\u2030]")
+_LONE = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|$)")
 _RUNS = re.compile(r" (?=\s|$)")
 _CUTS = re.compile(r"(?= \S)")
 
@@ -47,8 +54,13 @@ class CachedTokenizer:
         self.plain = self.words or (not normal and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"])
         #: Whether a token starts with a space, in byte-level spelling.
         self.starts = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends = self.starts.copy()
         for token, i in self.tokenizer.get_vocab().items():
             self.starts[i] = token.startswith("\u0120")
+            self.ends[i] = token.endswith("</w>")
+        #: The id of a word that parts other words.
+        mark = self.whole([_MARK])[0] if self.words else b""
+        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else -1
         #: Ids of a part that is empty but for the space before it.
         self.empty = b"" if self.words else self.whole([" "])[0]
         self.young: dict[str, bytes] = {"": self.empty}
@@ -59,55 +71,112 @@ class CachedTokenizer:
 
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, parts: list[str], lead: str) -> bytes:
+    def _look_up(self, parts: list[str], lead: str) -> list[bytes]:
         """Ids of ``lead + part`` for each part. Two generations of parts: what is in use moves to the young one."""
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {"": self.empty}
         found = list(map(self.young.get, parts))
-        if None in found:
-            missing = {p for p, b in zip(parts, found) if b is None}
-            new = list(missing.difference(self.old))
-            if len(new) < len(missing):
-                self.young.update((p, self.old[p]) for p in missing.difference(new))
-            if new:
-                self.young.update(zip(new, self._apart(new, lead)))
-            found = map(self.young.__getitem__, parts)
-        return b"".join(found)
-
-    def _apart(self, parts: list[str], lead: str) -> list[bytes]:
-        """Ids of each of many short parts, none with a space in it: one call, cut where parts begin or end."""
+        if None not in found:
+            return found
+        at = [i for i, b in enumerate(found) if b is None]
+        missing = {parts[i] for i in at}
+        new = list(missing.difference(self.old))
+        if len(new) < len(missing):
+            self.young.update((p, self.old[p]) for p in missing.difference(new))
+        if new:
+            self.young.update(self._apart(new, lead))
+        for i in at:
+            found[i] = self.young[parts[i]]
+        return found
+
+    def _apart(self, parts: list[str], lead: str):
+        """(part, ids) of many short parts, none with a space in it, by one call: cut where parts begin or end."""
+        if lead:
+            return self._cut(parts, lead + lead.join(parts), lambda ids: self.starts[ids], False, lead)
+        # small letters only: one word each, which ends with a token of its end; others are parted by a mark
+        plain, other = [], []
+        for p in parts:
+            (plain if p.isalpha() and p.islower() else other).append(p)
+        done = self._cut(plain, " ".join(plain), lambda ids: self.ends[ids], True, "") if plain else []
+        return [*done, *self._cut(other, f" {_MARK} ".join(other) + f" {_MARK}", lambda ids: ids == self.mark, True, "", True)] if other else done
+
+    def _cut(self, parts: list[str], text: str, where, at_end: bool, lead: str, drop: bool = False) -> list[tuple[str, bytes]]:
         import numpy as np
 
-        if lead:
-            ids = np.array(self.tokenizer.encode(lead + lead.join(parts), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.starts[ids]).tolist()
-        else:
-            return self.whole(parts)
-        if len(cuts) != len(parts):
-            return self.whole([lead + p for p in parts])
-        raw, cuts = ids.tobytes(), [4 * c for c in [*cuts, len(ids)]]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = np.flatnonzero(where(ids))
+        if len(cut) != len(parts):  # not as expected: one by one
+            return list(zip(parts, self.whole([lead + p for p in parts])))
+        begin, end = (np.insert(cut[:-1] + 1, 0, 0), cut + (not drop)) if at_end else (cut, np.append(cut[1:], len(ids)))
+        raw = ids.tobytes()
+        return [(p, raw[a:b]) for p, a, b in zip(parts, (4 * begin).tolist(), (4 * end).tolist())]
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a whole text; null is empty."""
-        if not text:
-            return b""
-        if not self.plain or (self.special and self.special.search(text)):
-            return self.whole([text])[0]
-        if self.words:
-            return self._ids(text.replace("\n", " ").split(" "), "")
-        if not _RUNS.search(text):
-            head, *parts = text.split(" ")
-            return self.whole([head])[0] + self._ids(parts, " ")
-        # spaces in runs or at the end stay with the part before them, and such parts are encoded by themselves
-        out, parts = [], []
-        for i, p in enumerate(_CUTS.split(text)):
-            if i and not _RUNS.search(p):
-                parts.append(p[1:])
-            else:
-                out += [self._ids(parts, " "), self.whole([p])[0]]
-                parts = []
-        return b"".join([*out, self._ids(parts, " ")])
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """All ids of whole texts, AT_ONCE characters of them or one text at a time."""
+        out: list[bytes] = []
+        some: list[str | None] = []
+        size = 0
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size >= AT_ONCE:
+                out += self._encode_some(some)
+                some, size = [], 0
+        return out + (self._encode_some(some) if some else [])
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        # what each text is made of: the number of its looked-up parts, and texts to encode by themselves between them
+        lead = "" if self.words else " "
+        flat: list[str] = []
+        alone: list[str] = []
+        plans: list[list[int | None]] = []  # numbers of looked-up parts; None for one of ``alone``
+        for t in texts:
+            plan: list[int | None] = []
+            if not t:
+                pass
+            elif not self.plain or (self.special and self.special.search(t)):
+                alone.append(t)
+                plan.append(None)
+            elif self.words:
+                if not _ODD.search(t):  # letter case, and a full stop or comma by itself after a letter, make no difference
+                    t = _LONE.sub(r" \1", t.lower())
+                parts = t.replace("\n", " ").split(" ")
+                flat += parts
+                plan.append(len(parts))
+            elif not _RUNS.search(t):
+                head, *parts = t.split(" ")
+                alone.append(head)
+                flat += parts
+                plan += [None, len(parts)]
+            else:  # spaces in runs or at the end stay with the part before them, and such parts are encoded by themselves
+                n = 0
+                for i, p in enumerate(_CUTS.split(t)):
+                    if i and not _RUNS.search(p):
+                        flat.append(p[1:])
+                        n += 1
+                    else:
+                        alone.append(p)
+                        plan += [n, None]
+                        n = 0
+                plan.append(n)
+            plans.append(plan)
+        found = self._look_up(flat, lead) if flat else []
+        single = iter(self.whole(alone) if alone else [])
+        out, at = [], 0
+        for plan in plans:
+            pieces = []
+            for n in plan:
+                if n is None:
+                    pieces.append(next(single))
+                else:
+                    pieces += found[at : at + n]
+                    at += n
+            out.append(b"".join(pieces))
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -137,4 +206,4 @@ def counter(path: str):
         sp = pieces(path)
         return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
     t = cached_tokenizer(path)
-    return lambda texts: [len(t.encode(x)) // 4 for x in texts]
+    return lambda texts: [len(x) // 4 for x in t.encode_many(texts)]
