@@ -23,3 +23,81 @@ def close_intervals(df: DataFrame, keys: list[str], ts: str, order: list[str]) -
     """Turn change rows into versions: each is valid until the next one of its key."""
     w = Window.partitionBy(*keys).orderBy(ts, *order)
     return df.withColumn("valid_from_ts", F.col(ts)).withColumn("valid_to_ts", F.coalesce(F.lead(ts).over(w), F.lit(OPEN_TS)))
+
+
+def diff(versions: DataFrame, t1: int, t2: int, key: str) -> DataFrame:
+    """(key, change): keys that are live at t2 only (new) or at t1 only (removed)."""
+    a, b = as_of(versions, t1).select(key).distinct(), as_of(versions, t2).select(key).distinct()
+    return b.join(a, key, "left_anti").withColumn("change", F.lit("new")).unionByName(a.join(b, key, "left_anti").withColumn("change", F.lit("removed")))
+
+
+def replay(snapshots: DataFrame, module: str, seq: str, digest: str) -> DataFrame:
+    """Versions from snapshots: (module, seq, digest, role, until), a row where the digest changes."""
+    w = Window.partitionBy(module).orderBy(seq)
+    c = snapshots.withColumn("_before", F.lag(digest).over(w)).filter(F.col("_before").isNull() | (F.col("_before") != F.col(digest)))
+    role = F.when(F.col("_before").isNull(), "introduced_in").otherwise("modified_in")
+    return c.select(module, seq, digest, role.alias("role"), F.coalesce(F.lead(seq).over(w), F.lit(OPEN_TS)).alias("until"))
+
+
+#: Days without a boundary after which a new period starts; share of changed files that makes a refactoring.
+PERIOD_DAYS, REFACTOR_SHARE = 180, 0.15
+
+
+def clean_tag(tag: str) -> str:
+    import re
+
+    return re.sub(r"[^a-z0-9]+", "_", tag.lower()).strip("_").removeprefix("v")
+
+
+def epoch_labels(rows: list[tuple[int, str | None, float]]) -> list[str]:
+    """Labels of one repository's commits (ts, tag, share of changed files), oldest first.
+
+    The first commit opens ``initial_commit``, a tag a milestone; a commit long after the last boundary opens a
+    period, one that changes much a refactoring. Others belong to ``development``. Whether a commit is long after
+    a boundary depends on earlier decisions, so this is a fold.
+    """
+    out, boundary = [], None
+    for i, (ts, tag, share) in enumerate(rows):
+        if i == 0:
+            label = f"milestone_{clean_tag(tag)}" if tag else "initial_commit"
+        elif tag:
+            label = f"milestone_{clean_tag(tag)}"
+        elif ts - boundary > PERIOD_DAYS * 86400:
+            label = f"period_{ts // (PERIOD_DAYS * 86400)}"
+        elif share >= REFACTOR_SHARE:
+            label = f"major_refactor_{i}"
+        else:
+            label = "development"
+        if label != "development":
+            boundary = ts
+        out.append(label)
+    return out
+
+
+def epoch_type(label):
+    return F.when(label.startswith("milestone_"), "milestone").when(label.startswith("major_refactor"), "refactor").when(label.startswith("period_"), "period").when(label == "initial_commit", "initial").otherwise("other")
+
+
+def detect_epochs(commits: DataFrame) -> DataFrame:
+    """commits (repo, commit, ts, tag, change_ratio) with ``label`` and ``epoch_type``; one task a repository."""
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "commit"])
+        tags = [t if isinstance(t, str) else None for t in pdf["tag"]]
+        return pd.DataFrame({"repo": pdf["repo"], "commit": pdf["commit"], "ts": pdf["ts"], "label": epoch_labels(list(zip(pdf["ts"], tags, pdf["change_ratio"])))})
+
+    d = commits.select("repo", "commit", "ts", "tag", "change_ratio").groupBy("repo").applyInPandas(fold, "repo string, commit long, ts long, label string")
+    return d.withColumn("epoch_type", epoch_type(F.col("label")))
+
+
+def situations(commits: DataFrame, rules: dict[str, tuple[str, int]]) -> DataFrame:
+    """(repo, epoch, situation, from_ts, to_ts, commits): one of each class in an epoch, if it has enough commits.
+
+    ``rules``: kind of commit -> (situation, least number of commits).
+    """
+    table = F.create_map(*[F.lit(x) for k, (s, _) in rules.items() for x in (k, s)])
+    least = F.create_map(*[F.lit(x) for _, (s, n) in rules.items() for x in (s, n)])
+    d = commits.filter(F.col("kind").isin(*rules)).withColumn("situation", F.element_at(table, F.col("kind")))
+    g = d.groupBy("repo", "epoch", "situation").agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("commits"))
+    return g.filter(F.col("commits") >= F.element_at(least, F.col("situation")))

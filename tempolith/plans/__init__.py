@@ -1,7 +1,7 @@
 """Named queries over the operators. Importing this package registers them all."""
 
 from ..registry import CORE
-from . import temporal
+from . import aggregates, functions, graph, matching, relational, temporal
 from .temporal import flagship
 
-__all__ = ["CORE", "flagship", "temporal"]
+__all__ = ["CORE", "aggregates", "flagship", "functions", "graph", "matching", "relational", "temporal"]

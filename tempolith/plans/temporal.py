@@ -41,3 +41,131 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("o_custkey").agg(F.count("*").alias("live_versions"))
         .orderBy(F.desc("live_versions"), "o_custkey").limit(10)
     )
+
+
+q = CORE.query
+_SEC = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+T1, T2 = 820454400, 852076800
+
+
+@q("TM-01", oracle=f"SELECT l_partkey, o_orderkey, valid_from_ts, valid_to_ts FROM ({VERSIONS_SQL}) WHERE valid_from_ts <= {T1} AND valid_to_ts > {T1}")
+def tm_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.as_of(versions(spark, sf_dir), T1).select("l_partkey", "o_orderkey", "valid_from_ts", "valid_to_ts")
+
+
+@q("TM-01", oracle=f"SELECT count(*) AS n FROM ({VERSIONS_SQL}) WHERE valid_from_ts <= {T2} AND valid_to_ts >= {T2}")
+def tm_as_of_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.as_of(versions(spark, sf_dir), T2, closed=True).agg(F.count("*").alias("n"))
+
+
+@q("TM-02", "ST-04", oracle=f"""
+WITH v AS ({VERSIONS_SQL}), a AS (SELECT DISTINCT o_custkey FROM v WHERE valid_from_ts <= {T1} AND valid_to_ts > {T1}), b AS (SELECT DISTINCT o_custkey FROM v WHERE valid_from_ts <= {T2} AND valid_to_ts > {T2})
+SELECT o_custkey, 'new' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT o_custkey, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def tm_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tm.diff(versions(spark, sf_dir), T1, T2, "o_custkey")
+
+
+@q("TM-04", oracle="""
+WITH c AS (SELECT o_orderkey, o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-07-01'),
+g AS (SELECT o_orderkey, count(DISTINCT l_partkey) AS parts FROM c GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2) SELECT DISTINCT o_orderkey, o_custkey, parts FROM g JOIN c USING (o_orderkey)""")
+def tm_change_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = changes(spark, sf_dir).filter((F.col("ts") >= 820454400) & (F.col("ts") < 836179200))
+    return c.groupBy("o_orderkey", "o_custkey").agg(F.countDistinct("l_partkey").alias("parts")).filter("parts >= 2")
+
+
+@q("TM-05", oracle=f"""
+SELECT l_partkey, o_orderkey, ts FROM (SELECT l_partkey, o_orderkey, valid_from_ts AS ts, row_number() OVER (PARTITION BY l_partkey ORDER BY valid_from_ts, o_orderkey, l_linenumber) AS r FROM ({VERSIONS_SQL})) WHERE r = 1 AND ts >= {T1} AND ts < {T2}""")
+def tm_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = versions(spark, sf_dir).groupBy("l_partkey").agg(F.min(F.struct(F.col("valid_from_ts").alias("ts"), "o_orderkey")).alias("f"))
+    return first.select("l_partkey", "f.o_orderkey", "f.ts").filter((F.col("ts") >= T1) & (F.col("ts") < T2))
+
+
+@q("TM-06", "JN-10", oracle=f"""
+WITH v AS (SELECT *, year(to_timestamp(valid_from_ts) AT TIME ZONE 'UTC') AS y FROM ({VERSIONS_SQL}))
+SELECT l_partkey, y, o_orderkey, valid_from_ts FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, y ORDER BY valid_from_ts DESC, o_orderkey DESC, l_linenumber DESC) AS r FROM v) WHERE r = 1""")
+def tm_versions_by_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = versions(spark, sf_dir).withColumn("y", F.year(F.timestamp_seconds("valid_from_ts")).cast("long"))
+    best = v.groupBy("l_partkey", "y").agg(F.max(F.struct("valid_from_ts", "o_orderkey", "l_linenumber")).alias("b"))
+    return best.select("l_partkey", "y", "b.o_orderkey", "b.valid_from_ts")
+
+
+@q("TM-07", oracle="SELECT o_orderkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey IN (3, 99, 640)")
+def tm_commit_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes(spark, sf_dir).filter(F.col("o_orderkey").isin(3, 99, 640)).select("o_orderkey", "l_partkey")
+
+
+@q("TM-08", "WN-03", oracle=VERSIONS_SQL.replace("SELECT l_partkey", "SELECT DISTINCT l_partkey"))
+def tm_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(spark, sf_dir).distinct()
+
+
+@q("TM-08", "ST-06", oracle="""
+WITH s AS (SELECT l_partkey AS module, l_orderkey AS commit_seq, CAST(sum(l_quantity) AS BIGINT) % 7 AS digest FROM lineitem GROUP BY 1, 2),
+c AS (SELECT *, lag(digest) OVER (PARTITION BY module ORDER BY commit_seq) AS before FROM s), k AS (SELECT * FROM c WHERE before IS NULL OR before <> digest)
+SELECT module, commit_seq, digest, CASE WHEN before IS NULL THEN 'introduced_in' ELSE 'modified_in' END AS role, coalesce(lead(commit_seq) OVER (PARTITION BY module ORDER BY commit_seq), 9999999999) AS until FROM k""")
+def tm_replay_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of modules to versions: one only where the digest differs from the snapshot before."""
+    s = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("module"), F.col("l_orderkey").alias("commit_seq")).agg((F.sum("l_quantity").cast("long") % 7).alias("digest"))
+    return tm.replay(s, "module", "commit_seq", "digest")
+
+
+@q("TM-09", "WN-05")
+def tm_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch labels of the commits of each repository; the fold over decisions has no SQL form."""
+    o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_partkey") / 40).alias("ratio"))
+    c = o.join(n, o.o_orderkey == n.l_orderkey, "left").select(
+        F.col("c_mktsegment").alias("repo"), F.col("o_orderkey").alias("commit"), _SEC("o_orderdate").alias("ts"),
+        F.when(F.col("o_orderkey") % 997 == 0, F.concat(F.lit("v"), F.col("o_orderkey") % 9)).alias("tag"), F.coalesce("ratio", F.lit(0.0)).alias("change_ratio"),
+    )
+    return tm.detect_epochs(c)
+
+
+@q("TM-10", "TM-11", oracle="""
+WITH v AS (SELECT c_mktsegment AS repo, year(o_orderdate) AS epoch, o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT repo, epoch, 'release_prep' AS situation, min(ts) AS from_ts, max(ts) AS to_ts, count(*) AS commits FROM v WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2
+UNION ALL SELECT repo, epoch, 'major_refactor', min(ts), max(ts), count(*) FROM v WHERE o_orderpriority = '2-HIGH' GROUP BY 1, 2 HAVING count(*) >= 20""")
+def tm_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    v = o.select(F.col("c_mktsegment").alias("repo"), F.year("o_orderdate").cast("long").alias("epoch"), _SEC("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("kind"))
+    return tm.situations(v, {"1-URGENT": ("release_prep", 1), "2-HIGH": ("major_refactor", 20)})
+
+
+@q("TM-11", oracle="""
+SELECT event_id, user_id FROM events WHERE list_has_any(string_split(event_type || ',' || CASE WHEN value > 80 THEN 'high' ELSE 'low' END, ','), ['high', 'error']) AND user_id % 5 = 0""")
+def tm_deja_vu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.array("event_type", F.when(F.col("value") > 80, "high").otherwise("low"))
+    return load(spark, sf_dir, "events").filter(F.col("user_id") % 5 == 0).filter(F.exists(tags, lambda t: t.isin("high", "error"))).select("event_id", "user_id")
+
+
+@q("TM-12", "AG-12", oracle="""
+SELECT o_custkey, count(*) AS total_commits, min(CAST(epoch(o_orderdate) AS BIGINT)) AS first_seen, max(CAST(epoch(o_orderdate) AS BIGINT)) AS last_seen FROM orders GROUP BY 1 ORDER BY total_commits DESC, o_custkey LIMIT 10""")
+def tm_author_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.people import rollup
+
+    o = load(spark, sf_dir, "orders").select("o_custkey", _SEC("o_orderdate").alias("ts"))
+    return rollup(o, "o_custkey", "ts").orderBy(F.desc("total_commits"), "o_custkey").limit(10)
+
+
+@q("TM-13", "GR-06", oracle="""
+SELECT DISTINCT r_name, c_custkey, o_orderkey, l_partkey FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
+WHERE r_regionkey = 2 AND o_orderstatus = 'F' AND l_returnflag = 'R' AND o_totalprice > 300000""")
+def tm_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.graph import typed_chain
+
+    start = load(spark, sf_dir, "region").filter("r_regionkey = 2").select(F.col("r_regionkey").alias("node"))
+    d = typed_chain(start, [
+        (load(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", None),
+        (load(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", None),
+        (load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000)),
+        (load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", F.col("l_returnflag") == "R"),
+    ])
+    r = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("node"), "r_name")
+    return d.join(F.broadcast(r), "node").select("r_name", F.col("n2").alias("c_custkey"), F.col("n3").alias("o_orderkey"), F.col("n4").alias("l_partkey")).distinct()
+
+
+@q("TM-14", oracle="""
+SELECT o_orderkey, split_part('epoch — ' || o_orderpriority || ' of ' || o_orderstatus, ' — ', 2) AS label, regexp_extract(o_orderpriority, '^(\\d)-', 1) AS tag FROM orders WHERE o_orderkey < 500""")
+def tm_epoch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat(F.lit("epoch — "), "o_orderpriority", F.lit(" of "), "o_orderstatus")
+    return load(spark, sf_dir, "orders").filter("o_orderkey < 500").select("o_orderkey", F.split_part(label, F.lit(" — "), F.lit(2)).alias("label"), F.regexp_extract("o_orderpriority", r"^(\d)-", 1).alias("tag"))
