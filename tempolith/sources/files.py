@@ -36,7 +36,7 @@ def read_sources(spark: SparkSession, path: str, extensions: tuple[str, ...] = (
     """(path, name, text) of a source tree; bytes that aren't UTF-8 are replaced."""
     pattern = "*.{" + ",".join(extensions) + "}"
     b = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    text = F.decode(F.col("content"), F.lit("ISO-8859-1"))
+    text = F.decode(F.col("content"), "ISO-8859-1")
     text = F.coalesce(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")), text)
     return b.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("name"), text.alias("text"))
 
