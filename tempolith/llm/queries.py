@@ -75,10 +75,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@LLM.query("llm-7")
+@LLM.query("llm-7", oracle=r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY s), e AS (SELECT rep, n, unnest(s) AS x FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY df, x) AS r FROM (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM e)),
+p AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM f a JOIN f b ON a.x = b.x AND a.rep < b.rep AND a.r <= a.n - ceil(0.8 * a.n) + 1 AND b.r <= b.n - ceil(0.8 * b.n) + 1 AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n),
+l AS (SELECT p.a, p.b FROM p JOIN c x ON p.a = x.rep JOIN c y ON p.b = y.rep WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), t AS (SELECT rep AS start, rep AS node FROM c WHERE rep IN (SELECT a FROM u) UNION SELECT t.start, u.b FROM t JOIN u ON t.node = u.a),
+m AS (SELECT start, min(node) AS component FROM t GROUP BY 1)
+SELECT g.doc_id, len(g.s) AS n_shingles, coalesce(m.component, c.rep, g.doc_id) AS component_id, g.doc_id = coalesce(m.component, c.rep, g.doc_id) AS kept FROM g LEFT JOIN c ON g.s = c.s LEFT JOIN m ON m.start = c.rep""")
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_dups.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
-    return d.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+    return d.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @LLM.query("llm-1")
