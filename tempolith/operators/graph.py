@@ -84,7 +84,7 @@ def cycles(edges: DataFrame, low: int, high: int, keep: Keep = _plain) -> DataFr
     """Simple cycles of low..high edges, each once, from its smallest vertex: (node, length, path)."""
     e = edges.select("src", "dst")
     level = e.filter("src < dst OR src = dst").select(F.col("src").alias("node"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"), F.lit(1).alias("length"))
-    found = level.filter("node = end") if low <= 1 else None
+    found = level.filter("node = end").select("node", "length", F.array("node", "node").alias("path")) if low <= 1 else None
     level = level.filter("node <> end")
     for n in range(2, high + 1):
         nxt = level.join(e.select(F.col("src").alias("end"), F.col("dst").alias("_n")), "end").filter("_n >= node")
