@@ -1,14 +1,16 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 Grades: 0 not toxic; 1 toxic; 2 toxic and of low quality; grades that no label has fall out. With shared
-weights w and ascending thresholds, P(grade <= j) = sigmoid(threshold_j - w . x), where x has log(1 + count)
-of each word, a run of letters in lower case. Weights are fitted by accelerated proximal gradient steps with
-an L1 penalty, so that of all words only those that tell grades apart keep one. The expected grade is the
-severity; a text is toxic if a grade above 0 is likelier than grade 0.
+weights w and ascending thresholds, P(grade <= j) = sigmoid(threshold_j - w . x). Features are words, runs of
+letters in lower case, and their beginnings of ``LENGTHS`` letters, so that inflected forms count together; x has
+log(1 + n) of each, n the number of different words of the text that have it. Weights are fitted by accelerated
+proximal gradient steps with an L1 penalty, so that only features that tell grades apart keep one. The expected
+grade is the severity; a text is toxic if a grade above 0 is likelier than grade 0.
 
-The fit uses a bounded sample: the ``sample_docs`` labelled documents whose hashed doc_id comes first. Words
-of at least ``MIN_DOCS`` of these are features, the ``FEATURES`` most telling ones. All documents are scored
-over their whole texts.
+The fit uses a bounded sample: the ``sample_docs`` labelled documents whose hashed doc_id comes first. Features
+of at least ``MIN_DOCS`` of these are kept if documents above grade 0 have them more often than chance would
+(a likelihood ratio of ``TELLING``), at most ``FEATURES`` of them. All documents are scored over their whole
+texts.
 
 Defined cases: null and empty text have severity 0 and aren't toxic; documents with several labels count with
 the highest grade; labels without toxic are left out; if the labels have one grade only, nothing is toxic;
@@ -25,7 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_DOCS, FEATURES = 3, 20_000
+MIN_DOCS, FEATURES, TELLING = 3, 20_000, 20.0
+#: Letters of the beginnings of words that are features.
+LENGTHS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -33,21 +37,32 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def features(found: set[str]) -> Counter:
+    """How many of these words have each feature; beginnings end with a hyphen."""
+    out = Counter(found)
+    for k in LENGTHS:
+        out.update(w[:k] + "-" for w in found if len(w) > k)
+    return out
+
+
 class Ordinal:
     """Shared weights and ascending thresholds."""
 
     def __init__(self, weights: dict[str, float], thresholds: list[float]) -> None:
         self.weights, self.thresholds = weights, thresholds
+        self.words = {w: x for w, x in weights.items() if not w.endswith("-")}
+        self.begins = {k: {w[:-1]: x for w, x in weights.items() if w.endswith("-") and len(w) == k + 1} for k in LENGTHS}
 
     def score(self, text: str | None) -> float:
         if not text or not self.weights:
             return 0.0
-        found = words(text)
-        hit = self.weights.keys() & set(found)
-        if not hit:
-            return 0.0
-        counts = Counter(w for w in found if w in hit)
-        return sum(self.weights[w] * math.log1p(n) for w, n in sorted(counts.items()))
+        found = set(words(text))
+        total = [self.words[w] * math.log(2) for w in found & self.words.keys()]
+        for k, known in self.begins.items():
+            if known and not known.keys().isdisjoint([w[:k] for w in found]):
+                n = Counter(w[:k] for w in found if len(w) > k and w[:k] in known)
+                total += [known[w] * math.log1p(c) for w, c in n.items()]
+        return math.fsum(total)
 
     def grades(self, text: str | None) -> list[float]:
         """Probabilities of the grades."""
@@ -65,15 +80,26 @@ def fit_rows(texts: list[str], grades: list[int], l1: float = 3e-4, rounds: int
         return Ordinal({}, [])
     y = np.array([levels.index(g) for g in grades])
     k = len(levels)
-    counts = [Counter(words(t)) for t in texts]
+    counts = [features(set(words(t))) for t in texts]
     df, bad = Counter(), Counter()
     for c, g in zip(counts, y):
         df.update(c.keys())
         if g:
             bad.update(c.keys())
     share = (y > 0).mean()
-    telling = lambda w: abs(bad[w] - share * df[w]) / math.sqrt(df[w])
-    vocabulary = sorted((w for w, n in df.items() if n >= MIN_DOCS), key=lambda w: (-telling(w), w))[:FEATURES]
+    def telling(w: str) -> float:
+        """Likelihood ratio of a word's share of documents above grade 0 against that of all documents."""
+        a, n_w = bad[w], df[w]
+        if a <= share * n_w:
+            return 0.0
+        clean = n_w - a
+        return 2 * (a * math.log(a / (n_w * share)) + (clean * math.log(clean / (n_w * (1 - share))) if clean else 0.0))
+
+    ratio = {w: telling(w) for w, n_w in df.items() if n_w >= MIN_DOCS}
+    vocabulary = sorted(ratio, key=lambda w: (-ratio[w], w))
+    # chance gives hardly any word a ratio of TELLING; a small sample may have no word beyond it
+    enough = sum(ratio[w] >= TELLING for w in vocabulary)
+    vocabulary = vocabulary[: min(FEATURES, max(enough, 10))]
     place = {w: i for i, w in enumerate(vocabulary)}
     rows, cols, vals = [], [], []
     for i, c in enumerate(counts):
@@ -85,9 +111,6 @@ def fit_rows(texts: list[str], grades: list[int], l1: float = 3e-4, rounds: int
                 vals.append(math.log1p(n))
     rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals)
     n, m = len(y), len(vocabulary)
-    # frequent words vary most between documents of any grade: scaling makes the penalty even
-    scale = np.sqrt(np.bincount(cols, vals**2, minlength=m) / n) if len(cols) else np.ones(m)
-    vals = vals / np.maximum(scale, 0.02)[cols] if len(cols) else vals
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
     def gradient(w, t):
@@ -122,7 +145,6 @@ def fit_rows(texts: list[str], grades: list[int], l1: float = 3e-4, rounds: int
         new = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         zw, zt = nw + (momentum - 1) / new * (nw - w), nt + (momentum - 1) / new * (nt - t)
         w, t, momentum = nw, nt, new
-    w = w / np.maximum(scale, 0.02)
     return Ordinal({vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)}, [float(x) for x in t])
 
 
