@@ -29,9 +29,11 @@ def _encode_batches(path: str):
         import pyarrow as pa
 
         count = tokens.counter(path)
+        seen: set[bytes] = set()  # rows that are equal in id and text stand for one
         for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count(texts), pa.int64())], names=["digest", "n_tokens"])
+            new = [i for i, d in enumerate(b.column("digest").to_pylist()) if not (d in seen or seen.add(d))]
+            b = b.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count([x or "" for x in b.column("text").to_pylist()]), pa.int64())], names=["digest", "n_tokens"])
 
     return run
 
