@@ -32,7 +32,7 @@ OTHER = LETTERS + 1
 V = OTHER + 1
 UNKNOWN = "und"
 #: Characters scored at once.
-AT_ONCE = 1_500_000
+AT_ONCE = 500_000
 
 
 @lru_cache(maxsize=1)

@@ -41,7 +41,7 @@ FINE = 1024
 #: Deviations of a sketch's estimate that a pair may lie under the threshold and still be confirmed.
 DEVIATIONS = 4.5
 #: Bytes of text worked on at once.
-AT_ONCE = 8_000_000
+AT_ONCE = 1_000_000
 
 
 def _chunks(batch, columns: list[str]):

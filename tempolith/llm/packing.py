@@ -40,7 +40,7 @@ def _encode(vocabulary: str, end_id: int, capacity: int, unit: int):
         end = struct.pack("<I", end_id)
         narrow = t.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         ranks, full, row = np.zeros(-(-capacity // unit) + 1, dtype=np.int64), 0, 0
-        for b in batches:
+        for b in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
             out = {k: [] for k in ("row", "n", "class", "rank", "full_before", "crcs", "ids")}
             for ids in t.encode_many(b.column("text").to_pylist()):
                 ids += end

@@ -14,7 +14,7 @@ import re
 from functools import lru_cache
 
 #: Parts in each of a worker's two generations; about 200 bytes each.
-CACHE = 350_000
+CACHE = 200_000
 
 #: Characters of text whose parts are looked up together.
 AT_ONCE = 400_000
