@@ -168,7 +168,7 @@ def test_token_files(odd_docs, no_docs):
 
 
 def test_cached_ids_are_the_librarys():
-    texts = ["a  b", "  a", " a", "a ", "a\n b", "a \n b\t c", "", None, "\x1c a\x1c b", "x<|endoftext|>y z", "a b", " ́x é", "ΑΣ ΣΑΣ.", "don't  it's\r\nno", "   ", "\n\n x", "word \x85 y", "I'LL  'll 'Re 12345 6", "End. Next, ok.\x01 b", "İstanbul ǅ. ß,"]
+    texts = ["a  b", "  a", " a", "a ", "a\n b", "a \n b\t c", "", None, "\x1c a\x1c b", "x<|endoftext|>y z", "a b", " ́x é", "ΑΣ ΣΑΣ.", "don't  it's\r\nno", "   ", "\n\n x", "word \x85 y", "I'LL  'll 'Re 12345 6", "End. Next, ok.\x01 b", "İstanbul ǅ. ß,", "One, two.\nThree four,\n's x.\n", "a.\nB c\n.D e,\x02f", "x,\ny", ".\n.", "\x03q r. s", "a. \n b", "A.B, c..d ., e"]
     for path in (BYTE, WORD):
         t = tokens.CachedTokenizer(path)
         for _ in range(2):
