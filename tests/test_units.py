@@ -110,7 +110,7 @@ def test_strings(spark):
     assert one(spark, S.label_suffix(F.lit("or_alu_x"))) == "alu_x"
     assert one(spark, S.expand_acronyms(F.lit("esrReg"), {"esr": "Exception Status"})) == "Exception Status reg"
     assert one(spark, S.expand_acronyms(F.lit("foo"), {"esr": "x"})) is None
-    assert one(spark, S.normalize_name(F.lit("OR1200_alu_core"), ("or1200_",))) == "alu core"
+    assert one(spark, S.normalize_name(F.lit("CPU9_alu_core"), ("cpu9_",))) == "alu core"
     assert one(spark, S.sanitize_id(F.lit("reg [7:0] data out"))).strip("_") != ""
 
 
@@ -267,7 +267,7 @@ def test_model_output(spark):
 
 
 def test_golden_merge(spark):
-    rows = [("k1", "OR1200 Processor", 1, "", "v1", "c1"), ("k2", "or1200 processor", 2, "5-stage", "v2", "c2"), ("k3", "MMU", 3, "m", "v1", "c3")]
+    rows = [("k1", "CPU9 Processor", 1, "", "v1", "c1"), ("k2", "cpu9 processor", 2, "5-stage", "v2", "c2"), ("k3", "MMU", 3, "m", "v1", "c3")]
     df = spark.createDataFrame(rows, "key string, name string, seq int, description string, version string, chunk string")
     got = {r["norm"]: r for r in resolve.golden(df, "key", "name", "seq", "description", "version", "chunk").collect()}
-    assert len(got) == 2 and got["or1200 processor"]["description"] == "5-stage" and got["or1200 processor"]["sources"] == ["c1", "c2"]
+    assert len(got) == 2 and got["cpu9 processor"]["description"] == "5-stage" and got["cpu9 processor"]["sources"] == ["c1", "c2"]
