@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     ids = F.col("doc_id").cast("long")
     base = written(docs.select(ids.alias("doc_id"), "text").mapInArrow(_sketch_tasks(k), "doc_id long, n_shingles long, digest binary, sketch binary"), "dups-sketches")
-    classes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    # a written table, so that the joins below are between two shuffles, of which a hot digest's can be split
+    classes = written(base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "dups-digests")
     members = written(base.drop("sketch").join(classes, "digest", "left"), "dups-classes")
     reps = base.join(classes, (base.digest == classes.digest) & (base.doc_id == classes.class_id), "left_semi").select(F.col("doc_id").alias("doc"), "sketch")
     reps = reps.dropDuplicates(["doc", "sketch"])
