@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     d = os.path.join(tempfile.gettempdir(), f"tempolith-{os.getpid()}", "checkpoints")
-    os.makedirs(d, exist_ok=True)
+    if not os.path.isdir(d):
+        os.makedirs(d)
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
     return f"file://{d}"
 
 
