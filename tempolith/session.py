@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -49,5 +50,6 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     full = os.path.join(d, n)
                     z.write(full, os.path.join("tempolith", os.path.relpath(full, root)))
-    sc.addPyFile(path)
+    sc.addPyFile(path)  # executors fetch it from the driver until the application ends
+    atexit.register(lambda: os.path.exists(path) and os.unlink(path))
     _shipped.add(sc.applicationId)
