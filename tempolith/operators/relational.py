@@ -41,12 +41,21 @@ def nearest(rows: DataFrame, keys: list[str], ts: str, at: int, pick: list[str])
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], width: int) -> DataFrame:
     """Pairs of half-open intervals that meet, within equal keys.
 
-    Both sides are dealt to the cells of a grid of ``width``; a pair is made in the first cell that they share, so
-    it comes once, and the join is an equi-join on key and cell instead of a scan of all pairs.
+    Both sides are dealt to the cells of a grid of ``width``, clipped to the time that both cover; a pair is made in
+    the first cell that they share, so it comes once, and the join is an equi-join on key and cell instead of a scan
+    of all pairs. Empty intervals meet nothing.
     """
-    cell = lambda lo, hi: F.sequence(F.floor(F.col(lo) / width), F.greatest(F.floor((F.col(hi) - 1) / width), F.floor(F.col(lo) / width)))
-    a = left.withColumn("_cell", F.explode(cell(*l)))
-    b = right.withColumn("_cell", F.explode(cell(*r)))
+    lo, hi = (left.agg(F.min(l[0]), F.max(l[1])).first(), right.agg(F.min(r[0]), F.max(r[1])).first())
+    if lo[0] is None or hi[0] is None:
+        lo = hi = (0, 0)
+    first, end = max(lo[0], hi[0]), min(lo[1], hi[1])
+
+    def cells(df: DataFrame, at: str, to: str) -> DataFrame:
+        """Rows that meet the time that both sides cover, in each of their cells there; open ends have no cells beyond."""
+        d = df.filter((F.col(at) < F.col(to)) & (F.col(at) < end) & (F.col(to) > first))
+        return d.withColumn("_cell", F.explode(F.sequence(F.floor(F.greatest(F.col(at), F.lit(first)) / width), F.floor((F.least(F.col(to), F.lit(end)) - 1) / width))))
+
+    a, b = cells(left, *l), cells(right, *r)
     j = a.join(b, [*keys, "_cell"])
     meets = (F.col(l[0]) < F.col(r[1])) & (F.col(r[0]) < F.col(l[1]))
     return j.filter(meets & (F.floor(F.greatest(F.col(l[0]), F.col(r[0])) / width) == F.col("_cell"))).drop("_cell")

@@ -175,10 +175,8 @@ def jn_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("repo"), "o_custkey", "o_orderkey", "o_orderdate", _ts("o_orderdate").alias("ts"))
     start = F.date_trunc("year", F.col("o_orderdate").cast("timestamp"))
     e = o.groupBy("repo", F.year("o_orderdate").cast("long").alias("y")).agg(F.unix_seconds(F.min(start)).alias("e_from"), F.unix_seconds(F.min(start + F.expr("INTERVAL 1 YEAR"))).alias("e_to"))
-    # the open end is clipped to the last epoch's, so that an open interval has few cells
-    last = e.groupBy("repo").agg(F.max("e_to").alias("last"))
-    v = close_intervals(o, ["o_custkey"], "ts", ["o_orderkey"]).join(last, "repo").select("repo", "o_custkey", F.col("valid_from_ts").alias("v_from"), F.least("valid_to_ts", "last").alias("v_to"))
-    j = rel.interval_join(e, v.filter("v_to > v_from"), ["repo"], ("e_from", "e_to"), ("v_from", "v_to"), 366 * 86400)
+    v = close_intervals(o, ["o_custkey"], "ts", ["o_orderkey"]).select("repo", "o_custkey", F.col("valid_from_ts").alias("v_from"), F.col("valid_to_ts").alias("v_to"))
+    j = rel.interval_join(e, v, ["repo"], ("e_from", "e_to"), ("v_from", "v_to"), 366 * 86400)
     return j.groupBy("repo", "y").agg(F.count("*").alias("live"), F.countDistinct("o_custkey").alias("owners"))
 
 
