@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs are its lines, cut further where a word's last character says so (one word in four or five),
-so that a change to a long line leaves most of its parts alone, wherever it is. Each has a 64-bit digest; the k-th equal paragraph of a text has another one than the first,
+A text's paragraphs are its lines, cut further where a word's first character says so (one word in four or five),
+and after LONGEST code points, so that a change to a long line leaves most of its parts alone. Each has a 64-bit digest; the k-th equal paragraph of a text has another one than the first,
 so a text is a set. A sketch has three stripes of cells (count, xor of digests, xor of their checks), and a
 digest goes to one cell of each stripe. Subtracting the sketch of another version leaves the digests that
 differ; cells with one left are peeled until all have gone. A sketch too small for the difference fails to
@@ -35,12 +35,17 @@ CELLS = 12
 U64 = np.uint64
 
 
-#: Paragraphs end at line ends, and at spaces after a character of these: every eighth code point of the plane.
-_CUT = re.compile("\n+|(?<=[" + "".join(re.escape(chr(c)) for c in range(0x24, 0xD800, 8)) + "]) +")
+#: Paragraphs end at line ends, and at spaces before a character of these: every eighth code point of the plane.
+_CUT = re.compile("\n+| +(?=[" + "".join(re.escape(chr(c)) for c in range(0x24, 0xD800, 8)) + "])")
+#: Code points of a paragraph at most; longer ones are cut from their start.
+LONGEST = 96
 
 
 def paragraphs(text: str) -> list[str]:
-    return [p for p in _CUT.split(text) if p]
+    out = [p for p in _CUT.split(text) if p]
+    if out and len(max(out, key=len)) > LONGEST:
+        out = [p[i : i + LONGEST] for p in out for i in range(0, len(p), LONGEST)]
+    return out
 
 
 def digests(text: str) -> list[int]:
