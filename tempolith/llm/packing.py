@@ -27,7 +27,8 @@ from . import cutting, tokens
 from .common import partitions, scratch, written
 
 ENCODED = "part int, row long, doc_id long, n long, class int, rank long, full_before long, crcs array<long>, ids binary"
-_LONGS = "array<struct<start:long,length:long,sequence_id:long,offset:long>>"
+#: Parts in a generation of a worker's cache.
+CACHE = 350_000
 
 
 def _encode(vocabulary: str, end_id: int, capacity: int, unit: int):
@@ -36,7 +37,7 @@ def _encode(vocabulary: str, end_id: int, capacity: int, unit: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        t = tokens.cached_tokenizer(vocabulary)
+        t = tokens.cached_tokenizer(vocabulary, CACHE)
         end = struct.pack("<I", end_id)
         narrow = t.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         ranks, full, row = np.zeros(-(-capacity // unit) + 1, dtype=np.int64), 0, 0

@@ -13,7 +13,7 @@ import os
 import re
 from functools import lru_cache
 
-#: Parts in each of a worker's two generations; about 200 bytes each.
+#: Parts in each of a worker's two generations, unless the caller says otherwise; about 200 bytes each.
 CACHE = 200_000
 
 #: Characters of text whose parts are looked up together.
@@ -36,7 +36,7 @@ def public_path(name: str) -> str:
 class CachedTokenizer:
     """ids as little-endian uint32 bytes, for vocabularies of the tokenizers library."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -44,6 +44,7 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
@@ -73,7 +74,7 @@ class CachedTokenizer:
 
     def _look_up(self, parts: list[str], lead: str) -> list[bytes]:
         """Ids of ``lead + part`` for each part. Two generations of parts: what is in use moves to the young one."""
-        if len(self.young) > CACHE:
+        if len(self.young) > self.size:
             self.old, self.young = self.young, {"": self.empty}
         found = list(map(self.young.get, parts))
         if None not in found:
@@ -180,9 +181,9 @@ class CachedTokenizer:
 
 
 @lru_cache(maxsize=4)
-def cached_tokenizer(path: str) -> CachedTokenizer:
+def cached_tokenizer(path: str, cache: int = CACHE) -> CachedTokenizer:
     """One for each vocabulary in each worker."""
-    return CachedTokenizer(path)
+    return CachedTokenizer(path, cache)
 
 
 @lru_cache(maxsize=2)
