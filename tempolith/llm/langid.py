@@ -11,7 +11,7 @@ Rejection is calibrated on documents of the sample that the models haven't seen:
 cross-entropy exceeds its language's mean by more than any of these did, scaled to its length, with a margin.
 
 The sample is bounded: about ``sample_docs`` whole documents a language, chosen by a hash of doc_id, of which
-each model uses ``sample_chars`` characters' worth. Every document is scored over its whole text.
+each model uses ``sample_chars`` characters' worth; see ``sample`` for its other bounds. Every document is scored over its whole text.
 
 Defined cases: null text and text without letters give ``und`` with score 0 and are rejected; so does any text
 if nothing could be learned; ties go to the language first in order; repeated rows each have their row; an
@@ -225,15 +225,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """About ``sample_docs`` documents a language (fewer than twice as many), from those that aren't held out."""
+def sample(docs: DataFrame, sample_docs: int, sample_total: int = 20_000, longest: int = 150_000) -> DataFrame:
+    """About ``sample_docs`` documents a language, and about ``sample_total`` in all, from those that aren't held out.
+
+    Documents of more than ``longest`` characters aren't learned from, so that the sample's size is bounded.
+    """
     known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return known.select("lang", "text").limit(0)
+    sample_docs = min(sample_docs, sample_total / len(sizes))
     part = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))]), F.col("lang"))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / F.lit(float(2**53))
-    return known.filter(F.col("text").isNotNull() & (place < part)).select("lang", "text", place.alias("place"))
+    return known.filter((F.length("text") <= longest) & (place < part)).select("lang", "text", place.alias("place"))
 
 
 def fit(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 1_500_000) -> Model | None:

@@ -148,13 +148,13 @@ def fit_rows(texts: list[str], grades: list[int], l1: float = 3e-4, rounds: int
     return Ordinal({vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)}, [float(x) for x in t])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
-    """(text, grade) of the sample."""
+def labelled(docs: DataFrame, labels: DataFrame, sample_docs: int, longest: int = 150_000) -> DataFrame:
+    """(text, grade) of the sample; documents of more than ``longest`` characters aren't learned from."""
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") > 0, F.when(F.coalesce("quality", F.lit(1)) > 0, 1).otherwise(2))
     g = labels.select("doc_id", grade.alias("grade")).filter("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     few = g.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample_docs)
     # ``few`` has at most sample_docs rows of two numbers
-    return docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id").select("doc_id", "text", "grade")
+    return docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(few), "doc_id").select("doc_id", "text", "grade")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000) -> Ordinal:
