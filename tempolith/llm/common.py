@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:

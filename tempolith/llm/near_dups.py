@@ -44,9 +44,11 @@ DEVIATIONS = 4.5
 AT_ONCE = 1_000_000
 
 
-def _chunks(batch, columns: list[str]):
+def _chunks(batch):
     """Slices of an Arrow batch of about AT_ONCE bytes of text."""
-    sizes = np.cumsum([len(x) if x is not None else 0 for x in (v.as_buffer() if v.is_valid else None for v in batch.column("text"))])
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < batch.num_rows:
         base = sizes[a - 1] if a else 0
@@ -62,7 +64,7 @@ def _sketch_tasks(k: int):
         from . import shingles
 
         for whole in batches:
-            for b in _chunks(whole, ["doc_id", "text"]):
+            for b in _chunks(whole):
                 h, n = shingles.shingle_sets(b.column("text").to_pylist(), k)
                 at = np.concatenate([[0], np.cumsum(n)])
                 some = np.flatnonzero(n)
@@ -116,7 +118,7 @@ def _set_tasks(k: int):
         from . import shingles
 
         for whole in batches:
-            for b in _chunks(whole, ["doc", "text"]):
+            for b in _chunks(whole):
                 h, n = shingles.shingle_sets(b.column("text").to_pylist(), k)
                 bytes_ = np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]) if len(h) else np.zeros((0, 6), np.uint8)
                 cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
