@@ -205,9 +205,24 @@ def gr_components(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(ring(spark, d), cut)
 
 
-@q("GR-18")
+def _labels_sql(rounds: int) -> str:
+    """The rounds one after another; rounds after the last change change nothing."""
+    out = f"WITH t AS ({TREE}), e AS MATERIALIZED (SELECT src, dst FROM t WHERE src <> dst UNION SELECT dst, src FROM t WHERE src <> dst), l0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS community FROM e)"
+    for i in range(rounds):
+        out += f""", l{i + 1} AS MATERIALIZED (SELECT node, community FROM (SELECT src AS node, community, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, community) AS r FROM e JOIN l{i} ON e.dst = l{i}.node GROUP BY src, community) WHERE r = 1)"""
+    return out + f" SELECT node, community FROM l{rounds}"
+
+
+def _ranks_sql(rounds: int, damping: float) -> str:
+    out = f"WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({TREE})), o AS MATERIALIZED (SELECT src, count(*) AS c FROM e GROUP BY 1), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v), r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS rank FROM v, n)"
+    for i in range(rounds):
+        out += f""", r{i + 1} AS MATERIALIZED (SELECT x.node, {1 - damping} / n + {damping} * (coalesce(got, 0) + lost / n) AS rank FROM r{i} x CROSS JOIN n
+          CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE node NOT IN (SELECT src FROM o)) LEFT JOIN (SELECT dst, sum(rank / c) AS got FROM e JOIN o USING (src) JOIN r{i} ON e.src = r{i}.node GROUP BY dst) g ON g.dst = x.node)"""
+    return out + f" SELECT node, round(rank, 10) AS rank FROM r{rounds}"
+
+
+@q("GR-18", oracle=_labels_sql(20))
 def gr_label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    """Labels depend on the order of rounds; tests check that communities are connected and stable."""
     return g.label_propagation(tree(spark, d), 20, cut)
 
 
@@ -224,7 +239,7 @@ def gr_degree(spark: SparkSession, d: str) -> DataFrame:
     return g.degrees(e)
 
 
-@q("GR-21")
+@q("GR-21", oracle=_ranks_sql(10, 0.85))
 def gr_pagerank(spark: SparkSession, d: str) -> DataFrame:
     r = g.pagerank(tree(spark, d), 10, 0.85, cut)
     return r.select("node", F.round("rank", 10).alias("rank"))
@@ -237,7 +252,9 @@ def gr_strong_components(spark: SparkSession, d: str) -> DataFrame:
     return g.strong_components(ring(spark, d), cut)
 
 
-@q("GR-21")
+@q("GR-21", oracle=f"""
+WITH RECURSIVE e AS (SELECT src, dst FROM ({TREE}) WHERE src < 200), w AS (SELECT s, s AS node, 0 AS d FROM (VALUES (100::BIGINT), (101), (150), (199)) v(s) UNION ALL SELECT s, e.dst, d + 1 FROM w JOIN e ON w.node = e.src WHERE d < 10), l AS (SELECT s, max(d) AS l FROM w GROUP BY 1)
+SELECT node, CAST(sum(l - d) AS DOUBLE) AS score FROM w JOIN l USING (s) WHERE d >= 1 AND d < l GROUP BY node""")
 def gr_betweenness(spark: SparkSession, d: str) -> DataFrame:
     e = tree(spark, d).filter("src < 200").select("src", "dst")
     return g.betweenness(e, [100, 101, 150, 199], 10, cut)
