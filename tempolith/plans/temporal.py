@@ -109,9 +109,17 @@ def tm_replay_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.replay(s, "module", "commit_seq", "digest")
 
 
-@q("TM-09", "WN-05")
+@q("TM-09", "WN-05", oracle="""
+WITH RECURSIVE n AS (SELECT l_orderkey, count(DISTINCT l_partkey) / 40 AS share FROM lineitem GROUP BY 1),
+c AS MATERIALIZED (SELECT c_mktsegment AS repo, o_orderkey AS commit, CAST(epoch(o_orderdate) AS BIGINT) AS ts, CASE WHEN o_orderkey % 997 = 0 THEN 'milestone_' || (o_orderkey % 9) END AS tag, coalesce(share, 0) AS share,
+  row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate, o_orderkey) AS i FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN n ON o_orderkey = l_orderkey),
+f AS (SELECT repo, commit, ts, i, coalesce(tag, 'initial_commit') AS label, ts AS boundary FROM c WHERE i = 1
+  UNION ALL SELECT repo, commit, ts, i, label, CASE WHEN label = 'development' THEN boundary ELSE ts END FROM (
+    SELECT c.repo, c.commit, c.ts, c.i, f.boundary, CASE WHEN c.tag IS NOT NULL THEN c.tag WHEN c.ts - f.boundary > 180 * 86400 THEN 'period_' || (c.ts // (180 * 86400)) WHEN c.share >= 0.15 THEN 'major_refactor_' || (c.i - 1) ELSE 'development' END AS label
+    FROM f JOIN c ON c.repo = f.repo AND c.i = f.i + 1))
+SELECT repo, commit, ts, label, CASE WHEN starts_with(label, 'milestone_') THEN 'milestone' WHEN starts_with(label, 'major_refactor') THEN 'refactor' WHEN starts_with(label, 'period_') THEN 'period' WHEN label = 'initial_commit' THEN 'initial' ELSE 'other' END AS epoch_type FROM f""")
 def tm_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epoch labels of the commits of each repository; the fold over decisions has no SQL form."""
+    """Epoch labels of the commits of each repository: a fold over earlier decisions."""
     o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     n = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_partkey") / 40).alias("ratio"))
     c = o.join(n, o.o_orderkey == n.l_orderkey, "left").select(
