@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cutting, tokens
-from .common import partitions, scratch, written
+from .common import scratch, written
 
 ENCODED = "part int, row long, doc_id long, n long, class int, rank long, full_before long, crcs array<long>, ids binary"
 #: Parts in a generation of a worker's cache.
@@ -121,16 +121,18 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096
     # ranks over all partitions; full sequences are numbered by partition, too
     by = rows.groupBy("part", "class").agg(F.count("*").alias("_n"), F.sum(F.floor(F.col("n") / capacity)).alias("_full"))
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    of_class = by.select("part", "class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank_base"))
+    # the patterns' ranks of a class are shared out among partitions by their documents, so all keep some for the gaps
+    per_class = spark.createDataFrame([(k + 1, int(taken[k]), int(demand[k])) for k in range(n_classes) if demand[k]] or [], "class int, _taken long, _demand long")
+    of_class = by.filter("class > 0").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(per_class), "class")
+    of_class = of_class.select("part", "class", F.expr("_taken * _before div _demand").alias("_first"), F.expr("_taken * (_before + _n) div _demand - _taken * _before div _demand").alias("_share"))
     full = by.groupBy("part").agg(F.sum("_full").alias("_f"))
     full = full.select("part", F.coalesce(F.sum("_f").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_full_base"))
     of_class = written(of_class, "packing-bases")
-    placed = rows.join(of_class.join(full, "part"), ["part", "class"])
-    placed = placed.withColumn("rank", F.col("rank") + F.col("_rank_base")).withColumn("full_before", F.col("full_before") + F.col("_full_base")).drop("_rank_base", "_full_base")
-    placed = written(placed.withColumn("rest", F.col("n") % capacity), "packing-ranks")
-
-    limit = F.element_at(F.array(*[F.lit(int(x)) for x in taken]), F.col("class"))
-    rests = placed.filter("class > 0").withColumn("_in", F.col("rank") < limit)
+    placed = rows.join(full, "part").join(of_class, ["part", "class"], "left")
+    placed = placed.withColumn("_in", F.coalesce(F.col("rank") < F.col("_share"), F.lit(False))).withColumn("full_before", F.col("full_before") + F.col("_full_base"))
+    placed = placed.withColumn("rank", F.col("_first") + F.col("rank")).withColumn("rest", F.col("n") % capacity)
+    placed = written(placed.drop("_first", "_share", "_full_base"), "packing-ranks")
+    rests = placed.filter("class > 0")
 
     # 1. rests in the slots of patterns; the table of slots has at most n_classes ** 2 rows
     slots = spark.createDataFrame(_slots(patterns, counts) or [], "class int, from_rank long, to_rank long, each long, first long")
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096
     # 6. checksums: whole pieces have theirs from the encoding; only documents that are cut need their ids again
     lists = cut.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
     bases = F.broadcast(of_class) if of_class.count() <= 200_000 else of_class
-    again = encoded.filter("class > 0").join(bases, ["part", "class"]).filter(F.col("rank") + F.col("_rank_base") >= limit)
+    again = encoded.filter("class > 0").join(bases, ["part", "class"]).filter("rank >= _share")
     d = again.select("part", "row", "doc_id", "n", "ids").join(lists, ["part", "row"])
     cut = d.mapInArrow(_cut_tasks, "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return slotted.select(piece).unionByName(alone.select(piece)).unionByName(cut.select(piece))
