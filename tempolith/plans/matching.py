@@ -166,7 +166,7 @@ SELECT item, cand, round(score, 6) AS score, round(score - coalesce(nxt, 0), 6)
 def br_bridge(spark: SparkSession, d: str) -> DataFrame:
     """Names to types: similarity, floors by kind of match, a boost from the graph, the best one with its margin."""
     p = load(spark, d, "part")
-    c = p.select(F.col("p_name").alias("item")).distinct().crossJoin(F.broadcast(p.select(F.col("p_type").alias("cand")).distinct()))  # a handful of types
+    c = p.select(F.col("p_name").alias("item")).distinct().crossJoin(p.select(F.col("p_type").alias("cand")).distinct())  # a handful of types; every pair is scored
     i, t = F.col("item"), F.lower("cand")
     s = resolve.bridge_score(sim.lev_ratio(i, t), i == t, i.startswith(t), F.contains(i, F.left(t, F.lit(2))))
     s = resolve.graph_boost(s, F.length("cand") % 2 == 0)

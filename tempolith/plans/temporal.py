@@ -169,7 +169,7 @@ def tm_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
         (load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", F.col("l_returnflag") == "R"),
     ])
     r = load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("node"), "r_name")
-    return d.join(F.broadcast(r), "node").select("r_name", F.col("n2").alias("c_custkey"), F.col("n3").alias("o_orderkey"), F.col("n4").alias("l_partkey")).distinct()
+    return d.join(r, "node").select("r_name", F.col("n2").alias("c_custkey"), F.col("n3").alias("o_orderkey"), F.col("n4").alias("l_partkey")).distinct()
 
 
 @q("TM-14", oracle="""
