@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import scratch
+from .common import scratch, written
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -55,7 +55,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
     keyed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
 
     stored = read_cache(spark, cache, version)
-    first = keyed.join(stored, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("_doc"))
+    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("_doc")).join(stored, "digest", "left_anti")
     # the texts of these documents; an id that isn't unique brings other texts along, which the digest sorts out
     of = docs.select("doc_id", text.alias("text"))
     misses = of.join(first.select(F.coalesce("_doc", F.lit(0)).alias("_d"), F.col("_doc").isNull().alias("_null"), F.col("digest").alias("_digest")),
@@ -63,5 +63,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
     encoded = misses.select(F.col("_digest").alias("digest"), "text").mapInArrow(_encode_batches(vocabulary), "digest binary, n_tokens long")
     encoded.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
 
-    out = keyed.join(read_cache(spark, cache, version), "digest")
+    # counts as a written table: the join then is between two shuffles, of which a hot digest's can be split
+    out = keyed.join(written(read_cache(spark, cache, version), "token-counts-now"), "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
