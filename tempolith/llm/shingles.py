@@ -84,6 +84,7 @@ def fast_sketches(h: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
     its bins are full, after about t log t elements.
     """
     out = np.full((len(n), t), np.iinfo(np.uint64).max, dtype=U64)
+    bits = (2 * t - 1).bit_length()  # the highest bits are the round's; all 2 * t rounds must fit, or late ones would go first
     doc = np.repeat(np.arange(len(n)), n)
     open_ = n > 0
     for i in range(2 * t):
@@ -93,7 +94,7 @@ def fast_sketches(h: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
         if not len(h):
             break
         x = mix(h, i + 1)
-        value = (U64(i) << U64(54)) | (x >> U64(10))
+        value = (U64(i) << U64(64 - bits)) | (x >> U64(bits))
         bins = (((x & U64(1023)) * U64(0x5851F42D4C957F2D) + (x >> U64(32)) * U64(0x14057B7EF767814F)) >> U64(33)) % U64(t) if i < t else np.full(len(x), i - t, U64)
         np.minimum.at(out.reshape(-1), doc * t + bins.astype(np.int64), value)
         full = np.ones(len(n), dtype=bool)

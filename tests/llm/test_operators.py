@@ -342,6 +342,38 @@ def test_sketches_estimate_similarity():
     assert tiny.shape == (3, 256)
 
 
+def sketch_by_hand(h, t):
+    """The least (round, digest) of each bin, over all rounds, with Python's unbounded integers."""
+    best = [None] * t
+    for i in range(2 * t):
+        if None not in best:
+            break
+        x = shingles.mix(h, i + 1)
+        bins = (((x & np.uint64(1023)) * np.uint64(0x5851F42D4C957F2D) + (x >> np.uint64(32)) * np.uint64(0x14057B7EF767814F)) >> np.uint64(33)) % np.uint64(t)
+        for b, v in zip(bins.tolist() if i < t else [i - t] * len(h), x.tolist()):
+            best[b] = min(best[b] or (i, v), (i, v))
+    return best
+
+
+@pytest.mark.parametrize("t", (16, near_dups.COORDINATES, near_dups.FINE))
+def test_sketches_of_small_sets_against_brute_force(t):
+    rng = np.random.default_rng(3)
+    for n in range(5, 13):
+        a = rng.integers(0, 2**64, n + 1, dtype=np.uint64)
+        got = shingles.fast_sketches(np.concatenate([a[:-1], a]), np.array([n, n + 1]), t)
+        x, y = sketch_by_hand(a[:-1], t), sketch_by_hand(a, t)
+        assert (got[0] == got[1]).tolist() == [p == q for p, q in zip(x, y)]
+
+
+def test_small_sets_above_the_threshold_pass_the_longer_sketches():
+    rng = np.random.default_rng(4)
+    least = 0.8 - near_dups.DEVIATIONS * (0.8 * 0.2 / near_dups.FINE) ** 0.5
+    for few, more in ((5, 6), (6, 7), (8, 10), (9, 11)):
+        sets = [rng.integers(0, 2**64, more, dtype=np.uint64) for _ in range(100)]
+        fine = shingles.fast_sketches(np.concatenate([np.concatenate([s[:few], s]) for s in sets]), np.array([few, more] * 100), near_dups.FINE).astype(np.uint8)
+        assert ((fine[::2] == fine[1::2]).mean(axis=1) >= least).all()
+
+
 # --- 8 chats ----------------------------------------------------------------------------------------
 
 
