@@ -61,7 +61,7 @@ def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarra
     for j in range(k):  # the j-th word after each; beyond the document's end nothing is added
         ok = place + j < n_words[doc] if len(words) else np.zeros(0, bool)
         shifted = np.zeros(len(words), U64)
-        shifted[: len(words) - j or None] = words[j:]
+        shifted[: max(0, len(words) - j)] = words[j:]
         h = np.where(ok, mix(h * U64(0x9FB21C651E98DF25) + shifted, j), h)
     keep = (place + k <= n_words[doc]) | (place == 0) if len(words) else np.zeros(0, bool)
     h, doc = h[keep], doc[keep]

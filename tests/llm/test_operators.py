@@ -342,6 +342,15 @@ def test_sketches_estimate_similarity():
     assert tiny.shape == (3, 256)
 
 
+@pytest.mark.parametrize("k", (2, 5))
+def test_near_duplicates_of_a_short_document_alone_in_its_partition(spark, k):
+    for n in range(1, 5):
+        texts = ["a b c d"[: 2 * n - 1]] * 2
+        assert shingles.shingle_sets(texts[:1], k)[1].tolist() == [max(1, n - k + 1)]
+        rows = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2, "doc_id"), k=k).collect()
+        assert {(r["n_shingles"], r["component_id"]) for r in rows} == {(max(1, n - k + 1), 0)}
+
+
 def sketch_by_hand(h, t):
     """The least (round, digest) of each bin, over all rounds, with Python's unbounded integers."""
     best = [None] * t
