@@ -9,6 +9,8 @@ those of an n-gram in every language. A text's language has the least cross-entr
 
 Rejection is calibrated on documents of the sample that the models haven't seen: a text is rejected if its
 cross-entropy exceeds its language's mean by more than any of these did, scaled to its length, with a margin.
+A language with few such documents has its mean from all of its own in turn, each by a model of the others (of a
+single one's halves), and its bound from the excesses of all languages.
 
 The sample is bounded: about ``sample_docs`` whole documents a language, chosen by a hash of doc_id, of which
 each model uses ``sample_chars`` characters' worth; see ``sample`` for its other bounds. Every document is scored over its whole text.
@@ -33,6 +35,8 @@ V = OTHER + 1
 UNKNOWN = "und"
 #: Characters scored at once.
 AT_ONCE = 500_000
+#: Unseen documents from which a language is calibrated by these alone.
+FEW = 20
 
 
 @lru_cache(maxsize=1)
@@ -198,16 +202,22 @@ class Model:
     def _excess(self, h: np.ndarray, best: np.ndarray, chars: np.ndarray) -> np.ndarray:
         return (h - self.mean[best]) * np.sqrt(np.minimum(chars, 400))
 
-    def calibrate(self, texts: list[str], langs: list[str], margin: float = 3.0) -> None:
+    def calibrate(self, texts: list[str], langs: list[str], crossed: dict[str, tuple[np.ndarray, np.ndarray]], margin: float = 3.0) -> None:
+        """Mean and reach of each language from unseen texts; ``crossed`` has entropies and sizes for those with few."""
         h, chars, letters = self.entropies(texts)
         own = np.array([self.names.index(x) for x in langs], np.int64)
         ok = letters > 0
         h, chars, own = h[np.arange(len(own)), own][ok], chars[ok], own[ok]
-        for i in range(len(self.names)):
-            mine = own == i
-            if mine.sum() >= 20:
-                self.mean[i] = np.average(h[mine], weights=np.minimum(chars[mine], 400))
-                self.reach[i] = margin * max(1.0, self._excess(h[mine], own[mine], chars[mine]).max())
+        seen = {i: crossed[x] if x in crossed else (h[own == i], chars[own == i]) for i, x in enumerate(self.names)}
+        for i, (x, n) in seen.items():
+            if len(x):
+                self.mean[i] = np.average(x, weights=np.minimum(n, 400))
+        some = [i for i, (x, _) in seen.items() if len(x)]
+        for i in set(seen) - set(some):  # a few letters in all: no language is worse than the worst known, or than chance
+            self.mean[i] = max(self.mean[some]) if some else np.log(V)
+        most = {i: self._excess(seen[i][0], np.full(len(seen[i][0]), i), seen[i][1]).max() for i in some}
+        for i, x in enumerate(self.names):
+            self.reach[i] = margin * max([1.0, *most.values()] if x in crossed else [1.0, most[i]])
 
     def predict(self, texts: list[str | None]):
         """(language, score, cross-entropy, rejected) of each."""
@@ -240,6 +250,29 @@ def sample(docs: DataFrame, sample_docs: int, sample_total: int = 20_000, longes
     return known.filter((F.length("text") <= longest) & (place < part)).select("lang", "text", place.alias("place"))
 
 
+def _crossed(texts: list[str], table: np.ndarray, sample_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cross-entropy, characters) of each text by a model of the others: of four fifths, or all but one if they are fewer."""
+    texts = [t for t in texts if t and coded([t], table)[2][0]]
+    if len(texts) == 1:
+        texts = [texts[0][: len(texts[0]) // 2], texts[0][len(texts[0]) // 2 :]]
+    out = []
+    for fold in range(min(5, len(texts))):
+        used, rest = 0, []
+        for t in [t for i, t in enumerate(texts) if i % 5 != fold]:
+            if used < sample_chars:
+                used += len(t)
+                rest.append(t)
+        keys = coded(rest, table)[0]
+        if not len(keys):
+            continue
+        model = KneserNey(keys)
+        for t in texts[fold::5]:
+            k, _, letters = coded([t], table)
+            if letters[0]:
+                out.append((-np.log(model.probability(k, ORDER)).mean(), len(k)))
+    return np.array([h for h, _ in out]), np.array([n for _, n in out], np.int64)
+
+
 def fit(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 1_500_000) -> Model | None:
     """Models of all languages of ``docs`` (doc_id, text, lang); None if there is nothing to learn from."""
     rows = sorted(((r["lang"], r["place"], r["text"]) for r in sample(docs, sample_docs).collect()), key=lambda r: r[:2]) if "lang" in docs.columns else []
@@ -265,8 +298,8 @@ def fit(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 1_500_000)
         return None
     m = Model(names, [KneserNey(keys[k]) for k in names], table)
     check = [(k, t) for k, t in check if k in names]
-    if check:
-        m.calibrate([t for _, t in check], [k for k, _ in check])
+    few = [k for k in names if sum(x == k and bool(coded([t], table)[2][0]) for x, t in check) < FEW]
+    m.calibrate([t for _, t in check], [k for k, _ in check], {k: _crossed(by[k], table, sample_chars) for k in few})
     return m
 
 

@@ -37,6 +37,27 @@ def test_unknown_languages_are_rejected(spark, sf_dir):
     assert m.predict([russian])[3].tolist() == [True]
 
 
+RUSSIAN = "Съешь ещё этих мягких французских булок да выпей чаю. " * 20
+
+
+def test_rare_languages_reject_too(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    de = docs.filter(~langid.held_out(F.col("doc_id")) & (F.col("lang") == "de")).orderBy("doc_id")
+    unseen = [r["text"] for r in docs.filter(langid.held_out(F.col("doc_id")) & (F.col("lang") == "de")).collect()]
+    for n in (1, 2, 8, 30):
+        m = langid.fit(docs.filter("lang = 'en'").union(de.limit(n)))
+        assert np.isfinite(m.reach).all() and (m.mean > 0).all(), n
+        assert m.predict([RUSSIAN])[3].tolist() == [True], n
+        langs, _, _, rejected = m.predict(unseen)
+        assert n < 8 or sum(rejected) <= 1, n
+
+
+def test_a_few_letters_are_no_language(spark):
+    docs = spark.createDataFrame([(i, "x y", "xx") for i in range(1)] + [(i, t, "yy") for i, t in enumerate(["é", "a"], 10)], "doc_id long, text string, lang string")
+    m = langid.fit(docs)
+    assert m is None or np.isfinite(m.reach).all() and np.isfinite(m.mean).all()
+
+
 def test_languages_of_odd_documents(odd_docs, no_docs):
     docs = odd_docs.select("doc_id", "text", "lang", "score")
     m = langid.fit(docs)
