@@ -221,44 +221,54 @@ def modularity_communities(edges: DataFrame, rounds: int, keep: Keep) -> DataFra
     return c.select("node", "community")
 
 
-def strong_components(edges: DataFrame, keep: Keep, rounds: int = 30) -> DataFrame:
-    """(node, component): the smallest vertex that a vertex reaches and is reached from, by forward and backward colouring."""
-    e = keep(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
-    left = keep(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
-    done = None
-
-    def spread(e: DataFrame, nodes: DataFrame, start: Column, ok=None) -> DataFrame:
-        c = keep(nodes.withColumn("c", start), "colour")
-        for _ in range(200):
-            near = e.join(c.withColumnRenamed("node", "src"), "src")
-            if ok is not None:
-                near = near.join(ok.withColumnRenamed("node", "dst").withColumnRenamed("c", "own"), "dst").filter("c = own")
-            near = near.groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("n"))
-            new = keep(c.join(near, "node", "left").select("node", F.least("c", F.coalesce("n", "c")).alias("c"), F.col("c").alias("old")), "colour")
+def _unestimated(df: DataFrame) -> DataFrame:
+    """A kept frame without the size estimate it has from its lineage, of which a loop of joins doubles the digits each step."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
+def strong_components(edges: DataFrame, keep: Keep) -> DataFrame:
+    """(node, component): the smallest vertex that a vertex reaches and is reached from, by forward and backward colouring.
+
+    A vertex's colours are the first vertex, in a hashed order, that reaches it, and the first that it reaches
+    within that colour. Where both are the same, all vertices of these colours are one component. Edges between
+    different colours go, as no component has any, and the rest is coloured again until nothing is left. A step
+    takes a vertex's colour on to its colour's colour, so that rings and chains of n vertices by themselves end after
+    about log n steps and rounds, in whatever order their ids are; a ring that has its own colour already is walked
+    edge by edge when an earlier one enters it from outside.
+    """
+    kept = lambda df, name: _unestimated(keep(df, name))
+    e = kept(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    left = kept(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
+    done = left.select("node", F.col("node").alias("c")).limit(0)
+    place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+
+    def spread(e: DataFrame) -> DataFrame:
+        c = left.withColumn("c", F.col("node"))
+        while True:  # places only fall, so this ends
+            near = e.join(c.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(place("c"))["v"].alias("n"))
+            new = c.join(near, "node", "left").select("node", F.col("c").alias("old"), F.least(place("c"), F.when(F.col("n").isNotNull(), place("n")))["v"].alias("c"))
+            jump = c.select(F.col("node").alias("at"), F.col("c").alias("next"))
+            new = kept(new.join(jump, new.c == jump["at"]).select("node", "old", F.least(place("c"), place("next"))["v"].alias("c")), "colour")
             c = new.select("node", "c")
-            if not new.filter("NOT (c <=> old)").limit(1).count():
+            if not new.filter("old <> c").limit(1).count():
                 return c
-        return c
 
-    for _ in range(rounds):
-        if not left.limit(1).count():
-            break
-        forward = spread(e, left, F.col("node"))
-        # from each colour's root back along edges whose ends have that colour
-        roots = forward.filter("node = c").select("node", F.lit(0).alias("hit"))
-        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        hit = keep(forward.join(roots, "node", "left"), "hit")
-        for _ in range(200):
-            near = back.join(hit.filter("hit = 0").select(F.col("node").alias("src"), "c"), "src").select(F.col("dst").alias("node"), "c").distinct().withColumn("n", F.lit(0))
-            new = keep(hit.join(near, ["node", "c"], "left").select("node", "c", F.coalesce("hit", "n").alias("hit"), F.col("hit").alias("old")), "hit")
-            hit = new.select("node", "c", "hit")
-            if not new.filter("NOT (hit <=> old)").limit(1).count():
-                break
-        part = hit.filter("hit = 0").select("node", F.col("c").alias("component"))
-        done = part if done is None else done.unionByName(part)
-        left = keep(hit.filter("hit IS NULL").select("node"), "nodes")
-        e = keep(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), "edges")
-    return done
+    def within(e: DataFrame, colours: DataFrame) -> DataFrame:
+        ends = e.join(colours.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst")
+        return kept(ends.filter("a = b").select("src", "dst"), "edges")
+
+    while left.limit(1).count():  # each round ends the first vertex's component at least
+        forward = spread(e)
+        e = within(e, forward)
+        backward = spread(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = kept(forward.join(backward.withColumnRenamed("c", "d"), "node"), "colours")
+        done = done.unionByName(both.filter("c = d").select("node", "c"))
+        rest = both.filter("c <> d")
+        e = within(e, rest.select("node", F.col("d").alias("c")))
+        left = kept(rest.select("node"), "nodes")
+    least = done.groupBy("c").agg(F.min("node").alias("component"))
+    return done.join(least, "c").select("node", "component")
 
 
 def betweenness(edges: DataFrame, sources: list, high: int, keep: Keep) -> DataFrame:

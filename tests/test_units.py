@@ -240,6 +240,26 @@ def test_strong_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
+def test_strong_components_of_a_long_ring_and_chain(spark):
+    ring, chain = [(i, (i + 1) % 210) for i in range(210)], [(i, i + 1) for i in range(2000, 2033)]
+    got = {r["node"]: r["component"] for r in G.strong_components(frame(spark, ring + chain), cut).collect()}
+    assert got == {i: 0 for i in range(210)} | {i: i for i in range(2000, 2034)}
+
+
+def test_strong_components_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    e = [(rnd.randrange(20), rnd.randrange(20)) for _ in range(28)]
+    reach = {(a, a) for p in e for a in p} | set(e)
+    for k in range(20):
+        reach |= {(a, b) for a in range(20) for b in range(20) if (a, k) in reach and (k, b) in reach}
+    want = {a: min(b for b in range(20) if (a, b) in reach and (b, a) in reach) for p in e if p[0] != p[1] for a in p}
+    got = {r["node"]: r["component"] for r in G.strong_components(frame(spark, e), cut).collect()}
+    assert got == want and 1 < len(set(got.values())) < len(got)
+    assert G.strong_components(frame(spark, e).limit(0), cut).count() == 0
+
+
 def test_cycles_once_each(spark):
     got = sorted((r["node"], r["length"]) for r in G.cycles(frame(spark, [(1, 2), (2, 3), (3, 1), (2, 1), (5, 5)]), 1, 5, cut).collect())
     assert got == [(1, 2), (1, 3), (5, 1)]
