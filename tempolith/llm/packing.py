@@ -16,7 +16,6 @@ their own, told apart by ``row``; an empty table gives no rows; columns other th
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
@@ -27,8 +26,6 @@ from . import cutting, tokens
 from .common import scratch, written
 
 ENCODED = "part int, row long, doc_id long, n long, class int, rank long, full_before long, crcs array<long>, ids binary"
-#: Parts in a generation of a worker's cache.
-CACHE = 350_000
 
 
 def _encode(vocabulary: str, end_id: int, capacity: int, unit: int):
@@ -37,32 +34,42 @@ def _encode(vocabulary: str, end_id: int, capacity: int, unit: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        t = tokens.cached_tokenizer(vocabulary, CACHE)
-        end = struct.pack("<I", end_id)
+        t = tokens.cached_tokenizer(vocabulary)
         narrow = t.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         ranks, full, row = np.zeros(-(-capacity // unit) + 1, dtype=np.int64), 0, 0
-        for b in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
-            out = {k: [] for k in ("row", "n", "class", "rank", "full_before", "crcs", "ids")}
-            for ids in t.encode_many(b.column("text").to_pylist()):
-                ids += end
-                n = len(ids) // 4
-                k = -(-(n % capacity) // unit)  # 0: no rest
-                for name, v in (("row", row), ("n", n), ("class", k), ("rank", int(ranks[k])), ("full_before", full)):
-                    out[name].append(v)
-                out["crcs"].append([zlib.crc32(ids[a : a + 4 * capacity]) for a in range(0, len(ids), 4 * capacity)])
-                out["ids"].append(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
-                ranks[k] += 1
-                full += n // capacity
-                row += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * b.num_rows, pa.int32()), pa.array(out["row"], pa.int64()), b.column("doc_id").cast(pa.int64()), pa.array(out["n"], pa.int64()),
-                 pa.array(out["class"], pa.int32()), pa.array(out["rank"], pa.int64()), pa.array(out["full_before"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), pa.array(out["ids"], pa.binary())],
-                names=["part", "row", "doc_id", "n", "class", "rank", "full_before", "crcs", "ids"],
-            )
+        for b in batches:
+            for first, ids, n in t.batches(b.column("text")):
+                ids, n = tokens.with_end(ids, n, end_id)
+                m, ends = len(n), np.concatenate([[0], np.cumsum(n)])
+                classes = -(-(n % capacity) // unit)  # 0: no rest
+                rank = np.zeros(m, np.int64)
+                for k in np.unique(classes):
+                    at = np.flatnonzero(classes == k)
+                    rank[at] = ranks[k] + np.arange(len(at))
+                    ranks[k] += len(at)
+                fills = n // capacity
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crcs = [[zlib.crc32(data[4 * x : 4 * min(x + capacity, z)]) for x in range(a, z, capacity)] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                kept = ids.astype("<u2" if narrow else "<u4", copy=False)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, part, np.int32)), pa.array(row + np.arange(m)), b.column("doc_id").slice(first, m).cast(pa.int64()), pa.array(n), pa.array(classes.astype(np.int32)), pa.array(rank),
+                     pa.array(full + np.cumsum(fills) - fills), pa.array(crcs, pa.list_(pa.int64())), _binary(kept, ends)],
+                    names=["part", "row", "doc_id", "n", "class", "rank", "full_before", "crcs", "ids"],
+                )
+                full += int(fills.sum())
+                row += m
 
     return run
 
 
+def _binary(values: np.ndarray, ends: np.ndarray):
+    """An Arrow array of the bytes of ranges of values."""
+    import pyarrow as pa
+
+    at = pa.py_buffer(ends * values.itemsize)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, at, pa.py_buffer(values)]).cast(pa.binary())
+
+
 def _slots(patterns: np.ndarray, counts: np.ndarray) -> list[dict]:
     """For each class and pattern: the first rank that goes there, how many a sequence, and the first sequence."""
     first = np.concatenate([[0], np.cumsum(counts)])

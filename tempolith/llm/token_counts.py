@@ -33,7 +33,7 @@ def _encode_batches(path: str):
         for b in batches:
             new = [i for i, d in enumerate(b.column("digest").to_pylist()) if not (d in seen or seen.add(d))]
             b = b.take(pa.array(new, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count([x or "" for x in b.column("text").to_pylist()]), pa.int64())], names=["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count(b.column("text")), pa.int64())], names=["digest", "n_tokens"])
 
     return run
 

@@ -30,8 +30,6 @@ from .common import partitions, range_bounds, range_of, scratch
 MAGIC, END = b"TIDRC1\n\0", b"END\0"
 #: Ids coded at once, in side-by-side blocks.
 GROUP = 1 << 23
-#: Parts in a generation of a worker's cache; the writing tasks do nothing else.
-CACHE = 350_000
 #: Stands for a null doc_id in a file's index.
 NULL_ID = -(2**63)
 MANIFEST = "part int, file string, n_docs long, n_tokens long, n_bytes long"
@@ -43,42 +41,44 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
 
 
-def write_file(path: str, docs: Iterator[tuple[int | None, bytes]]) -> tuple[int, int, int]:
-    """Ids of documents, as little-endian uint32 bytes, to a file. (documents, ids, bytes)."""
+def write_file(path: str, docs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, int, int]:
+    """Documents to a file, in batches of (doc_ids, how many ids each has, all their ids). (documents, ids, bytes)."""
     from .rangecoder import encode_group
 
     system, at = _open(path)
     system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    ids, counts, waiting, held, total, size = [], [], [], 0, 0, len(MAGIC)
+    docs_of, counts, waiting, held, total, size = [], [], [], 0, 0, len(MAGIC)
     with system.open_output_stream(at) as out:
         out.write(MAGIC)
 
         def flush(everything: bool) -> None:
             nonlocal waiting, held, size
-            data = b"".join(waiting)
+            ids = np.concatenate([np.zeros(0, np.uint32), *waiting])
             a = 0
-            while len(data) - a >= 4 * GROUP or (everything and a < len(data)):
-                g = encode_group(np.frombuffer(data, "<u4", min(GROUP, (len(data) - a) // 4), a))
+            while len(ids) - a >= GROUP or (everything and a < len(ids)):
+                g = encode_group(ids[a : a + GROUP])
                 out.write(struct.pack("<Q", len(g)))
                 out.write(g)
                 size += 8 + len(g)
-                a += 4 * GROUP
-            waiting = [data[a:]] if a < len(data) else []
-            held = sum(map(len, waiting))
-
-        for doc, b in docs:
-            ids.append(NULL_ID if doc is None else doc)
-            counts.append(len(b) // 4)
-            total += len(b) // 4
-            waiting.append(b)
-            held += len(b)
-            if held >= 4 * GROUP:
+                a += GROUP
+            waiting = [ids[a:].copy()]
+            held = len(waiting[0])
+
+        for doc, n, ids in docs:
+            docs_of.append(doc.astype("<i8"))
+            counts.append(n.astype("<i8"))
+            total += len(ids)
+            waiting.append(ids)
+            held += len(ids)
+            if held >= GROUP:
                 flush(False)
         flush(True)
-        index = zlib.compress(np.array(ids, "<i8").tobytes() + np.array(counts, "<i8").tobytes(), 6)
+        n_docs = sum(map(len, docs_of))
+        index = b"".join(x.tobytes() for x in (*docs_of, *counts))
+        index = zlib.compress(index, 6)
         out.write(index)
-        out.write(struct.pack("<QQI", size, len(ids), zlib.crc32(index)) + END)
-    return len(ids), total, size + len(index) + 24
+        out.write(struct.pack("<QQI", size, n_docs, zlib.crc32(index)) + END)
+    return n_docs, total, size + len(index) + 24
 
 
 def read_file(path: str) -> Iterator[tuple[int | None, int, bytes]]:
@@ -113,25 +113,24 @@ def read_file(path: str) -> Iterator[tuple[int | None, int, bytes]]:
 
 
 def _write_tasks(folder: str, vocabulary: str, end_id: int):
-    end = struct.pack("<I", end_id)
-
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         c = TaskContext.get()
         path = f"{folder}/part-{c.partitionId():06d}-{c.taskAttemptId()}.tid"
-        t = tokens.cached_tokenizer(vocabulary, CACHE)
+        t = tokens.cached_tokenizer(vocabulary)
         last = [0]
 
         def docs():
             for b in batches:
                 if b.num_rows:
                     last[0] = b.column("_range")[b.num_rows - 1].as_py()
-                for a in range(0, b.num_rows, 256):
-                    part = b.slice(a, 256)
-                    for doc, ids in zip(part.column("doc_id").to_pylist(), t.encode_many(part.column("text").to_pylist())):
-                        yield doc, ids + end
+                doc_ids = pc.fill_null(b.column("doc_id"), NULL_ID).to_numpy()
+                for first, ids, n in t.batches(b.column("text")):
+                    ids, n = tokens.with_end(ids, n, end_id)
+                    yield doc_ids[first : first + len(n)], n, ids
 
         n, total, size = write_file(path, docs())
         if n:

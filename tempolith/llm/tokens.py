@@ -1,10 +1,13 @@
 """Tokenizers with bounded word caches: the same ids as the library gives for whole texts, in less time.
 
-Byte-level and word BPE cut a text into pre-tokens before any merge, and a text always is cut before a space
-that is followed by something else than white space. So the ids of a text are those of its parts between such
-places, one after another, and a part seen before needs no second encoding. Texts that contain one of the
-vocabulary's special strings go to the library whole. Parts that
-went unused while ``CACHE`` others came are forgotten, so memory is bounded.
+Byte-level and word BPE cut a text into pre-tokens before any merge, and a text always is cut before a space or
+line feed that is followed by something else than white space. So the ids of a text are those of its parts
+between such places, one after another. Arrow cuts a batch of texts into parts and numbers the different ones;
+only those are looked up in Python. Of parts that the cache hasn't got, plain words are merged in numpy, and the
+others go to the library, many in one call. Ids are assembled by numpy: a part is a slot, a range of one array of ids, so there are no lists of small
+objects. Texts that contain one of the vocabulary's special strings go to the library whole.
+
+The cache keeps at most ``CACHE`` slots. When it is full, parts that only one batch had are forgotten first.
 """
 
 from __future__ import annotations
@@ -12,19 +15,29 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
-#: Parts in each of a worker's two generations, unless the caller says otherwise; about 200 bytes each.
-CACHE = 200_000
+import numpy as np
 
-#: Characters of text whose parts are looked up together.
-AT_ONCE = 400_000
+from .merges import Merges
+
+#: Parts that a worker remembers, unless the caller says otherwise; about 150 bytes each.
+CACHE = 300_000
+#: Bytes of text that are encoded together; a longer text is encoded by itself.
+AT_ONCE = 4_000_000
+#: Letters of a word that is merged here; longer ones go to the library.
+MOST = 40
 #: A control character, as a word.
 _MARK = "\x01"
+#: White space as Python and the Unicode property see it together.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Where a text has white space that can't be cut off: at its start, at its end, or more than one in a row.
+_RUNS = rf"^[{_SPACE}]|[ \n]([{_SPACE}]|$)"
+_CUTS = re.compile(r"(?=[ \n]\S)")
 #: Characters whose small letters may depend on their neighbours or the Unicode version, and marks that combine.
-_ODD = re.compile("[^\x00-\u012f\u2010-\u2030]")
-_LONE = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|$)")
-_RUNS = re.compile(r" (?=\s|$)")
-_CUTS = re.compile(r"(?= \S)")
+_ODD = r"[^\x00-\x{12f}\x{2010}-\x{2030}]"
+#: A full stop or comma by itself after a letter is cut off, too.
+_STOPPED = r"([A-Za-zß-öø-ÿ])[.,]$"
 
 
 def public_path(name: str) -> str:
@@ -33,152 +46,305 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each range, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.arange(total, dtype=np.int64)
+    out += np.repeat(starts - (ends - lengths), lengths)
+    return out
+
+
+class _Slots:
+    """Parts and their ids: a part's number is its place in ``start`` and ``length``, ranges of ``ids``."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.start = np.zeros(1024, np.int64)
+        self.length = np.zeros(1024, np.int64)
+        self.uses = np.zeros(1024, np.int32)
+        self.ids = np.zeros(4096, np.uint32)
+        self.n = self.used = 0
+
+    def add(self, parts: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        n, used = self.n + len(parts), self.used + len(ids)
+        if n > len(self.start):
+            more = max(n, 2 * len(self.start))
+            for name in ("start", "length", "uses"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros(more - len(old), old.dtype)]))
+        if used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(used, 2 * len(self.ids)) - len(self.ids), np.uint32)])
+        self.ids[self.used : used] = ids
+        self.start[self.n : n] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.n : n] = lengths
+        self.uses[self.n : n] = 0
+        self.number.update(zip(parts, range(self.n, n)))
+        self.n, self.used = n, used
+
+    def find(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+
+    def forget(self, most: int) -> None:
+        """Keep the parts that most batches had, ``most`` at most."""
+        keep = np.flatnonzero(self.uses[: self.n] > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], most)[:most]])
+        names = np.empty(self.n, dtype=object)
+        names[np.fromiter(self.number.values(), np.int64, len(self.number))] = list(self.number)
+        uses, lengths = self.uses[keep] >> 1, self.length[keep]
+        ids = self.ids[_ranges(self.start[keep], lengths)]
+        names = names[keep].tolist()
+        self.__init__()
+        self.add(names, lengths, ids)
+        self.uses[: self.n] = uses
+
+
 class CachedTokenizer:
-    """ids as little-endian uint32 bytes, for vocabularies of the tokenizers library."""
+    """ids as uint32, for vocabularies of the tokenizers library."""
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
+        self.special = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"]
         normal = spec["normalizer"]
-        #: White space is dropped, so parts stand for themselves with or without the space before them.
+        #: White space is dropped, so parts stand for themselves, with or without the space before them.
         self.words = bool(normal) and pre["type"] == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed"
         self.plain = self.words or (not normal and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"])
         #: Whether a token starts with a space, in byte-level spelling.
         self.starts = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
-        self.ends = self.starts.copy()
         for token, i in self.tokenizer.get_vocab().items():
-            self.starts[i] = token.startswith("\u0120")
-            self.ends[i] = token.endswith("</w>")
-        #: The id of a word that parts other words.
-        mark = self.whole([_MARK])[0] if self.words else b""
-        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else -1
-        #: Ids of a part that is empty but for the space before it.
-        self.empty = b"" if self.words else self.whole([" "])[0]
-        self.young: dict[str, bytes] = {"": self.empty}
-        self.old: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _look_up(self, parts: list[str], lead: str) -> list[bytes]:
-        """Ids of ``lead + part`` for each part. Two generations of parts: what is in use moves to the young one."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {"": self.empty}
-        found = list(map(self.young.get, parts))
-        if None not in found:
-            return found
-        at = [i for i, b in enumerate(found) if b is None]
-        missing = {parts[i] for i in at}
-        new = list(missing.difference(self.old))
-        if len(new) < len(missing):
-            self.young.update((p, self.old[p]) for p in missing.difference(new))
-        if new:
-            self.young.update(self._apart(new, lead))
-        for i in at:
-            found[i] = self.young[parts[i]]
-        return found
-
-    def _apart(self, parts: list[str], lead: str):
-        """(part, ids) of many short parts, none with a space in it, by one call: cut where parts begin or end."""
-        if lead:
-            return self._cut(parts, lead + lead.join(parts), lambda ids: self.starts[ids], False, lead)
-        # small letters only: one word each, which ends with a token of its end; others are parted by a mark
-        plain, other = [], []
-        for p in parts:
-            (plain if p.isalpha() and p.islower() else other).append(p)
-        done = self._cut(plain, " ".join(plain), lambda ids: self.ends[ids], True, "") if plain else []
-        return [*done, *self._cut(other, f" {_MARK} ".join(other) + f" {_MARK}", lambda ids: ids == self.mark, True, "", True)] if other else done
-
-    def _cut(self, parts: list[str], text: str, where, at_end: bool, lead: str, drop: bool = False) -> list[tuple[str, bytes]]:
-        import numpy as np
-
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        cut = np.flatnonzero(where(ids))
-        if len(cut) != len(parts):  # not as expected: one by one
-            return list(zip(parts, self.whole([lead + p for p in parts])))
-        begin, end = (np.insert(cut[:-1] + 1, 0, 0), cut + (not drop)) if at_end else (cut, np.append(cut[1:], len(ids)))
-        raw = ids.tobytes()
-        return [(p, raw[a:b]) for p, a, b in zip(parts, (4 * begin).tolist(), (4 * end).tolist())]
-
-    def encode(self, text: str | None) -> bytes:
-        """All ids of a whole text; null is empty."""
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """All ids of whole texts, AT_ONCE characters of them or one text at a time."""
-        out: list[bytes] = []
-        some: list[str | None] = []
-        size = 0
-        for t in texts:
-            some.append(t)
-            size += len(t or "")
-            if size >= AT_ONCE:
-                out += self._encode_some(some)
-                some, size = [], 0
-        return out + (self._encode_some(some) if some else [])
-
-    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
-        # what each text is made of: the number of its looked-up parts, and texts to encode by themselves between them
-        lead = "" if self.words else " "
-        flat: list[str] = []
-        alone: list[str] = []
-        plans: list[list[int | None]] = []  # numbers of looked-up parts; None for one of ``alone``
-        for t in texts:
-            plan: list[int | None] = []
-            if not t:
-                pass
-            elif not self.plain or (self.special and self.special.search(t)):
-                alone.append(t)
-                plan.append(None)
-            elif self.words:
-                if not _ODD.search(t):  # letter case, and a full stop or comma by itself after a letter, make no difference
-                    t = _LONE.sub(r" \1", t.lower())
-                parts = t.replace("\n", " ").split(" ")
-                flat += parts
-                plan.append(len(parts))
-            elif not _RUNS.search(t):
-                head, *parts = t.split(" ")
-                alone.append(head)
-                flat += parts
-                plan += [None, len(parts)]
-            else:  # spaces in runs or at the end stay with the part before them, and such parts are encoded by themselves
-                n = 0
-                for i, p in enumerate(_CUTS.split(t)):
-                    if i and not _RUNS.search(p):
-                        flat.append(p[1:])
-                        n += 1
-                    else:
-                        alone.append(p)
-                        plan += [n, None]
-                        n = 0
-                plan.append(n)
-            plans.append(plan)
-        found = self._look_up(flat, lead) if flat else []
-        single = iter(self.whole(alone) if alone else [])
-        out, at = [], 0
-        for plan in plans:
-            pieces = []
-            for n in plan:
-                if n is None:
-                    pieces.append(next(single))
-                else:
-                    pieces += found[at : at + n]
-                    at += n
-            out.append(b"".join(pieces))
+            self.starts[i] = token.startswith("Ġ")
+        #: The ids of a word that parts other words, and of a line feed.
+        mark, line = self.library([_MARK])[0], self.library(["\n"])[0]
+        self.mark = int(mark[0]) if self.words and len(mark) == 1 else -1
+        self.line = int(line[0]) if not self.words and len(line) == 1 else -1
+        self.plain = self.plain and (self.words or self.line >= 0)
+        self.stops = np.array([int(x[0]) if len(x) == 1 else -1 for x in self.library([".", ","])])
+        try:
+            self.merges = Merges(spec["model"])
+        except ValueError:
+            self.merges = None
+        #: What encodes new parts, by what they look like; others are encoded one by one.
+        any_word = rf"[^{_SPACE}]+"
+        if self.words:
+            self.classes = [("_merge", rf"^[a-zß-öø-ÿ]{{1,{MOST}}}$")] * bool(self.merges) + [("_marked", f"^[^{_MARK}]*$")] * (self.mark >= 0)
+        else:
+            letters = rf"[A-Za-zÀ-ÖØ-öø-ÿ]{{1,{MOST}}}"
+            fast = [("_merge", f"^{letters}$"), ("_merge_lines", f"^\n{letters}$")] if self.merges else []
+            self.classes = [*fast, ("_spaced", f"^{any_word}$"), ("_lines", rf"^\n{any_word}$")]
+        self.slots = _Slots()
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    # --- parts that the cache hasn't got ---------------------------------------------------------
+
+    def _add(self, parts) -> np.ndarray:
+        """Add the parts of an Arrow array to the cache, all of them new; their numbers."""
+        import pyarrow.compute as pc
+
+        out = np.zeros(len(parts), np.int64)
+        left = np.arange(len(parts))
+        for name, pattern in self.classes:
+            fits = pc.match_substring_regex(parts, pattern).to_numpy(zero_copy_only=False)
+            some, at = parts.filter(fits) if not fits.all() else parts, left[fits]
+            if len(some):
+                out[at] = np.arange(self.slots.n, self.slots.n + len(some))
+                getattr(self, name)(some)
+            if len(some) == len(parts):
+                return out
+            parts, left = parts.filter(~fits), left[~fits]
+        out[left] = np.arange(self.slots.n, self.slots.n + len(left))
+        self._each(parts)
         return out
 
+    def _merge(self, parts) -> None:
+        """Plain words with a space before them, if spaces count; no longer than MOST."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lead = 0 if self.words else 1
+        spaced = pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) for x in [" "] * lead], parts, pa.scalar("", pa.large_string()))
+        self._put(parts, *self.merges.encode(*_bytes(spaced)))
+
+    def _merge_lines(self, parts) -> None:
+        """The same for words after a line feed."""
+        data, starts, sizes = _bytes(parts)
+        ids, counts = self.merges.encode(data, starts + 1, sizes - 1)
+        out = np.full(len(ids) + len(counts), self.line, np.uint32)
+        rest = np.ones(len(out), bool)
+        rest[np.cumsum(counts + 1) - counts - 1] = False
+        out[rest] = ids
+        self._put(parts, out, counts + 1)
+
+    def _spaced(self, parts) -> None:
+        """Other parts without white space, by one call: ids are cut before each space."""
+        words = parts.to_pylist()
+        ids = self.library([" " + " ".join(words)])[0]
+        cut = np.flatnonzero(self.starts[ids])
+        if len(cut) != len(words):
+            return self._each(parts)
+        self._put(parts, ids, np.diff(cut, append=len(ids)))
+
+    def _lines(self, parts) -> None:
+        ids = self.library(["".join(parts.to_pylist())])[0]
+        cut = np.flatnonzero(ids == self.line)
+        if len(cut) != len(parts):
+            return self._each(parts)
+        self._put(parts, ids, np.diff(cut, append=len(ids)))
+
+    def _marked(self, parts) -> None:
+        """Parts of word BPE, by one call, with a word between them that none of them has."""
+        ids = self.library([f" {_MARK} ".join(parts.to_pylist()) + f" {_MARK}"])[0]
+        cut = np.flatnonzero(ids == self.mark)
+        if len(cut) != len(parts):
+            return self._each(parts)
+        self._put(parts, np.delete(ids, cut), np.diff(cut, prepend=-1) - 1)
+
+    def _each(self, parts) -> None:
+        found = self.library([p if self.words or p[:1] == "\n" else " " + p for p in parts.to_pylist()])
+        self._put(parts, np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64))
+
+    def _put(self, parts, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.slots.add(parts.to_pylist(), lengths, ids)
+
+    # --- whole texts -------------------------------------------------------------------------------
+
+    def batches(self, texts, at_once: int = AT_ONCE):
+        """(first, ids, lengths) of slices of an Arrow string array, ``at_once`` bytes or one text each; null is empty."""
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + at_once, side="right")))
+            yield a, *self.encode(texts.slice(a, b - a))
+            a = b
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow string array's texts, one after another, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(texts)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.zeros(n, bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if not self.plain:
+            whole[:] = True
+        if self.words:
+            runs = np.zeros(n, bool)
+        else:
+            runs = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False) & ~whole
+        easy = np.flatnonzero(~whole & ~runs)
+        # parts of the texts that Arrow can cut, then of those with runs of spaces; the others are one part each
+        some = texts if len(easy) == n else texts.take(easy)
+        if self.words:
+            cut = pc.split_pattern(pc.replace_substring(some, "\n", " "), " ")
+        else:  # a line feed before each text, whose id is dropped; it parts the first word from those after spaces
+            line, nothing = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+            cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(line, some, nothing), "\n", " \n"), " ")
+        flat, counts = cut.flatten(), np.zeros(n, np.int64)
+        counts[easy] = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+        del cut, some
+        rest = np.flatnonzero(whole | runs)
+        extra, alone = [], []
+        for i in rest.tolist():
+            t = texts[i].as_py()
+            if whole[i] or t[0].isspace():
+                alone.append((i, t))
+                continue
+            head, *parts = [p for p in _CUTS.split(t) if p]
+            extra += ["", "\n" + head, *[p if p[0] == "\n" else p[1:] for p in parts]]
+            counts[i] = len(parts) + 2
+        if extra:
+            flat = pa.chunked_array([flat, pa.array(extra, pa.large_string())]).combine_chunks()
+        coded = flat.dictionary_encode()
+        del flat
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ids, size = self._ids_of(coded.dictionary)
+        starts, lengths = (np.cumsum(size) - size)[at], size[at]
+        texts_of = np.concatenate([easy, rest])
+        begins = np.zeros(n, np.int64)
+        begins[texts_of] = np.cumsum(counts[texts_of]) - counts[texts_of]
+        if not self.words:  # the second part of each text is its first word, after the line feed
+            first = begins[counts > 0] + 1
+            starts[first] += 1
+            lengths[first] -= 1
+        if len(alone):
+            found = self.library([t for _, t in alone])
+            held = len(ids)
+            size = np.array([len(x) for x in found], np.int64)
+            ids = np.concatenate([ids, *found])
+            mine = np.array([i for i, _ in alone])
+            begins[mine] = len(starts) + np.arange(len(alone))
+            counts[mine] = 1
+            starts = np.concatenate([starts, held + np.cumsum(size) - size])
+            lengths = np.concatenate([lengths, size])
+        if len(rest):
+            order = _ranges(begins, counts)
+            starts, lengths = starts[order], lengths[order]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        last = np.cumsum(counts)
+        out = ids[_ranges(starts, lengths)]
+        if self.slots.n > self.size:
+            self.slots.forget(self.size // 2)
+        return out, ends[last] - ends[last - counts]
+
+    def _ids_of(self, parts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the different parts of a batch, one after another, and how many each has.
+
+        Letter case makes no difference to word BPE, and a stop after a letter has its id by itself, so parts are
+        looked up in small letters there, and without such stops.
+        """
+        import pyarrow.compute as pc
+
+        bare = pc.replace_substring_regex(parts, _STOPPED, r"\1") if (self.stops >= 0).all() else parts
+        cut = (pc.binary_length(parts).to_numpy() - pc.binary_length(bare).to_numpy()).astype(np.int64)
+        stop = np.where(pc.ends_with(parts, ".").to_numpy(zero_copy_only=False), *self.stops)[cut > 0]
+        if self.words:
+            bare = pc.if_else(pc.match_substring_regex(bare, _ODD), bare, pc.utf8_lower(bare))
+        coded = bare.dictionary_encode()
+        s = self.slots
+        if "" not in s.number:
+            s.add([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
+        found = s.find(coded.dictionary.to_pylist())
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            found[missing] = self._add(coded.dictionary.take(missing) if len(missing) < len(found) else coded.dictionary)
+        s.uses[found] += 1
+        slots = found[coded.indices.to_numpy(zero_copy_only=False)]
+        size = s.length[slots]
+        ids = s.ids[_ranges(s.start[slots], size)]
+        if len(stop):
+            out = np.zeros(len(ids) + len(stop), np.uint32)
+            size = size + cut
+            stopped = np.zeros(len(out), bool)
+            stopped[(np.cumsum(size) - 1)[cut > 0]] = True
+            out[~stopped], out[stopped] = ids, stop
+            ids = out
+        return ids, size
+
+
+def _bytes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a large_string array without nulls, where each text starts, and its size."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    return np.frombuffer(data, np.uint8), at[:-1], np.diff(at)
+
 
 @lru_cache(maxsize=4)
 def cached_tokenizer(path: str, cache: int = CACHE) -> CachedTokenizer:
@@ -186,6 +352,15 @@ def cached_tokenizer(path: str, cache: int = CACHE) -> CachedTokenizer:
     return CachedTokenizer(path, cache)
 
 
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts with ``end_id`` after each, and how many each has then."""
+    out = np.full(len(ids) + len(lengths), end_id, np.uint32)
+    keep = np.ones(len(out), bool)
+    keep[np.cumsum(lengths + 1) - 1] = False
+    out[keep] = ids
+    return out, lengths + 1
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str):
     import sentencepiece
@@ -202,9 +377,9 @@ def version(path: str) -> str:
 
 
 def counter(path: str):
-    """texts -> token counts, for .json and .model files."""
+    """Arrow texts -> token counts, for .json and .model files."""
     if path.endswith(".model"):
         sp = pieces(path)
-        return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
+        return lambda texts: [len(x) for x in sp.encode([x or "" for x in texts.to_pylist()], num_threads=1)]
     t = cached_tokenizer(path)
-    return lambda texts: [len(x) // 4 for x in t.encode_many(texts)]
+    return lambda texts: [n for _, _, lengths in t.batches(texts) for n in lengths.tolist()]

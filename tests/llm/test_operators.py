@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,12 +189,32 @@ def test_token_files(odd_docs, no_docs):
     assert token_files.token_files(no_docs, BYTE, 2).count() == 0
 
 
+def split(ids, lengths):
+    return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] if len(lengths) else []
+
+
 def test_cached_ids_are_the_librarys():
-    texts = ["a  b", "  a", " a", "a ", "a\n b", "a \n b\t c", "", None, "\x1c a\x1c b", "x<|endoftext|>y z", "a b", " ́x é", "ΑΣ ΣΑΣ.", "don't  it's\r\nno", "   ", "\n\n x", "word \x85 y", "I'LL  'll 'Re 12345 6", "End. Next, ok.\x01 b", "İstanbul ǅ. ß,", "One, two.\nThree four,\n's x.\n", "a.\nB c\n.D e,\x02f", "x,\ny", ".\n.", "\x03q r. s", "a. \n b", "A.B, c..d ., e"]
+    texts = ["a  b", "  a", " a", "a ", "a\n b", "a \n b\t c", "", None, "\x1c a\x1c b", "x<|endoftext|>y z", "a b", " ́x é", "ΑΣ ΣΑΣ.", "don't  it's\r\nno", "   ", "\n\n x", "word \x85 y", "I'LL  'll 'Re 12345 6", "End. Next, ok.\x01 b", "İstanbul ǅ. ß,", "One, two.\nThree four,\n's x.\n", "a.\nB c\n.D e,\x02f", "x,\ny", ".\n.", "\x03q r. s", "a. \n b", "A.B, c..d ., e",
+             "a\n\nb c. d,\n\ne\n", "x\u3000y z\u2003 q", "ab" * 30 + " " + "x" * 300, "e\u0301t\u00e9 \u212bngstr\u00f6m ﬁn", "aaaa bbbbbbb aaabaaab mississippi Mississippi"]
     for path in (BYTE, WORD):
         t = tokens.CachedTokenizer(path)
-        for _ in range(2):
-            assert [np.frombuffer(x, "<u4").tolist() for x in t.encode_many(texts)] == [library(path, x).tolist() for x in texts]
+        for some in (texts, texts, [x for x in texts if x], texts[::-1], texts[:1], ["", None], []):
+            assert split(*t.encode(pa.array(some, pa.string()))) == [library(path, x).tolist() for x in some]
+
+
+def test_merges_are_the_librarys(spark, sf_dir):
+    rnd = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyzaeiounrstäöüßéèê")
+    words = ["".join(rnd.choice(letters, rnd.integers(1, 30))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 3000, 100)] + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for path in (BYTE, WORD):
+        for cache in (tokens.CACHE, 50):  # forgetting must not change ids
+            t = tokens.CachedTokenizer(path, cache)
+            for _, ids, lengths in t.batches(pa.array(texts, pa.string()), 20_000):
+                got = split(ids, lengths)
+                assert got == [library(path, x).tolist() for x in texts[: len(got)]]
+                texts = texts[len(got) :] + texts[: len(got)]
+            assert t.slots.n < 20_000 if cache == 50 else True
 
 
 # --- 4 token counts ---------------------------------------------------------------------------------
