@@ -71,7 +71,7 @@ class Merges:
         return out
 
     def encode(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words are ranges of bytes, none empty. (ids of all, one after another; how many each has)."""
+        """Words are ranges of bytes, none empty. (How many ids each has; ids of all, one after another)."""
         counts = np.zeros(len(sizes), np.int64)
         blocks = []
         order = np.argsort(sizes, kind="stable")
@@ -111,4 +111,4 @@ class Merges:
         out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
         for rows, s in blocks:
             out[(ends[rows] - counts[rows])[:, None] + np.arange(s.shape[1])] = s
-        return out, counts
+        return counts, out

@@ -22,9 +22,9 @@ import numpy as np
 from .merges import Merges
 
 #: Parts that a worker remembers, unless the caller says otherwise; about 150 bytes each.
-CACHE = 300_000
+CACHE = 200_000
 #: Bytes of text that are encoded together; a longer text is encoded by itself.
-AT_ONCE = 4_000_000
+AT_ONCE = 3_000_000
 #: Letters of a word that is merged here; longer ones go to the library.
 MOST = 40
 #: A control character, as a word.
@@ -40,6 +40,10 @@ _ODD = r"[^\x00-\x{12f}\x{2010}-\x{2030}]"
 _STOPPED = r"([A-Za-zß-öø-ÿ])[.,]$"
 
 
+#: How many ids each of some parts has, and the ids of all, one after another.
+Found = tuple[np.ndarray, np.ndarray]
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -148,74 +152,65 @@ class CachedTokenizer:
 
     # --- parts that the cache hasn't got ---------------------------------------------------------
 
-    def _add(self, parts) -> np.ndarray:
-        """Add the parts of an Arrow array to the cache, all of them new; their numbers."""
+    def _add(self, parts, names: np.ndarray) -> np.ndarray:
+        """Add the parts of an Arrow array, which are ``names`` too, to the cache, all of them new; their numbers."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         out = np.zeros(len(parts), np.int64)
         left = np.arange(len(parts))
-        for name, pattern in self.classes:
+        for name, pattern in [*self.classes, ("_each", "")]:
             fits = pc.match_substring_regex(parts, pattern).to_numpy(zero_copy_only=False)
-            some, at = parts.filter(fits) if not fits.all() else parts, left[fits]
+            some = parts.filter(pa.array(fits)) if not fits.all() else parts
             if len(some):
+                at = left[fits]
                 out[at] = np.arange(self.slots.n, self.slots.n + len(some))
-                getattr(self, name)(some)
+                words = names[at].tolist()
+                self.slots.add(words, *getattr(self, name)(some, words))
             if len(some) == len(parts):
-                return out
-            parts, left = parts.filter(~fits), left[~fits]
-        out[left] = np.arange(self.slots.n, self.slots.n + len(left))
-        self._each(parts)
+                break
+            parts, left = parts.filter(pa.array(~fits)), left[~fits]
         return out
 
-    def _merge(self, parts) -> None:
+    def _merge(self, parts, words: list[str]) -> Found:
         """Plain words with a space before them, if spaces count; no longer than MOST."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         lead = 0 if self.words else 1
         spaced = pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) for x in [" "] * lead], parts, pa.scalar("", pa.large_string()))
-        self._put(parts, *self.merges.encode(*_bytes(spaced)))
+        return self.merges.encode(*_bytes(spaced))
 
-    def _merge_lines(self, parts) -> None:
+    def _merge_lines(self, parts, words: list[str]) -> Found:
         """The same for words after a line feed."""
         data, starts, sizes = _bytes(parts)
-        ids, counts = self.merges.encode(data, starts + 1, sizes - 1)
+        counts, ids = self.merges.encode(data, starts + 1, sizes - 1)
         out = np.full(len(ids) + len(counts), self.line, np.uint32)
         rest = np.ones(len(out), bool)
         rest[np.cumsum(counts + 1) - counts - 1] = False
         out[rest] = ids
-        self._put(parts, out, counts + 1)
+        return counts + 1, out
 
-    def _spaced(self, parts) -> None:
+    def _spaced(self, parts, words: list[str]) -> Found:
         """Other parts without white space, by one call: ids are cut before each space."""
-        words = parts.to_pylist()
         ids = self.library([" " + " ".join(words)])[0]
         cut = np.flatnonzero(self.starts[ids])
-        if len(cut) != len(words):
-            return self._each(parts)
-        self._put(parts, ids, np.diff(cut, append=len(ids)))
+        return (np.diff(cut, append=len(ids)), ids) if len(cut) == len(words) else self._each(parts, words)
 
-    def _lines(self, parts) -> None:
-        ids = self.library(["".join(parts.to_pylist())])[0]
+    def _lines(self, parts, words: list[str]) -> Found:
+        ids = self.library(["".join(words)])[0]
         cut = np.flatnonzero(ids == self.line)
-        if len(cut) != len(parts):
-            return self._each(parts)
-        self._put(parts, ids, np.diff(cut, append=len(ids)))
+        return (np.diff(cut, append=len(ids)), ids) if len(cut) == len(words) else self._each(parts, words)
 
-    def _marked(self, parts) -> None:
+    def _marked(self, parts, words: list[str]) -> Found:
         """Parts of word BPE, by one call, with a word between them that none of them has."""
-        ids = self.library([f" {_MARK} ".join(parts.to_pylist()) + f" {_MARK}"])[0]
+        ids = self.library([f" {_MARK} ".join(words) + f" {_MARK}"])[0]
         cut = np.flatnonzero(ids == self.mark)
-        if len(cut) != len(parts):
-            return self._each(parts)
-        self._put(parts, np.delete(ids, cut), np.diff(cut, prepend=-1) - 1)
+        return (np.diff(cut, prepend=-1) - 1, np.delete(ids, cut)) if len(cut) == len(words) else self._each(parts, words)
 
-    def _each(self, parts) -> None:
-        found = self.library([p if self.words or p[:1] == "\n" else " " + p for p in parts.to_pylist()])
-        self._put(parts, np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64))
-
-    def _put(self, parts, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.slots.add(parts.to_pylist(), lengths, ids)
+    def _each(self, parts, words: list[str]) -> Found:
+        found = self.library([p if self.words or p[:1] == "\n" else " " + p for p in words])
+        return np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, np.uint32), *found])
 
     # --- whole texts -------------------------------------------------------------------------------
 
@@ -310,6 +305,7 @@ class CachedTokenizer:
         Letter case makes no difference to word BPE, and a stop after a letter has its id by itself, so parts are
         looked up in small letters there, and without such stops.
         """
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         bare = pc.replace_substring_regex(parts, _STOPPED, r"\1") if (self.stops >= 0).all() else parts
@@ -321,10 +317,11 @@ class CachedTokenizer:
         s = self.slots
         if "" not in s.number:
             s.add([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
-        found = s.find(coded.dictionary.to_pylist())
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        found = s.find(names.tolist())
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            found[missing] = self._add(coded.dictionary.take(missing) if len(missing) < len(found) else coded.dictionary)
+            found[missing] = self._add(coded.dictionary.take(pa.array(missing)), names[missing])
         s.uses[found] += 1
         slots = found[coded.indices.to_numpy(zero_copy_only=False)]
         size = s.length[slots]
