@@ -13,7 +13,7 @@ from ..sources import files
 from ..stages import run as run_steps
 from ..tables import load
 from .matching import NAMES, _TOK, name_pairs
-from .streams import _place
+from ..sources.shared import scratch
 
 q = CORE.query
 
@@ -145,7 +145,7 @@ def ext_resolve(spark: SparkSession, d: str) -> DataFrame:
 @q("SRC-07", "SRC-08", oracle="SELECT 'txt' AS extension, CAST(5 AS BIGINT) AS files, CAST(5 AS BIGINT) AS modules")
 def src_tree(spark: SparkSession, d: str) -> DataFrame:
     """A tree of text files, found and read again whole."""
-    p = _place(spark, "tree")
+    p = scratch(spark, "tree")
     units(spark, d).filter("k < 5 AND module <> 'sub'").select("k", "body").write.partitionBy("k").text(p)
     found = files.discover_documents(spark, p)
     mods = X.modules(files.read_sources(spark, p, ("txt",)))

@@ -10,7 +10,7 @@ from ..operators import relational as rel
 from ..registry import CORE
 from ..sources import files
 from ..tables import load
-from .streams import _place
+from ..sources.shared import scratch
 
 q = CORE.query
 
@@ -18,7 +18,7 @@ q = CORE.query
 @q("SRC-03", "SRC-04", "SRC-05", oracle="SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def src_jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Written as JSON lines among broken ones, and read again."""
-    p = _place(spark, "jsonl")
+    p = scratch(spark, "jsonl")
     s = load(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     files.write_jsonl(s, p)
     spark.createDataFrame([("{broken",), ("",)], "value string").write.mode("append").text(p)
@@ -27,14 +27,14 @@ def src_jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @q("SRC-06", oracle="SELECT n_nationkey, n_name FROM nation")
 def src_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    p = _place(spark, "csv")
+    p = scratch(spark, "csv")
     files.write_csv(load(spark, d, "nation").select("n_nationkey", "n_name"), p)
     return spark.read.schema("n_nationkey int, n_name string").option("header", True).csv(p)
 
 
 @q("SRC-17", "SRC-15", oracle="SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
 def src_collections(spark: SparkSession, d: str) -> DataFrame:
-    p = _place(spark, "collections")
+    p = scratch(spark, "collections")
     files.write_collections(load(spark, d, "events").withColumnRenamed("event_type", "type"), p)
     files.write_collections(load(spark, d, "events").withColumnRenamed("event_type", "type"), p)  # replaces, doesn't add
     return spark.read.parquet(p).groupBy("type").agg(F.count("*").alias("n"))
@@ -45,7 +45,7 @@ SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1 ELSE s_acctbal
 def src_upsert(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "supplier").select("s_suppkey", "s_acctbal").withColumn("seq", F.lit(0))
     changed = s.filter("s_suppkey % 3 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1).unionByName(s.filter("s_suppkey < 5").withColumn("s_suppkey", F.col("s_suppkey") + 1000000))
-    p = _place(spark, "upsert")
+    p = scratch(spark, "upsert")
     s.write.parquet(p)
     return spark.read.parquet(files.upsert_table(spark, p, changed, "s_suppkey", "seq")).select("s_suppkey", "s_acctbal")
 
@@ -88,7 +88,7 @@ def src_resume(spark: SparkSession, d: str) -> DataFrame:
 
 @q("SRC-19", oracle="SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def src_copy(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _place(spark, "copy-a"), _place(spark, "copy-b")
+    a, b = scratch(spark, "copy-a"), scratch(spark, "copy-b")
     for n in ("nation", "region"):
         load(spark, d, n).write.parquet(f"{a}/{n}")
     files.copy_collections(spark, a, b, ["nation", "region"])

@@ -10,43 +10,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import CORE
-from ..sources.shared import shared_folder
+from ..sources.shared import scratch
 from ..streaming import events as ev
 from ..tables import load
 
 q = CORE.query
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex[:10]}"
-
-
 def _input(spark: SparkSession, d: str, name: str) -> str:
-    """The events, with one of a year later that closes all windows."""
+    """The events, with one of a year later that closes all windows. File order doesn't matter within one run."""
     e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    last = e.agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
-    path = _place(spark, f"{name}-in")
-    e.orderBy("ts").coalesce(1).write.parquet(path)
-    last.write.mode("append").parquet(path)
+    path = scratch(spark, f"{name}-in")
+    e.write.parquet(path)
+    _end(e).write.mode("append").parquet(path)
     return path
 
 
+def _end(events: DataFrame) -> DataFrame:
+    """One event of a year after the last."""
+    values = {"event_id": F.lit(-1).cast("long"), "user_id": F.lit(-1).cast("long"), "event_type": F.lit("end"), "value": F.lit(0.0), "props": F.lit("{}")}
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
+    return last.select(*[c if c == "ts" else values[c].alias(c) for c in events.columns])
+
+
 def _streamed(spark: SparkSession, d: str, name: str, make) -> DataFrame:
     path = _input(spark, d, name)
-    out = _place(spark, f"{name}-out")
+    out = scratch(spark, f"{name}-out")
     s = make(ev.stream(spark, path))
-    ev.run_to_table(s, out, _place(spark, f"{name}-state"))
+    ev.run_to_table(s, out, scratch(spark, f"{name}-state"))
     return spark.read.schema(s.schema).parquet(out)
 
 
-@q("STR-01", "STR-04", oracle="""
+@q("STR-01", oracle="""
 SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, CAST(round(sum(value), 2) AS DOUBLE) AS total FROM events GROUP BY 1, 2""")
 def str_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, "tumbling", lambda s: ev.tumbling(s, "6 hours", "30 days")).filter("event_type <> 'end'").withColumn("total", F.round("total", 2))
 
 
+@q("STR-04", oracle="""
+WITH w AS (SELECT event_id, event_type, epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS start FROM events),
+m AS (SELECT epoch(max(ts)) - 86400 AS mark FROM events WHERE event_id % 2 = 0)
+SELECT CAST(start AS BIGINT) AS start, event_type, count(*) AS n FROM w, m WHERE event_id % 2 = 0 OR start + 21600 > mark GROUP BY 1, 2""")
+def str_late_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Events with odd ids come in a second run, so those more than a day behind the first run's last are too late."""
+    e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path, out, state = (scratch(spark, f"late-{x}") for x in ("in", "out", "state"))
+    for part in (e.filter("event_id % 2 = 0"), e.filter("event_id % 2 <> 0"), _end(e)):
+        part.write.mode("append").parquet(path)
+        s = ev.tumbling(ev.stream(spark, path), "6 hours", "1 day").select("start", "event_type", "n")
+        ev.run_to_table(s, out, state)
+    return spark.read.schema(s.schema).parquet(out).filter("event_type <> 'end'")
+
+
 @q("STR-02", oracle="""
 SELECT s AS start, count(*) AS n FROM (SELECT unnest([CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT), CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) - 21600]) AS s FROM events) GROUP BY 1""")
 def str_sliding(spark: SparkSession, d: str) -> DataFrame:
@@ -75,9 +90,9 @@ def str_deduplicated(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.user_id AS k, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR""")
 def str_interval_join(spark: SparkSession, d: str) -> DataFrame:
     path = _input(spark, d, "join")
-    out = _place(spark, "join-out")
+    out = scratch(spark, "join-out")
     s = ev.interval_join(ev.stream(spark, path).filter("event_type = 'view'"), ev.stream(spark, path).filter("event_type = 'purchase'"), "user_id", "1 HOUR", "30 days")
-    ev.run_to_table(s, out, _place(spark, "join-state"))
+    ev.run_to_table(s, out, scratch(spark, "join-state"))
     return spark.read.schema(s.schema).parquet(out)
 
 
@@ -90,19 +105,13 @@ def str_versions(spark: SparkSession, d: str) -> DataFrame:
 @q("STR-08", "SRC-12", oracle="""
 SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
 def str_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Micro-batches merged into a keyed table, one version of it a batch."""
-    from ..operators.relational import upsert
-
-    path, table = _input(spark, d, "upsert"), _place(spark, "upsert-table")
-    state: dict[str, str] = {}
-
-    def merge(batch: DataFrame, n: int) -> None:
-        new = f"{table}/v{n}"
-        (upsert(batch.sparkSession.read.parquet(state["now"]), batch, "user_id", "ts") if state else batch).write.mode("overwrite").parquet(new)
-        state["now"] = new
+    """Micro-batches merged into a keyed table by buckets of keys: a batch rewrites only the buckets that it touches."""
+    from ..sources.writes import BucketedTable
 
-    ev.upsert_batches(ev.stream(spark, path, files_per_trigger=1), merge, _place(spark, "upsert-state")).awaitTermination()
-    return spark.read.parquet(state["now"]).filter("user_id >= 0").select("user_id", "event_id", "value")
+    path = _input(spark, d, "upsert")
+    table = BucketedTable(spark, scratch(spark, "upsert-table"), "user_id", "ts", "event_id")
+    ev.upsert_batches(ev.stream(spark, path, files_per_trigger=1), table.merge, scratch(spark, "upsert-state")).awaitTermination()
+    return table.read().filter("user_id >= 0").select("user_id", "event_id", "value")
 
 
 @q("STR-09", oracle="SELECT event_id, user_id, event_type, value, CASE WHEN value >= 90 THEN 'high' ELSE 'low' END AS severity FROM events WHERE value >= 45")
