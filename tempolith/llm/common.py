@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import release, scratch, scratch_mark
+
+__all__ = ["LEAST", "WORD", "neutral", "partitions", "range_bounds", "range_of", "release", "scratch", "scratch_mark", "word_count", "written"]
+
+#: The least long; no range bound is so small.
+LEAST = -(2**63)
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,52 +28,6 @@ def partitions(spark: SparkSession) -> int:
 # --- scratch in the shared folder -------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). One is made only in local mode."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    d = os.environ.get("TEMPOLITH_SHARED_DIR") or os.path.join(tempfile.gettempdir(), f"tempolith-{os.getpid()}")
-    os.makedirs(d, exist_ok=True)
-    return f"file://{os.path.abspath(d)}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver ends or ``release`` is called."""
-    path = f"{shared_dir(spark)}/tempolith/{name}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, path))
-    return path
-
-
-def release(since: int = 0) -> None:
-    """Delete scratch made after the first ``since`` paths; only when no frame that reads it is needed any more."""
-    while len(_made) > since:
-        spark, path = _made.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended; the folder is the cluster's scratch space
-            pass
-
-
-def scratch_mark() -> int:
-    return len(_made)
-
-
-atexit.register(release)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and outlives lost executors."""
     path = scratch(df.sparkSession, name)
@@ -88,19 +43,27 @@ def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     if n < 2:
         return []
     q = df.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [i / n for i in range(1, n)], 1 / (8 * n))
-    return sorted({int(np.ceil(x)) for x in q})
+    return sorted({min(max(int(np.ceil(x)), LEAST + 1), -LEAST - 1) for x in q})
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
-    """Index of the range of ``key``: the number of bounds at or below it; null goes first."""
+    """Index of the range of ``key``: the number of bounds at or below it; null goes first, with the least long."""
     b = np.array(bounds, dtype=np.int64)
 
     @F.pandas_udf("int")
     def find(x):
         import pandas as pd
 
-        v = x.to_numpy(dtype="float64", na_value=np.nan)
-        whole = x.fillna(0).astype("int64").to_numpy()
-        return pd.Series(np.where(np.isnan(v), 0, np.searchsorted(b, whole, side="right")).astype("int32"))
+        return pd.Series(np.searchsorted(b, x.to_numpy(), side="right").astype("int32"))
+
+    # without nulls pandas keeps longs as they are; with them it would make doubles, which round above 2 ** 53
+    return find(F.coalesce(key.cast("long"), F.lit(LEAST))) if bounds else F.lit(0)
+
+
+# --- columns under neutral names ------------------------------------------------------------------
+
 
-    return find(key.cast("long")) if bounds else F.lit(0)
+def neutral(df: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with all columns but those of ``keep`` under names that nothing else has, and new name by old one."""
+    names = {c: c if c in keep else f"_own{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

@@ -8,8 +8,8 @@ differ; cells with one left are peeled until all have gone. A sketch too small f
 empty, and both are made again with twice the cells.
 
 The fingerprint of a text is its sketch of ``CELLS`` cells, in base64, after the number of its paragraphs; two
-texts of up to about ``CELLS / 1.5`` differing paragraphs are compared from their fingerprints alone. The
-likeness of two texts is the Jaccard index of their paragraph sets: 1 if they are equal.
+texts of up to about ``CELLS / 1.5`` differing paragraphs are compared from their fingerprints alone, by
+subtraction. Where that doesn't peel, both texts are sketched again, larger. The likeness of two texts is the Jaccard index of their paragraph sets: 1 if they are equal.
 
 Neighbours in descending doc_id are found by ranges of doc_id, a partition each; the first document of a range
 is also sent to the range before it, so nothing but one document a partition travels twice.
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, range_bounds, range_of
+from .common import LEAST, partitions, range_bounds, range_of
 
 #: Cells of the fingerprint; larger sketches double it.
 CELLS = 12
@@ -90,6 +90,22 @@ class Sketches:
         np.bitwise_xor.at(self.key, at, np.tile(d, 3))
         np.bitwise_xor.at(self.check, at, np.tile(_mix(d, 1) >> U64(32), 3))
 
+    def rows(self, which: np.ndarray) -> Sketches:
+        """The sketches of some texts, as copies."""
+        out = Sketches.__new__(Sketches)
+        out.n, out.cells = len(which), self.cells
+        for name in ("count", "key", "check"):
+            setattr(out, name, getattr(self, name).reshape(self.n, self.cells)[which].ravel())
+        return out
+
+    def minus(self, other: Sketches, which: np.ndarray) -> Sketches:
+        """The differences of some rows."""
+        a, b = self.rows(which), other.rows(which)
+        a.count -= b.count
+        a.key ^= b.key
+        a.check ^= b.check
+        return a
+
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index, digest, sign) of what could be recovered; a text's cells are all empty if that's everything."""
         found = []
@@ -122,29 +138,41 @@ def _flat(sets: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sets)), sizes), d
 
 
-def encode(sets: list[list[int]]) -> list[str]:
-    """Fingerprints of texts, from their digests."""
+def sketched(sets: list[list[int]]) -> Sketches:
+    """The sketches that fingerprints are made of."""
     s = Sketches(len(sets), CELLS)
     which, d = _flat(sets)
     if len(d):
         s.add(which, d, 1)
+    return s
+
+
+def encode(sets: list[list[int]], s: Sketches | None = None) -> list[str]:
+    """Fingerprints of texts, from their digests."""
+    s = s or sketched(sets)
     rows = np.concatenate([s.count.astype("<i4").view("u1").reshape(-1, CELLS * 4), s.key.astype("<u8").view("u1").reshape(-1, CELLS * 8), s.check.astype("<u4").view("u1").reshape(-1, CELLS * 4)], axis=1)
     return [f"{len(x)}:{base64.b64encode(r.tobytes()).decode()}" for x, r in zip(sets, rows)]
 
 
-def differences(a: list[list[int]], b: list[list[int]]) -> list[tuple[list[int], list[int]]]:
-    """For each pair, the digests only in its first and only in its second text, by peeling ever larger sketches."""
+def differences(a: list[list[int]], b: list[list[int]], made: tuple[Sketches, Sketches] | None = None) -> list[tuple[list[int], list[int]]]:
+    """For each pair, the digests only in its first and only in its second text, by peeling ever larger sketches.
+
+    The first try subtracts the fingerprints' sketches (``made``, if they are there already).
+    """
     out: list = [([], []) for _ in a]
     todo, cells = list(range(len(a))), CELLS
     while todo:
         # a difference in number that a sketch can't hold needs no try
         now = [i for i in todo if abs(len(a[i]) - len(b[i])) <= cells]
         if now:
-            s = Sketches(len(now), cells)
-            for sets, sign in ((a, 1), (b, -1)):
-                which, d = _flat([sets[i] for i in now])
-                if len(d):
-                    s.add(which, d, sign)
+            if cells == CELLS and made:
+                s = made[0].minus(made[1], np.array(now))
+            else:
+                s = Sketches(len(now), cells)
+                for sets, sign in ((a, 1), (b, -1)):
+                    which, d = _flat([sets[i] for i in now])
+                    if len(d):
+                        s.add(which, d, sign)
             which, d, sign = s.peel()
             good = s.empty()
             for w, x, g in zip(which[good[which]].tolist(), d[good[which]].tolist(), sign[good[which]].tolist()):
@@ -157,9 +185,9 @@ def differences(a: list[list[int]], b: list[list[int]]) -> list[tuple[list[int],
     return out
 
 
-def likeness(a: list[list[int]], b: list[list[int]]) -> list[float]:
+def likeness(a: list[list[int]], b: list[list[int]], made: tuple[Sketches, Sketches] | None = None) -> list[float]:
     out = []
-    for (only_a, only_b), x in zip(differences(a, b), a):
+    for (only_a, only_b), x in zip(differences(a, b, made), a):
         both = len(x) - len(only_a)
         union = both + len(only_a) + len(only_b)
         out.append(both / union if union else 1.0)
@@ -186,10 +214,12 @@ def _run(batches):
         new = [edited(t, f) for _, t, f in pairs]
         changed = [own[i] if new[i] == texts[i] else digests(new[i]) for i in range(len(pairs))]
         after = [*own[1:], digests(pairs[-1][2])]
+        every = sketched([*own, after[-1]])
+        of_own, of_after, of_new = every.rows(np.arange(len(own))), every.rows(np.arange(1, len(own) + 1)), sketched(changed)
         return pa.RecordBatch.from_arrays(
             [pa.array([p[0] for p in pairs], pa.int64()), pa.array(list(map(len, texts)), pa.int64()),
-             pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in new]), pa.array(encode(own)), pa.array(encode(changed)),
-             pa.array(likeness(own, changed), pa.float64()), pa.array(likeness(own, after), pa.float64())],
+             pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in new]), pa.array(encode(own, of_own)), pa.array(encode(changed, of_new)),
+             pa.array(likeness(own, changed, (of_own, of_new)), pa.float64()), pa.array(likeness(own, after, (of_own, of_after)), pa.float64())],
             names=[f.split()[0] for f in SCHEMA.split(", ")],
         )
 
@@ -217,7 +247,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = {r["_range"]: r["head"] for r in d.groupBy("_range").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads, reverse=True)
     to = {r: order[i - 1] for i, r in enumerate(order)}  # the range before it; the last one goes to the first, round the end
-    head = np.array([heads.get(i) if heads.get(i) is not None else -(2**63) for i in range(len(bounds) + 1)], dtype=np.int64)
+    head = np.array([heads.get(i) if heads.get(i) is not None else LEAST for i in range(len(bounds) + 1)], dtype=np.int64)
     target = np.array([to.get(i, -1) for i in range(len(bounds) + 1)], dtype=np.int32)
 
     @F.pandas_udf("int")
@@ -225,10 +255,11 @@ def with_next(docs: DataFrame) -> DataFrame:
         import pandas as pd
 
         w = where.to_numpy()
-        is_head = doc.fillna(-(2**63)).astype("int64").to_numpy() == head[w]
-        return pd.Series(np.where(is_head, target[w], -1).astype("int32"))
+        return pd.Series(np.where(doc.to_numpy() == head[w], target[w], -1).astype("int32"))
 
-    ghost = F.when(sent_to("doc_id", "_range") >= 0, sent_to("doc_id", "_range"))
+    # without nulls pandas keeps longs exact
+    ghost = sent_to(F.coalesce("doc_id", F.lit(LEAST)), "_range")
+    ghost = F.when(ghost >= 0, ghost)
     d = d.withColumn("_ghost", ghost)
     places = F.array(F.struct(F.col("_range").alias("at"), F.lit(False).alias("ghost")), F.struct(F.col("_ghost").alias("at"), F.lit(True).alias("ghost")))
     d = d.withColumn("_place", F.explode(F.filter(places, lambda p: p.at.isNotNull()))).select("doc_id", "text", "_place.at", "_place.ghost")

@@ -5,8 +5,10 @@ Every document has a size in words. Sources share ``share`` times all words by w
 sorted table of sources). Targets become seats, blocks of ``block_words`` words: seats go to the highest
 quotients target / (2k + 1), first among the sources, then within a source among its shards. A shard is a
 seeded hash class of a source's documents, about ``shard_rows`` of them, so a hot source has many shards and
-no window sees more. In a shard the documents lie on a line in seeded order, closed to a ring; its quota of
-blocks is an arc from a seeded start, and a document gives what of it lies on the arc, up to ``cap`` times.
+no window sees more; shards are ranked in slices of their order. Sources are ranked in one task, a row each, so
+they must be fewer than the rows that a task can hold. In a shard the documents lie on a line in seeded order,
+closed to a ring; its quota of blocks is an arc from a seeded start, and a document gives what of it lies on the
+arc, up to ``cap`` times.
 
 Defined cases: null text has size 0 and takes 0; null source is a source of its own, after all others; empty
 tables give empty results; repeated rows and repeated doc_ids are separate documents; columns of the input
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, word_count, written
+from .common import WORD, neutral, partitions, word_count, written
 
 WEIGHTS = (5, 2, 1)
 
@@ -55,12 +57,27 @@ def source_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0) ->
     return d.select(*sources.columns, "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def seats(parties: DataFrame, group: list[str], key: list[str], votes: str, total: str) -> DataFrame:
+def _ranked(df: DataFrame, group: list[str], order: list) -> DataFrame:
+    """``df`` with ``_r``, the row's number in its group: groups of any size are numbered in slices of their order."""
+    n = partitions(df.sparkSession)
+    d = written(df.repartitionByRange(n, *group, *order).withColumn("_slice", F.spark_partition_id()), "mix-ranks")
+    counts = d.groupBy(*group, "_slice").agg(F.count("*").alias("_rows"))  # a row a slice and group in it
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_slice").alias("_s"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    on = F.col("_slice") == F.col("_s")
+    for i, g in enumerate(group):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    number = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
+    return d.withColumn("_r", number).join(counts, on).withColumn("_r", F.col("_r") + F.col("_before")).drop("_slice", "_s", "_before", *[f"_g{i}" for i in range(len(group))])
+
+
+def seats(parties: DataFrame, group: list[str], key: list[str], votes: str, total: str, slices: bool = False) -> DataFrame:
     """Sainte-Lague seats of each party: the ``total`` highest quotients votes / (2k + 1) in each group win.
 
     The divisor lies within votes / (total +- parties / 2), which bounds each party's seats from both sides;
     only the quotients between the bounds, about three a party, are laid out and ranked. Ties go to the
-    smaller key. Adds ``seats``; parties without votes get none.
+    smaller key. Adds ``seats``; parties without votes get none. ``slices``: a group may have more parties
+    than one task should rank.
     """
     g = Window.partitionBy(*group)
     v, h, n = F.col(votes), F.col(total).cast("double"), F.count(F.when(F.col(votes) > 0, 1)).over(g)
@@ -70,8 +87,10 @@ def seats(parties: DataFrame, group: list[str], key: list[str], votes: str, tota
     d = d.withColumn("_hi", F.least(F.col(total).cast("long"), F.ceil(F.col("_share") * (1 + slack) + 0.5) + 1).cast("long"))
     d = d.withColumn("_left", F.col(total) - F.sum("_lo").over(g))
     open_ = d.filter(F.col("_hi") > F.col("_lo")).select(*group, *key, "_left", v.alias("_v"), F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_k"))
-    rank = Window.partitionBy(*group).orderBy(F.desc(F.col("_v") / (2 * F.col("_k") + 1)), *[F.col(k).asc_nulls_last() for k in key], "_k")
-    won = open_.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= F.col("_left"))
+    order = [F.desc("_quotient"), *[F.col(k).asc_nulls_last() for k in key], F.asc("_k")]
+    open_ = open_.withColumn("_quotient", F.col("_v") / (2 * F.col("_k") + 1))
+    ranked = _ranked(open_, group, order) if slices else open_.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    won = ranked.filter(F.col("_r") <= F.col("_left"))
     won = won.groupBy(*[F.col(c).alias(f"_w{i}") for i, c in enumerate([*group, *key])]).agg(F.count("*").alias("_won"))
     on = None
     for i, c in enumerate([*group, *key]):
@@ -111,7 +130,7 @@ def _arcs(sized: DataFrame, share: float, cap: int, block_words: int, shard_rows
         return d.join(sources, "_key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_mix"), F.col("_shards")))
 
     shards = placed(sized).groupBy("_key", "shard", "_seats").agg(F.sum("_size").alias("shard_size"))
-    shards = seats(shards, ["_key"], ["shard"], "shard_size", "_seats")
+    shards = seats(shards, ["_key"], ["shard"], "shard_size", "_seats", slices=True)
     shards = _small(written(shards.select("_key", "shard", "shard_size", (F.col("seats") * block_words).alias("_quota")), "mix-shards"))
 
     line = Window.partitionBy("_key", "shard").orderBy("_mix", "doc_id", "_size")
@@ -145,29 +164,34 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, block_words: int = 16
     )
 
 
-def words_between(text: Column, start: Column, n: Column, size: Column) -> Column:
-    """n words of a text from word ``start`` on, going on at its first word after its last."""
+def words_between(text: Column, start: Column, n: Column) -> Column:
+    """n words of a text from word ``start`` on, joined by single spaces."""
     w = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    first = F.slice(w, (start + 1).cast("int"), F.least(n, size - start).cast("int"))
-    again = F.slice(w, F.lit(1), F.greatest(F.lit(0), n - (size - start)).cast("int"))
-    return F.concat_ws(" ", first, again)
+    return F.concat_ws(" ", F.slice(w, (start + 1).cast("int"), n.cast("int")))
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, cap: int = 2, block_words: int = 16, shard_rows: int = 4096, seed: int = 7) -> DataFrame:
     """The mix itself, in the columns of ``docs``: whole copies of each document and the part of it on the arc.
 
-    Whole copies keep their text as it is; a part is its words, joined by single spaces, and ``n_chars``, if
-    there is such a column, is counted again. Documents of which nothing is taken go.
+    Whole copies keep their text as it is; a part is its words in their order, joined by single spaces, and
+    ``n_chars``, if there is such a column, is counted again. A document that has both ends on the arc, but not
+    what is between them, gives a row for each end. Documents of which nothing is taken go. Other columns may
+    have any names.
     """
-    sized = written(_sized(docs, seed, "doc_id", "source"), "mix-sizes")
-    d = _arcs(sized, share, cap, block_words, shard_rows, seed, _sized(docs, seed, *docs.columns))
+    d, names = neutral(docs, ("doc_id", "text", "source", "n_chars"))
+    sized = written(_sized(d, seed, "doc_id", "source"), "mix-sizes")
+    d = _arcs(sized, share, cap, block_words, shard_rows, seed, _sized(d, seed, *d.columns))
     size = F.col("_size")
     piece = lambda a, n: F.struct(a.cast("long").alias("a"), n.cast("long").alias("n"))
-    whole = F.array_repeat(piece(F.lit(0), size), F.col("_full").cast("int"))
-    part = F.array(piece(F.when(F.col("_arc") == size, F.lit(0)).otherwise(F.col("_from")), F.col("_arc")))
+    full = F.col("_full") + F.when(F.col("_arc") == size, 1).otherwise(0)
+    whole = F.array_repeat(piece(F.lit(0), size), full.cast("int"))
+    ends = F.array(piece(F.lit(0), F.col("_head")), piece(F.col("_to_end"), F.col("_tail")))
+    # nothing lies between a head up to the ring's end and the tail after it, so these are one part
+    joined = F.array(piece(F.lit(0), F.col("_head") + F.col("_tail")))
+    part = F.when(F.col("_arc") == size, F.slice(ends, 1, 0)).when(F.col("_head") == F.col("_to_end"), joined).otherwise(ends)
     d = d.withColumn("_piece", F.explode(F.filter(F.concat(whole, part), lambda x: x.n > 0)))
     is_whole = F.col("_piece.n") == size
-    out = {"text": F.when(is_whole, F.col("text")).otherwise(words_between(F.col("text"), F.col("_piece.a"), F.col("_piece.n"), size))}
+    out = {"text": F.when(is_whole, F.col("text")).otherwise(words_between(F.col("text"), F.col("_piece.a"), F.col("_piece.n")))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(is_whole, F.col("n_chars")).otherwise(F.length(out["text"]).cast(docs.schema["n_chars"].dataType))
-    return d.select(*[out[c].alias(c) if c in out else c for c in docs.columns])
+    return d.select(*[(out[c] if c in out else F.col(n)).alias(c) for c, n in names.items()])

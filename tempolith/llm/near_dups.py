@@ -19,8 +19,8 @@ Sets are compared as 48-bit digests of shingles. Texts are read twice: for sketc
 share a bucket, for sets, which go to the shared folder.
 
 Defined cases: texts without words have no shingles and no links, and are groups of their own; rows of equal
-doc_id count as one document; rows with null doc_id aren't linked and are kept; an empty table gives no rows;
-other columns are ignored.
+doc_id and different texts are different documents, which a link may join; rows with null doc_id aren't linked
+and are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import written
+from .common import LEAST, neutral, written
 
 #: Coordinates of a sketch; bands of the first ROWS * BANDS of them, further ones for crowded buckets.
 COORDINATES, ROWS, BANDS = 256, 4, 32
@@ -57,6 +57,18 @@ def _chunks(batch):
         a = b
 
 
+def _digests(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """128 bits a set: sums of mixed shingles, which their order doesn't change."""
+    from . import shingles
+
+    at, some = np.cumsum(n) - n, np.flatnonzero(n)
+    out = np.zeros((len(n), 2), dtype=np.uint64)
+    for j in range(2):
+        if len(some):
+            out[some, j] = np.add.reduceat(shingles.mix(h, 101 + j), at[some])
+    return out
+
+
 def _sketch_tasks(k: int):
     def run(batches):
         import pyarrow as pa
@@ -66,16 +78,11 @@ def _sketch_tasks(k: int):
         for whole in batches:
             for b in _chunks(whole):
                 h, n = shingles.shingle_sets(b.column("text").to_pylist(), k)
-                at = np.concatenate([[0], np.cumsum(n)])
-                some = np.flatnonzero(n)
-                digest = np.zeros((len(n), 2), dtype=np.uint64)
-                for j in range(2):
-                    if len(some):
-                        digest[some, j] = np.add.reduceat(shingles.mix(h, 101 + j), at[:-1][some])
+                digest = _digests(h, n)
                 sk = shingles.fast_sketches(h, n, COORDINATES)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array([r.tobytes() for r in digest], pa.binary()), pa.array([r.tobytes() for r in sk], pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "sketch"],
+                    [b.column("doc_id"), b.column("row_hash"), pa.array(n, pa.int64()), pa.array([r.tobytes() for r in digest], pa.binary()), pa.array([r.tobytes() for r in sk], pa.binary())],
+                    names=["doc_id", "row_hash", "n_shingles", "digest", "sketch"],
                 )
 
     return run
@@ -112,6 +119,8 @@ def _band_tasks(first: int, bands: int):
 
 
 def _set_tasks(k: int):
+    """Sets of the texts that have the digest they are wanted for; an id that isn't unique brings others along."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -122,7 +131,9 @@ def _set_tasks(k: int):
                 h, n = shingles.shingle_sets(b.column("text").to_pylist(), k)
                 bytes_ = np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]) if len(h) else np.zeros((0, 6), np.uint8)
                 cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
-                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([bytes_[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], names=["doc", "set"])
+                fits = pa.array([r.tobytes() == d for r, d in zip(_digests(h, n), b.column("digest").to_pylist())], pa.bool_())
+                sets = pa.array([bytes_[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc").filter(fits), sets.filter(fits)], names=["doc", "set"])
 
     return run
 
@@ -238,20 +249,23 @@ def _candidates(rows: DataFrame, sketches: DataFrame, sets: DataFrame, least: fl
     return d.groupBy("key", "block").applyInPandas(_across(least), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """A row for every document: doc_id, n_shingles, class_id (the smallest doc_id of an equal set), component_id, kept, n_links.
-
-    ``n_links``: confirmed links of the document's class, a lower bound; only those that the groups needed.
-    """
+def _members(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, row_hash, n_shingles, digest; classes: digest, class_id, component_id, n_links)."""
     ids = F.col("doc_id").cast("long")
-    base = written(docs.select(ids.alias("doc_id"), "text").mapInArrow(_sketch_tasks(k), "doc_id long, n_shingles long, digest binary, sketch binary"), "dups-sketches")
+    base = written(
+        docs.select(ids.alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"))
+        .mapInArrow(_sketch_tasks(k), "doc_id long, row_hash long, n_shingles long, digest binary, sketch binary"), "dups-sketches")
+    # a class is the node of its smallest doc_id; of classes that share it (equal ids, different texts), one is
+    # and the others are nodes of their own below all ids
+    classes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    clash = F.row_number().over(Window.partitionBy("class_id").orderBy("digest")) > 1
+    own = F.lit(LEAST).bitwiseOR(F.shiftrightunsigned(F.xxhash64("digest"), 2))
     # a written table, so that the joins below are between two shuffles, of which a hot digest's can be split
-    classes = written(base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "dups-digests")
-    members = written(base.drop("sketch").join(classes, "digest", "left"), "dups-classes")
-    reps = base.join(classes, (base.digest == classes.digest) & (base.doc_id == classes.class_id), "left_semi").select(F.col("doc_id").alias("doc"), "sketch")
-    reps = reps.dropDuplicates(["doc", "sketch"])
+    classes = written(classes.select("digest", "class_id", F.when(clash, own).otherwise(F.col("class_id")).alias("doc")), "dups-digests")
+    reps = base.join(classes, (base.digest == classes.digest) & (base.doc_id == classes.class_id)).select("doc", base.digest, "class_id", "sketch")
+    reps = written(reps.dropDuplicates(["doc"]), "dups-classes")
 
-    rows = reps.mapInArrow(_band_tasks(0, BANDS), "key long, doc long")
+    rows = reps.select("doc", "sketch").mapInArrow(_band_tasks(0, BANDS), "key long, doc long")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     multi = written(rows.join(shared, "key"), "dups-buckets")
 
@@ -263,29 +277,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     best = met.groupBy("doc").agg(F.max(F.struct("c", (-F.col("centre")).alias("d"))).alias("_b")).select(F.col("doc").alias("a"), (-F.col("_b.d")).alias("b"))
 
     wanted = weight.select("doc")
-    texts = docs.select(ids.alias("doc"), "text").join(wanted, "doc", "left_semi")
-    sets = written(texts.mapInArrow(_set_tasks(k), "doc long, set binary"), "dups-sets")
+    of = classes.join(wanted, "doc", "left_semi").select("doc", F.col("class_id").alias("_id"), "digest")
+    texts = docs.select(ids.alias("_id"), "text").join(of, "_id").select("doc", "digest", "text")
+    sets = texts.mapInArrow(_set_tasks(k), "doc long, set binary")
+    sets = written(sets, "dups-sets")
     links = written(verify(best, sets, percent), "dups-links")
     comp = connected_components(links, written, "a", "b")
 
     rows = multi.select("key", "doc").join(comp, multi.doc == comp.node, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     share = percent / 100
     least = share - DEVIATIONS * (share * (1 - share) / FINE) ** 0.5
-    sketches = base.select(F.col("doc_id").alias("doc"), "sketch").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
+    sketches = reps.select("doc", "sketch").join(wanted, "doc", "left_semi")
     more = written(_candidates(rows, sketches, sets, least), "dups-pairs")
     links = written(links.unionByName(verify(more, sets, percent)), "dups-links")
 
     comp = connected_components(links, written, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("n_links"))
-    found = comp.join(degree, comp.node == degree.d, "left")
-    out = members.join(found, members.class_id == found.node, "left")
-    component = F.coalesce("component", "class_id", "doc_id")
+    found = classes.join(comp, classes.doc == comp.node, "left").join(degree, classes.doc == degree.d, "left")
+    found = found.select("digest", "class_id", F.coalesce("component", "doc").alias("_comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # the smallest doc_id of a component is its label, but for nodes below all ids
+    low = found.filter(F.col("_comp") < F.lit(LEAST // 2)).groupBy("_comp").agg(F.min("class_id").alias("_low")).withColumnRenamed("_comp", "_c")
+    found = found.join(low, F.col("_comp") == F.col("_c"), "left")
+    return base.drop("sketch"), found.select("digest", "class_id", F.coalesce("_low", "_comp").alias("component_id"), "n_links")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """A row for every document: doc_id, n_shingles, class_id (the smallest doc_id of an equal set), component_id, kept, n_links.
+
+    ``n_links``: confirmed links of the document's class, a lower bound; only those that the groups needed.
+    """
+    rows, classes = _members(docs, k, percent)
+    out = rows.join(written(classes, "dups-groups"), "digest", "left")
+    out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "class_id", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each group keeps one, in the columns of ``docs``; repeated rows of it keep one, too."""
-    keep = near_duplicates(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_d")).distinct()
-    d = docs.join(keep, docs.doc_id.eqNullSafe(keep["_d"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return d.withColumn("_one", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(one))).filter("_one = 1").drop("_one")
+    """The documents of which each group keeps one, in the columns of ``docs``, which may have any names.
+
+    A group keeps the document of its smallest doc_id; of several texts of this doc_id in the group, and of
+    repeated rows, one. Rows with null doc_id are kept, and texts without words once for each doc_id and text.
+    """
+    d, names = neutral(docs, ("doc_id", "text"))
+    rows, classes = _members(d, k, percent)
+    rows = rows.filter("doc_id IS NOT NULL").join(written(classes, "dups-groups"), "digest", "left")
+    # without words there is no digest to be grouped by: such a row is by itself
+    group = F.struct(F.coalesce("component_id", "doc_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("row_hash")).alias("h"))
+    keep = rows.groupBy(group.alias("_group")).agg(F.min(F.struct("doc_id", "row_hash")).alias("_k")).select(F.col("_k.doc_id").alias("_d"), F.col("_k.row_hash").alias("_h"))
+    mine = d.withColumn("_hash", F.xxhash64("text")).filter("doc_id IS NOT NULL")
+    kept = mine.join(written(keep.distinct(), "dups-kept"), (F.col("doc_id") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    # repeated rows, however many, are reduced before the shuffle; any of them will do if they differ in other columns
+    one = kept.groupBy("doc_id", "_hash").agg(F.min_by(F.struct(*d.columns), F.xxhash64(*_hashable(d))).alias("_row")).select("_row.*")
+    out = one.unionByName(d.filter("doc_id IS NULL"))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that Spark can hash: none with maps or variants in them."""
+    return [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]

@@ -542,3 +542,88 @@ def test_fingerprints(odd_docs, no_docs):
     assert fingerprints.fingerprints(no_docs).count() == 0
     alone = fingerprints.fingerprints(odd_docs.filter("doc_id = 9")).first()
     assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(b"ono").hexdigest()
+
+
+# --- ids and names ------------------------------------------------------------------------------------
+
+
+BIG = [2**53 - 1, 2**53, 2**53 + 1, 2**53 + 2, 2**62, 2**62 + 1, 2**62 + 3, -(2**62) - 1, -(2**62), -(2**63) + 1, 2**63 - 1, 0, 5]
+
+
+def test_ranges_of_big_ids_beside_nulls(spark):
+    bounds = sorted(BIG)[1::2]
+    rows = spark.createDataFrame([(x,) for x in [*BIG, None, None]], "k long").coalesce(1)
+    got = rows.select("k", common.range_of(F.col("k"), bounds).alias("r")).collect()
+    assert [r["r"] for r in got] == [0 if r["k"] is None else sum(b <= r["k"] for b in bounds) for r in got]
+
+
+def big_docs(spark):
+    rows = [(x, f"text {i} of {i * 7919} words", "en", "s") for i, x in enumerate(BIG)] + [(None, "nobody's", "en", "s"), (None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_files_and_neighbours_of_big_ids(spark):
+    docs = big_docs(spark)
+    got = [r["doc_id"] for r in token_files.token_files(docs, BYTE, 2).orderBy("start").collect()]
+    assert got == [None, None, *sorted(BIG)]
+    text = {r["doc_id"]: r["text"] for r in docs.filter("doc_id IS NOT NULL").collect()}
+    order = sorted(BIG, reverse=True)
+    sha = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprints(docs).collect()}
+    for x, following in zip(order, order[1:]):
+        assert sha[x] == hashlib.sha256(fingerprints.edited(text[x], text[following]).encode()).hexdigest()
+
+
+#: Names that operators use inside.
+CLASHES = ["target", "source_size", "_size", "_key", "_mix", "shard", "_piece", "_one", "_own0", "_hash", "_d", "_range", "ghost", "digest", "sketch", "row", "rank", "class", "part", "n", "ids", "crcs", "lang_pred", "score", "rejected",
+           "cross_entropy", "severity", "grade", "is_toxic", "component_id", "kept", "weight", "_shards", "a.b", "a b", "shard_size", "_quota", "_end", "_at", "n_shingles", "class_id", "doc", "_row", "row_hash", "_id"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, odd_docs):
+    d = odd_docs.select("doc_id", "text", "lang", "source")
+    return d.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHES])
+
+
+def test_columns_with_names_used_inside(spark, sf_dir, clashing):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, sf_dir)
+        assert out.columns == clashing.columns and out.dtypes == clashing.dtypes, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[c] == f"{c} {'-' if r['doc_id'] is None else r['doc_id']}" for c in CLASHES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing, sf_dir).count() > 0
+    n = clashing.count()
+    assert mixing.mix(clashing).count() == n
+    assert near_dups.near_duplicates(clashing).count() == n
+    assert fingerprints.fingerprints(clashing).count() == n
+    assert token_files.token_files(clashing, BYTE, 2).count() == n
+    assert token_counts.count_tokens(clashing, PIECE).count() == n
+
+
+def test_equal_ids_of_different_texts_are_different_documents(spark):
+    words = [f"w{i}" for i in range(400)]
+    a, b = " ".join(words[:100]), " ".join(words[200:300])
+    rows = [(7, a), (7, b), (7, b), (3, " ".join(words[:99])), (9, " ".join(words[201:300])), (8, a + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(docs, 5, 80).collect()}
+    assert got == {(7, 96, 3), (7, 96, 7), (3, 95, 3), (9, 95, 7), (8, 97, 3)}
+    assert {tuple(r) for r in near_dups.deduplicated(docs, 5, 80).collect()} == {(3, rows[3][1]), (7, b)}
+    assert near_dups.deduplicated(docs, 5, 80).count() == 2
+
+
+def test_parts_of_mixed_documents_keep_the_order_of_words(odd_docs):
+    docs = odd_docs.withColumn("text", F.expr("array_join(transform(sequence(1, 50 + coalesce(doc_id, 0) % 7 * 31), i -> concat(i, 'w')), ' ')"))
+    for r in mixing.mixed_documents(docs, share=0.6).collect():
+        numbers = [int(w[:-1]) for w in r["text"].split()]
+        assert numbers == list(range(numbers[0], numbers[0] + len(numbers)))
+
+
+def test_shards_are_ranked_alike_in_slices_and_at_once(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(g, i, int(v), 5000 + g) for g in (1, 2) for i, v in enumerate(rnd.integers(0, 40, 700))]
+    df = spark.createDataFrame(rows, "g int, k int, v long, n long")
+    seats = [{(r["g"], r["k"]): r["seats"] for r in mixing.seats(df, ["g"], ["k"], "v", "n", slices=s).collect()} for s in (False, True)]
+    assert seats[0] == seats[1] and sum(seats[0].values()) == 5001 + 5002
