@@ -24,8 +24,8 @@ ORACLE_SQL = None
 
 def _judged(docs: DataFrame, judge, reject: str) -> DataFrame:
     """The rows that ``judge`` doesn't reject. It sees other columns under neutral names, so that none can clash."""
-    names = {c: c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
-    kept = judge(docs.select(*[F.col(c).alias(n) for c, n in names.items()])).filter(~F.col(reject))
+    d, names = common.neutral(docs, ("text",))
+    kept = judge(d).filter(~F.col(reject))
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
