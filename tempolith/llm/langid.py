@@ -25,7 +25,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
@@ -235,19 +235,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, sample_docs: int, sample_total: int = 20_000, longest: int = 150_000) -> DataFrame:
+def sample(docs: DataFrame, sample_docs: int, sample_chars: int, sample_total: int = 20_000, total_chars: int = 60_000_000) -> DataFrame:
     """About ``sample_docs`` documents a language, and about ``sample_total`` in all, from those that aren't held out.
 
-    Documents of more than ``longest`` characters aren't learned from, so that the sample's size is bounded.
+    Of these, in a hashed order, as many of each language as have ``sample_chars`` characters, and
+    ``total_chars`` in all: a bound on what the driver gets. Documents beyond a fifth of their language's
+    characters aren't learned from.
     """
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return known.select("lang", "text").limit(0)
     sample_docs = min(sample_docs, sample_total / len(sizes))
+    chars = min(sample_chars, total_chars // len(sizes))
     part = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))]), F.col("lang"))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / F.lit(float(2**53))
-    return known.filter((F.length("text") <= longest) & (place < part)).select("lang", "text", place.alias("place"))
+    few = known.filter((F.length("text") <= chars // 5) & (place < part)).select("lang", "text", place.alias("place"))
+    line = Window.partitionBy("lang").orderBy("place", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    return few.withColumn("_chars", F.sum(F.length("text").cast("long")).over(line)).filter(F.col("_chars") <= chars).drop("_chars")
 
 
 def _crossed(texts: list[str], table: np.ndarray, sample_chars: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +280,7 @@ def _crossed(texts: list[str], table: np.ndarray, sample_chars: int) -> tuple[np
 
 def fit(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 1_500_000) -> Model | None:
     """Models of all languages of ``docs`` (doc_id, text, lang); None if there is nothing to learn from."""
-    rows = sorted(((r["lang"], r["place"], r["text"]) for r in sample(docs, sample_docs).collect()), key=lambda r: r[:2]) if "lang" in docs.columns else []
+    rows = sorted(((r["lang"], r["place"], r["text"]) for r in sample(docs, sample_docs, 5 * sample_chars // 4).collect()), key=lambda r: r[:2]) if "lang" in docs.columns else []
     by: dict[str, list[str]] = {}
     for lang, _, text in rows:
         by.setdefault(lang, []).append(text)

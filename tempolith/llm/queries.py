@@ -101,7 +101,7 @@ def op1_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("llm-9")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels"))).select("doc_id", "severity", "grade", "is_toxic")
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels"))).select("doc_id", "severity", "is_toxic", F.col("grade").alias("likeliest_grade"))
 
 
 @LLM.query("llm-5", oracle="""

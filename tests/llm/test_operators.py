@@ -462,15 +462,59 @@ def test_layouts_are_told_apart(spark):
 # --- 9 toxicity -------------------------------------------------------------------------------------
 
 
-def test_toxicity_held_out(spark, sf_dir):
-    """About 300 labels of four languages: few false alarms; English insults are found."""
+@pytest.mark.parametrize("size, recall, share", [("0.01", 0.7, 0.01), ("0.1", 0.9, 0.003)])
+def test_toxicity_held_out(spark, sf_dir, size, recall, share):
+    """Five folds: what a model without these labels finds. 40 toxic labels of four languages teach less than 360."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', size)}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.labelled(docs, labels, 6000).collect()
+    found = wrong = 0
+    for fold in range(5):
+        learn = [r for r in rows if r["doc_id"] % 5 != fold]
+        m = toxicity.fit_rows([r["text"] for r in learn], [r["grade"] for r in learn])
+        for r in rows:
+            if r["doc_id"] % 5 == fold and m.judge(r["text"])[2]:
+                found, wrong = found + (r["grade"] == 2), wrong + (r["grade"] < 2)
+    toxic = sum(r["grade"] == 2 for r in rows)
+    assert found / toxic >= recall and wrong <= share * len(rows)
+
+
+def test_toxicity_of_its_own_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
-    m = toxicity.fit(docs, labels.filter("doc_id % 4 <> 0"))
-    got = toxicity.score(docs, m).join(labels.filter("doc_id % 4 = 0").select("doc_id", "toxic"), "doc_id").collect()
-    tp = sum(r["is_toxic"] and r["toxic"] == 1 for r in got)
-    fp = sum(r["is_toxic"] and r["toxic"] == 0 for r in got)
-    fn = sum(not r["is_toxic"] and r["toxic"] == 1 for r in got)
-    assert fp <= 1 and tp / (tp + fn) >= 0.3
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum(r["is_toxic"] and r["toxic"] == 1 for r in got) >= 0.9 * sum(r["toxic"] == 1 for r in got)
+    assert not any(r["is_toxic"] and r["toxic"] == 0 for r in got)
+
+
+def test_fit_against_plain_proximal_steps():
+    """The same penalised likelihood, written down plainly and minimised by many small steps from zero."""
+    rnd = np.random.default_rng(5)
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    x = rnd.integers(0, 2, (400, 5))
+    x[:, 4] = 1
+    s = x @ np.array([2.0, 1.2, 0.0, 0.0, 0.0]) + rnd.logistic(size=400)
+    y = (s > 1).astype(int) + (s > 2.5)
+    l1 = 3e-3
+    m = toxicity.fit_rows([" ".join(n for n, on in zip(names, r) if on) for r in x], y.tolist(), l1=l1, rounds=3000)
+    f = x * np.log(2)
+
+    def loss(w, t):
+        cdf = lambda z: 1 / (1 + np.exp(-z))
+        below = np.stack([cdf(t[0] - f @ w), cdf(t[1] - f @ w)])
+        p = np.where(y == 0, below[0], np.where(y == 1, below[1] - below[0], 1 - below[1]))
+        return -np.log(p).mean() + l1 * np.abs(w).sum()
+
+    def slope(w, t, h=1e-6):
+        z = np.concatenate([w, t])
+        plain = lambda z: loss(z[:5], z[5:]) - l1 * np.abs(z[:5]).sum()
+        return np.array([(plain(z + h * e) - plain(z - h * e)) / (2 * h) for e in np.eye(7)])
+
+    w, t = np.zeros(5), np.array([0.0, 1.0])
+    for _ in range(4000):
+        g = slope(w, t)
+        w, t = w - 2 * g[:5], t - 2 * g[5:]
+        w = np.sign(w) * np.maximum(np.abs(w) - 2 * l1, 0)
+    own = np.array([m.weights.get(n, 0.0) for n in names])
+    assert loss(own, np.array(m.thresholds)) <= loss(w, t) + 1e-4
 
 
 def test_toxic_stems_and_words_are_learned():
@@ -489,6 +533,8 @@ def test_toxic_stems_and_words_are_learned():
         grades.append(int(bad))
     m = toxicity.fit_rows(texts[:600], grades[:600])
     assert [m.grades(t)[0] < 0.5 for t in texts[600:]] == [bool(g) for g in grades[600:]]
+    m = toxicity.fit_rows(texts[:600], [2 * g for g in grades[:600]])
+    assert [m.judge(t)[2] for t in texts[600:]] == [bool(g) for g in grades[600:]]
 
 
 def test_ordinal_grades():
