@@ -1,8 +1,10 @@
 """Chat formatting by schema fingerprints, in DataFrame operations only.
 
-A table's nested field paths, sorted, are hashed; the fingerprint selects a declarative mapping that turns
-the layout (prompt and response, instruction with input and output, lists of messages, a row a turn) into
-canonical turns ``array<struct<role, text>>``. A template then writes
+The nested field paths that a mapping needs, sorted, are hashed to its fingerprint. A table whose own paths have a
+known fingerprint takes that mapping; in a table of more paths, each row takes the first known mapping, by number
+of paths and then by the order of ``LAYOUTS``, of which it has all columns. Mappings are declarative: they turn a
+layout (prompt and response, instruction with input and output, lists of messages, messages as JSON, a row a turn)
+into canonical turns ``array<struct<role, text>>``. A template then writes
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -18,6 +20,11 @@ table gives no rows; columns that the mapping doesn't name are dropped, whatever
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +40,7 @@ ASSISTANT = "assistant"
 
 
 def field_paths(schema: T.StructType) -> list[str]:
-    """Sorted nested paths, ``[]`` for list elements; types other than nesting don't count."""
+    """Sorted nested paths, ``[]`` for list elements, ``{}`` for maps, whose keys aren't in the schema; other types don't count."""
 
     def walk(t, at: str):
         if isinstance(t, T.StructType):
@@ -41,6 +48,8 @@ def field_paths(schema: T.StructType) -> list[str]:
                 yield from walk(f.dataType, f"{at}.{f.name.lower()}" if at else f.name.lower())
         elif isinstance(t, T.ArrayType):
             yield from walk(t.elementType, f"{at}[]")
+        elif isinstance(t, T.MapType):
+            yield f"{at}{{}}"
         else:
             yield at
 
@@ -59,59 +68,108 @@ def _turns(*turns: Column) -> Column:
     return F.filter(F.array(*turns), lambda t: t.text.isNotNull()).cast(TURNS)
 
 
-def _messages(column: str, role: str, text: str, names: dict[str, str] | None = None) -> Column:
+def _messages(column: Column, role: str, text: str, names: dict[str, str] | None = None) -> Column:
     def one(m):
         r = m[role].cast("string")
         if names:
             r = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), r), r)
         return F.struct(r.alias("role"), m[text].cast("string").alias("text"))
 
-    return F.transform(F.coalesce(F.col(column), F.array()), one).cast(TURNS)
+    return F.transform(F.coalesce(column, F.array()), one).cast(TURNS)
 
 
 _SHARE = {"human": "user", "gpt": ASSISTANT, "bot": ASSISTANT}
 
-#: (field paths, key column or None, turns). The paths are the ones that a table must have; others are ignored.
-LAYOUTS: list[tuple[tuple[str, ...], Column | None]] = [
-    (("messages[].content", "messages[].role"), lambda: _messages("messages", "role", "content")),
-    (("conversations[].from", "conversations[].value"), lambda: _messages("conversations", "from", "value", _SHARE)),
-    (("instruction", "input", "output"), lambda: _turns(_turn("user", F.when(F.length(F.col("input")) > 0, F.concat_ws("\n\n", "instruction", "input")).otherwise(F.col("instruction"))), _turn(ASSISTANT, F.col("output")))),
-    (("instruction", "output"), lambda: _turns(_turn("user", F.col("instruction")), _turn(ASSISTANT, F.col("output")))),
-    (("instruction", "response"), lambda: _turns(_turn("user", F.col("instruction")), _turn(ASSISTANT, F.col("response")))),
-    (("system", "prompt", "response"), lambda: _turns(_turn("system", F.col("system")), _turn("user", F.col("prompt")), _turn(ASSISTANT, F.col("response")))),
-    (("prompt", "response"), lambda: _turns(_turn("user", F.col("prompt")), _turn(ASSISTANT, F.col("response")))),
-    (("prompt", "completion"), lambda: _turns(_turn("user", F.col("prompt")), _turn(ASSISTANT, F.col("completion")))),
-    (("question", "answer"), lambda: _turns(_turn("user", F.col("question")), _turn(ASSISTANT, F.col("answer")))),
+
+
+def _json_messages(column: str, role: str, text: str, names: dict[str, str] | None = None) -> Column:
+    """Messages in a JSON string; a string that isn't such a list has no turns."""
+    m = F.coalesce(F.from_json(F.col(column), f"array<struct<`{role}`:string,`{text}`:string>>"), F.array())
+    return _messages(m, role, text, names)
+
+
+def _asked(question: Column, answer: str, system: str | None = None) -> Column:
+    first = [_turn("system", F.col(system))] if system else []
+    return _turns(*first, _turn("user", question), _turn(ASSISTANT, F.col(answer)))
+
+
+def _with_input() -> Column:
+    joined = F.concat_ws("\n\n", "instruction", "input")
+    return F.when(F.length(F.col("input")) > 0, joined).otherwise(F.col("instruction"))
+
+
+def _row_turns() -> Column:
+    """Turns of rows, a row a turn: an aggregate over the rows of a conversation."""
+    t = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return F.transform(F.sort_array(F.collect_list(t)), lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """The paths that rows must have, what makes turns of them, and the column that rows are grouped by, if any."""
+
+    paths: tuple[str, ...]
+    turns: Callable[[], Column]
+    grouped_by: str | None = None
+
+    @property
+    def fingerprint(self) -> str:
+        return fingerprint(list(self.paths))
+
+    @property
+    def columns(self) -> list[str]:
+        return sorted({re.match(r"[^.\[{]+", p)[0] for p in self.paths})
+
+
+LAYOUTS = [
+    Layout(("conv_id", "turn", "role", "text"), _row_turns, "conv_id"),
+    Layout(("messages[].content", "messages[].role"), lambda: _messages(F.col("messages"), "role", "content")),
+    Layout(("conversations[].from", "conversations[].value"), lambda: _messages(F.col("conversations"), "from", "value", _SHARE)),
+    Layout(("instruction", "input", "output"), lambda: _asked(_with_input(), "output")),
+    Layout(("system", "prompt", "response"), lambda: _asked(F.col("prompt"), "response", "system")),
+    Layout(("instruction", "output"), lambda: _asked(F.col("instruction"), "output")),
+    Layout(("instruction", "response"), lambda: _asked(F.col("instruction"), "response")),
+    Layout(("prompt", "response"), lambda: _asked(F.col("prompt"), "response")),
+    Layout(("prompt", "completion"), lambda: _asked(F.col("prompt"), "completion")),
+    Layout(("question", "answer"), lambda: _asked(F.col("question"), "answer")),
+    Layout(("messages[]{}",), lambda: _messages(F.col("messages"), "role", "content")),
+    Layout(("conversations[]{}",), lambda: _messages(F.col("conversations"), "from", "value", _SHARE)),
+    Layout(("messages",), lambda: _json_messages("messages", "role", "content")),
+    Layout(("conversations",), lambda: _json_messages("conversations", "from", "value", _SHARE)),
 ]
-BY_FINGERPRINT = {fingerprint(list(p)): (p, f) for p, f in LAYOUTS}
-ROWS = ("conv_id", "turn", "role", "text")
-ROWS_FINGERPRINT = fingerprint(list(ROWS))
+BY_FINGERPRINT = {x.fingerprint: x for x in LAYOUTS}
 
 
-def select_layout(schema: T.StructType) -> str:
-    """The fingerprint of the known layout with most fields among the table's paths; exact matches are found directly."""
+def select_layouts(schema: T.StructType) -> list[Layout]:
+    """The mapping of the table's own fingerprint, or all that its paths allow, most paths first."""
     paths = field_paths(schema)
-    own = fingerprint(paths)
-    known = BY_FINGERPRINT | {ROWS_FINGERPRINT: (ROWS, None)}
-    if own in known:
-        return own
-    fits = [(len(p), k) for k, (p, _) in known.items() if set(p) <= set(paths)]
+    own = BY_FINGERPRINT.get(fingerprint(paths))
+    fits = [own] if own else sorted((x for x in LAYOUTS if set(x.paths) <= set(paths)), key=lambda x: -len(x.paths))
     if not fits:
-        raise ValueError(f"no mapping for the layout {own}: {', '.join(paths)}")
-    return max(fits)[1]
+        raise ValueError(f"no mapping for the layout {fingerprint(paths)}: {', '.join(paths)}")
+    return fits[:1] if fits[0].grouped_by else [x for x in fits if not x.grouped_by]
 
 
 def canonical(df: DataFrame) -> DataFrame:
-    """(conv_id, turns) of any known layout; tables with a row a conversation keep ``conv_id`` or ``id`` if they have it."""
-    layout = select_layout(df.schema)
-    if layout == ROWS_FINGERPRINT:
-        t = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        d = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("_t"))
-        return d.select("conv_id", F.transform("_t", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"))).alias("turns"))
-    turns = BY_FINGERPRINT[layout][1]()
+    """(conv_id, fingerprint, turns) of any known layout; tables with a row a conversation keep ``conv_id`` or ``id`` if they have it."""
+    layouts = select_layouts(df.schema)
+    first = layouts[0]
+    if first.grouped_by:
+        d = df.groupBy(F.col(first.grouped_by).alias("conv_id")).agg(first.turns().alias("turns"))
+        return d.select("conv_id", F.lit(first.fingerprint).alias("fingerprint"), "turns")
+
+    def chosen(value) -> Column:
+        """By the row's layout: the first of which no column is null, else the first of all."""
+        out = value(first)
+        for x in reversed(layouts if len(layouts) > 1 else []):
+            has_all = reduce(and_, [F.col(c).isNotNull() for c in x.columns])
+            out = F.when(has_all, value(x)).otherwise(out)
+        return out
+
+    turns = F.transform(chosen(lambda x: x.turns()), lambda x: F.struct(F.coalesce(x.role, F.lit("")).alias("role"), F.coalesce(x.text, F.lit("")).alias("text")))
     key = next((c for c in df.columns if c.lower() in ("conv_id", "id")), None)
     ident = F.col(key) if key else F.xxhash64(turns)
-    return df.select(ident.alias("conv_id"), F.transform(turns, lambda x: F.struct(F.coalesce(x.role, F.lit("")).alias("role"), F.coalesce(x.text, F.lit("")).alias("text"))).alias("turns"))
+    return df.select(ident.alias("conv_id"), chosen(lambda x: F.lit(x.fingerprint)).alias("fingerprint"), turns.alias("turns"))
 
 
 # --- template -----------------------------------------------------------------------------------
@@ -161,8 +219,8 @@ def loss_spans(parsed: Column) -> Column:
 
 def format_chats(df: DataFrame) -> DataFrame:
     """(conv_id, fingerprint, formatted, loss_mask) of a table in any known layout."""
-    d = canonical(df).select("conv_id", render(F.col("turns")).alias("formatted"))
-    return d.select("conv_id", F.lit(select_layout(df.schema)).alias("fingerprint"), "formatted", loss_spans(parse(F.col("formatted"))).alias("loss_mask"))
+    d = canonical(df).select("conv_id", "fingerprint", render(F.col("turns")).alias("formatted"))
+    return d.select("conv_id", "fingerprint", "formatted", loss_spans(parse(F.col("formatted"))).alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -7,14 +7,19 @@ a vector in the annulus at distance r from it is at least |d - r| away, so its s
 (|q|^2 + M^2 - (d - r)^2) / 2. Annuli are expanded outwards from d, and stop where that bound falls below the
 query's k-th best score; a whole pivot is left out if its nearest annulus does.
 
-Pivots are k-means centres of a bounded sample (``sample`` vectors by hashed id), which also gives each query
-its first bound; every vector is indexed. Lists of a pivot are cut into chunks of about ``CHUNK`` vectors,
-queries into blocks by their own nearest pivot, so no task holds more than a chunk and a block, and blocks
-meet the chunks of those pivots only that can improve one of their queries.
+A query first searches the list of its own nearest pivot. The k-th best score found there is its floor in the
+second round, through all other pivots, so that round makes few rows that don't belong to the result.
+
+Pivots, about the square root of the vectors but at most ``PIVOTS``, are k-means centres of a bounded sample
+(``SAMPLE`` vectors a pivot, by hashed id), which also gives each query its first bound; every vector is indexed.
+Lists of a pivot are cut into chunks of about ``CHUNK`` vectors, queries into blocks by their own nearest pivot,
+so no task holds more than a chunk and a block, and blocks meet the chunks of those pivots only that can improve
+one of their queries.
 
 Defined cases: vectors that are null, or have null, NaN or infinite components, take no part; shorter vectors
 count as filled up with 0; equal vec_ids are separate candidates, but none is one of its own id; ties go to the
-smaller vec_id; fewer candidates give fewer rows; an empty table gives none. Scores are 64-bit integers.
+smaller vec_id; fewer candidates give fewer rows; an empty table gives none. Scores are 64-bit integers; vectors
+whose squared norm in 64ths reaches 2 ** 62 could overflow them and raise ValueError.
 """
 
 from __future__ import annotations
@@ -25,8 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-CHUNK, BLOCK, ANNULUS = 8192, 512, 256
-PIVOTS, SAMPLE = 64, 2048
+CHUNK, BLOCK, ANNULUS = 4096, 512, 256
+#: At least and at most; sampled vectors for each.
+FEWEST, PIVOTS, SAMPLE = 16, 1024, 32
+#: Below all scores, and with a negative of its own.
+LOW = -(2**63) + 1
 
 
 def quantized(embedding: Column) -> Column:
@@ -58,12 +66,12 @@ def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Pivots:
     """Pivots in the extended space, and the sample that gives queries their first bound."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, m2: int, k: int) -> None:
+    def __init__(self, ids: np.ndarray, x: np.ndarray, m2: int, k: int, pivots: int) -> None:
         self.m2, self.k, self.dims = float(m2), k, x.shape[1]
         self.ids, self.sample = ids, x
         e = self.extend(x)
         rng = np.random.Generator(np.random.PCG64(3))
-        c = e[rng.permutation(len(e))[:PIVOTS]]
+        c = e[rng.permutation(len(e))[:pivots]]
         for _ in range(6):
             near = np.argmin(self._squares(e, c), axis=1)
             n = np.bincount(near, minlength=len(c))
@@ -86,10 +94,9 @@ class Pivots:
     def first_bound(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The k-th best score of each query in the sample: a floor under its k-th best of all."""
         s = _inner(q, self.sample)
-        low = np.iinfo(np.int64).min
-        s = np.where(ids[:, None] == self.ids[None, :], low, s)
+        s = np.where(ids[:, None] == self.ids[None, :], LOW, s)
         if s.shape[1] < self.k:
-            return np.full(len(q), low)
+            return np.full(len(q), LOW)
         return np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
 
 
@@ -123,20 +130,24 @@ def _pack_index(pdf):
     return pd.DataFrame({"pivot": [pdf["pivot"].iloc[0]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "dists": [pdf["dist"].to_numpy("<f8").tobytes()], "vectors": [b"".join(pdf["v"])]})
 
 
-def _pack_queries(shared, rings: dict[int, tuple[float, float]]):
+def _pack_queries(shared, rings: dict[int, tuple[float, float]], home: bool):
+    """A block of queries for each pivot that can improve one of them: their nearest one only, or all but that."""
+
     def run(pdf):
         import pandas as pd
 
         p = shared.value
         q = np.frombuffer(b"".join(pdf["v"]), "<i8").reshape(-1, p.dims)
         ids = pdf["vec_id"].to_numpy(np.int64)
-        floor = p.first_bound(ids, q)
+        floor = np.maximum(p.first_bound(ids, q), LOW if home else pdf["floor"].to_numpy(np.int64))
         e = np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], axis=1)
         d, norm2 = p.distances(e), (e * e).sum(axis=1)
+        known = np.array(sorted(rings))
+        nearest = known[np.argmin(d[:, known], axis=1)]
         out = []
         for pivot, (lo, hi) in rings.items():
             gap = np.maximum(0, np.maximum(lo - d[:, pivot], d[:, pivot] - hi))
-            some = np.flatnonzero(best_possible(norm2, p.m2, gap) >= floor)
+            some = np.flatnonzero((best_possible(norm2, p.m2, gap) >= floor) & ((nearest == pivot) == home))
             if len(some):
                 out.append({"pivot": pivot, "q_ids": ids[some].tobytes(), "q_vectors": q[some].tobytes(), "q_floor": floor[some].tobytes(), "q_dists": d[some, pivot].tobytes()})
         return pd.DataFrame(out, columns=["pivot", "q_ids", "q_vectors", "q_floor", "q_dists"])
@@ -156,24 +167,23 @@ def search_chunk(p: Pivots, ids, dists, vectors, q_ids, q, q_floor, q_dists):
     bound = best_possible(norm2[:, None], p.m2, gaps)
     found_s = np.full((len(q), 0), 0, np.int64)
     found_i = np.full((len(q), 0), 0, np.int64)
-    low = np.iinfo(np.int64).min
     for a in np.argsort(gaps.min(axis=0), kind="stable"):
         live = np.flatnonzero(bound[:, a] >= floor)
         if not len(live):
             continue
         part = slice(starts[a], ends[a])
-        s = np.full((len(q), ends[a] - starts[a]), low)
+        s = np.full((len(q), ends[a] - starts[a]), LOW)
         s[live] = _inner(q[live], vectors[part])
-        s[(q_ids[:, None] == ids[part][None, :]) | (s < floor[:, None])] = low
-        if not (s > low).any():
+        s[(q_ids[:, None] == ids[part][None, :]) | (s < floor[:, None])] = LOW
+        if not (s > LOW).any():
             continue
         found_s = np.concatenate([found_s, s], axis=1)
         found_i = np.concatenate([found_i, np.broadcast_to(ids[part], s.shape)], axis=1)
         if found_s.shape[1] > p.k:
-            order = np.lexsort((found_i, -found_s.astype(np.float64) if abs(found_s.max()) < 2**52 else -(found_s // 2)), axis=1)[:, : p.k]
+            order = np.lexsort((found_i, -found_s), axis=1)[:, : p.k]
             found_s, found_i = np.take_along_axis(found_s, order, 1), np.take_along_axis(found_i, order, 1)
             floor = np.maximum(floor, found_s[:, p.k - 1])
-    row, col = np.nonzero(found_s > low)
+    row, col = np.nonzero(found_s > LOW)
     return q_ids[row], found_i[row, col], found_s[row, col]
 
 
@@ -194,27 +204,40 @@ def _search_tasks(shared):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the rows of ``vectors`` (vec_id, embedding) that ``is_query`` holds for."""
     spark = vectors.sparkSession
     v = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), quantized(F.col("embedding")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    m2, dims = v.agg(F.max(norm2), F.max(F.size("v"))).first()
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    m2, dims, n = v.agg(F.max(norm2), F.max(F.size("v")), F.count("*")).first()
     if m2 is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = v.orderBy(F.xxhash64(F.lit(13), "vec_id"), "vec_id").limit(sample).select("vec_id", "v").collect()  # bounded by ``sample``
+    if m2 >= 2.0**62:
+        raise ValueError("scores of vectors this long don't fit 64 bits")
+    pivots = min(PIVOTS, max(FEWEST, int(n**0.5)))
+    rows = v.orderBy(F.xxhash64(F.lit(13), "vec_id"), "vec_id").limit(sample or SAMPLE * pivots).select("vec_id", "v").collect()  # bounded by SAMPLE * PIVOTS
     x = _matrix([r["v"] for r in rows], dims)
-    shared = spark.sparkContext.broadcast(Pivots(np.array([r["vec_id"] for r in rows], np.int64), x, m2, k))
+    shared = spark.sparkContext.broadcast(Pivots(np.array([r["vec_id"] for r in rows], np.int64), x, m2, k, pivots))
 
     index = written(v.select("vec_id", "v").mapInArrow(_index_tasks(shared), "pivot int, dist double, vec_id long, v binary"), "topk-index")
     rings = index.groupBy("pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")).collect()  # a row a pivot
     chunks = F.element_at(F.create_map(*[x for r in rings for x in (F.lit(r["pivot"]), F.lit(-(-r["n"] // CHUNK)))]), F.col("pivot"))
     packed = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks)).groupBy("pivot", "chunk").applyInPandas(_pack_index, "pivot int, ids binary, dists binary, vectors binary")
+    packed = written(packed, "topk-chunks")
 
-    queries = index.join(v.filter("is_query").select(F.col("vec_id").alias("_q")).distinct(), F.col("vec_id") == F.col("_q"), "left_semi")
+    queries = index.join(v.filter("is_query").select(F.col("vec_id").alias("_q")).distinct(), F.col("vec_id") == F.col("_q"), "left_semi").dropDuplicates(["vec_id", "v"])
     blocks = F.element_at(F.create_map(*[x for r in rings for x in (F.lit(r["pivot"]), F.lit(-(-r["n"] // (BLOCK * 20)) or 1))]), F.col("pivot"))
-    queries = queries.dropDuplicates(["vec_id", "v"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), blocks)).groupBy("pivot", "chunk")
-    queries = queries.applyInPandas(_pack_queries(shared, {r["pivot"]: (r["lo"], r["hi"]) for r in rings}), "pivot int, q_ids binary, q_vectors binary, q_floor binary, q_dists binary")
-    found = written(packed.join(queries, "pivot").mapInArrow(_search_tasks(shared), "query_id long, vec_id long, score long"), "topk-found")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), blocks))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def searched(q: DataFrame, home: bool) -> DataFrame:
+        pack = _pack_queries(shared, {r["pivot"]: (r["lo"], r["hi"]) for r in rings}, home)
+        q = q.groupBy("pivot", "chunk").applyInPandas(pack, "pivot int, q_ids binary, q_vectors binary, q_floor binary, q_dists binary")
+        return packed.join(q, "pivot").mapInArrow(_search_tasks(shared), "query_id long, vec_id long, score long")
+
+    near = searched(queries, True).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
+    near = written(near, "topk-near")
+    floors = near.filter(F.col("_r") == k).select(F.col("query_id").alias("_f"), F.col("score").alias("floor"))
+    rest = queries.join(floors, F.col("vec_id") == F.col("_f"), "left").withColumn("floor", F.coalesce("floor", F.lit(LOW)))
+    found = near.drop("_r").unionByName(written(searched(rest, False), "topk-found"))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -253,6 +253,23 @@ def test_top_k_against_brute_force(spark):
     assert got == want
 
 
+def test_top_k_of_big_components_and_many_ties(spark):
+    big = [[2**23 + i % 3, -(2**22) * (i % 2), i] for i in range(300)]  # scores beyond 2 ** 52, many of them equal
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(big)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=9, sample=40).orderBy("query_id", "rank").collect()]
+    x = [[64 * c for c in r] for r in big]
+    want = []
+    for q in range(0, 300, 20):
+        best = sorted((-sum(a * b for a, b in zip(x[q], x[i])), i) for i in range(300) if i != q)[:9]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(600)], "vec_id long, embedding array<double>")
+    got = topk.top_k(same, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 5 * 4096) for i in range(1, 6)]
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"), F.lit(True))
+
+
 def test_top_k_of_few_or_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (20, [2.0]), (3, [0.5])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
@@ -459,6 +476,24 @@ def test_layouts_are_told_apart(spark):
         chat.canonical(spark.createDataFrame([(1,)], "x int"))
 
 
+def test_layouts_of_mixed_tables_are_chosen_by_row(spark):
+    schema = "id int, instruction string, output string, response string, prompt string, messages string"
+    rows = [
+        (1, "i", "o", None, None, None), (2, "i", None, "r", None, None), (3, None, None, "r", "p", None), (4, None, None, None, None, '[{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]'),
+        (5, "i", "o", "r", "p", "[]"), (6, None, None, None, None, "{broken"), (7, None, None, None, None, None), (8, "only", None, None, None, None),
+    ]
+    got = {r["conv_id"]: ([tuple(t) for t in r["turns"]], r["fingerprint"]) for r in chat.canonical(spark.createDataFrame(rows, schema)).collect()}
+    mapping = lambda *paths: chat.fingerprint(list(paths))
+    assert got[1] == ([("user", "i"), ("assistant", "o")], mapping("instruction", "output"))
+    assert got[2] == ([("user", "i"), ("assistant", "r")], mapping("instruction", "response"))
+    assert got[3] == ([("user", "p"), ("assistant", "r")], mapping("prompt", "response"))
+    assert got[4] == ([("user", "u"), ("assistant", "a")], mapping("messages"))
+    assert got[5] == got[1]
+    assert got[6][0] == [] and got[7][0] == [] and got[8][0] == [("user", "only")]
+    maps = spark.createDataFrame([(9, [{"role": "user", "content": "m"}, {"content": "x", "name": "y"}])], "id int, messages array<map<string,string>>")
+    assert [tuple(t) for t in chat.canonical(maps).first()["turns"]] == [("user", "m"), ("", "x")]
+
+
 # --- 9 toxicity -------------------------------------------------------------------------------------
 
 
