@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import release, scratch, scratch_mark
 
-__all__ = ["LEAST", "WORD", "neutral", "partitions", "range_bounds", "range_of", "release", "scratch", "scratch_mark", "word_count", "written"]
+__all__ = ["LEAST", "WORD", "chunks", "lean", "neutral", "partitions", "range_bounds", "range_of", "release", "scratch", "scratch_mark", "word_count", "written"]
 
 #: The least long; no range bound is so small.
 LEAST = -(2**63)
@@ -60,6 +60,41 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return find(F.coalesce(key.cast("long"), F.lit(LEAST))) if bounds else F.lit(0)
 
 
+# --- tasks over texts in Python ---------------------------------------------------------------------
+
+
+def chunks(batch, at_once: int = 1_000_000):
+    """Slices of an Arrow batch of about ``at_once`` bytes of text, a row at least."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        base = sizes[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(sizes, base + at_once, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def lean(task):
+    """``task``, which gives the memory that its batches took back to the system when it ends: workers live on."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 # --- columns under neutral names ------------------------------------------------------------------
 
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEAST, partitions, range_bounds, range_of
+from .common import LEAST, lean, partitions, range_bounds, range_of
 
 #: Cells of the fingerprint; larger sketches double it.
 CELLS = 12
@@ -268,4 +268,4 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for every document: its fingerprint, that of its edited text, and how alike they and the next one are."""
-    return with_next(docs).mapInArrow(_run, SCHEMA)
+    return with_next(docs).mapInArrow(lean(_run), SCHEMA)

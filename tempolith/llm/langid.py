@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import chunks, lean
+
 ORDER = 4
 LETTERS = 250
 OTHER = LETTERS + 1
@@ -313,7 +315,7 @@ def _score_tasks(shared):
         import pyarrow as pa
 
         m = shared.value
-        for b in batches:
+        for b in (x for whole in batches for x in chunks(whole, 4_000_000)):
             texts = b.column("text").to_pylist()
             if m is None:
                 langs, score, h, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -334,4 +336,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     taken = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "cross_entropy", "rejected")]
     docs = docs.drop(*taken)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("lang_pred string, score double, cross_entropy double, rejected boolean").fields])
-    return docs.mapInArrow(_score_tasks(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return docs.mapInArrow(lean(_score_tasks(docs.sparkSession.sparkContext.broadcast(model))), schema)

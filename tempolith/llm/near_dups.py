@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import LEAST, neutral, written
+from .common import LEAST, chunks, lean, neutral, written
 
 #: Coordinates of a sketch; bands of the first ROWS * BANDS of them, further ones for crowded buckets.
 COORDINATES, ROWS, BANDS = 256, 4, 32
@@ -40,21 +40,6 @@ BLOCK, CROWDED = 512, 4096
 FINE = 1024
 #: Deviations of a sketch's estimate that a pair may lie under the threshold and still be confirmed.
 DEVIATIONS = 4.5
-#: Bytes of text worked on at once.
-AT_ONCE = 1_000_000
-
-
-def _chunks(batch):
-    """Slices of an Arrow batch of about AT_ONCE bytes of text."""
-    import pyarrow.compute as pc
-
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < batch.num_rows:
-        base = sizes[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(sizes, base + AT_ONCE, side="right")))
-        yield batch.slice(a, b - a)
-        a = b
 
 
 def _digests(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -76,7 +61,7 @@ def _sketch_tasks(k: int):
         from . import shingles
 
         for whole in batches:
-            for b in _chunks(whole):
+            for b in chunks(whole):
                 h, n = shingles.shingle_sets(b.column("text").to_pylist(), k)
                 digest = _digests(h, n)
                 sk = shingles.fast_sketches(h, n, COORDINATES)
@@ -127,7 +112,7 @@ def _set_tasks(k: int):
         from . import shingles
 
         for whole in batches:
-            for b in _chunks(whole):
+            for b in chunks(whole):
                 h, n = shingles.shingle_sets(b.column("text").to_pylist(), k)
                 bytes_ = np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]) if len(h) else np.zeros((0, 6), np.uint8)
                 cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
@@ -184,7 +169,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a")
     full = left.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify_tasks(percent), "a long, b long")
+    return full.select("a", "b", "set_a", "set_b").mapInArrow(lean(_verify_tasks(percent)), "a long, b long")
 
 
 def _across(least: float):
@@ -233,7 +218,7 @@ def _candidates(rows: DataFrame, sketches: DataFrame, sets: DataFrame, least: fl
     """Pairs across components in the buckets ``rows`` (key, doc, comp)."""
     mixed = written(_mixed(rows), "dups-mixed")
     fine = sketches.join(sets, "doc").join(mixed.select("doc").distinct(), "doc", "left_semi")
-    fine = fine.select("doc", "sketch", "set").mapInArrow(_fine_tasks, "doc long, sketch binary, fine binary")
+    fine = fine.select("doc", "sketch", "set").mapInArrow(lean(_fine_tasks), "doc long, sketch binary, fine binary")
     calm = mixed.filter(F.col("n_outside") <= CROWDED).select("key", "doc", "comp", "outside", "size")
     if mixed.filter(F.col("n_outside") > CROWDED).limit(1).count():
         # crowded with classes that mostly share a passage: four further coordinates each leave few of them together
@@ -254,7 +239,7 @@ def _members(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     ids = F.col("doc_id").cast("long")
     base = written(
         docs.select(ids.alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"))
-        .mapInArrow(_sketch_tasks(k), "doc_id long, row_hash long, n_shingles long, digest binary, sketch binary"), "dups-sketches")
+        .mapInArrow(lean(_sketch_tasks(k)), "doc_id long, row_hash long, n_shingles long, digest binary, sketch binary"), "dups-sketches")
     # a class is the node of its smallest doc_id; of classes that share it (equal ids, different texts), one is
     # and the others are nodes of their own below all ids
     classes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
@@ -279,7 +264,7 @@ def _members(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     wanted = weight.select("doc")
     of = classes.join(wanted, "doc", "left_semi").select("doc", F.col("class_id").alias("_id"), "digest")
     texts = docs.select(ids.alias("_id"), "text").join(of, "_id").select("doc", "digest", "text")
-    sets = texts.mapInArrow(_set_tasks(k), "doc long, set binary")
+    sets = texts.mapInArrow(lean(_set_tasks(k)), "doc long, set binary")
     sets = written(sets, "dups-sets")
     links = written(verify(best, sets, percent), "dups-links")
     comp = connected_components(links, written, "a", "b")

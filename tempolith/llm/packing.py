@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cutting, tokens
-from .common import scratch, written
+from .common import lean, scratch, written
 
 ENCODED = "part int, row long, doc_id long, n long, class int, rank long, full_before long, crcs array<long>, ids binary"
 
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096
     """A row for every piece: row, doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     path = scratch(spark, "packing-ids")
-    docs.select("doc_id", "text").mapInArrow(_encode(vocabulary, end_id, capacity, unit), ENCODED).write.parquet(path)
+    docs.select("doc_id", "text").mapInArrow(lean(_encode(vocabulary, end_id, capacity, unit)), ENCODED).write.parquet(path)
     encoded = spark.read.schema(ENCODED).parquet(path)
     rows = encoded.drop("ids")
 
@@ -194,5 +194,5 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096
     bases = F.broadcast(of_class) if of_class.count() <= 200_000 else of_class
     again = encoded.filter("class > 0").join(bases, ["part", "class"]).filter("rank >= _share")
     d = again.select("part", "row", "doc_id", "n", "ids").join(lists, ["part", "row"])
-    cut = d.mapInArrow(_cut_tasks, "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    cut = d.mapInArrow(lean(_cut_tasks), "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return slotted.select(piece).unionByName(alone.select(piece)).unionByName(cut.select(piece))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import scratch, written
+from .common import lean, scratch, written
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -60,7 +60,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
     of = docs.select("doc_id", text.alias("text"))
     misses = of.join(first.select(F.coalesce("_doc", F.lit(0)).alias("_d"), F.col("_doc").isNull().alias("_null"), F.col("digest").alias("_digest")),
                      (F.coalesce("doc_id", F.lit(0)) == F.col("_d")) & (F.col("doc_id").isNull() == F.col("_null")) & (F.unhex(F.sha2("text", 256)) == F.col("_digest")))
-    encoded = misses.select(F.col("_digest").alias("digest"), "text").mapInArrow(_encode_batches(vocabulary), "digest binary, n_tokens long")
+    encoded = misses.select(F.col("_digest").alias("digest"), "text").mapInArrow(lean(_encode_batches(vocabulary)), "digest binary, n_tokens long")
     encoded.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
 
     # counts as a written table: the join then is between two shuffles, of which a hot digest's can be split

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import partitions, range_bounds, range_of, scratch
+from .common import lean, partitions, range_bounds, range_of, scratch
 
 MAGIC, END = b"TIDRC1\n\0", b"END\0"
 #: Ids coded at once, in side-by-side blocks.
@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2)
     bounds = range_bounds(docs, "doc_id", n)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_range", range_of(F.col("doc_id"), bounds))
     d = d.repartitionById(len(bounds) + 1, "_range").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    d.mapInArrow(_write_tasks(folder, vocabulary, end_id), MANIFEST).write.parquet(f"{folder}/manifest")
+    d.mapInArrow(lean(_write_tasks(folder, vocabulary, end_id)), MANIFEST).write.parquet(f"{folder}/manifest")
     m = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return m.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -169,7 +169,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files that the manifest names."""
     files = manifest.select("part", "file", "start")
     n = max(1, manifest.agg(F.max("part")).first()[0] or 0) + 1
-    return files.repartitionById(n, "part").mapInArrow(_read_tasks, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionById(n, "part").mapInArrow(lean(_read_tasks), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:

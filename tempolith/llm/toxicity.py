@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import chunks, lean
+
 MIN_DOCS, FEATURES, TELLING = 3, 20_000, 10.0
 #: Probability of grade 2 from which a text is toxic. Held out, 0.2 % of clean documents have it, and nine toxic ones in ten.
 CUT = 0.3
@@ -195,7 +197,7 @@ def _score_tasks(shared):
         import pyarrow as pa
 
         m = shared.value
-        for b in batches:
+        for b in (x for whole in batches for x in chunks(whole)):
             found = [m.judge(v) for v in b.column("text").to_pylist()]
             severity, top, toxic = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -212,4 +214,4 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
 
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("severity", "grade", "is_toxic")])
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("severity double, grade int, is_toxic boolean").fields])
-    return docs.mapInArrow(_score_tasks(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return docs.mapInArrow(lean(_score_tasks(docs.sparkSession.sparkContext.broadcast(model))), schema)
