@@ -35,11 +35,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, **extra: s
 
 
 _shipped: set[str] = set()
+#: Rows in a batch of Python tasks, where the session has Spark's default: batches of long texts take several
+#: times their size outside the heap, which is kept for good.
+BATCH_ROWS = "2000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once an application, so that it needn't be installed there."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
