@@ -22,9 +22,9 @@ import numpy as np
 from .merges import Merges
 
 #: Parts that a worker remembers, unless the caller says otherwise; about 150 bytes each.
-CACHE = 200_000
+CACHE = 150_000
 #: Bytes of text that are encoded together; a longer text is encoded by itself.
-AT_ONCE = 3_000_000
+AT_ONCE = 2_500_000
 #: Letters of a word that is merged here; longer ones go to the library.
 MOST = 40
 #: A control character, as a word.
