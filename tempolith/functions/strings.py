@@ -78,14 +78,14 @@ def edge_key(src: Column, dst: Column, kind: Column, n: int = 16) -> Column:
 # --- names --------------------------------------------------------------------------------------
 
 #: Words dropped from raw identifiers: fixed values.
-KEYWORDS = ("wire", "reg", "logic", "input", "output", "inout")
+KEYWORDS = ("reg", "wire", "input", "output", "assign")
 
 
 def sanitize_id(s: Column) -> Column:
     """An identifier without keywords, white space and characters that keys can't have."""
     s = F.regexp_replace(s, rf"\b({'|'.join(KEYWORDS)})\b", "")
     s = F.regexp_replace(s, r"\s+", "")
-    s = F.regexp_replace(s, r"[^A-Za-z0-9_\-:.@()+,=;$!*'%]", "_")
+    s = F.regexp_replace(s, r"[^a-zA-Z0-9_\-:.]", "_")
     return F.regexp_replace(s, r"^_+|_+$", "")
 
 
@@ -102,19 +102,20 @@ def tokens_min3(s: Column) -> Column:
 
 
 def acronym(s: Column) -> Column:
-    """Initials of the words of a name of two or more words, else empty."""
+    """Initials of a name's words of letters and digits, in capitals."""
     w = F.filter(F.split(F.lower(s), "[^a-z0-9]+"), lambda t: F.length(t) > 0)
-    return F.when(F.size(w) >= 2, F.array_join(F.transform(w, lambda t: F.substring(t, 1, 1)), "")).otherwise("")
+    return F.upper(F.array_join(F.transform(w, lambda t: F.substring(t, 1, 1)), ""))
 
 
 def expand_acronyms(s: Column, dictionary: dict[str, str]) -> Column:
-    """Tokens, also at lower-to-upper boundaries, replaced by their expansion; null if nothing changes."""
-    spaced = F.regexp_replace(s, "([a-z])([A-Z])", "$1 $2")
-    w = F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda t: F.length(t) > 0)
+    """Tokens, also cut before a capital after a small letter or digit, replaced by their expansion, others as they
+    stand; null if nothing changes."""
     if not dictionary:
         return F.lit(None).cast("string")
+    w = F.filter(F.split(s, "[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])"), lambda t: F.length(t) > 0)
     m = F.create_map(*[F.lit(x) for kv in dictionary.items() for x in (kv[0].lower(), kv[1])])
-    return F.when(F.exists(w, lambda t: F.map_contains_key(m, t)), F.array_join(F.transform(w, lambda t: F.coalesce(F.try_element_at(m, t), t)), " "))
+    known = F.exists(w, lambda t: F.map_contains_key(m, F.lower(t)))
+    return F.when(known, F.array_join(F.transform(w, lambda t: F.coalesce(F.try_element_at(m, F.lower(t)), t)), " "))
 
 
 def strip_comments(s: Column) -> Column:

@@ -150,22 +150,30 @@ def summary(body: Column) -> Column:
     return F.coalesce(*[F.when(F.length(s) > 0, F.trim(s)) for s in [*said, first]])
 
 
+def grade(n: int) -> str:
+    """Of a number of statements or operators."""
+    return "Simple" if n <= 3 else "Moderate" if n <= 10 else "Complex"
+
+
 def always_blocks(df: DataFrame) -> DataFrame:
     """Always blocks by position: sensitivity, clock, reset, kind, statements, complexity."""
 
     def find(module: str, body: str):
         text = _bare(body)
-        for i, m in enumerate(re.finditer(r"\balways(?:_ff|_comb|_latch)?\b\s*(?:@\s*(\*|\([^)]*\)))?", text)):
+        for i, m in enumerate(re.finditer(r"\balways(?:_ff|_comb|_latch)?\b\s*(?:@\s*(\*|\([^)]*\)))?\s*", text)):
             sens = (m[1] or "*").strip("() ")
-            end = re.search(r"\balways|\bassign\b|\bendmodule\b", text[m.end() :])
-            block = text[m.end() : m.end() + (end.start() if end else len(text))]
-            edges = re.findall(rf"(posedge|negedge)\s+({IDENT})", sens)
-            clock = next((n for e, n in edges if re.search("clk|clock", n, re.I)), edges[0][1] if edges else None)
-            reset = next((n for e, n in edges if n != clock and re.search("rst|reset", n, re.I)), None)
-            n = len(re.findall(r"<=|(?<![<>=!])=(?!=)", re.sub(r"\([^()]*\)", "", block)))
+            last = "end" if text.startswith("begin", m.end()) else ";"
+            stop = text.find(last, m.end())
+            block = text[m.end() : len(text) if stop < 0 else stop + len(last)]
+            edges = re.findall(rf"(posedge|negedge)\s+({IDENT})", sens, re.I)
+            clock = edges[0][1] if edges else None
+            reset = next((n for _, n in edges if re.match("rst|reset", n, re.I)), None)
+            n = block.count(";")
+            if "begin" in block:
+                n = max(1, n - 1)
             yield {
-                "module": module, "name": f"always_{i}", "sensitivity": sens, "clock": clock, "reset": reset, "block_type": "sequential" if edges else ("combinational" if sens.startswith("*") or sens else "latch"),
-                "statement_count": n, "complexity": "simple" if n <= 3 else ("medium" if n <= 10 else "complex"),
+                "module": module, "name": f"always_{i}", "sensitivity": sens, "clock": clock, "reset": reset, "block_type": "sequential" if edges else "combinational",
+                "statement_count": n, "complexity": grade(n),
             }
 
     return _each(df, find, "module string, name string, sensitivity string, clock string, reset string, block_type string, statement_count int, complexity string")
@@ -178,11 +186,11 @@ def assigns(df: DataFrame) -> DataFrame:
         for i, (lhs, rhs) in enumerate(re.findall(r"\bassign\s+([^=;]+?)\s*=\s*([^;]+);", _bare(body))):
             bare = re.sub(r"\d*'[sS]?[bodhBODH][0-9a-fA-F_xXzZ]+", " ", rhs)
             reads = sorted({w for w in re.findall(IDENT, bare) if w not in RESERVED})
-            score = len(re.findall(r"&&|\|\||<<|>>|[=!<>]=|[-+*/%&|^~<>]", rhs)) + 2 * rhs.count("(") + 3 * rhs.count("?")
+            score = len(re.findall(r"[&|^~+\-*/<>=!]", rhs)) + 2 * rhs.count("(") + 3 * rhs.count("?")
             target = re.search(IDENT, lhs)
-            yield {"module": module, "name": f"assign_{i}", "target": target[0] if target else lhs, "expression": " ".join(rhs.split()), "reads": reads, "complexity": score}
+            yield {"module": module, "name": f"assign_{i}", "target": target[0] if target else lhs, "expression": " ".join(rhs.split()), "reads": reads, "score": score, "complexity": grade(score)}
 
-    return _each(df, find, "module string, name string, target string, expression string, reads array<string>, complexity int")
+    return _each(df, find, "module string, name string, target string, expression string, reads array<string>, score int, complexity string")
 
 
 def assertions(df: DataFrame) -> DataFrame:
@@ -265,6 +273,19 @@ def state_machines(df: DataFrame) -> DataFrame:
     return _each(df, find, "module string, register string, state string, next_state string, condition string, state_code long, encoding string")
 
 
+#: What a memory's name says about its kind, the first that fits: fixed values. Anything else is a Memory Array.
+MEMORY_KINDS = (
+    ("ram.*single|single.*ram|spram", "Single-Port RAM"),
+    ("ram.*dual|dual.*ram|dpram", "Dual-Port RAM"),
+    ("ram", "RAM"),
+    ("rom", "ROM"),
+    ("rf|regfile", "Register File"),
+    ("fifo", "FIFO"),
+    ("cache", "Cache"),
+    ("tlb", "TLB (Translation Lookaside Buffer)"),
+)
+
+
 def memories(df: DataFrame, least_depth: int = 16) -> DataFrame:
     """Arrays of registers of some depth, with their kind by name."""
 
@@ -272,7 +293,7 @@ def memories(df: DataFrame, least_depth: int = 16) -> DataFrame:
         for w, name, d in re.findall(rf"\b(?:reg|logic)\b\s*(\[[^\]]+\])?\s*({IDENT})\s*(\[[^\]]+\])\s*;", _bare(body)):
             width, depth = _width(w), _width(d)
             if depth and depth >= least_depth:
-                kind = next((k for p, k in (("fifo", "fifo"), ("cache|tag", "cache"), ("rf|regfile|regs", "register_file"), ("rom", "rom"), ("mem|ram", "ram")) if re.search(p, name, re.I)), "memory")
+                kind = next((k for p, k in MEMORY_KINDS if re.search(p, name, re.I)), "Memory Array")
                 yield {"module": module, "name": name, "width": width, "depth": depth, "total_bits": (width or 0) * depth, "memory_type": kind}
 
     return _each(df, find, "module string, name string, width int, depth int, total_bits int, memory_type string")
@@ -288,23 +309,53 @@ def memory_accesses(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return t.withColumn("access", F.explode(F.filter(F.array(F.when(F.col("_w") > 0, "write"), F.when(F.col("_n") > F.col("_w"), "read")), lambda x: x.isNotNull()))).select("module", "chunk", "memory", "access")
 
 
-def buses(port_rows: DataFrame, prefixes: tuple[str, ...], least: int = 3) -> DataFrame:
-    """(module, prefix, port_count): ports grouped by the first prefix that fits, if there are enough."""
-    first = F.coalesce(*[F.when(F.lower("name").startswith(p), p) for p in prefixes])
-    return port_rows.withColumn("prefix", first).filter("prefix IS NOT NULL").groupBy("module", "prefix").agg(F.count("*").alias("port_count")).filter(F.col("port_count") >= least)
+#: Prefixes of bus ports, in the order that they are tried, and the buses' names: fixed values.
+BUS_PREFIXES = {
+    "iwb_": "Wishbone Instruction",
+    "dwb_": "Wishbone Data",
+    "wb_": "Wishbone",
+    "axi_": "AXI",
+    "apb_": "APB",
+    "ahb_": "AHB",
+    "avm_": "Avalon-MM",
+    "avs_": "Avalon-ST",
+    "lsu_": "Load/Store Unit",
+    "spr_": "Special Purpose Register",
+}
+
 
+def buses(port_rows: DataFrame, prefixes: dict[str, str] = BUS_PREFIXES, least: int = 3) -> DataFrame:
+    """(module, prefix, port_count, name, interface_type): ports grouped by the first prefix that fits, if there are enough."""
+    first = F.coalesce(*[F.when(F.col("name").startswith(p), p) for p in prefixes])
+    named = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
+    g = port_rows.withColumn("prefix", first).filter("prefix IS NOT NULL").groupBy("module", "prefix").agg(F.count("*").alias("port_count"))
+    name = F.concat(F.upper(F.regexp_replace("prefix", "^_+|_+$", "")), F.lit(" Interface"))
+    return g.filter(F.col("port_count") >= least).select("*", name.alias("name"), F.element_at(named, F.col("prefix")).alias("interface_type"))
 
-#: Operators by kind: fixed values; the comparison <= counts inside parentheses only.
+
+#: Operators by pattern: fixed values; <= counts inside parentheses only, since it also assigns.
 OPERATORS = (
-    ("Add", r"\+"), ("Subtract", r"(?<![<>=])-(?!>)"), ("Multiply", r"(?<!\*)\*(?![*)])"), ("Divide", r"(?<!/)/(?!/)"), ("Modulo", "%"), ("LogicalAnd", "&&"), ("LogicalOr", r"\|\|"),
-    ("Equal", r"(?<![=!<>])==(?!=)"), ("NotEqual", "!=(?!=)"), ("ShiftLeft", "<<"), ("ShiftRight", ">>"), ("LessEqual", r"\([^()]*<=[^()]*\)"), ("GreaterEqual", r">="), ("Conditional", r"\?"),
-)
+    (r"\+", "Adder"),
+    (r"\-", "Subtractor"),
+    (r"\*", "Multiplier"),
+    (r"\/", "Divider"),
+    ("<<<", "Arithmetic Left Shifter"),
+    (">>>", "Arithmetic Right Shifter"),
+    ("<<", "Logical Left Shifter"),
+    (">>", "Logical Right Shifter"),
+    (">=", "Comparator"),
+    (r"\(\s*.*?<=.*?\)", "Comparator"),
+    (">", "Comparator"),
+    ("<", "Comparator"),
+    ("==", "Equality"),
+    ("!=", "Equality"),
+)
 
 
 def operators(chunks: DataFrame) -> DataFrame:
-    """(module, chunk, operator_type)."""
-    kinds = F.array(*[F.when(F.col("_c").rlike(p), k) for k, p in OPERATORS])
-    return chunks.withColumn("_c", strip_comments(F.col("code"))).select("module", "chunk", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("operator_type"))
+    """(module, chunk, operator_type): which kinds of operators a chunk uses."""
+    kinds = F.array(*[F.when(F.col("code").rlike(p), k) for p, k in OPERATORS])
+    return chunks.select("module", "chunk", F.explode(F.array_distinct(F.filter(kinds, lambda x: x.isNotNull()))).alias("operator_type"))
 
 
 def generate_blocks(df: DataFrame) -> DataFrame:
@@ -347,19 +398,45 @@ def resolve_names(wanted: DataFrame, by_kind: list[tuple[str, DataFrame]]) -> Da
 
 # --- documents and language model output ----------------------------------------------------------
 
-#: Relation labels and what they stand for: fixed values.
+#: Types of relations: fixed values.
+RELATION_TYPES = (
+    "IMPLEMENTS", "INCLUDES", "CONNECTS_TO", "CONFIGURES", "CONTROLS", "DRIVES", "READS_FROM",
+    "DEPENDS_ON", "SUPERSEDES", "COMPATIBLE_WITH", "TESTED_BY", "DOCUMENTS", "RELATED_TO",
+)
+#: Other labels and the types that they stand for: fixed values.
 RELATIONS = {
-    "uses": "USES", "utilizes": "USES", "employs": "USES", "contains": "CONTAINS", "includes": "CONTAINS", "has": "CONTAINS", "part of": "PART_OF", "belongs to": "PART_OF", "connects to": "CONNECTS_TO",
-    "connected to": "CONNECTS_TO", "interfaces with": "CONNECTS_TO", "controls": "CONTROLS", "manages": "CONTROLS", "implements": "IMPLEMENTS", "realizes": "IMPLEMENTS", "depends on": "DEPENDS_ON", "requires": "DEPENDS_ON",
-    "configures": "CONFIGURES", "sets": "CONFIGURES", "generates": "GENERATES", "produces": "GENERATES", "triggers": "TRIGGERS",
-}
-
-
-def relation_label(label: Column) -> Column:
-    """The canonical relation; anything else is RELATED_TO."""
+    "uses": "INCLUDES",
+    "has": "INCLUDES",
+    "contains": "INCLUDES",
+    "is_part_of": "INCLUDES",
+    "is_subcomponent_of": "INCLUDES",
+    "has_feature": "INCLUDES",
+    "is_component_of": "INCLUDES",
+    "connects": "CONNECTS_TO",
+    "is_connected_to": "CONNECTS_TO",
+    "is_interface_of": "CONNECTS_TO",
+    "interfaces_with": "CONNECTS_TO",
+    "implements_interface": "IMPLEMENTS",
+    "is_implemented_by": "IMPLEMENTS",
+    "requires": "DEPENDS_ON",
+    "needs": "DEPENDS_ON",
+    "verifies": "TESTED_BY",
+    "is_verified_by": "TESTED_BY",
+    "describes": "DOCUMENTS",
+    "is_described_by": "DOCUMENTS",
+    "documents": "DOCUMENTS",
+    "associated_with": "RELATED_TO",
+    "relates_to": "RELATED_TO",
+    "is_related_to": "RELATED_TO",
+    "interacts_with": "RELATED_TO",
+}
+
+
+def relation_label(label: Column, allowed: tuple[str, ...] = RELATION_TYPES) -> Column:
+    """A type that is allowed, in any spelling; else what the label stands for, or RELATED_TO."""
     m = F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv])
-    key = F.trim(F.regexp_replace(F.lower(label), r"[_\-\s]+", " "))
-    return F.coalesce(F.try_element_at(m, key), F.when(F.upper(F.replace(key, F.lit(" "), F.lit("_"))).isin(*sorted(set(RELATIONS.values()))), F.upper(F.replace(key, F.lit(" "), F.lit("_")))), F.lit("RELATED_TO"))
+    typed = F.regexp_replace(F.upper(label), "[ -]", "_")
+    return F.when(typed.isin(*allowed), typed).otherwise(F.coalesce(F.try_element_at(m, F.replace(F.lower(label), F.lit(" "), F.lit("_"))), F.lit("RELATED_TO")))
 
 
 OUTPUT = "struct<entities:array<struct<name:string,type:string,description:string>>,relations:array<struct<source:string,target:string,type:string>>>"

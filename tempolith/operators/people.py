@@ -29,9 +29,9 @@ def is_active(last_seen: Column, as_of: int, days: int = 180) -> Column:
 
 
 def maintenance_score(commits: Column, total: Column, days_since: Column) -> Column:
-    """0.6 share of commits + 0.4 recency, three digits; recency falls from 1 over a year to 0.1."""
-    freq = F.when(total > 0, F.least(commits / total, F.lit(1.0))).otherwise(0.0)
-    recency = F.when(days_since <= 30, 1.0).when(days_since <= 90, 0.8).when(days_since <= 180, 0.5).when(days_since <= 365, 0.3).otherwise(0.1)
+    """0.6 share of commits + 0.4 recency, three digits; recency falls evenly from 1 to 0.1 over a year."""
+    freq = F.least(commits / F.greatest(total, F.lit(1)), F.lit(1.0))
+    recency = F.when(days_since <= 0, 1.0).when(days_since >= 365, 0.1).otherwise(1 - days_since / 365 * 0.9)
     return F.round(0.6 * freq + 0.4 * recency, 3)
 
 
@@ -61,10 +61,12 @@ def collaborators(maintained: DataFrame, author: str, module: str) -> DataFrame:
     return g.withColumn("strength", F.when(F.col("shared") >= 5, "strong").when(F.col("shared") >= 2, "medium").otherwise("weak"))
 
 
-def risk(experts: Column, active: Column) -> Column:
-    """0 to 100 by the number of experts, and whether the leading one is still active."""
-    return F.least(F.when(experts <= 1, 60).when(experts == 2, 30).otherwise(10) + F.when(active, 0).otherwise(40), F.lit(100))
+def risk(maintainers: Column, active: Column) -> Column:
+    """Risk of losing a module's knowledge: by how few maintain it, and how many of these are no longer active."""
+    few = F.when(maintainers == 0, 100).when(maintainers == 1, 70).when(maintainers == 2, 30).otherwise(0)
+    gone = F.when(active == 0, 50).when(active < maintainers, 20).otherwise(0)
+    return few + gone
 
 
 def risk_level(score: Column) -> Column:
-    return F.when(score >= 80, "CRITICAL").when(score >= 60, "HIGH").when(score >= 40, "MEDIUM").otherwise("LOW")
+    return F.when(score >= 100, "CRITICAL").when(score >= 70, "HIGH").when(score >= 30, "MEDIUM").otherwise("LOW")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words without weight in token overlap: fixed values.
-STOP_WORDS = ("the", "a", "an", "and", "or", "of", "in", "to", "for", "is", "on", "by", "with", "as", "at", "from", "that", "this", "it")
+STOP_WORDS = ("the", "a", "an", "is", "are", "of", "in", "to", "for", "and", "or", "be", "with", "on", "at", "by", "this", "that", "it")
 
 
 def lev_ratio(a: Column, b: Column) -> Column:
@@ -19,9 +19,9 @@ def words(s: Column) -> Column:
 
 
 def token_overlap(a: Column, b: Column) -> Column:
-    """Overlap coefficient of distinct words without stop words; 0 if either has none."""
+    """Overlap coefficient of distinct words, letters, digits and underscores of any script, without stop words; 0 if either has none."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    x, y = (F.array_except(words(c), stop) for c in (a, b))
+    x, y = (F.array_except(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)), stop) for c in (a, b))
     small = F.least(F.size(x), F.size(y))
     return F.coalesce(F.when(small > 0, F.size(F.array_intersect(x, y)) / small), F.lit(0.0))
 
@@ -33,20 +33,27 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def fuzzy_confidence(a: Column, b: Column) -> Column:
-    """Short names by edit distance alone, longer ones with word overlap; a short prefix of the other is no match."""
-    lev = lev_ratio(a, b)
-    score = F.when(F.greatest(F.length(a), F.length(b)) <= 5, lev).otherwise(0.6 * lev + 0.4 * token_overlap(a, b))
-    short = F.least(F.length(a), F.length(b)) < 4
+    """How likely two different names are one: by edit distance over the shorter length, for names longer than five
+    with word overlap. 0 for equal names, and for a short name that the other begins with."""
+    short = F.least(F.length(a), F.length(b))
+    distance = F.levenshtein(a, b)
+    lev = 1 - distance / F.greatest(short, F.lit(1))
+    x, y = words(a), words(b)
+    n = F.least(F.size(x), F.size(y))
+    shared = F.when(n > 0, F.size(F.array_intersect(x, y)) / n).otherwise(0.0)
+    score = F.when(short <= 5, lev).otherwise(0.6 * lev + 0.4 * shared)
     prefix = F.startswith(a, b) | F.startswith(b, a)
-    return F.when(short & prefix & (a != b), 0.0).otherwise(score)
+    return F.when((distance == 0) | (prefix & (short < 4)), 0.0).otherwise(score)
 
 
 def label_similarity(a: Column, b: Column) -> Column:
-    """1 for equal suffixes after the first underscore, else Jaccard of their tokens; four digits."""
+    """1 for labels that are equal after their first underscore, else the Jaccard index of all their parts between
+    underscores; four digits."""
     from ..functions.strings import label_suffix
 
-    x, y = label_suffix(a), label_suffix(b)
-    return F.when(x == y, 1.0).otherwise(F.round(token_jaccard(x, y), 4))
+    x, y = (F.array_distinct(F.split(F.lower(c), "_")) for c in (a, b))
+    both = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    return F.when(label_suffix(a) == label_suffix(b), 1.0).otherwise(F.round(both, 4))
 
 
 def signature_similarity(a: Column, b: Column) -> Column:

@@ -44,60 +44,87 @@ PERIOD_DAYS, REFACTOR_SHARE = 180, 0.15
 
 
 def clean_tag(tag: str) -> str:
+    """A tag without the v before it; slashes, dots and hyphens are underscores."""
     import re
 
-    return re.sub(r"[^a-z0-9]+", "_", tag.lower()).strip("_").removeprefix("v")
+    return re.sub(r"[/.\-]", "_", tag.lstrip("v"))
 
 
-def epoch_labels(rows: list[tuple[int, str | None, float]]) -> list[str]:
-    """Labels of one repository's commits (ts, tag, share of changed files), oldest first.
+def epoch_labels(rows: list[tuple[int, str | None, float, str]], opens: bool = True) -> list[str]:
+    """Labels of commits (ts, tag, share of changed files, commit) of one repository, oldest first.
 
-    The first commit opens ``initial_commit``, a tag a milestone; a commit long after the last boundary opens a
-    period, one that changes much a refactoring. Others belong to ``development``. Whether a commit is long after
-    a boundary depends on earlier decisions, so this is a fold.
+    The first commit is ``initial_commit``, a tagged one a milestone, one long after the last boundary opens a
+    period of its month, one that changes much a refactoring; any other belongs to the epoch before it, or to
+    ``development`` after the first commit. Whether a commit is long after a boundary depends on earlier
+    decisions, so this is a fold; a tag starts it afresh. ``opens``: the rows begin with the first commit.
     """
-    out, boundary = [], None
-    for i, (ts, tag, share) in enumerate(rows):
-        if i == 0:
-            label = f"milestone_{clean_tag(tag)}" if tag else "initial_commit"
-        elif tag:
+    from datetime import datetime, timezone
+
+    out, boundary, last = [], rows[0][0] if rows else 0, "development"
+    for i, (ts, tag, share, commit) in enumerate(rows):
+        if i == 0 and opens:
+            label = "initial_commit"
+        elif tag is not None:
             label = f"milestone_{clean_tag(tag)}"
         elif ts - boundary > PERIOD_DAYS * 86400:
-            label = f"period_{ts // (PERIOD_DAYS * 86400)}"
+            label = f"period_{datetime.fromtimestamp(ts, timezone.utc):%Y_%m}"
         elif share >= REFACTOR_SHARE:
-            label = f"major_refactor_{i}"
+            label = f"major_refactor_{commit[:7]}"
         else:
-            label = "development"
-        if label != "development":
-            boundary = ts
+            out.append(last)
+            continue
+        boundary, last = ts, "development" if label == "initial_commit" else label
         out.append(label)
     return out
 
 
-def epoch_type(label):
-    return F.when(label.startswith("milestone_"), "milestone").when(label.startswith("major_refactor"), "refactor").when(label.startswith("period_"), "period").when(label == "initial_commit", "initial").otherwise("other")
+def epoch_type(label: Column) -> Column:
+    kind = F.when(label.startswith("milestone_"), "milestone_tag").when(label.startswith("major_refactor_"), "major_refactor")
+    return kind.when(label.isin("initial_commit", "development"), label).otherwise("other")
 
 
 def detect_epochs(commits: DataFrame) -> DataFrame:
-    """commits (repo, commit, ts, tag, change_ratio) with ``label`` and ``epoch_type``; one task a repository."""
+    """commits (repo, commit, ts, tag, change_ratio) with ``label`` and ``epoch_type``; a task for each run of commits from a tag to the next."""
     import pandas as pd
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "commit"])
         tags = [t if isinstance(t, str) else None for t in pdf["tag"]]
-        return pd.DataFrame({"repo": pdf["repo"], "commit": pdf["commit"], "ts": pdf["ts"], "label": epoch_labels(list(zip(pdf["ts"], tags, pdf["change_ratio"])))})
-
-    d = commits.select("repo", "commit", "ts", "tag", "change_ratio").groupBy("repo").applyInPandas(fold, "repo string, commit long, ts long, label string")
+        rows = list(zip(pdf["ts"], tags, pdf["change_ratio"], pdf["commit"].astype(str)))
+        return pd.DataFrame({"repo": pdf["repo"], "commit": pdf["commit"], "ts": pdf["ts"], "label": epoch_labels(rows, bool(pdf["opens"].iloc[0]))})
+
+    line = Window.partitionBy("repo").orderBy("ts", "commit")
+    d = commits.select("repo", "commit", "ts", "tag", "change_ratio").withColumn("_n", F.row_number().over(line))
+    # the first commit's own tag doesn't count, so the run that it opens is number 0
+    d = d.withColumn("run", F.count(F.when((F.col("_n") > 1) & F.col("tag").isNotNull(), 1)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("opens", F.col("run") == 0).drop("_n").groupBy("repo", "run").applyInPandas(fold, "repo string, commit long, ts long, label string")
     return d.withColumn("epoch_type", epoch_type(F.col("label")))
 
 
-def situations(commits: DataFrame, rules: dict[str, tuple[str, int]]) -> DataFrame:
-    """(repo, epoch, situation, from_ts, to_ts, commits): one of each class in an epoch, if it has enough commits.
+def situations(commits: DataFrame, introduced: DataFrame) -> DataFrame:
+    """Design situations of commits (repo, commit, ts, epoch) and modules (repo, commit, label) that came with them.
 
-    ``rules``: kind of commit -> (situation, least number of commits).
+    A row for each repository, epoch and class: ``subsystem_addition``, the last commit of the epoch that brought
+    modules, tagged with up to five of them; ``release_prep`` for epochs of a milestone and ``major_refactor`` for
+    those of a refactoring, from their first commit to their last. The key is made of these three.
     """
-    table = F.create_map(*[F.lit(x) for k, (s, _) in rules.items() for x in (k, s)])
-    least = F.create_map(*[F.lit(x) for _, (s, n) in rules.items() for x in (s, n)])
-    d = commits.filter(F.col("kind").isin(*rules)).withColumn("situation", F.element_at(table, F.col("kind")))
-    g = d.groupBy("repo", "epoch", "situation").agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("commits"))
-    return g.filter(F.col("commits") >= F.element_at(least, F.col("situation")))
+    at = F.struct("ts", "commit")
+    added = commits.join(introduced.groupBy("repo", "commit").agg(F.slice(F.sort_array(F.collect_set("label")), 1, 5).alias("tags")), ["repo", "commit"])
+    added = added.groupBy("repo", "epoch").agg(F.max_by(F.struct("ts", "commit", "tags"), at).alias("s"))
+    added = added.select(
+        "repo", "epoch", F.lit("subsystem_addition").alias("situation"), F.col("s.commit").alias("first_commit"), F.col("s.commit").alias("last_commit"), F.col("s.ts").alias("from_ts"),
+        F.col("s.ts").alias("to_ts"), "s.tags", F.lit("unknown").alias("outcome"), F.concat(F.lit("New module(s): "), F.array_join("s.tags", ", ")).alias("notes"),
+    )
+    release, epoch = F.col("epoch").startswith("milestone_"), F.col("epoch")
+    tag = F.replace(F.replace(epoch, F.lit("milestone_"), F.lit("")), F.lit("_"), F.lit("."))
+    spans = commits.filter(release | epoch.startswith("major_refactor_")).groupBy("repo", "epoch").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    spans = spans.select(
+        "repo", "epoch", F.when(release, "release_prep").otherwise("major_refactor").alias("situation"), F.col("a.commit").alias("first_commit"), F.col("b.commit").alias("last_commit"),
+        F.col("a.ts").alias("from_ts"), F.col("b.ts").alias("to_ts"),
+        F.when(release, F.array(F.lit("release"), tag)).otherwise(F.array(F.lit("refactor"), F.substring_index("repo", "/", -1))).alias("tags"),
+        F.when(release, "milestone_release").otherwise("unknown").alias("outcome"),
+        F.when(release, F.concat(F.lit("Commits leading to release tag "), tag)).otherwise(F.concat(F.lit("Major RTL refactor in epoch "), epoch)).alias("notes"),
+    )
+    d = added.unionByName(spans)
+    title = F.concat(F.initcap(F.replace("situation", F.lit("_"), F.lit(" "))), F.lit(" \u2014 "), "repo", F.lit(" @ "), "epoch")
+    return d.select(F.substring(F.md5(F.concat_ws(":", "repo", "epoch", "situation")), 1, 16).alias("key"), title.alias("label"), "*")

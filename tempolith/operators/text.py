@@ -53,21 +53,23 @@ def top_per(df: DataFrame, by: list[str], score: str, ties: list[str], k: int) -
 def chunks(docs: DataFrame, key: str, text: str, size: int = 400, overlap: int = 50) -> DataFrame:
     """Windows of ``size`` words, each ``size - overlap`` after the one before it, with a key from the content.
 
-    A window that begins inside the one before, with nothing new in it, isn't made. ``section_header`` is the first
-    of a chunk's first five lines that starts with # or is all capitals.
+    Windows begin until the words end, so the last ones may repeat the end of those before. ``section_header`` is
+    the first of a chunk's first five lines that is a heading.
     """
-    step = size - overlap
+    step = max(1, size - overlap)
     w = docs.select(key, F.filter(F.split(F.col(text), r"\s+"), lambda t: F.length(t) > 0).alias("_w")).withColumn("_n", F.size("_w")).filter("_n > 0")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / step) * step).cast("int"), F.lit(step))
+    starts = F.sequence(F.lit(0), F.col("_n") - 1, F.lit(step))
     c = w.select(key, "_n", F.size(starts).alias("total_chunks"), F.posexplode(F.transform(starts, lambda s: F.slice("_w", s + 1, F.lit(size)))).alias("chunk_index", "_c"))
     c = c.select(key, "chunk_index", "total_chunks", F.size("_c").alias("word_count"), F.array_join("_c", " ").alias("text"))
-    return c.withColumn("chunk_key", F.substring(F.sha2(F.concat_ws(":", "text", "chunk_index"), 256), 1, 16))
+    c = c.withColumn("chunk_key", F.substring(F.sha2(F.concat_ws(":", "text", "chunk_index"), 256), 1, 16))
+    return c.withColumn("section_header", section_header(F.col("text")))
 
 
 def section_header(text: Column) -> Column:
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 5), lambda t: F.trim(t))
-    ok = F.filter(lines, lambda t: t.startswith("#") | ((F.length(t) > 3) & (t == F.upper(t)) & t.rlike("[A-Z]")))
-    return F.regexp_replace(F.try_element_at(ok, F.lit(1)), "^#+\\s*", "")
+    """The first of the first five lines that is a heading: one to four # and a title, or a number and a capital."""
+    lines = F.transform(F.slice(F.split(F.trim(text), "\\R"), 1, 5), lambda t: F.trim(t))
+    found = F.try_element_at(F.filter(lines, lambda t: t.rlike(r"^#{1,4}\s+\S|^\d+(\.\d+)*\s+[A-Z]")), F.lit(1))
+    return F.when(found.startswith("#"), F.trim(F.regexp_replace(found, "^#+", ""))).otherwise(found)
 
 
 def mentions(docs: DataFrame, names: DataFrame, key: str, text: str, name: str, least: int = 3) -> DataFrame:

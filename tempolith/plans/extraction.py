@@ -95,7 +95,7 @@ def ext_functions_calls(spark: SparkSession, d: str) -> DataFrame:
     return f.join(c, ["module", "name"])
 
 
-@q("EXT-16", "EXT-17", oracle=f"SELECT module, 'fifo_mem' AS memory, a AS access, CAST(c AS INTEGER) AS chunk, 'fifo' AS memory_type FROM {_C}, (VALUES ('write', 0), ('read', 1)) v(a, c)")
+@q("EXT-16", "EXT-17", oracle=f"SELECT module, 'fifo_mem' AS memory, a AS access, CAST(c AS INTEGER) AS chunk, 'FIFO' AS memory_type FROM {_C}, (VALUES ('write', 0), ('read', 1)) v(a, c)")
 def ext_memory_accesses(spark: SparkSession, d: str) -> DataFrame:
     u = units(spark, d)
     m = X.memories(u)
@@ -103,19 +103,29 @@ def ext_memory_accesses(spark: SparkSession, d: str) -> DataFrame:
     return a.join(m.select("module", F.col("name").alias("memory"), "memory_type"), ["module", "memory"]).select("module", "memory", "access", "chunk", "memory_type")
 
 
-@q("EXT-18", oracle=f"SELECT module, 'wb_' AS prefix, CAST(4 AS BIGINT) AS port_count FROM {_C}")
+@q("EXT-18", oracle="""
+WITH p AS (SELECT s_suppkey AS k, unnest(['iwb_', 'dwb_', 'wb_', 'axi_', 'apb_', 'ahb_', 'avm_', 'avs_', 'lsu_', 'spr_', 'x_']) AS prefix, unnest(range(11)) AS i,
+  unnest(['Wishbone Instruction', 'Wishbone Data', 'Wishbone', 'AXI', 'APB', 'AHB', 'Avalon-MM', 'Avalon-ST', 'Load/Store Unit', 'Special Purpose Register', '']) AS kind FROM supplier)
+SELECT 'bus_' || k AS module, prefix, CAST((k + i) % 5 + 1 AS BIGINT) AS port_count, upper(replace(prefix, '_', '')) || ' Interface' AS name, kind AS interface_type FROM p WHERE prefix <> 'x_' AND (k + i) % 5 + 1 >= 3""")
 def ext_buses(spark: SparkSession, d: str) -> DataFrame:
-    u = units(spark, d).withColumn("body", F.regexp_replace("body", r", (?=input|output)", ",\n"))
-    return X.buses(X.ports(u), ("axi_", "ahb_", "wb_", "spi_"), 3)
-
-
-@q("EXT-19", oracle=f"""
-SELECT module, CAST(chunk AS INTEGER) AS chunk, o AS operator_type FROM {_C}, (VALUES (0, 'none')) v(chunk, o) WHERE o <> 'none'
-UNION ALL SELECT 'x', 0, 'Add' UNION ALL SELECT 'x', 0, 'Conditional' UNION ALL SELECT 'x', 1, 'LessEqual' UNION ALL SELECT 'x', 1, 'LogicalAnd'""")
+    """One to five ports of each prefix, which change with the module."""
+    prefixes = F.array(*[F.lit(p) for p in (*X.BUS_PREFIXES, "x_")])
+    rows = load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.posexplode(prefixes).alias("i", "prefix"))
+    ports = rows.select("k", F.explode(F.transform(F.sequence(F.lit(0), ((F.col("k") + F.col("i")) % 5).cast("int")), lambda j: F.concat(F.lit("  input "), "prefix", F.lit("p"), j.cast("string")))).alias("port"))
+    body = ports.groupBy("k").agg(F.array_join(F.collect_list("port"), ",\n").alias("ports"))
+    text_ = F.concat(F.lit("module bus_"), "k", F.lit(" (\n"), "ports", F.lit("\n);\nendmodule\n"))
+    return X.buses(X.ports(X.modules(body.select("k", text_.alias("text")))))
+
+
+@q("EXT-19", oracle="""
+WITH t AS (SELECT s_suppkey AS k, unnest([['Adder', 'Subtractor'], ['Multiplier', 'Divider'], ['Arithmetic Left Shifter', 'Comparator', 'Logical Left Shifter'],
+  ['Arithmetic Right Shifter', 'Comparator', 'Logical Right Shifter'], ['Comparator', 'Equality'], ['Equality'], []]) AS o, unnest(range(7)) AS i FROM supplier)
+SELECT 'm_' || k AS module, CAST(i AS INTEGER) AS chunk, unnest(o) AS operator_type FROM t WHERE k % 7 >= i""")
 def ext_operators(spark: SparkSession, d: str) -> DataFrame:
-    """<= assigns outside parentheses, and compares inside."""
-    c = chunks(units(spark, d)).unionByName(spark.createDataFrame([("x", 0, "y = s ? a + b : c;"), ("x", 1, "if ((a <= b) && c) q <= d;")], "module string, chunk int, code string"))
-    return X.operators(c)
+    """A module's chunks, up to seven of them, each with operators of its own."""
+    codes = ("y = a + b - c;", "y = a * b / c;", "y = a <<< 2;", "y = a >>> 2;", "if (a <= b) y = (a == b);", "y = (a != b);", "y = a & b;")
+    c = load(spark, d, "supplier").select(F.concat(F.lit("m_"), "s_suppkey").alias("module"), F.col("s_suppkey").alias("k"), F.posexplode(F.array(*[F.lit(x) for x in codes])).alias("chunk", "code"))
+    return X.operators(c.filter(F.col("k") % 7 >= F.col("chunk")).select("module", "chunk", "code"))
 
 
 @q("EXT-20", "EXT-22", oracle=f"SELECT module, CAST(1 AS INTEGER) AS loop_count, 'i:0..DEPTH' AS loops, 'DEPTH' AS parameter FROM {_C}")
@@ -190,7 +200,7 @@ KINDS = {"idiot": "INSULT", "moron": "INSULT", "the": "WORD", "der": "WORD"}
 
 
 @q("PL-09", "PL-10", "PL-17", "EXT-30", oracle="""
-WITH w AS (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT w, CAST(greatest(0, ceil((len(w) - 400) / 350)) AS BIGINT) AS last FROM w WHERE len(w) > 0),
+WITH w AS (SELECT list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT w, (len(w) - 1) // 350 AS last FROM w WHERE len(w) > 0),
 c AS (SELECT DISTINCT left(sha256(array_to_string(w[i * 350 + 1 : i * 350 + 400], ' ') || ':' || i), 16) AS k, array_to_string(w[i * 350 + 1 : i * 350 + 400], ' ') AS t FROM (SELECT *, unnest(range(last + 1)) AS i FROM n))
 SELECT v.name, v.type, count(*) AS mentions FROM c, (VALUES ('idiot', 'INSULT'), ('moron', 'INSULT'), ('the', 'WORD'), ('der', 'WORD')) v(name, type) WHERE regexp_matches(c.t, '(?i)\\b' || v.name || '\\b') GROUP BY 1, 2""")
 def rag_build(spark: SparkSession, d: str) -> DataFrame:

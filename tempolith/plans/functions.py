@@ -137,9 +137,16 @@ def fn_geo(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("NRM-01", "NRM-02", "NRM-03", "NRM-04", "NRM-05", oracle="""
-SELECT p_partkey, replace(p_name, ' ', '') AS ident, trim(regexp_replace(CASE WHEN starts_with(lower(p_name), 'red ') THEN substring(lower(p_name), 5) ELSE lower(p_name) END, '_+', ' ', 'g')) AS norm,
-       array_to_string(list_transform(string_split(p_name, ' '), lambda x: x[1]), '') AS acr, CASE WHEN contains(p_name, 'gizmo') THEN replace(p_name, 'gizmo', 'small device') END AS expanded FROM part WHERE p_name LIKE '% %'""")
+WITH n AS (SELECT p_partkey AS k, p_name AS n, 'Cpu9_' || replace(p_name, ' ', '_') AS label FROM part), w AS (SELECT *, string_split(n, ' ') AS w FROM n)
+SELECT k AS p_partkey, trim(regexp_replace(regexp_replace('wire [3:0] ' || n || '/q$', '\\b(reg|wire|input|output|assign)\\b|\\s+', '', 'g'), '[^a-zA-Z0-9_:.-]', '_', 'g'), '_') AS ident,
+       replace(n, '_', ' ') AS norm, upper(array_to_string(list_transform(w, lambda x: x[1]), '')) AS acr,
+       CASE WHEN list_contains(w, 'gizmo') THEN array_to_string(list_transform(w, lambda x: CASE WHEN x = 'gizmo' THEN 'Small Device' ELSE upper(x[1]) || x[2:] END), ' ') END AS expanded,
+       array_to_string(list_sort(list_distinct(list_filter(w, lambda x: length(x) >= 3))), ' ') AS tokens, n || ' ;' AS bare, lower(replace(n, ' ', '_')) AS suffix FROM w""")
 def fn_names(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("p_name")
-    return load(spark, d, "part").filter("p_name LIKE '% %'").select(
-        "p_partkey", S.sanitize_id(n).alias("ident"), S.normalize_name(n, ("red ",)).alias("norm"), S.acronym(n).alias("acr"), S.expand_acronyms(n, {"gizmo": "small device"}).alias("expanded"))
+    label = F.concat(F.lit("Cpu9_"), F.replace(n, F.lit(" "), F.lit("_")))
+    return load(spark, d, "part").select(
+        "p_partkey", S.sanitize_id(F.concat(F.lit("wire [3:0] "), n, F.lit("/q$"))).alias("ident"), S.normalize_name(label, ("cpu9_",)).alias("norm"), S.acronym(n).alias("acr"),
+        S.expand_acronyms(F.regexp_replace(F.initcap(n), " ", ""), {"gizmo": "Small Device"}).alias("expanded"), F.array_join(F.array_sort(S.tokens_min3(n)), " ").alias("tokens"),
+        S.strip_comments(F.concat(n, F.lit(" /* a\n b */;// c"))).alias("bare"), S.label_suffix(label).alias("suffix"),
+    )

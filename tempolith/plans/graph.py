@@ -288,7 +288,7 @@ def touches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("SCR-01", "AG-13", "PL-12", oracle=f"""
-SELECT author, module, n AS commits, round(0.6 * least(n / total, 1) + 0.4 * CASE WHEN days <= 30 THEN 1.0 WHEN days <= 90 THEN 0.8 WHEN days <= 180 THEN 0.5 WHEN days <= 365 THEN 0.3 ELSE 0.1 END, 3) AS score FROM ({MAINTAINS})""")
+SELECT author, module, n AS commits, round(0.6 * least(n / total, 1) + 0.4 * CASE WHEN days <= 0 THEN 1.0 WHEN days >= 365 THEN 0.1 ELSE 1 - days / 365 * 0.9 END, 3) AS score FROM ({MAINTAINS})""")
 def ppl_maintains(spark: SparkSession, d: str) -> DataFrame:
     return people.maintains(touches(spark, d), "author", "module", "ts", AS_OF).select("author", "module", "commits", "score")
 
@@ -306,14 +306,21 @@ def ppl_collaboration(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("SCR-02", "SCR-03", "PL-13", oracle=f"""
-WITH m AS ({MAINTAINS}), g AS (SELECT module, count(DISTINCT author) AS experts, max(last) AS last FROM m GROUP BY 1),
-s AS (SELECT module, experts, {AS_OF} - last <= 180 * 86400 AS active FROM g), r AS (SELECT *, least(CASE WHEN experts <= 1 THEN 60 WHEN experts = 2 THEN 30 ELSE 10 END + CASE WHEN active THEN 0 ELSE 40 END, 100) AS risk FROM s)
-SELECT module, experts, active, risk, CASE WHEN risk >= 80 THEN 'CRITICAL' WHEN risk >= 60 THEN 'HIGH' WHEN risk >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r""")
+WITH m AS ({MAINTAINS}),
+g AS (SELECT module, count(*) AS maintainers, count(*) FILTER ({AS_OF} - last <= 180 * 86400) AS active FROM m GROUP BY 1),
+r AS (
+  SELECT *, CASE maintainers WHEN 0 THEN 100 WHEN 1 THEN 70 WHEN 2 THEN 30 ELSE 0 END
+            + CASE WHEN active = 0 THEN 50 WHEN active < maintainers THEN 20 ELSE 0 END AS risk
+  FROM (SELECT p_partkey AS module, coalesce(maintainers, 0) AS maintainers, coalesce(active, 0) AS active FROM part LEFT JOIN g ON p_partkey = module)
+)
+SELECT module, maintainers, active, risk, CASE WHEN risk >= 100 THEN 'CRITICAL' WHEN risk >= 70 THEN 'HIGH' WHEN risk >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r""")
 def ppl_risk(spark: SparkSession, d: str) -> DataFrame:
+    """All modules, those that nobody maintains included."""
     m = people.maintains(touches(spark, d), "author", "module", "ts", AS_OF)
-    g_ = m.groupBy("module").agg(F.countDistinct("author").alias("experts"), F.max("last").alias("last"))
-    r = g_.withColumn("active", people.is_active(F.col("last"), AS_OF)).withColumn("risk", people.risk(F.col("experts"), F.col("active")))
-    return r.select("module", "experts", "active", "risk", people.risk_level(F.col("risk")).alias("level"))
+    g_ = m.groupBy("module").agg(F.count("*").alias("maintainers"), F.count_if(people.is_active(F.col("last"), AS_OF)).alias("active"))
+    every = load(spark, d, "part").select(F.col("p_partkey").alias("module")).join(g_, "module", "left").fillna(0, ["maintainers", "active"])
+    r = every.withColumn("risk", people.risk(F.col("maintainers"), F.col("active")))
+    return r.select("module", "maintainers", "active", "risk", people.risk_level(F.col("risk")).alias("level"))
 
 
 @q("PL-13", "WN-02", oracle=f"""

@@ -33,36 +33,85 @@ def sim_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return name_pairs(spark, d).select("a", "b", F.round(sim.lev_ratio(F.col("a"), F.col("b")), 6).alias("s"))
 
 
-@q("SIM-01", oracle=f"SELECT a.n AS a, b.n AS b, round(jaro_winkler_similarity(a.n, b.n), 6) AS s FROM {NAMES} a JOIN {NAMES} b ON a.k < b.k")
+@q("SIM-01", oracle=f"""
+SELECT a.n AS a, b.n AS b, round(jaro_winkler_similarity(a.n, b.n), 6) AS name,
+       round(0.7 * jaro_winkler_similarity(a.n, b.n) + 0.3 * jaro_winkler_similarity(reverse(a.n), reverse(b.n)), 6) AS weighted
+FROM {NAMES} a JOIN {NAMES} b ON a.k < b.k""")
 def sim_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
-    return name_pairs(spark, d).select("a", "b", F.round(sim.jaro_winkler(F.col("a"), F.col("b")), 6).alias("s"))
+    """Names, and names with a second field that counts for less; read backwards, a name stands for a description."""
+    p = name_pairs(spark, d).withColumn("name", sim.jaro_winkler(F.col("a"), F.col("b"))).withColumn("other", sim.jaro_winkler(F.reverse("a"), F.reverse("b")))
+    return p.select("a", "b", F.round("name", 6).alias("name"), F.round(sim.weighted_fields(F.col("name"), F.col("other")), 6).alias("weighted"))
 
 
 _W = "string_split({}, ' ')"
+#: Texts of name pairs with stop words among them.
+_STOPPED = "list_filter(list_distinct(string_split({}, ' ')), lambda x: x NOT IN ('the', 'of', 'at'))"
 
 
-@q("SIM-03", "SIM-05", oracle=f"""
-SELECT a.n AS a, b.n AS b, round(len(list_intersect({_W.format('a.n')}, {_W.format('b.n')})) / least(len({_W.format('a.n')}), len({_W.format('b.n')})), 6) AS overlap,
-       round(len(list_intersect({_W.format('a.n')}, {_W.format('b.n')})) / len(list_distinct(list_concat({_W.format('a.n')}, {_W.format('b.n')}))), 6) AS jaccard FROM {NAMES} a JOIN {NAMES} b ON a.k < b.k""")
+@q("SIM-03", oracle=f"""
+WITH t AS (SELECT k, 'The ' || n || ' of the rig_' || (k % 3) || ' at ' || upper(n) AS t FROM {NAMES}),
+w AS (SELECT k, t, {_STOPPED.format('lower(t)')} AS w FROM t)
+SELECT a.t AS a, b.t AS b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS overlap FROM w a JOIN w b ON a.k < b.k""")
 def sim_tokens(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return name_pairs(spark, d).select("a", "b", F.round(sim.token_overlap(a, b), 6).alias("overlap"), F.round(sim.token_jaccard(a, b), 6).alias("jaccard"))
+    def text_of(c: str) -> F.Column:
+        n, k = F.col(c), F.col(f"k{c}")
+        return F.concat(F.lit("The "), n, F.lit(" of the rig_"), k % 3, F.lit(" at "), F.upper(n))
+
+    p = name_pairs(spark, d).select(text_of("a").alias("a"), text_of("b").alias("b"))
+    return p.select("a", "b", F.round(sim.token_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
+
+
+_PARTS = "string_split({}, '_')"
+_SUFFIX = "CASE WHEN contains({0}, '_') THEN substring({0}, instr({0}, '_') + 1) ELSE {0} END"
+
+
+@q("SIM-05", oracle=f"""
+WITH l AS (SELECT k, 'r' || (k % 2) || '_' || replace(n, ' ', '_') AS l FROM {NAMES} UNION ALL SELECT k + 1000000000, 'x_' || replace(n, ' ', '_') FROM {NAMES})
+SELECT a.l AS a, b.l AS b,
+       CASE WHEN {_SUFFIX.format('a.l')} = {_SUFFIX.format('b.l')} THEN 1.0
+            ELSE round(len(list_intersect({_PARTS.format('a.l')}, {_PARTS.format('b.l')})) / len(list_distinct(list_concat({_PARTS.format('a.l')}, {_PARTS.format('b.l')}))), 4) END AS s
+FROM l a JOIN l b ON a.k < b.k""")
+def sim_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of two repositories, of which some differ in the prefix only."""
+    under = F.replace("n", F.lit(" "), F.lit("_"))
+    n = names(spark, d)
+    one = n.select("k", F.concat(F.lit("r"), F.col("k") % 2, F.lit("_"), under).alias("l"))
+    labels = one.unionByName(n.select((F.col("k") + 1000000000).alias("k"), F.concat(F.lit("x_"), under).alias("l")))
+    p = labels.select(F.col("k").alias("ka"), F.col("l").alias("a")).join(labels.select(F.col("k").alias("kb"), F.col("l").alias("b")), F.col("ka") < F.col("kb"))
+    return p.select("a", "b", sim.label_similarity(F.col("a"), F.col("b")).alias("s"))
+
+
+#: Golden entities: a name of a type, with the smallest key.
+TYPED = "(SELECT p_type AS t, p_name AS n, min(p_partkey) AS k FROM part GROUP BY 1, 2)"
+
+
+def typed_names(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "part").groupBy(F.col("p_type").alias("t"), F.col("p_name").alias("n")).agg(F.min("p_partkey").alias("k"))
 
 
 @q("SIM-04", "JN-07", "PL-02", oracle=f"""
-WITH p AS (SELECT a.n AS a, b.n AS b, CAST(levenshtein(a.n, b.n) AS INTEGER) AS distance, 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) AS lev, len(list_intersect({_W.format('a.n')}, {_W.format('b.n')})) / least(len({_W.format('a.n')}), len({_W.format('b.n')})) AS ov FROM {NAMES} a JOIN {NAMES} b ON a.k < b.k)
-SELECT a, b, distance, round(CASE WHEN greatest(length(a), length(b)) <= 5 THEN lev ELSE 0.6 * lev + 0.4 * ov END, 6) AS confidence FROM p WHERE distance <= 3 AND CASE WHEN greatest(length(a), length(b)) <= 5 THEN lev ELSE 0.6 * lev + 0.4 * ov END >= 0.5""")
+WITH p AS (
+  SELECT a.t AS type, least(a.k, b.k) AS ka, greatest(a.k, b.k) AS kb, a.n AS a, b.n AS b, CAST(levenshtein(a.n, b.n) AS INTEGER) AS distance, least(length(a.n), length(b.n)) AS short,
+         len(list_intersect({_W.format('a.n')}, {_W.format('b.n')})) / least(len({_W.format('a.n')}), len({_W.format('b.n')})) AS shared
+  FROM {TYPED} a JOIN {TYPED} b ON a.t = b.t AND a.k < b.k
+), s AS (
+  SELECT *, CASE WHEN short < 4 AND (starts_with(a, b) OR starts_with(b, a)) THEN 0
+                 WHEN short <= 5 THEN 1 - distance / short ELSE 0.6 * (1 - distance / short) + 0.4 * shared END AS confidence FROM p WHERE distance BETWEEN 1 AND 3
+)
+SELECT type, ka, kb, a, b, distance, round(confidence, 6) AS confidence FROM s WHERE confidence >= 0.5""")
 def er_fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    n = names(spark, d).withColumn("block", F.lit(1))
-    return resolve.fuzzy_pairs(n, "block", "n", "k", 3, 0.5).select("a", "b", "distance", F.round("confidence", 6).alias("confidence"))
+    p = resolve.fuzzy_pairs(typed_names(spark, d), "t", "n", "k", 3, 0.5)
+    return p.select(F.col("t").alias("type"), "ka", "kb", "a", "b", "distance", F.round("confidence", 6).alias("confidence"))
 
 
 @q("PL-02", "GR-17", oracle=f"""
-WITH RECURSIVE e AS (SELECT a.k AS x, b.k AS y FROM {NAMES} a JOIN {NAMES} b ON a.k <> b.k AND levenshtein(a.n, b.n) <= 3), w AS (SELECT k AS s, k AS t FROM {NAMES} UNION SELECT s, e.y FROM w JOIN e ON w.t = e.x), c AS (SELECT s, min(t) AS c FROM w GROUP BY 1)
-SELECT c AS component, count(*) AS members, string_agg(n, '|' ORDER BY n) AS aliases, max_by(n, (length(n) * 1000) + rk) AS name FROM (SELECT c.c, n.n, row_number() OVER (ORDER BY n.n) AS rk FROM c JOIN {NAMES} n ON c.s = n.k) GROUP BY 1 HAVING count(*) > 1""")
+WITH RECURSIVE e AS (SELECT a.k AS x, b.k AS y FROM {TYPED} a JOIN {TYPED} b ON a.t = b.t AND a.k <> b.k AND levenshtein(a.n, b.n) <= 3),
+w AS (SELECT k AS s, k AS t FROM {TYPED} UNION SELECT s, e.y FROM w JOIN e ON w.t = e.x), c AS (SELECT s, min(t) AS c FROM w GROUP BY 1)
+SELECT c AS component, count(*) AS members, string_agg(n, '|' ORDER BY n) AS aliases, max_by(n, (length(n) * 1000) + rk) AS name
+FROM (SELECT c.c, n.n, dense_rank() OVER (ORDER BY n.n) AS rk FROM c JOIN {TYPED} n ON c.s = n.k) GROUP BY 1 HAVING count(*) > 1""")
 def er_clusters(spark: SparkSession, d: str) -> DataFrame:
-    n = names(spark, d)
-    pairs = resolve.fuzzy_blocks(n.withColumn("block", F.lit(1)), "block", "n", "k", 3)
+    n = typed_names(spark, d)
+    pairs = resolve.fuzzy_blocks(n, "t", "n", "k", 3)
     c = connected_components(pairs, cut, "ka", "kb")
     g = resolve.cluster_primary(c.join(n, c.node == n.k), "component", "n")
     return g.select("component", "members", F.array_join("aliases", "|").alias("aliases"), "name")
@@ -141,7 +190,7 @@ def txt_tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("EXT-27", oracle="""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n, CAST(greatest(0, ceil((len(w) - 400) / 350)) AS BIGINT) AS last FROM w WHERE len(w) > 0),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n, (len(w) - 1) // 350 AS last FROM w WHERE len(w) > 0),
 c AS (SELECT doc_id, i AS chunk_index, last + 1 AS total_chunks, w[i * 350 + 1 : i * 350 + 400] AS c FROM (SELECT *, unnest(range(last + 1)) AS i FROM n))
 SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(total_chunks AS INTEGER) AS total_chunks, CAST(len(c) AS INTEGER) AS word_count, left(sha256(array_to_string(c, ' ') || ':' || chunk_index), 16) AS chunk_key FROM c""")
 def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -174,15 +223,15 @@ def br_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("PL-06", "JN-14", oracle="""
-WITH k AS (SELECT p_partkey, 1 AS prio, p_name AS key FROM part UNION ALL SELECT p_partkey, 2, array_to_string(list_transform(string_split(p_name, ' '), lambda x: x[1]), '') FROM part UNION ALL SELECT p_partkey, 3, unnest(list_filter(string_split(p_name, ' '), lambda x: length(x) >= 4)) FROM part),
-l AS (SELECT key, min(prio * 100000000 + p_partkey) % 100000000 AS target FROM k GROUP BY key) SELECT w AS word, target FROM (SELECT unnest(['gizmo', 'red anvil', 'ra', 'cold', 'nothing', 'gear']) AS w) JOIN l ON l.key = w""")
+WITH k AS (SELECT p_partkey, 1 AS prio, p_name AS key FROM part UNION ALL SELECT p_partkey, 2, upper(array_to_string(list_transform(string_split(p_name, ' '), lambda x: x[1]), '')) FROM part UNION ALL SELECT p_partkey, 3, unnest(list_filter(string_split(p_name, ' '), lambda x: length(x) >= 4)) FROM part),
+l AS (SELECT key, min(prio * 100000000 + p_partkey) % 100000000 AS target FROM k GROUP BY key) SELECT w AS word, target FROM (SELECT unnest(['gizmo', 'red anvil', 'RA', 'cold', 'nothing', 'gear']) AS w) JOIN l ON l.key = w""")
 def br_exact_keys(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.strings import acronym
 
     p = load(spark, d, "part").select("p_partkey", "p_name")
     k = p.select("p_partkey", F.lit(1).alias("prio"), F.col("p_name").alias("key")).unionByName(p.select("p_partkey", F.lit(2).alias("prio"), acronym(F.col("p_name")).alias("key")))
     k = k.unionByName(p.select("p_partkey", F.lit(3).alias("prio"), F.explode(F.filter(F.split("p_name", " "), lambda x: F.length(x) >= 4)).alias("key")))
-    want = spark.createDataFrame([(w,) for w in ("gizmo", "red anvil", "ra", "cold", "nothing", "gear")], "key string")
+    want = spark.createDataFrame([(w,) for w in ("gizmo", "red anvil", "RA", "cold", "nothing", "gear")], "key string")
     best = k.join(F.broadcast(want), "key", "left_semi").groupBy("key").agg(F.min(F.struct("prio", "p_partkey"))["p_partkey"].alias("target"))
     return best.select(F.col("key").alias("word"), "target")
 

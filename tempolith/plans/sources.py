@@ -134,7 +134,7 @@ def ext_ports(spark: SparkSession, d: str) -> DataFrame:
     return X.ports(source(spark, d)).select("module", "name", "direction", "width")
 
 
-@q("EXT-03", "EXT-16", oracle="SELECT 'unit_' || s_suppkey AS module, 'n1' AS name, 'wire' AS kind, CAST(1 AS INTEGER) AS bits FROM supplier UNION ALL SELECT 'unit_' || s_suppkey, 'mem', 'ram', 2048 FROM supplier")
+@q("EXT-03", "EXT-16", oracle="SELECT 'unit_' || s_suppkey AS module, 'n1' AS name, 'wire' AS kind, CAST(1 AS INTEGER) AS bits FROM supplier UNION ALL SELECT 'unit_' || s_suppkey, 'mem', 'Memory Array', 2048 FROM supplier")
 def ext_signals_memories(spark: SparkSession, d: str) -> DataFrame:
     s = source(spark, d)
     m = X.memories(s).select("module", "name", F.col("memory_type").alias("kind"), F.col("total_bits").alias("bits"))
@@ -151,19 +151,34 @@ def ext_depends_on(spark: SparkSession, d: str) -> DataFrame:
     return X.depends_on(X.instances(source(spark, d))).select("module", "target", "instance_count")
 
 
-@q("EXT-10", "EXT-11", "EXT-19", oracle="SELECT 'unit_' || s_suppkey AS module, 'clk' AS clock, 'sequential' AS block_type, 'n1' AS target, 'a,q' AS reads FROM supplier")
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Modules whose blocks and expressions vary with their supplier: 1 to 13 statements, and three sizes of expressions."""
+    k = F.col("s_suppkey")
+    sens = F.when(k % 2 == 0, "posedge clk or negedge rst_n").otherwise("a or q")
+    body = F.when(k % 13 == 0, "q = 0;").otherwise(F.concat(F.lit("begin "), F.repeat(F.lit("q <= q; "), (k % 13).cast("int")), F.lit("end")))
+    rhs = F.when(k % 3 == 0, "a").when(k % 3 == 1, "a[0] & (q == 2) ? b : 4'hf").otherwise("((a & q) ^ (b | q)) ? (a + q) : ~(b - q)")
+    t = F.concat(F.lit("module m_"), k, F.lit(" (input clk);\n  always @("), sens, F.lit(") "), body, F.lit("\n  assign n1 = "), rhs, F.lit(";\nendmodule\n"))
+    return X.modules(load(spark, d, "supplier").select("s_suppkey", t.alias("text")))
+
+
+@q("EXT-10", "EXT-11", oracle="""
+WITH k AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 13 = 0 THEN 1 ELSE greatest(1, s_suppkey % 13 - 1) END AS n FROM supplier)
+SELECT 'm_' || k AS module, CASE WHEN k % 2 = 0 THEN 'clk' END AS clock, CASE WHEN k % 2 = 0 THEN 'rst_n' END AS reset, CASE WHEN k % 2 = 0 THEN 'sequential' ELSE 'combinational' END AS block_type,
+       CAST(n AS INTEGER) AS statement_count, CASE WHEN n <= 3 THEN 'Simple' WHEN n <= 10 THEN 'Moderate' ELSE 'Complex' END AS block_grade, 'n1' AS target,
+       CASE k % 3 WHEN 0 THEN 'a' ELSE 'a,b,q' END AS reads, CAST(CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE 19 END AS INTEGER) AS score, CASE k % 3 WHEN 0 THEN 'Simple' WHEN 1 THEN 'Moderate' ELSE 'Complex' END AS grade FROM k""")
 def ext_blocks(spark: SparkSession, d: str) -> DataFrame:
-    s = source(spark, d)
-    a = X.assigns(s).select("module", "target", F.array_join("reads", ",").alias("reads"))
-    return X.always_blocks(s).select("module", "clock", "block_type").join(a, "module")
+    s = blocks(spark, d)
+    a = X.assigns(s).select("module", "target", F.array_join("reads", ",").alias("reads"), "score", F.col("complexity").alias("grade"))
+    b = X.always_blocks(s).select("module", "clock", "reset", "block_type", "statement_count", F.col("complexity").alias("block_grade"))
+    return b.join(a, "module")
 
 
 @q("EXT-28", "EXT-29", oracle="""
-SELECT n_nationkey AS k, lower(n_name) AS source, 'region ' || n_regionkey AS target, CASE WHEN n_nationkey % 3 = 0 THEN 'PART_OF' WHEN n_nationkey % 3 = 1 THEN 'RELATED_TO' ELSE 'USES' END AS type FROM nation WHERE n_nationkey % 5 <> 4""")
+SELECT n_nationkey AS k, lower(n_name) AS source, 'region ' || n_regionkey AS target, CASE n_nationkey % 4 WHEN 0 THEN 'INCLUDES' WHEN 1 THEN 'RELATED_TO' WHEN 2 THEN 'READS_FROM' ELSE 'TESTED_BY' END AS type FROM nation WHERE n_nationkey % 5 <> 4""")
 def ext_model_output(spark: SparkSession, d: str) -> DataFrame:
     """Answers in fences, of which every fifth is broken; relations to unknown entities are dropped."""
     n = load(spark, d, "nation").withColumn("r", F.concat(F.lit("region "), "n_regionkey")).withColumn("n", F.lower("n_name"))
-    rel_ = F.when(F.col("n_nationkey") % 3 == 0, "part of").when(F.col("n_nationkey") % 3 == 1, "likes").otherwise("utilizes")
+    rel_ = F.element_at(F.array(*[F.lit(x) for x in ("is part of", "likes", "reads-from", "Is_Verified By")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
     e = lambda c: F.struct(c.alias("name"), F.lit("X").alias("type"), F.lit("d").alias("description"))
     obj = F.struct(F.array(e(F.col("n")), e(F.col("r"))).alias("entities"), F.array(F.struct(F.col("n").alias("source"), F.col("r").alias("target"), rel_.alias("type")), F.struct(F.col("n").alias("source"), F.lit("nobody").alias("target"), rel_.alias("type"))).alias("relations"))
     answer = F.when(F.col("n_nationkey") % 5 == 4, '{"entities": [').otherwise(F.concat(F.lit("```json\n"), F.to_json(obj), F.lit("\n```")))

@@ -109,41 +109,75 @@ def tm_replay_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.replay(s, "module", "commit_seq", "digest")
 
 
-@q("TM-09", "WN-05", oracle="""
-WITH RECURSIVE n AS (SELECT l_orderkey, count(DISTINCT l_partkey) / 40 AS share FROM lineitem GROUP BY 1),
-c AS MATERIALIZED (SELECT c_mktsegment AS repo, o_orderkey AS commit, CAST(epoch(o_orderdate) AS BIGINT) AS ts, CASE WHEN o_orderkey % 997 = 0 THEN 'milestone_' || (o_orderkey % 9) END AS tag, coalesce(share, 0) AS share,
-  row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate, o_orderkey) AS i FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN n ON o_orderkey = l_orderkey),
-f AS (SELECT repo, commit, ts, i, coalesce(tag, 'initial_commit') AS label, ts AS boundary FROM c WHERE i = 1
-  UNION ALL SELECT repo, commit, ts, i, label, CASE WHEN label = 'development' THEN boundary ELSE ts END FROM (
-    SELECT c.repo, c.commit, c.ts, c.i, f.boundary, CASE WHEN c.tag IS NOT NULL THEN c.tag WHEN c.ts - f.boundary > 180 * 86400 THEN 'period_' || (c.ts // (180 * 86400)) WHEN c.share >= 0.15 THEN 'major_refactor_' || (c.i - 1) ELSE 'development' END AS label
-    FROM f JOIN c ON c.repo = f.repo AND c.i = f.i + 1))
-SELECT repo, commit, ts, label, CASE WHEN starts_with(label, 'milestone_') THEN 'milestone' WHEN starts_with(label, 'major_refactor') THEN 'refactor' WHEN starts_with(label, 'period_') THEN 'period' WHEN label = 'initial_commit' THEN 'initial' ELSE 'other' END AS epoch_type FROM f""")
-def tm_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epoch labels of the commits of each repository: a fold over earlier decisions."""
+#: Epochs of commits: orders are commits, market segments repositories, some orders have tags, and an order changes its distinct parts of 40.
+EPOCHS = """
+RECURSIVE n AS (SELECT l_orderkey, count(DISTINCT l_partkey) / 40 AS share FROM lineitem GROUP BY 1),
+c AS MATERIALIZED (
+  SELECT c_mktsegment AS repo, o_orderkey AS commit, CAST(epoch(o_orderdate) AS BIGINT) AS ts,
+         CASE WHEN o_orderkey % 997 = 0 THEN 'milestone_' || (o_orderkey % 9) || '_1_rc' END AS tag, coalesce(share, 0) AS share,
+         row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate, o_orderkey) AS i
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN n ON o_orderkey = l_orderkey
+), f AS (
+  SELECT repo, commit, ts, i, 'initial_commit' AS label, ts AS boundary, 'development' AS last FROM c WHERE i = 1
+  UNION ALL
+  SELECT repo, commit, ts, i, coalesce(label, last), CASE WHEN label IS NULL THEN boundary ELSE ts END, coalesce(label, last) FROM (
+    SELECT c.repo, c.commit, c.ts, c.i, f.boundary, f.last,
+           CASE WHEN c.tag IS NOT NULL THEN c.tag WHEN c.ts - f.boundary > 180 * 86400 THEN 'period_' || strftime(make_timestamp(c.ts * 1000000), '%Y_%m')
+                WHEN c.share >= 0.15 THEN 'major_refactor_' || left(CAST(c.commit AS VARCHAR), 7) END AS label
+    FROM f JOIN c ON c.repo = f.repo AND c.i = f.i + 1)
+)"""
+
+
+def epoch_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     n = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_partkey") / 40).alias("ratio"))
     c = o.join(n, o.o_orderkey == n.l_orderkey, "left").select(
         F.col("c_mktsegment").alias("repo"), F.col("o_orderkey").alias("commit"), _SEC("o_orderdate").alias("ts"),
-        F.when(F.col("o_orderkey") % 997 == 0, F.concat(F.lit("v"), F.col("o_orderkey") % 9)).alias("tag"), F.coalesce("ratio", F.lit(0.0)).alias("change_ratio"),
+        F.when(F.col("o_orderkey") % 997 == 0, F.concat(F.lit("v"), F.col("o_orderkey") % 9, F.lit(".1-rc"))).alias("tag"), F.coalesce("ratio", F.lit(0.0)).alias("change_ratio"),
     )
     return tm.detect_epochs(c)
 
 
-@q("TM-10", "TM-11", oracle="""
-WITH v AS (SELECT c_mktsegment AS repo, year(o_orderdate) AS epoch, o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT repo, epoch, 'release_prep' AS situation, min(ts) AS from_ts, max(ts) AS to_ts, count(*) AS commits FROM v WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2
-UNION ALL SELECT repo, epoch, 'major_refactor', min(ts), max(ts), count(*) FROM v WHERE o_orderpriority = '2-HIGH' GROUP BY 1, 2 HAVING count(*) >= 20""")
+@q("TM-09", "WN-05", oracle=f"""
+WITH {EPOCHS} SELECT repo, commit, ts, label, CASE WHEN starts_with(label, 'milestone_') THEN 'milestone_tag' WHEN starts_with(label, 'major_refactor_') THEN 'major_refactor'
+  WHEN label IN ('initial_commit', 'development') THEN label ELSE 'other' END AS epoch_type FROM f""")
+def tm_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch labels of the commits of each repository: a fold over earlier decisions."""
+    return epoch_commits(spark, sf_dir)
+
+
+@q("TM-10", "TM-11", oracle=f"""
+WITH {EPOCHS},
+b AS (SELECT repo, min_by(commit, (ts, commit)) AS commit, l_partkey AS module FROM c JOIN lineitem ON commit = l_orderkey GROUP BY repo, l_partkey),
+m AS (SELECT repo, commit, list_sort(list('part ' || module))[1:5] AS tags FROM b GROUP BY 1, 2),
+a AS (SELECT f.repo, label AS epoch, max_by(f.commit, (ts, f.commit)) AS commit, max(ts) AS ts, max_by(tags, (ts, f.commit)) AS tags FROM f JOIN m ON f.repo = m.repo AND f.commit = m.commit GROUP BY 1, 2),
+s AS (
+  SELECT repo, epoch, 'subsystem_addition' AS situation, 'Subsystem Addition' AS title, commit AS first_commit, commit AS last_commit, ts AS from_ts, ts AS to_ts,
+         array_to_string(tags, '|') AS tags, 'unknown' AS outcome, 'New module(s): ' || array_to_string(tags, ', ') AS notes FROM a
+  UNION ALL
+  SELECT repo, label, 'release_prep', 'Release Prep', min_by(commit, (ts, commit)), max_by(commit, (ts, commit)), min(ts), max(ts),
+         'release|' || replace(substring(label, 11), '_', '.'), 'milestone_release', 'Commits leading to release tag ' || replace(substring(label, 11), '_', '.')
+  FROM f WHERE starts_with(label, 'milestone_') GROUP BY 1, 2
+  UNION ALL
+  SELECT repo, label, 'major_refactor', 'Major Refactor', min_by(commit, (ts, commit)), max_by(commit, (ts, commit)), min(ts), max(ts), 'refactor|' || repo, 'unknown', 'Major RTL refactor in epoch ' || label
+  FROM f WHERE starts_with(label, 'major_refactor_') GROUP BY 1, 2
+)
+SELECT left(md5(repo || ':' || epoch || ':' || situation), 16) AS key, title || ' ' || chr(8212) || ' ' || repo || ' @ ' || epoch AS label, repo, epoch, situation, first_commit, last_commit, from_ts, to_ts, tags, outcome, notes FROM s""")
 def tm_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    v = o.select(F.col("c_mktsegment").alias("repo"), F.year("o_orderdate").cast("long").alias("epoch"), _SEC("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("kind"))
-    return tm.situations(v, {"1-URGENT": ("release_prep", 1), "2-HIGH": ("major_refactor", 20)})
+    """Situations in the epochs of each repository; a part comes with the first order that has it."""
+    from ..sources.shared import checkpointed
+
+    c = checkpointed(epoch_commits(spark, sf_dir).select("repo", "commit", "ts", F.col("label").alias("epoch")))
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit"), F.concat(F.lit("part "), "l_partkey").alias("label"))
+    new = c.join(lines, "commit").groupBy("repo", "label").agg(F.min(F.struct("ts", "commit"))["commit"].alias("commit"))
+    return tm.situations(c, new).withColumn("tags", F.array_join("tags", "|"))
 
 
 @q("TM-11", oracle="""
-SELECT event_id, user_id FROM events WHERE list_has_any(string_split(event_type || ',' || CASE WHEN value > 80 THEN 'high' ELSE 'low' END, ','), ['high', 'error']) AND user_id % 5 = 0""")
+SELECT event_id, user_id FROM events WHERE list_has_any(string_split(event_type || ',' || CASE WHEN value > 80 THEN 'high' ELSE 'low' END, ','), ['high', 'error'])""")
 def tm_deja_vu(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.array("event_type", F.when(F.col("value") > 80, "high").otherwise("low"))
-    return load(spark, sf_dir, "events").filter(F.col("user_id") % 5 == 0).filter(F.exists(tags, lambda t: t.isin("high", "error"))).select("event_id", "user_id")
+    return load(spark, sf_dir, "events").filter(F.exists(tags, lambda t: t.isin("high", "error"))).select("event_id", "user_id")
 
 
 @q("TM-12", "AG-12", oracle="""

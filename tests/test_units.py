@@ -61,7 +61,22 @@ def test_jaro_winkler():
 
 def test_fuzzy_confidence_rejects_short_prefixes(spark):
     assert one(spark, sim.fuzzy_confidence(F.lit("alu"), F.lit("alu1"))) == 0
-    assert one(spark, sim.fuzzy_confidence(F.lit("adder"), F.lit("adder"))) == 1
+    assert one(spark, sim.fuzzy_confidence(F.lit("adder"), F.lit("adder"))) == 0  # equal names are no fuzzy match
+    assert one(spark, sim.fuzzy_confidence(F.lit("adder"), F.lit("addr"))) == pytest.approx(0.75)
+    assert one(spark, sim.fuzzy_confidence(F.lit("cpu9x processor"), F.lit("cpu9x procesor"))) == pytest.approx(0.6 * (1 - 1 / 14) + 0.4 * 0.5)
+
+
+def test_overlap_of_tokens(spark):
+    f = lambda a, b: one(spark, sim.token_overlap(F.lit(a), F.lit(b)))
+    assert f("arithmetic logic unit", "arithmetic unit operations") == pytest.approx(2 / 3)
+    assert f("alu unit", "alu unit") == 1 and f("alu", "mmu") == 0 and f("", "x") == 0 and f("ALU", "alu") == 1
+    assert f("the alu", "alu of be") == 1 and f("a_b c", "a_b d") == 0.5
+    assert one(spark, sim.token_overlap(F.lit(None).cast("string"), F.lit("x"))) == 0
+
+
+def test_label_similarity(spark):
+    f = lambda a, b: one(spark, sim.label_similarity(F.lit(a), F.lit(b)))
+    assert f("cpu9_alu", "RV32_ALU") == 1 and f("cpu9_alu_x", "rv32_alu_y") == pytest.approx(0.2) and f("a_b", "c_d") == 0
 
 
 def test_graph_boost_and_gate(spark):
@@ -108,7 +123,11 @@ def test_strings(spark):
     assert one(spark, S.ipv4_to_number(F.lit("1.2.3.400"))) is None
     assert one(spark, S.encode_uri_component(F.lit("a b&c"))) == "a%20b%26c"
     assert one(spark, S.label_suffix(F.lit("or_alu_x"))) == "alu_x"
-    assert one(spark, S.expand_acronyms(F.lit("esrReg"), {"esr": "Exception Status"})) == "Exception Status reg"
+    assert one(spark, S.expand_acronyms(F.lit("esrReg"), {"esr": "Exception Status"})) == "Exception Status Reg"
+    assert one(spark, S.expand_acronyms(F.lit("if_insn"), {"if": "Instruction Fetch", "insn": "Instruction"})) == "Instruction Fetch Instruction"
+    assert one(spark, S.expand_acronyms(F.lit("OPTION_esr"), {"esr": "E S"})) == "OPTION E S"
+    assert one(spark, S.acronym(F.lit("Memory-management unit"))) == "MMU" and one(spark, S.acronym(F.lit(" _ "))) == ""
+    assert one(spark, S.sanitize_id(F.lit("reg [31:0] data"))) == "31:0_data" and one(spark, S.sanitize_id(F.lit("assign a/b.c-d"))) == "a_b.c-d"
     assert one(spark, S.expand_acronyms(F.lit("foo"), {"esr": "x"})) is None
     assert one(spark, S.normalize_name(F.lit("CPU9_alu_core"), ("cpu9_",))) == "alu core"
     assert one(spark, S.sanitize_id(F.lit("reg [7:0] data out"))).strip("_") != ""
@@ -169,12 +188,28 @@ def test_insert_conflict(spark):
 
 
 def test_epoch_labels():
-    assert T.epoch_labels([(0, None, 0.9)]) == ["initial_commit"]
-    assert T.epoch_labels([(0, None, 0), (10, None, 0.1), (20, None, 0.1)]) == ["initial_commit", "development", "development"]
-    assert T.epoch_labels([(0, None, 0), (10, "v1.0", 0)])[1] == "milestone_1_0"
+    def labels(*rows):
+        return T.epoch_labels([(ts, tag, share, f"{i}abcdefghij") for i, (ts, tag, share) in enumerate(rows)])
+
+    assert labels((0, None, 0.9)) == ["initial_commit"]
+    assert labels((0, "v1", 0.9)) == ["initial_commit"]
+    assert labels((0, None, 0), (10, None, 0.1), (20, None, 0.1)) == ["initial_commit", "development", "development"]
+    assert labels((0, None, 0), (10, "v1.0", 0), (20, None, 0)) == ["initial_commit", "milestone_1_0", "milestone_1_0"]
     day = 86400
-    labels = T.epoch_labels([(0, None, 0), (100 * day, None, 0.5), (190 * day, None, 0), (281 * day, None, 0)])
-    assert labels[1].startswith("major_refactor") and labels[2] == "development" and labels[3].startswith("period_")
+    got = labels((0, None, 0), (100 * day, None, 0.5), (190 * day, None, 0), (281 * day, None, 0), (282 * day, None, 0.15))
+    assert got == ["initial_commit", "major_refactor_1abcdef", "major_refactor_1abcdef", "period_1970_10", "major_refactor_4abcdef"]
+
+
+def test_situations(spark):
+    commits = spark.createDataFrame([("o/r", 1, 10, "development"), ("o/r", 2, 20, "milestone_1_0"), ("o/r", 3, 30, "milestone_1_0"), ("o/r", 4, 40, "major_refactor_abc")], "repo string, commit long, ts long, epoch string")
+    new = spark.createDataFrame([("o/r", 2, x) for x in "zyxwvut"] + [("o/r", 3, "late")], "repo string, commit long, label string")
+    got = {(r["epoch"], r["situation"]): r for r in T.situations(commits, new).collect()}
+    assert set(got) == {("milestone_1_0", "release_prep"), ("milestone_1_0", "subsystem_addition"), ("major_refactor_abc", "major_refactor")}
+    r = got["milestone_1_0", "release_prep"]
+    assert (r["first_commit"], r["last_commit"], r["from_ts"], r["to_ts"], r["outcome"], r["tags"]) == (2, 3, 20, 30, "milestone_release", ["release", "1.0"])
+    assert r["label"] == "Release Prep \u2014 o/r @ milestone_1_0" and len({x["key"] for x in got.values()}) == 3
+    assert got["milestone_1_0", "subsystem_addition"]["tags"] == ["late"] and got["major_refactor_abc", "major_refactor"]["tags"] == ["refactor", "r"]
+    assert T.situations(commits.limit(0), new.limit(0)).count() == 0
 
 
 # --- people ---------------------------------------------------------------------------------------
@@ -188,6 +223,35 @@ def test_authors(spark):
     assert one(spark, people.email_key(F.lit("Jo.Doe+x@X.org"))) == "jo_doe_x"
     assert one(spark, people.maintenance_score(F.lit(10), F.lit(10), F.lit(0))) == 1.0
     assert one(spark, people.maintenance_score(F.lit(0), F.lit(0), F.lit(999))) == pytest.approx(0.04)
+    assert one(spark, people.maintenance_score(F.lit(10), F.lit(10), F.lit(365))) == pytest.approx(0.64)
+    assert one(spark, people.maintenance_score(F.lit(1), F.lit(2), F.lit(73))) == pytest.approx(0.628)
+
+
+def test_risk(spark):
+    f = lambda n, a: (one(spark, people.risk(F.lit(n), F.lit(a))), one(spark, people.risk_level(people.risk(F.lit(n), F.lit(a)))))
+    assert [f(0, 0), f(1, 1), f(1, 0), f(2, 2), f(2, 1), f(3, 3), f(4, 0)] == [(150, "CRITICAL"), (70, "HIGH"), (120, "CRITICAL"), (30, "MEDIUM"), (50, "MEDIUM"), (0, "LOW"), (50, "MEDIUM")]
+
+
+def test_chunks_and_headers(spark):
+    from tempolith.operators import text
+
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(10))), (2, "one"), (3, " "), (4, None)], "k int, t string")
+    got = [(r["k"], r["chunk_index"], r["word_count"], r["total_chunks"]) for r in text.chunks(docs, "k", "t", 5, 2).orderBy("k", "chunk_index").collect()]
+    assert got == [(1, 0, 5, 4), (1, 1, 5, 4), (1, 2, 4, 4), (1, 3, 1, 4), (2, 0, 1, 1)]
+    f = lambda s: one(spark, text.section_header(F.lit(s)))
+    assert f("x\n## Title here\n1.2 A") == "Title here" and f("1.2.3 Memory") == "1.2.3 Memory" and f("##### deep") is None and f("1.2 lower") is None
+
+
+def test_relations_operators_memories(spark):
+    from tempolith.operators import extract as X
+
+    f = lambda s: one(spark, X.relation_label(F.lit(s)))
+    assert [f(x) for x in ("uses", "Is Part Of", "connects to", "depends-on", "is verified by", "blah")] == ["INCLUDES", "INCLUDES", "CONNECTS_TO", "DEPENDS_ON", "TESTED_BY", "RELATED_TO"]
+    names = ["dpram_x", "spram", "ram", "rom1", "regfile", "fifo", "icache", "dtlb", "mem", "q"]
+    body = "module m;\n" + "".join(f"reg [7:0] {n} [0:31];\n" for n in names) + "endmodule"
+    got = {r["name"]: r["memory_type"] for r in X.memories(spark.createDataFrame([("m", body)], "module string, body string")).collect()}
+    want = ["Dual-Port RAM", "Single-Port RAM", "RAM", "ROM", "Register File", "FIFO", "Cache", "TLB (Translation Lookaside Buffer)", "Memory Array", "Memory Array"]
+    assert got == dict(zip(names, want))
 
 
 # --- graphs ---------------------------------------------------------------------------------------
