@@ -137,18 +137,21 @@ def weighted_fields(name_score: Column, description_score: Column, name: float =
 # --- vectors ------------------------------------------------------------------------------------------
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, key: str, vector: str, threshold: float, cells: int = 16) -> DataFrame:
-    """Pairs of unit vectors of two tables with cosine of at least the threshold, exactly.
+def similar_pairs(a: DataFrame, b: DataFrame, key: str, vector: str, threshold: float, block: int = 2048) -> DataFrame:
+    """Pairs of vectors of two tables with cosine of at least the threshold, exactly.
 
-    Both tables are cut into blocks of vectors; blocks meet in an equi-join on a block number that the smaller
-    side is repeated over, and a block pair is one matrix product.
+    Both tables are cut into blocks of about ``block`` vectors; each pair of blocks is one matrix product, so no
+    task holds more than two blocks, however large the tables are. The work is that of all pairs.
     """
     import numpy as np
     import pandas as pd
 
-    n = max(1, cells)
-    left = a.filter(F.col(vector).isNotNull()).select(F.lit("a").alias("side"), F.col(key).alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("long").alias("cell"))
-    right = b.filter(F.col(vector).isNotNull()).select(F.lit("b").alias("side"), F.col(key).alias("k"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("cell"))
+    a, b = (t.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")) for t in (a, b))
+    rows, columns = (max(1, -(-t.count() // block)) for t in (a, b))
+
+    def dealt(t: DataFrame, side: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        d = t.withColumn("side", F.lit(side)).withColumn(own, F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("side", "k", "v", "i", "j")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == "a"], pdf[pdf["side"] == "b"]
@@ -160,4 +163,5 @@ def similar_pairs(a: DataFrame, b: DataFrame, key: str, vector: str, threshold:
         i, j = np.nonzero(s >= threshold)
         return pd.DataFrame({"a": x["k"].to_numpy()[i], "b": y["k"].to_numpy()[j], "score": s[i, j]})
 
-    return left.unionByName(right).groupBy("cell").applyInPandas(meet, "a long, b long, score double")
+    both = dealt(a, "a", "i", rows, "j", columns).unionByName(dealt(b, "b", "j", columns, "i", rows))
+    return both.groupBy("i", "j").applyInPandas(meet, "a long, b long, score double")

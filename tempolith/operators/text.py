@@ -20,10 +20,17 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, document, score) for all pairs that share a token. Postings of tokens that no query has are dropped
     before anything is counted over them."""
+    from ..sources.shared import checkpointed
+
     q = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("token"))
-    p = postings(docs, key, text)
-    totals = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = p.join(q.select("token").distinct(), "token", "left_semi")
+    # documents are cut into tokens once; of their postings, those of tokens in a query are kept
+    cut = docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("token"))
+    counted = cut.groupBy(key, "dl", "token").agg(F.count("token").alias("tf"))
+    wanted_or_none = counted.join(q.select("token").distinct().withColumn("_q", F.lit(True)), "token", "left")
+    p = checkpointed(wanted_or_none.groupBy(key, "dl").agg(F.collect_list(F.when(F.col("_q"), F.struct("token", "tf"))).alias("_hits")))
+    totals = p.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    p = p.select(key, "dl", F.explode("_hits").alias("_h")).select(key, "dl", "_h.token", "_h.tf")
+    wanted = p
     df = wanted.groupBy("token").agg(F.count("*").alias("df"))
     s = wanted.join(df, "token").crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -45,6 +52,25 @@ def has_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(line(text), line(phrase)) & (F.size(tokens(phrase)) > 0)
 
 
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text: str, phrase_key: str, phrase: str) -> DataFrame:
+    """(document, phrase) of all whole phrases that a document has, token by token.
+
+    A phrase meets the documents that have the rarest of its tokens, by an equi-join; then it is looked for.
+    """
+    line = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    d = docs.select(F.col(key).alias("_d"), tokens(F.col(text)).alias("_t"))
+    p = phrases.select(F.col(phrase_key).alias("_p"), tokens(F.col(phrase)).alias("_w"))
+    words_ = p.select("_p", F.explode(F.array_distinct("_w")).alias("token"))
+    posts = d.select("_d", F.explode(F.array_distinct("_t")).alias("token")).join(words_.select("token").distinct(), "token", "left_semi")
+    df = posts.groupBy("token").agg(F.count("*").alias("df"))
+    # a token that no document has rules its phrase out
+    rare = words_.join(df, "token", "left").groupBy("_p").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("_r"))
+    rare = rare.filter("_r.df > 0").select("_p", F.col("_r.token").alias("token")).join(p.select("_p", line(F.col("_w")).alias("_line")), "_p")
+    met = posts.join(rare, "token").select("_d", "_p", "_line")
+    hit = met.join(d.select("_d", line(F.col("_t")).alias("_text")), "_d").filter(F.contains("_text", "_line"))
+    return hit.select(F.col("_d").alias(key), F.col("_p").alias(phrase_key)).distinct()
+
+
 def top_per(df: DataFrame, by: list[str], score: str, ties: list[str], k: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc(score), *ties)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

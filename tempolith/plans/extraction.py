@@ -152,23 +152,24 @@ def ext_resolve(spark: SparkSession, d: str) -> DataFrame:
     return X.resolve_names(w, [("port", ported), ("signal", X.signals(u)), ("memory", X.memories(u)), ("parameter", X.parameters(u))])
 
 
-@q("SRC-07", "SRC-08", oracle="SELECT 'txt' AS extension, CAST(5 AS BIGINT) AS files, CAST(5 AS BIGINT) AS modules")
+@q("SRC-07", "SRC-08", oracle="SELECT 'txt' AS extension, count(*) AS files, count(*) AS modules FROM nation")
 def src_tree(spark: SparkSession, d: str) -> DataFrame:
     """A tree of text files, found and read again whole."""
     p = scratch(spark, "tree")
-    units(spark, d).filter("k < 5 AND module <> 'sub'").select("k", "body").write.partitionBy("k").text(p)
+    units(spark, d).filter("module <> 'sub'").select("k", "body").write.partitionBy("k").text(p)
     found = files.discover_documents(spark, p)
     mods = X.modules(files.read_sources(spark, p, ("txt",)))
     n = mods.agg(F.countDistinct("module").alias("modules"))
     return found.groupBy("extension").agg(F.count("*").alias("files")).crossJoin(F.broadcast(n))
 
 
-@q("SRC-11", oracle="SELECT md5('o' || l_orderkey) AS commit, 'part/' || l_partkey AS file, count(*) AS n FROM lineitem WHERE l_orderkey < 300 GROUP BY 1, 2")
+@q("SRC-11", oracle="SELECT md5('o' || l_orderkey) AS commit, 'part/' || l_partkey AS file, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def src_name_only(spark: SparkSession, d: str) -> DataFrame:
-    li = load(spark, d, "lineitem").filter("l_orderkey < 300").select("l_orderkey", "l_partkey")
+    """Logs of 1,024 repositories: a header line for each order, then its parts."""
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     head = li.select("l_orderkey").distinct().select((F.col("l_orderkey") * 1000000000).alias("line"), F.concat(F.lit("commit "), F.md5(F.concat(F.lit("o"), "l_orderkey"))).alias("value"))
     body = li.select((F.col("l_orderkey") * 1000000000 + 1 + F.col("l_partkey")).alias("line"), F.concat(F.lit("part/"), "l_partkey").alias("value"))
-    lines = head.unionByName(body).withColumn("log", F.lit("main"))
+    lines = head.unionByName(body).withColumn("log", F.floor(F.col("line") / 1000000000) % 1024)
     return files.parse_name_only(lines).groupBy("commit", "file").agg(F.count("*").alias("n"))
 
 
@@ -185,13 +186,13 @@ def sim_charset(spark: SparkSession, d: str) -> DataFrame:
 
 @q("PL-05", "TXT-03", oracle=f"""
 WITH d AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), p AS (SELECT doc_id, unnest(t) AS token, len(t) AS dl FROM d), tf AS (SELECT doc_id, token, dl, count(*) AS tf FROM p GROUP BY ALL),
-q AS (SELECT DISTINCT item_id, unnest(list_filter({_TOK.format('text')}, lambda x: length(x) >= 4)) AS token FROM benchmark WHERE item_id BETWEEN 10 AND 15), df AS (SELECT token, count(*) AS df FROM tf WHERE token IN (SELECT token FROM q) GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest(list_filter({_TOK.format('text')}, lambda x: length(x) >= 4)) AS token FROM benchmark), df AS (SELECT token, count(*) AS df FROM tf WHERE token IN (SELECT token FROM q) GROUP BY 1),
 s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (token) JOIN df USING (token), n GROUP BY 1, 2)
 SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 7) DESC, doc_id) AS r FROM s) WHERE r <= 2 AND score > 5""")
 def br_logic_references(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of four or more characters against chunks, the best two above a score."""
     ids = F.filter(text.tokens(F.col("text")), lambda x: F.length(x) >= 4)
-    b = load(spark, d, "benchmark").filter("item_id BETWEEN 10 AND 15").select("item_id", F.array_join(ids, " ").alias("text"))
+    b = load(spark, d, "benchmark").select("item_id", F.array_join(ids, " ").alias("text"))
     s = text.bm25(load(spark, d, "documents"), b, "doc_id", "text", "item_id", "text").withColumn("score", F.round("score", 7))
     return text.top_per(s, ["item_id"], "score", ["doc_id"], 2).filter("score > 5").select("item_id", "doc_id")
 

@@ -108,13 +108,13 @@ def fn_object(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("FN-BIT", oracle="""
-SELECT p_partkey, p_partkey & 255 AS a, p_partkey | 1 AS o, xor(p_partkey, 170) AS x, (p_partkey << 2) & 65535 AS sl, p_partkey >> 1 AS sr, CAST(bit_count(p_partkey) AS BIGINT) AS pop, ~p_partkey & 65535 AS neg, lpad(bin(p_partkey), 16, '0') AS s FROM part WHERE p_partkey < 65536""")
+SELECT p_partkey, p_partkey & 255 AS a, p_partkey | 1 AS o, xor(p_partkey, 170) AS x, (p_partkey << 2) & 65535 AS sl, p_partkey >> 1 AS sr, CAST(bit_count(p_partkey) AS BIGINT) AS pop, ~p_partkey & 65535 AS neg, lpad(bin(p_partkey & 65535), 16, '0') AS s FROM part""")
 def fn_bit(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("p_partkey")
     lit = lambda n: F.lit(n).cast("long")
-    return load(spark, d, "part").filter("p_partkey < 65536").select(
+    return load(spark, d, "part").select(
         "p_partkey", p.bitwiseAND(lit(255)).alias("a"), p.bitwiseOR(lit(1)).alias("o"), M.bit_fold(F.array(p, lit(170)), "xor").alias("x"), M.bit_shift_left(p, 2, 16).alias("sl"), F.shiftright(p, 1).alias("sr"),
-        F.bit_count(p).cast("long").alias("pop"), M.bit_negate(p, 16).alias("neg"), M.bit_to_string(p, 16).alias("s"),
+        F.bit_count(p).cast("long").alias("pop"), M.bit_negate(p, 16).alias("neg"), M.bit_to_string(p.bitwiseAND(lit(65535)), 16).alias("s"),
     )
 
 

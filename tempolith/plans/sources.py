@@ -71,10 +71,10 @@ def src_remove(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("SRC-16", oracle="""
-SELECT 'orders/' || l_orderkey AS "from", 'part/' || l_partkey AS "to", count(*) AS n FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 2""")
+SELECT 'orders/' || l_orderkey AS "from", 'part/' || l_partkey AS "to", count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def src_endpoints(spark: SparkSession, d: str) -> DataFrame:
     """Order ids are in the id map, part ids fall back on the default of the edge type."""
-    e = load(spark, d, "lineitem").filter("l_orderkey < 200").select(F.concat(F.lit("o"), "l_orderkey").alias("from"), F.col("l_partkey").cast("string").alias("to"), F.lit("HAS").alias("type"))
+    e = load(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("from"), F.col("l_partkey").cast("string").alias("to"), F.lit("HAS").alias("type"))
     ids = load(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit("orders").alias("collection"))
     r = files.resolve_endpoints(e, ids, {"HAS": ("orders", "part")})
     return r.select(F.replace("from", F.lit("/o"), F.lit("/")).alias("from"), "to").groupBy("from", "to").agg(F.count("*").alias("n"))
@@ -96,11 +96,11 @@ def src_copy(spark: SparkSession, d: str) -> DataFrame:
     return c("nation").unionByName(c("region"))
 
 
-@q("SRC-10", oracle="SELECT o_orderkey AS commit, 'c' || o_custkey AS author, CAST(epoch(o_orderdate) AS BIGINT) AS ts, 'a|||b ' || o_orderstatus AS subject FROM orders WHERE o_orderkey < 1000")
+@q("SRC-10", oracle="SELECT o_orderkey AS commit, 'c' || o_custkey AS author, CAST(epoch(o_orderdate) AS BIGINT) AS ts, 'a|||b ' || o_orderstatus AS subject FROM orders")
 def src_commits(spark: SparkSession, d: str) -> DataFrame:
     """Log lines, of which the last field contains the separator."""
     sec = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")
-    lines = load(spark, d, "orders").filter("o_orderkey < 1000").select(F.concat_ws("|||", F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), "o_custkey"), F.lit("m@x"), sec, F.concat(F.lit("a|||b "), "o_orderstatus")).alias("value"))
+    lines = load(spark, d, "orders").select(F.concat_ws("|||", F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), "o_custkey"), F.lit("m@x"), sec, F.concat(F.lit("a|||b "), "o_orderstatus")).alias("value"))
     return files.parse_commits(lines).select(F.col("commit").cast("long").alias("commit"), "author", "ts", "subject")
 
 
