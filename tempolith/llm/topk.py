@@ -10,7 +10,7 @@ query's k-th best score; a whole pivot is left out if its nearest annulus does.
 A query first searches the list of its own nearest pivot. The k-th best score found there is its floor in the
 second round, through all other pivots, so that round makes few rows that don't belong to the result.
 
-Pivots, about the square root of the vectors but at most ``PIVOTS``, are k-means centres of a bounded sample
+Pivots, a quarter of the square root of the number of vectors but at most ``PIVOTS``, are k-means centres of a bounded sample
 (``SAMPLE`` vectors a pivot, by hashed id), which also gives each query its first bound; every vector is indexed.
 Lists of a pivot are cut into chunks of about ``CHUNK`` vectors, queries into blocks by their own nearest pivot,
 so no task holds more than a chunk and a block, and blocks meet the chunks of those pivots only that can improve
@@ -144,10 +144,12 @@ def _pack_queries(shared, rings: dict[int, tuple[float, float]], home: bool):
         d, norm2 = p.distances(e), (e * e).sum(axis=1)
         known = np.array(sorted(rings))
         nearest = known[np.argmin(d[:, known], axis=1)]
+        lo, hi = (np.array([rings[x][side] for x in known.tolist()]) for side in (0, 1))
+        gap = np.maximum(0, np.maximum(lo - d[:, known], d[:, known] - hi))
+        meets = (best_possible(norm2[:, None], p.m2, gap) >= floor[:, None]) & ((nearest[:, None] == known[None, :]) == home)
         out = []
-        for pivot, (lo, hi) in rings.items():
-            gap = np.maximum(0, np.maximum(lo - d[:, pivot], d[:, pivot] - hi))
-            some = np.flatnonzero((best_possible(norm2, p.m2, gap) >= floor) & ((nearest == pivot) == home))
+        for at in np.flatnonzero(meets.any(axis=0)):
+            pivot, some = int(known[at]), np.flatnonzero(meets[:, at])
             if len(some):
                 out.append({"pivot": pivot, "q_ids": ids[some].tobytes(), "q_vectors": q[some].tobytes(), "q_floor": floor[some].tobytes(), "q_dists": d[some, pivot].tobytes()})
         return pd.DataFrame(out, columns=["pivot", "q_ids", "q_vectors", "q_floor", "q_dists"])
@@ -214,7 +216,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int | None
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if m2 >= 2.0**62:
         raise ValueError("scores of vectors this long don't fit 64 bits")
-    pivots = min(PIVOTS, max(FEWEST, int(n**0.5)))
+    pivots = min(PIVOTS, max(FEWEST, int(n**0.5 / 4)))
     rows = v.orderBy(F.xxhash64(F.lit(13), "vec_id"), "vec_id").limit(sample or SAMPLE * pivots).select("vec_id", "v").collect()  # bounded by SAMPLE * PIVOTS
     x = _matrix([r["v"] for r in rows], dims)
     shared = spark.sparkContext.broadcast(Pivots(np.array([r["vec_id"] for r in rows], np.int64), x, m2, k, pivots))
