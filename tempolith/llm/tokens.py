@@ -7,7 +7,9 @@ only those are looked up in Python. Of parts that the cache hasn't got, plain wo
 others go to the library, many in one call. Ids are assembled by numpy: a part is a slot, a range of one array of ids, so there are no lists of small
 objects. Texts that contain one of the vocabulary's special strings go to the library whole.
 
-The cache keeps at most ``CACHE`` slots. When it is full, parts that only one batch had are forgotten first.
+The cache keeps at most ``CACHE`` slots, of parts of at most ``KEEP`` bytes, so its size has a bound whatever the
+texts are; longer parts (texts without spaces) are encoded anew each time. When it is full, parts that only one batch
+had are forgotten first.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .merges import Merges
 
 #: Parts that a worker remembers, unless the caller says otherwise; about 150 bytes each.
 CACHE = 150_000
+#: Bytes of a part that is remembered; a part has no more ids than bytes, so slots take 64 MB at most.
+KEEP = 64
 #: Bytes of text that are encoded together; a longer text is encoded by itself.
 AT_ONCE = 2_500_000
 #: Letters of a word that is merged here; longer ones go to the library.
@@ -86,6 +90,16 @@ class _Slots:
         self.number.update(zip(parts, range(self.n, n)))
         self.n, self.used = n, used
 
+    def drop(self, parts: list[str], n: int, used: int) -> None:
+        """Forget ``parts``, which were added last, after ``n`` others with ``used`` ids."""
+        for p in parts:
+            del self.number[p]
+        self.n, self.used = n, used
+        for name, rest in (("start", n), ("length", n), ("uses", n), ("ids", used)):
+            held = getattr(self, name)
+            if len(held) > 2 * rest + 100_000:
+                setattr(self, name, held[: rest + 1024].copy())
+
     def find(self, parts: list[str]) -> np.ndarray:
         return np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
 
@@ -319,13 +333,18 @@ class CachedTokenizer:
             s.add([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
         names = coded.dictionary.to_numpy(zero_copy_only=False)
         found = s.find(names.tolist())
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            found[missing] = self._add(coded.dictionary.take(pa.array(missing)), names[missing])
+        missing = found < 0
+        long = missing & (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > KEEP)
+        for some in (missing & ~long, long):
+            held = s.n, s.used  # of the last ones, which aren't kept
+            if some.any():
+                found[some] = self._add(coded.dictionary.take(pa.array(np.flatnonzero(some))), names[some])
         s.uses[found] += 1
         slots = found[coded.indices.to_numpy(zero_copy_only=False)]
         size = s.length[slots]
         ids = s.ids[_ranges(s.start[slots], size)]
+        if long.any():
+            s.drop(names[long].tolist(), *held)
         if len(stop):
             out = np.zeros(len(ids) + len(stop), np.uint32)
             size = size + cut

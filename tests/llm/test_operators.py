@@ -217,6 +217,18 @@ def test_merges_are_the_librarys(spark, sf_dir):
             assert t.slots.n < 20_000 if cache == 50 else True
 
 
+def test_parts_without_spaces_dont_fill_the_cache():
+    rnd = np.random.default_rng(11)
+    for path in (BYTE, WORD):
+        t = tokens.CachedTokenizer(path)
+        for _ in range(3):
+            texts = ["".join(map(chr, rnd.integers(0x4E00, 0x9000, 2000))) for _ in range(60)] + ["a" * 500, "b" * 64 + " x", "x" * 65 + ". y"]
+            got = [x for _, ids, lengths in t.batches(pa.array(texts, pa.string()), 100_000) for x in split(ids, lengths)]
+            assert got == [library(path, x).tolist() for x in texts]
+        assert max(len(x.encode()) for x in t.slots.number) <= tokens.KEEP
+        assert len(t.slots.ids) < 300_000
+
+
 # --- 4 token counts ---------------------------------------------------------------------------------
 
 
