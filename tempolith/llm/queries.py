@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..tables import load
-from . import chat, fingerprints, langid, mixing, near_dups, packing, token_counts, token_files, tokens, topk, toxicity
+from . import chat, contamination, divergence, fingerprints, langid, mixing, near_dups, packing, token_counts, token_files, tokens, topk, toxicity, vector_codes
 
 LLM = Registry()
 
@@ -117,6 +117,79 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
 
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@LLM.query("llm-11", oracle=rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+c AS (SELECT item, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS k FROM c),
+pos AS (SELECT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: struct_pack(i := i, k := array_to_string(w[i:i + m - 1], ' ')))) AS x
+        FROM d JOIN (SELECT DISTINCT m FROM win) ON len(w) >= m),
+occ AS (SELECT doc_id, pos.m, x.i AS i, item FROM pos JOIN win ON pos.m = win.m AND x.k = win.k),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM occ) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(its.s, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""")
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.begin)
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds, one after another: books0 has the first entries, near0 what is assigned to them, and so on."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS rid, [CAST(floor(4096.0 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), cut AS MATERIALIZED (SELECT rid, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v FROM kept, (SELECT unnest(range({parts})) AS part)),
+books0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM cut WHERE rid <= {entries})"""]
+    near = """near{0} AS MATERIALIZED (
+  SELECT rid, part, min(d) AS d, arg_min(entry, {{'d': d, 'e': entry}}) AS entry FROM (
+    SELECT c.rid, c.part, b.entry, CAST(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - b.v[i]) * (c.v[i] - b.v[i]))) AS BIGINT) AS d
+    FROM cut c JOIN books{0} b ON c.part = b.part) GROUP BY rid, part)"""
+    for r in range(rounds):
+        steps.append(near.format(r))
+        steps.append(f"""books{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM books{r} b LEFT JOIN (
+    SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT c.part, entry, i, sum(c.v[i]) AS s, count(*) AS n FROM cut c JOIN near{r} n ON c.rid = n.rid AND c.part = n.part, unnest(range(1, len(c.v) + 1)) t(i) GROUP BY ALL) GROUP BY ALL
+  ) m ON b.part = m.part AND b.entry = m.entry)""")
+    steps.append(near.format(rounds))
+    steps.append(f"""coded AS MATERIALIZED (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY rid),
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i)) AS h FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS i FROM books{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN coded USING (rid), digest""")
+    return ",\n".join(steps)
+
+
+@LLM.query("llm-12", oracle=_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(load(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
+@LLM.query("llm-13", oracle=rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, {_LETTERS}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+n AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n.n) FILTER (k.term IS NOT NULL), 0) AS total FROM g LEFT JOIN n ON g.lang = n.lang AND g.source = n.source LEFT JOIN k ON n.lang = k.lang AND n.term = k.term GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (s.total + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN l ON g.lang = l.lang JOIN s ON g.lang = s.lang AND g.source = s.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(load(spark, sf_dir, "documents"), least=30, top=50)
+
+
 @LLM.query("llm-pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
