@@ -98,7 +98,7 @@ def cycles(edges: DataFrame, low: int, high: int, keep: Keep = _plain) -> DataFr
 
 
 def depth_of(edges: DataFrame, high: int, keep: Keep) -> DataFrame:
-    """(node, depth): edges of the longest path down from each vertex, ``high`` at most; leaves have 0."""
+    """(node, depth): edges of the longest path down from each vertex; leaves have 0. Beyond ``high``, as on a cycle, it raises."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     depth = keep(nodes.withColumn("depth", F.lit(0)), "depth")
     for _ in range(high):
@@ -107,11 +107,12 @@ def depth_of(edges: DataFrame, high: int, keep: Keep) -> DataFrame:
         if not new.filter("depth <> old").limit(1).count():
             return new.select("node", "depth")
         depth = new.select("node", "depth")
-    return depth
+    raise RuntimeError(f"depths didn't settle in {high} rounds: the graph has a cycle, or longer paths")
 
 
-def shortest_path(edges: DataFrame, source, target, direction: str = "outbound", weight: str | None = None, high: int = 50, keep: Keep = _plain) -> DataFrame:
-    """One path of least edges or weight, the least by its vertices among equals: (path, length or cost). None: no row."""
+def shortest_path(edges: DataFrame, source, target, direction: str = "outbound", weight: str | None = None, high: int = 10_000, keep: Keep = _plain) -> DataFrame:
+    """One path of least edges or weight, the least by its vertices among equals: (path, length or cost). None: no row.
+    A search that isn't over after ``high`` steps raises."""
     e = orient(edges, direction)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = e.select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
@@ -127,36 +128,8 @@ def shortest_path(edges: DataFrame, source, target, direction: str = "outbound",
         end = best.filter(F.col("node") == target).select("cost").first()
         live = best.filter("fresh") if end is None else best.filter(F.col("fresh") & (F.col("cost") < end["cost"]))
         if not live.limit(1).count():
-            break
-    return best.filter(F.col("node") == target).select("path", "cost")
-
-
-def k_shortest_paths(edges: DataFrame, source, target, k: int, high: int, direction: str = "outbound", weight: str | None = None, keep: Keep = _plain) -> DataFrame:
-    """The k simple paths of least cost with ``high`` edges at most: (rank, path, cost); ties by their vertices."""
-    e = orient(edges, direction).select("src", "dst", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    # vertices that can't reach the target in the steps left lead nowhere
-    spark = edges.sparkSession
-    back = traverse(spark.range(1).select(F.lit(target).alias("node")), e, 0, high, "inbound", "global", keep=keep).select("node", F.col("depth").alias("left"))
-    back = keep(back, "back")
-    level = spark.range(1).select(F.lit(source).alias("node"), F.array(F.lit(source)).alias("path"), F.lit(0.0).alias("cost"))
-    out = None
-    for n in range(1, high + 1):
-        level = level.join(e.withColumnRenamed("src", "node"), "node").filter(~F.array_contains("path", F.col("dst")))
-        level = level.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), (F.col("cost") + F.col("w")).alias("cost"))
-        level = keep(level.join(back, "node").filter(F.col("left") <= high - n).drop("left"), f"k-{n}")
-        done = level.filter(F.col("node") == target).select("path", "cost")
-        out = done if out is None else out.unionByName(done)
-        level = level.filter(F.col("node") != target)
-    from pyspark.sql import Window
-
-    best = out.orderBy("cost", "path").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("cost", "path")))
-
-
-def all_shortest_paths(edges: DataFrame, source, target, high: int, direction: str = "outbound", keep: Keep = _plain) -> DataFrame:
-    p = k_shortest_paths(edges, source, target, 1, high, direction, keep=keep).select(F.col("cost").alias("least"))
-    every = traverse(edges.sparkSession.range(1).select(F.lit(source).alias("node")), edges, 1, high, direction, "path", keep=keep).filter(F.col("node") == target)
-    return every.join(F.broadcast(p), every.depth == p.least).select("path", F.col("depth").alias("length"))
+            return best.filter(F.col("node") == target).select("path", "cost")
+    raise RuntimeError(f"no shortest path was certain after {high} steps")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import names
 from . import similarity as sim
 
 
@@ -37,24 +38,22 @@ def repoint(edges: DataFrame, mapping: DataFrame, src: str, dst: str, kind: str)
     return e.filter(F.col(src) != F.col(dst)).groupBy(src, dst, kind).agg(F.count("*").alias("evidence"))
 
 
-def fuzzy_blocks(names: DataFrame, block: str, name: str, key: str, distance: int) -> DataFrame:
-    """Pairs of names in a block within an edit distance.
-
-    Lengths differ by the distance at most, so a name meets only the names of its block in its own and the next
-    ``distance`` length classes: an equi-join, not a comparison of all names of a block.
-    """
-    n = names.select(F.col(block).alias(block), F.col(name).alias("a"), F.col(key).alias("ka"), F.length(name).alias("_l"))
-    probe = n.withColumn("_l", F.explode(F.sequence(F.col("_l"), F.col("_l") + distance)))
-    other = names.select(F.col(block).alias(block), F.col(name).alias("b"), F.col(key).alias("kb"), F.length(name).alias("_l"))
-    j = probe.join(other, [block, "_l"]).filter((F.col("ka") != F.col("kb")) & ((F.length("a") < F.col("_l")) | (F.col("ka") < F.col("kb"))))
-    j = j.withColumn("distance", F.levenshtein("a", "b", distance)).filter("distance >= 0")
-    swap = F.col("ka") > F.col("kb")
-    return j.select(block, F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "distance")
+def fuzzy_blocks(entities: DataFrame, block: str, name: str, key: str, distance: int) -> DataFrame:
+    """Pairs of entities of a block whose different names are within an edit distance: (block, a, b, ka, kb, distance)."""
+    pairs = names.near(entities, block, name, distance)
+    keys = entities.select(F.col(block).alias("block"), F.col(name).alias("_n"), F.col(key).alias("_k"))
+    side = lambda n, k: keys.select(F.col("block").alias(f"_{k}"), F.col("_n").alias(f"_{n}"), F.col("_k").alias(k))
+    j = pairs.join(side("x", "kx"), F.col("block").eqNullSafe(F.col("_kx")) & (F.col("a") == F.col("_x"))).join(side("y", "ky"), F.col("block").eqNullSafe(F.col("_ky")) & (F.col("b") == F.col("_y")))
+    swap = F.col("kx") > F.col("ky")
+    return j.select(
+        F.col("block").alias(block), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
+        F.least("kx", "ky").alias("ka"), F.greatest("kx", "ky").alias("kb"), "distance",
+    )
 
 
-def fuzzy_pairs(names: DataFrame, block: str, name: str, key: str, distance: int = 1, confidence: float = 0.75) -> DataFrame:
+def fuzzy_pairs(entities: DataFrame, block: str, name: str, key: str, distance: int = 1, confidence: float = 0.75) -> DataFrame:
     """Fuzzy pairs that are confident enough."""
-    p = fuzzy_blocks(names, block, name, key, distance)
+    p = fuzzy_blocks(entities, block, name, key, distance)
     return p.withColumn("confidence", sim.fuzzy_confidence(F.lower("a"), F.lower("b"))).filter(F.col("confidence") >= confidence)
 
 

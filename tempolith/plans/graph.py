@@ -120,25 +120,6 @@ def gr_shortest_weighted(spark: SparkSession, d: str) -> DataFrame:
     return g.shortest_path(e, 0, 18, "outbound", "w", keep=cut).select("cost")
 
 
-@q("GR-10", oracle="""
-WITH RECURSIVE e AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON b.n_nationkey IN (a.n_nationkey + 1, a.n_nationkey + 3) AND a.n_nationkey < 12),
-p AS (SELECT 0 AS node, [0] AS path UNION ALL SELECT e.dst, list_append(path, e.dst) FROM p JOIN e ON p.node = e.src WHERE len(path) <= 6)
-SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS DOUBLE) AS cost FROM p WHERE node = 9 ORDER BY len(path), path LIMIT 5""")
-def gr_kpaths(spark: SparkSession, d: str) -> DataFrame:
-    n = load(spark, d, "nation").filter("n_nationkey < 12").select(F.col("n_nationkey").alias("src"))
-    e = n.withColumn("dst", F.explode(F.array(F.col("src") + 1, F.col("src") + 3)))
-    p = g.k_shortest_paths(e, 0, 9, 5, 6, keep=cut)
-    return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
-
-
-@q("GR-10", oracle="SELECT '0>3>6>9' AS path, CAST(3 AS INTEGER) AS length")
-def gr_all_shortest(spark: SparkSession, d: str) -> DataFrame:
-    n = load(spark, d, "nation").filter("n_nationkey < 12").select(F.col("n_nationkey").alias("src"))
-    e = n.withColumn("dst", F.explode(F.array(F.col("src") + 1, F.col("src") + 3)))
-    p = g.all_shortest_paths(e, 0, 9, 6, keep=cut)
-    return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length")
-
-
 @q("GR-12", oracle=f"""
 WITH RECURSIVE e AS ({RING}), w AS (SELECT src AS start, dst AS node, 1 AS length FROM e UNION ALL SELECT start, e.dst, length + 1 FROM w JOIN e ON w.node = e.src WHERE w.node <> start AND length < 10)
 SELECT min(start) AS node, length FROM (SELECT start, length, (SELECT min(x.node) FROM w x WHERE x.start = w.start AND x.length <= w.length) AS least FROM w WHERE node = start AND length >= 2) GROUP BY least, length""")

@@ -169,16 +169,6 @@ def txt_phrase(spark: SparkSession, d: str) -> DataFrame:
     return text.phrase_hits(load(spark, d, "documents"), load(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
-@q("TXT-03", "WN-02", oracle=f"""
-WITH d AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), p AS (SELECT doc_id, unnest(t) AS token, len(t) AS dl FROM d), tf AS (SELECT doc_id, token, dl, count(*) AS tf FROM p GROUP BY ALL),
-q AS (SELECT DISTINCT item_id, unnest({_TOK.format('text')}) AS token FROM benchmark), df AS (SELECT token, count(*) AS df FROM tf WHERE token IN (SELECT token FROM q) GROUP BY 1),
-s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (token) JOIN df USING (token), n GROUP BY 1, 2)
-SELECT item_id, doc_id, round(score, 3) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 7) DESC, doc_id) AS r FROM s) WHERE r <= 5""")
-def txt_bm25(spark: SparkSession, d: str) -> DataFrame:
-    s = text.bm25(load(spark, d, "documents"), load(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
-    return text.top_per(s.withColumn("score", F.round("score", 7)), ["item_id"], "score", ["doc_id"], 5).select("item_id", "doc_id", F.round("score", 3).alias("score"), "rank")
-
-
 @q("TXT-04", oracle=f"""
 WITH p AS (SELECT item_id, unnest({_TOK.format('text')}) AS token, len({_TOK.format('text')}) AS dl FROM benchmark), tf AS (SELECT item_id, token, dl, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1)
 SELECT item_id, token, round(tf / dl * ln((SELECT count(*) FROM benchmark) / df), 6) AS tfidf FROM tf JOIN df USING (token)""")
