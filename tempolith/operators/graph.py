@@ -169,37 +169,6 @@ def label_propagation(edges: DataFrame, rounds: int, keep: Keep) -> DataFrame:
     return labels
 
 
-def modularity_communities(edges: DataFrame, rounds: int, keep: Keep) -> DataFrame:
-    """(node, community) by local moves for modularity, one level, all vertices at once on alternating halves.
-
-    A vertex moves to the neighbouring community with the greatest gain; only vertices of a hash half move in a
-    round, so that two neighbours don't swap for ever. Deterministic; ties go to the smaller community.
-    """
-    e = keep(orient(edges.select("src", "dst"), "any").filter("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "edges")
-    m2 = e.agg(F.sum("w")).first()[0] or 1.0
-    k = keep(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "strength")
-    c = keep(k.select("node", "k", F.col("node").alias("community")), "labels")
-    for i in range(rounds):
-        size = c.groupBy("community").agg(F.sum("k").alias("tot"))
-        to = e.join(c.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("w").alias("into"))
-        own = c.select(F.col("node").alias("src"), "k", F.col("community").alias("own"))
-        gain = to.join(size, "community").join(own, "src")
-        rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = gain.withColumn("gain", F.round(F.col("into") - rest * F.col("k") / m2, 9))
-        best = gain.groupBy("src").agg(F.min(F.struct((-F.col("gain")).alias("g"), "community")).alias("_b"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        better = (-F.col("_b.g") > F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0)) + 1e-9) & moves
-        j = c.join(best.withColumnRenamed("src", "node"), "node", "left")
-        c = keep(j.select("node", "k", F.when(better, F.col("_b.community")).otherwise(F.col("community")).alias("community")), "labels")
-    return c.select("node", "community")
-
-
-def _unestimated(df: DataFrame) -> DataFrame:
-    """A kept frame without the size estimate it has from its lineage, of which a loop of joins doubles the digits each step."""
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
-
-
 def strong_components(edges: DataFrame, keep: Keep) -> DataFrame:
     """(node, component): the smallest vertex that a vertex reaches and is reached from, by forward and backward colouring.
 
@@ -210,7 +179,7 @@ def strong_components(edges: DataFrame, keep: Keep) -> DataFrame:
     about log n steps and rounds, in whatever order their ids are; a ring that has its own colour already is walked
     edge by edge when an earlier one enters it from outside.
     """
-    kept = lambda df, name: _unestimated(keep(df, name))
+    kept = keep
     e = kept(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
     left = kept(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
     done = left.select("node", F.col("node").alias("c")).limit(0)

@@ -207,11 +207,6 @@ def gr_label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return g.label_propagation(tree(spark, d), 20, cut)
 
 
-@q("GR-19")
-def gr_modularity(spark: SparkSession, d: str) -> DataFrame:
-    return g.modularity_communities(tree(spark, d), 10, cut)
-
-
 @q("GR-20", oracle="""
 WITH e AS (SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem), s AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e)
 SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, count(*) AS degree FROM s GROUP BY node""")

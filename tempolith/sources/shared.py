@@ -26,14 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.abspath(d)}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read from there from now on."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -49,6 +41,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read from there from now on.
+
+    A written table has the size it has, where a checkpoint keeps the estimate of its lineage, which a loop of joins
+    multiplies at every step; so small tables of a loop are joined by broadcast, under Spark's own limit.
+    """
+    path = scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(since: int = 0) -> None:
     """Delete scratch made after the first ``since`` paths; only when no frame that reads it is needed any more."""
     while len(_made) > since:

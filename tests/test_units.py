@@ -13,7 +13,7 @@ from tempolith.functions import strings as S
 from tempolith.functions import values as V
 from tempolith.operators import extract as X
 from tempolith.operators import graph as G
-from tempolith.operators import people, resolve
+from tempolith.operators import leiden, people, resolve
 from tempolith.operators import relational as R
 from tempolith.operators import similarity as sim
 from tempolith.operators import temporal as T
@@ -273,8 +273,8 @@ def test_components_of_a_long_chain(spark):
 
 def test_communities_are_stable_and_within_components(spark):
     cliques = [(a, b) for base in (0, 10) for a, b in itertools.combinations(range(base, base + 5), 2)]
-    for f in (G.label_propagation, G.modularity_communities):
-        got = {r["node"]: r["community"] for r in f(frame(spark, cliques), 12, cut).collect()}
+    for f in (lambda e: G.label_propagation(e, 12, cut), lambda e: leiden.leiden(e, cut)):
+        got = {r["node"]: r["community"] for r in f(frame(spark, cliques)).collect()}
         assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1
         assert got[0] != got[10]
 
