@@ -17,7 +17,8 @@ so no task holds more than a chunk and a block, and blocks meet the chunks of th
 one of their queries.
 
 Defined cases: vectors that are null, or have null, NaN or infinite components, take no part; shorter vectors
-count as filled up with 0; equal vec_ids are separate candidates, but none is one of its own id; ties go to the
+count as filled up with 0; equal vec_ids are separate candidates, but none is one of its own id, and queries of one
+id but different vectors have each their own ranks (told apart by 64-bit digests); ties go to the
 smaller vec_id; fewer candidates give fewer rows; an empty table gives none. Scores are 64-bit integers; vectors
 whose squared norm in 64ths reaches 2 ** 62 could overflow them and raise ValueError.
 """
@@ -138,7 +139,7 @@ def _pack_queries(shared, rings: dict[int, tuple[float, float]], home: bool):
 
         p = shared.value
         q = np.frombuffer(b"".join(pdf["v"]), "<i8").reshape(-1, p.dims)
-        ids = pdf["vec_id"].to_numpy(np.int64)
+        ids, keys = pdf["vec_id"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64)
         floor = np.maximum(p.first_bound(ids, q), LOW if home else pdf["floor"].to_numpy(np.int64))
         e = np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], axis=1)
         d, norm2 = p.distances(e), (e * e).sum(axis=1)
@@ -151,14 +152,14 @@ def _pack_queries(shared, rings: dict[int, tuple[float, float]], home: bool):
         for at in np.flatnonzero(meets.any(axis=0)):
             pivot, some = int(known[at]), np.flatnonzero(meets[:, at])
             if len(some):
-                out.append({"pivot": pivot, "q_ids": ids[some].tobytes(), "q_vectors": q[some].tobytes(), "q_floor": floor[some].tobytes(), "q_dists": d[some, pivot].tobytes()})
-        return pd.DataFrame(out, columns=["pivot", "q_ids", "q_vectors", "q_floor", "q_dists"])
+                out.append({"pivot": pivot, "q_ids": ids[some].tobytes(), "q_keys": keys[some].tobytes(), "q_vectors": q[some].tobytes(), "q_floor": floor[some].tobytes(), "q_dists": d[some, pivot].tobytes()})
+        return pd.DataFrame(out, columns=["pivot", "q_ids", "q_keys", "q_vectors", "q_floor", "q_dists"])
 
     return run
 
 
 def search_chunk(p: Pivots, ids, dists, vectors, q_ids, q, q_floor, q_dists):
-    """(query, candidate, score) of a block in a chunk: k of each query at most, none below its floor."""
+    """(place of the query, candidate, score) of a block in a chunk: k of each query at most, none below its floor."""
     norm2 = (q.astype(np.float64) ** 2).sum(axis=1)
     starts = np.arange(0, len(ids), ANNULUS)
     ends = np.minimum(starts + ANNULUS, len(ids))
@@ -186,7 +187,7 @@ def search_chunk(p: Pivots, ids, dists, vectors, q_ids, q, q_floor, q_dists):
             found_s, found_i = np.take_along_axis(found_s, order, 1), np.take_along_axis(found_i, order, 1)
             floor = np.maximum(floor, found_s[:, p.k - 1])
     row, col = np.nonzero(found_s > LOW)
-    return q_ids[row], found_i[row, col], found_s[row, col]
+    return row, found_i[row, col], found_s[row, col]
 
 
 def _search_tasks(shared):
@@ -201,7 +202,8 @@ def _search_tasks(shared):
                     p, np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["dists"], "<f8"), np.frombuffer(r["vectors"], "<i8").reshape(n, p.dims),
                     np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_vectors"], "<i8").reshape(m, p.dims), np.frombuffer(r["q_floor"], "<i8"), np.frombuffer(r["q_dists"], "<f8"),
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+                of = lambda name: pa.array(np.frombuffer(r[name], "<i8")[q], pa.int64())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([of("q_ids"), of("q_keys"), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "query_key", "vec_id", "score"])
 
     return run
 
@@ -227,19 +229,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, sample: int | None
     packed = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks)).groupBy("pivot", "chunk").applyInPandas(_pack_index, "pivot int, ids binary, dists binary, vectors binary")
     packed = written(packed, "topk-chunks")
 
-    queries = index.join(v.filter("is_query").select(F.col("vec_id").alias("_q")).distinct(), F.col("vec_id") == F.col("_q"), "left_semi").dropDuplicates(["vec_id", "v"])
+    queries = index.join(v.filter("is_query").select(F.col("vec_id").alias("_q")).distinct(), F.col("vec_id") == F.col("_q"), "left_semi").dropDuplicates(["vec_id", "v"]).withColumn("key", F.xxhash64("v"))
     blocks = F.element_at(F.create_map(*[x for r in rings for x in (F.lit(r["pivot"]), F.lit(-(-r["n"] // (BLOCK * 20)) or 1))]), F.col("pivot"))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), blocks))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
 
     def searched(q: DataFrame, home: bool) -> DataFrame:
         pack = _pack_queries(shared, {r["pivot"]: (r["lo"], r["hi"]) for r in rings}, home)
-        q = q.groupBy("pivot", "chunk").applyInPandas(pack, "pivot int, q_ids binary, q_vectors binary, q_floor binary, q_dists binary")
-        return packed.join(q, "pivot").mapInArrow(_search_tasks(shared), "query_id long, vec_id long, score long")
+        q = q.groupBy("pivot", "chunk").applyInPandas(pack, "pivot int, q_ids binary, q_keys binary, q_vectors binary, q_floor binary, q_dists binary")
+        return packed.join(q, "pivot").mapInArrow(_search_tasks(shared), "query_id long, query_key long, vec_id long, score long")
 
     near = searched(queries, True).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
     near = written(near, "topk-near")
-    floors = near.filter(F.col("_r") == k).select(F.col("query_id").alias("_f"), F.col("score").alias("floor"))
-    rest = queries.join(floors, F.col("vec_id") == F.col("_f"), "left").withColumn("floor", F.coalesce("floor", F.lit(LOW)))
+    floors = near.filter(F.col("_r") == k).select(F.col("query_id").alias("_f"), F.col("query_key").alias("_k"), F.col("score").alias("floor"))
+    rest = queries.join(floors, (F.col("vec_id") == F.col("_f")) & (F.col("key") == F.col("_k")), "left").withColumn("floor", F.coalesce("floor", F.lit(LOW)))
     found = near.drop("_r").unionByName(written(searched(rest, False), "topk-found"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -282,6 +282,17 @@ def test_top_k_of_big_components_and_many_ties(spark):
         topk.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
+def test_top_k_of_queries_with_one_id(spark):
+    rows = [(0, [4.0, 0.0]), (0, [0.0, 3.0]), (0, [0.0, 3.0])] + [(i, [float(i % 7), float(i % 11)]) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, k=5).collect())
+    want = []
+    for q in ([256, 0], [0, 192]):
+        best = sorted((-64 * sum(a * b for a, b in zip(q, x)), i) for i, x in rows if i)[:5]
+        want += [(0, k + 1, i, int(-s)) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_top_k_of_few_or_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (20, [2.0]), (3, [0.5])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
