@@ -25,6 +25,26 @@ def close_intervals(df: DataFrame, keys: list[str], ts: str, order: list[str]) -
     return df.withColumn("valid_from_ts", F.col(ts)).withColumn("valid_to_ts", F.coalesce(F.lead(ts).over(w), F.lit(OPEN_TS)))
 
 
+def live_at(changes: DataFrame, keys: list[str], ts: str, order: list[str], columns: list[str], *times: int, until: bool = False) -> DataFrame:
+    """What ``close_intervals`` and ``as_of`` give at each of ``times``, in one aggregation: no version is made that isn't live.
+
+    A key's live version is its last change at or before the time, which ends with the first change after it. Gives
+    (keys, t, valid_from_ts, columns), and ``valid_to_ts`` if ``until``.
+    """
+    c = changes if until else changes.filter(F.col(ts) <= max(times))
+    last = [F.max(F.when(F.col(ts) <= t, F.struct(ts, *order, *[F.col(x).alias(f"_{x}") for x in columns]))).alias(f"_{i}") for i, t in enumerate(times)]
+    ends = [F.min(F.when(F.col(ts) > t, F.col(ts))).alias(f"_end{i}") for i, t in enumerate(times)] if until else []
+    at = [F.struct(F.lit(t).alias("t"), F.col(f"_{i}").alias("v"), *([F.coalesce(f"_end{i}", F.lit(OPEN_TS)).alias("end")] if until else [])) for i, t in enumerate(times)]
+    v = c.groupBy(*keys).agg(*last, *ends).select(*keys, F.explode(F.array(*at)).alias("a")).filter("a.v IS NOT NULL")
+    return v.select(*keys, "a.t", F.col(f"a.v.{ts}").alias("valid_from_ts"), *[F.col(f"a.v._{x}").alias(x) for x in columns], *([F.col("a.end").alias("valid_to_ts")] if until else []))
+
+
+def diff_at(live: DataFrame, t1: int, t2: int, key: str) -> DataFrame:
+    """``diff`` of what ``live_at`` gives for both times: one more aggregation."""
+    g = live.groupBy(key).agg(F.bool_or(F.col("t") == t1).alias("_a"), F.bool_or(F.col("t") == t2).alias("_b")).filter("_a <> _b")
+    return g.select(key, F.when(F.col("_b"), "new").otherwise("removed").alias("change"))
+
+
 def diff(versions: DataFrame, t1: int, t2: int, key: str) -> DataFrame:
     """(key, change): keys that are live at t2 only (new) or at t1 only (removed)."""
     a, b = as_of(versions, t1).select(key).distinct(), as_of(versions, t2).select(key).distinct()

@@ -31,13 +31,18 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("l_partkey", "o_orderkey", "o_custkey", "l_linenumber", "valid_from_ts", "valid_to_ts")
 
 
+def live(spark: SparkSession, sf_dir: str, columns: list[str], *times: int, until: bool = False) -> DataFrame:
+    """Versions of parts at some times, from their changes."""
+    return tm.live_at(changes(spark, sf_dir), ["l_partkey"], "ts", ["o_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"], ["o_orderkey", *columns], *times, until=until)
+
+
 @CORE.query("TM-08", "TM-01", "AG-13", "SL-03", oracle=f"""
 SELECT o_custkey, count(*) AS live_versions FROM ({VERSIONS_SQL}) v
 WHERE valid_from_ts <= {T} AND valid_to_ts > {T}
 GROUP BY o_custkey ORDER BY live_versions DESC, o_custkey LIMIT 10""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        tm.as_of(versions(spark, sf_dir), T)
+        live(spark, sf_dir, ["o_custkey"], T)
         .groupBy("o_custkey").agg(F.count("*").alias("live_versions"))
         .orderBy(F.desc("live_versions"), "o_custkey").limit(10)
     )
@@ -50,7 +55,7 @@ T1, T2 = 820454400, 852076800
 
 @q("TM-01", oracle=f"SELECT l_partkey, o_orderkey, valid_from_ts, valid_to_ts FROM ({VERSIONS_SQL}) WHERE valid_from_ts <= {T1} AND valid_to_ts > {T1}")
 def tm_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.as_of(versions(spark, sf_dir), T1).select("l_partkey", "o_orderkey", "valid_from_ts", "valid_to_ts")
+    return live(spark, sf_dir, [], T1, until=True).select("l_partkey", "o_orderkey", "valid_from_ts", "valid_to_ts")
 
 
 @q("TM-01", oracle=f"SELECT count(*) AS n FROM ({VERSIONS_SQL}) WHERE valid_from_ts <= {T2} AND valid_to_ts >= {T2}")
@@ -62,7 +67,7 @@ def tm_as_of_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS ({VERSIONS_SQL}), a AS (SELECT DISTINCT o_custkey FROM v WHERE valid_from_ts <= {T1} AND valid_to_ts > {T1}), b AS (SELECT DISTINCT o_custkey FROM v WHERE valid_from_ts <= {T2} AND valid_to_ts > {T2})
 SELECT o_custkey, 'new' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT o_custkey, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
 def tm_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tm.diff(versions(spark, sf_dir), T1, T2, "o_custkey")
+    return tm.diff_at(live(spark, sf_dir, ["o_custkey"], T1, T2), T1, T2, "o_custkey")
 
 
 @q("TM-04", oracle="""

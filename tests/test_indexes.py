@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempolith.functions import analyzers as N
-from tempolith.operators import consolidate, names, paths, search, signatures
+from tempolith.operators import consolidate, names, paths, search, signatures, temporal
 from tempolith.plans.graph import cut
 from tempolith.sources.shared import scratch
 from tempolith.sources.writes import BucketedTable
@@ -167,6 +167,22 @@ def test_path_counts_on_a_grid(spark):
     assert got == {i * n + j: (i + j, math.comb(i + j, i)) for i in range(n) for j in range(n)}
 
 
+# --- versions -----------------------------------------------------------------------------------------
+
+
+def test_live_versions_without_making_all(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(6), rnd.randrange(20), i, f"v{i}") for i in range(60)]
+    d = spark.createDataFrame(rows, "k int, ts long, o int, v string")
+    every = temporal.close_intervals(d, ["k"], "ts", ["o"])
+    for t in (-1, 0, 7, 19, 30):
+        want = {(r["k"], r["valid_from_ts"], r["valid_to_ts"], r["v"]) for r in temporal.as_of(every, t).collect()}
+        got = temporal.live_at(d, ["k"], "ts", ["o"], ["v"], t, until=True).collect()
+        assert {(r["k"], r["valid_from_ts"], r["valid_to_ts"], r["v"]) for r in got} == want and len(got) == len(want)
+    two = temporal.live_at(d, ["k"], "ts", ["o"], ["v"], 5, 15)
+    assert {tuple(r) for r in temporal.diff_at(two, 5, 15, "v").collect()} == {tuple(r) for r in temporal.diff(every, 5, 15, "v").collect()}
+
+
 # --- tables that are opened again ---------------------------------------------------------------------
 
 
