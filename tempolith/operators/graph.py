@@ -6,6 +6,7 @@ edges, so work follows what is reached, and each level is cut from its lineage w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -213,30 +214,35 @@ def strong_components(edges: DataFrame, keep: Keep) -> DataFrame:
     return done.join(least, "c").select("node", "component")
 
 
-def betweenness(edges: DataFrame, sources: list, high: int, keep: Keep) -> DataFrame:
-    """(node, score): dependency of vertices on shortest paths from the given sources; all sources give the exact score."""
+def betweenness(edges: DataFrame, keep: Keep, error: float | None = None, doubt: float = 0.05) -> DataFrame:
+    """(node, score): how many shortest paths between other vertices pass through each, each pair's paths counting as one.
+
+    Without ``error`` all vertices are sources and scores are exact. With it, so many hashed sources are taken that each
+    score divided by n (n - 1) is within ``error`` of the exact one with a probability of 1 - ``doubt`` for all
+    vertices together (by Hoeffding's bound on the share of a source's paths that a vertex can have), or all of them, if
+    these are fewer. All sources are searched at once, level by level, until none reaches anything new.
+    """
     e = keep(edges.select("src", "dst").distinct(), "edges")
-    spark = edges.sparkSession
-    start = spark.createDataFrame([(s,) for s in sources], e.select(F.col("src").alias("node")).schema)
-    level = keep(start.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")), "level")
+    nodes = keep(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
+    n = nodes.count()
+    some = n if error is None else min(n, math.ceil(math.log(2 * max(n, 1) / doubt) / (2 * error**2)))
+    sources = nodes if some == n else nodes.orderBy(F.xxhash64("node"), "node").limit(some)
+    level = keep(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")), "level")
     levels, seen = [level], level.select("s", "node")
-    for d in range(1, high + 1):
+    while True:
         nxt = levels[-1].join(e.withColumnRenamed("src", "node"), "node").groupBy("s", "dst").agg(F.sum("paths").alias("paths"))
-        nxt = nxt.withColumnRenamed("dst", "node").join(seen, ["s", "node"], "left_anti").select("s", "node", F.lit(d).alias("d"), "paths")
-        nxt = keep(nxt, "level")
+        nxt = keep(nxt.withColumnRenamed("dst", "node").join(seen, ["s", "node"], "left_anti").select("s", "node", "paths"), "level")
         if not nxt.limit(1).count():
             break
         levels.append(nxt)
-        seen = seen.unionByName(nxt.select("s", "node"))
+        seen = keep(seen.unionByName(nxt.select("s", "node")), "seen")
     delta, parts = None, []
     for below, at in zip(reversed(levels[1:]), reversed(levels[:-1])):
         b = below.withColumn("dep", F.lit(0.0)) if delta is None else below.join(delta, ["s", "node"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
         j = at.select("s", F.col("node").alias("src"), F.col("paths").alias("up")).join(e, "src").join(b.select("s", F.col("node").alias("dst"), "paths", "dep"), ["s", "dst"])
         delta = keep(j.groupBy("s", F.col("src").alias("node")).agg(F.sum(F.col("up") / F.col("paths") * (1 + F.col("dep"))).alias("dep")), "dep")
         parts.append(delta.filter("s <> node"))
-    if not parts:
-        return start.select("node", F.lit(0.0).alias("score")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("node").agg(F.sum("dep").alias("score"))
+    out = nodes.select("node", F.lit(0.0).alias("dep"))
+    for p in parts:
+        out = out.unionByName(p.select("node", "dep"))
+    return out.groupBy("node").agg((F.sum("dep") * F.lit(n / max(some, 1))).alias("score"))

@@ -1,4 +1,4 @@
-"""Text search: tokens, postings, BM25, TF-IDF, phrases, chunks, mentions."""
+"""Tokens, postings, TF-IDF, phrases, chunks, mentions."""
 
 from __future__ import annotations
 
@@ -17,27 +17,6 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.select(key, "dl", F.explode("_t").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, document, score) for all pairs that share a token. Postings of tokens that no query has are dropped
-    before anything is counted over them."""
-    from ..sources.shared import checkpointed
-
-    q = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("token"))
-    # documents are cut into tokens once; of their postings, those of tokens in a query are kept
-    cut = docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode_outer("_t").alias("token"))
-    counted = cut.groupBy(key, "dl", "token").agg(F.count("token").alias("tf"))
-    wanted_or_none = counted.join(q.select("token").distinct().withColumn("_q", F.lit(True)), "token", "left")
-    p = checkpointed(wanted_or_none.groupBy(key, "dl").agg(F.collect_list(F.when(F.col("_q"), F.struct("token", "tf"))).alias("_hits")))
-    totals = p.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    p = p.select(key, "dl", F.explode("_hits").alias("_h")).select(key, "dl", "_h.token", "_h.tf")
-    wanted = p
-    df = wanted.groupBy("token").agg(F.count("*").alias("df"))
-    s = wanted.join(df, "token").crossJoin(F.broadcast(totals))  # one row of totals
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = s.withColumn("_s", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    return q.join(s, "token").groupBy(query_key, key).agg(F.sum("_s").alias("score"))
-
-
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tfidf) with tf / length * ln(n / df)."""
     p = postings(docs, key, text)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
-from ..operators import rag, text
+from ..operators import rag, search, text
 from ..operators import similarity as sim
 from ..registry import CORE
 from ..sources import files
 from ..stages import run as run_steps
 from ..tables import load
+from .graph import cut
 from .matching import NAMES, _TOK, name_pairs
 from ..sources.shared import scratch
 
@@ -193,8 +194,9 @@ def br_logic_references(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of four or more characters against chunks, the best two above a score."""
     ids = F.filter(text.tokens(F.col("text")), lambda x: F.length(x) >= 4)
     b = load(spark, d, "benchmark").select("item_id", F.array_join(ids, " ").alias("text"))
-    s = text.bm25(load(spark, d, "documents"), b, "doc_id", "text", "item_id", "text").withColumn("score", F.round("score", 7))
-    return text.top_per(s, ["item_id"], "score", ["doc_id"], 2).filter("score > 5").select("item_id", "doc_id")
+    index = search.build(load(spark, d, "documents"), "doc_id", "text", scratch(spark, "search-index"))
+    found, _ = search.top_k(index, search.terms(index, b, "item_id", "text"), 2, cut, digits=7)
+    return found.filter("score > 5").select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"))
 
 
 KINDS = {"idiot": "INSULT", "moron": "INSULT", "the": "WORD", "der": "WORD"}

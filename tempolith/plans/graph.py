@@ -229,11 +229,12 @@ def gr_strong_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 @q("GR-21", oracle=f"""
-WITH RECURSIVE e AS (SELECT src, dst FROM ({TREE}) WHERE src < 200), w AS (SELECT s, s AS node, 0 AS d FROM (VALUES (100::BIGINT), (101), (150), (199)) v(s) UNION ALL SELECT s, e.dst, d + 1 FROM w JOIN e ON w.node = e.src WHERE d < 10), l AS (SELECT s, max(d) AS l FROM w GROUP BY 1)
-SELECT node, CAST(sum(l - d) AS DOUBLE) AS score FROM w JOIN l USING (s) WHERE d >= 1 AND d < l GROUP BY node""")
+WITH RECURSIVE e AS ({TREE}), w AS (SELECT p_partkey AS s, p_partkey AS node, 0 AS d FROM part UNION ALL SELECT s, e.dst, d + 1 FROM w JOIN e ON w.node = e.src), l AS (SELECT s, max(d) AS l FROM w GROUP BY 1),
+b AS (SELECT node, CAST(sum(l - d) AS DOUBLE) AS score FROM w JOIN l USING (s) WHERE d >= 1 AND d < l GROUP BY node)
+SELECT p_partkey AS node, coalesce(score, 0) AS score FROM part LEFT JOIN b ON p_partkey = node""")
 def gr_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    e = tree(spark, d).filter("src < 200").select("src", "dst")
-    return g.betweenness(e, [100, 101, 150, 199], 10, cut)
+    """Exact betweenness of all parts in the tree."""
+    return g.betweenness(tree(spark, d), cut)
 
 
 @q("GR-22", oracle="""

@@ -216,3 +216,14 @@ SELECT o_orderkey, split_part('epoch — ' || o_orderpriority || ' of ' || o_ord
 def tm_epoch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat(F.lit("epoch — "), "o_orderpriority", F.lit(" of "), "o_orderstatus")
     return load(spark, sf_dir, "orders").select("o_orderkey", F.split_part(label, F.lit(" — "), F.lit(2)).alias("label"), F.regexp_extract("o_orderpriority", r"^(\d)-", 1).alias("tag"))
+
+
+@q("FLT-12", "TM-01", "JN-08", oracle=f"SELECT l_partkey, o_orderkey, valid_from_ts, valid_to_ts FROM ({VERSIONS_SQL}) WHERE valid_from_ts BETWEEN {T1} AND {T2} AND valid_to_ts <= {T2}")
+def tm_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions that began and ended within a period: a box over both ends, read from a table along a curve."""
+    from ..operators import curve
+    from ..sources.shared import scratch
+
+    path = scratch(spark, "versions-on-a-curve")
+    c = curve.write(versions(spark, sf_dir), ["valid_from_ts", "valid_to_ts"], path, 32)
+    return curve.box(spark, path, c, [T1, None], [T2, T2]).select("l_partkey", "o_orderkey", "valid_from_ts", "valid_to_ts")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempolith.functions import analyzers as N
-from tempolith.operators import consolidate, names, paths, search, signatures, temporal
+from tempolith.operators import consolidate, curve, graph, names, paths, search, signatures, temporal
 from tempolith.plans.graph import cut
 from tempolith.sources.shared import scratch
 from tempolith.sources.writes import BucketedTable
@@ -167,6 +167,59 @@ def test_path_counts_on_a_grid(spark):
     assert got == {i * n + j: (i + j, math.comb(i + j, i)) for i in range(n) for j in range(n)}
 
 
+def test_betweenness_exact_and_sampled(spark):
+    rnd = random.Random(3)
+    n, e = 24, {(rnd.randrange(24), rnd.randrange(24)) for _ in range(60)}
+    near = {v: sorted({b for a, b in e if a == v}) for v in range(n)}
+    want = dict.fromkeys({v for p in e for v in p}, 0.0)
+    for s in want:  # Brandes, one source after another
+        order, depth, paths, before = [s], {s: 0}, {s: 1}, {}
+        for v in order:
+            for u in near[v]:
+                if u not in depth:
+                    depth[u], paths[u] = depth[v] + 1, 0
+                    order.append(u)
+                if depth[u] == depth[v] + 1:
+                    paths[u] += paths[v]
+                    before.setdefault(u, []).append(v)
+        dep = dict.fromkeys(order, 0.0)
+        for u in reversed(order):
+            for v in before.get(u, []):
+                dep[v] += paths[v] / paths[u] * (1 + dep[u])
+            if u != s:
+                want[u] += dep[u]
+    d = spark.createDataFrame(sorted(e), "src long, dst long")
+    got = {r["node"]: r["score"] for r in graph.betweenness(d, cut).collect()}
+    assert got == pytest.approx(want)
+    some = {r["node"]: r["score"] for r in graph.betweenness(d, cut, error=0.45).collect()}  # fewer sources than vertices
+    m = len(want)
+    assert set(some) == set(want) and some != pytest.approx(want)
+    assert max(abs(some[v] - want[v]) for v in want) <= 0.45 * m * (m - 1)
+
+
+# --- curves -------------------------------------------------------------------------------------------
+
+
+def test_boxes_on_a_curve_read_few_files(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.randrange(1000), rnd.uniform(-5, 5)) for i in range(6000)] + [(9000, None, 1.0), (9001, 5, None)]
+    path = scratch(spark, "curve-test")
+    c = curve.write(spark.createDataFrame(rows, "id int, a int, b double"), ["a", "b"], path, 40, bits=8)
+    every = spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    read = []
+    for low, high in (([100, -1.0], [150, 0.0]), ([0, -5.0], [500, 0.0]), ([None, None], [None, None]), ([990, None], [None, -4.5]), ([7, 3.0], [6, 4.0])):
+        got = {r["id"] for r in curve.box(spark, path, c, low, high).collect()}
+        ok = lambda v, x, y: (x is None or (v is not None and v >= x)) and (y is None or (v is not None and v <= y))
+        assert got == {i for i, a, b in rows if ok(a, low[0], high[0]) and ok(b, low[1], high[1])}
+        near = F.lit(False)
+        for x, y in c.intervals(low, high):
+            near = near | F.col("_place").between(x, y)
+        read.append(spark.read.parquet(path).filter(near).select(F.input_file_name()).distinct().count())
+    assert every == 40 and read[0] <= 3 and read[1] <= 16 and read[2] == 40 and read[4] == 0
+    plan = curve.box(spark, path, c, [100, -1.0], [150, 0.0])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(_place" in plan  # pushed to the scan
+
+
 # --- versions -----------------------------------------------------------------------------------------
 
 

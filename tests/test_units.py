@@ -295,7 +295,7 @@ def test_pagerank_against_a_matrix(spark):
 
 
 def test_betweenness_of_a_path(spark):
-    got = {r["node"]: r["score"] for r in G.betweenness(frame(spark, [(0, 1), (1, 2), (2, 3)]), [0, 1, 2, 3], 5, cut).collect()}
+    got = {r["node"]: r["score"] for r in G.betweenness(frame(spark, [(0, 1), (1, 2), (2, 3)]), cut).collect()}
     assert got[1] == 2 and got[2] == 2
 
 
