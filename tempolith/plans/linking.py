@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import consolidate, paths, signatures
+from ..operators import bridge, consolidate, paths, signatures
 from ..registry import CORE
+from ..sources.shared import scratch
 from ..tables import load
 from .graph import cut
 
@@ -112,6 +113,51 @@ def br_lineage(spark: SparkSession, d: str) -> DataFrame:
     return signatures.lineage(n.filter("side = 0"), n.filter("side = 1"), "k", "name", "even -> odd", 0.85)
 
 
+#: Items are the names of parts, entities the names of each type. What is compatible and near is by their numbers.
+_ITEMS = """items AS (SELECT p_name AS item, CASE length(p_name) % 3 WHEN 0 THEN 'architecture' WHEN 1 THEN 'module' ELSE 'signal' END AS kind, p_name AS label, CASE WHEN min(p_partkey) % 2 = 0 THEN p_name || ' unit' END AS expanded,
+  p_name || ' in ' || lower(min(p_type)) AS said, CASE WHEN min(p_partkey) % 4 <> 0 THEN 'made by ' || lower(replace(min(p_brand), '#', '')) END AS context, min(p_partkey) AS k FROM part GROUP BY p_name),
+ents AS (SELECT min(p_partkey) AS key, CASE WHEN min(p_partkey) % 3 = 0 THEN p_name || ' unit' ELSE p_name END AS name, 'the ' || lower(p_type) || ' ' || p_name || ' by ' || lower(replace(min(p_brand), '#', '')) AS description, p_type AS type FROM part GROUP BY p_type, p_name),
+compatible AS (SELECT kind, type FROM (SELECT DISTINCT kind FROM items), (SELECT DISTINCT type FROM ents) WHERE (length(type) + length(kind)) % 2 = 0),
+neighbours AS (SELECT item, key FROM items JOIN ents ON ents.key % 16 = items.k % 16 WHERE items.k % 5 <> 0)"""
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_STOPLESS = "list_filter(list_distinct(string_split({}, ' ')), lambda x: x NOT IN ('the', 'by'))"
+
+
+@q("PL-03", "PL-04", "TXT-03", oracle=f"""
+WITH {_ITEMS}, d AS (SELECT key, list_transform({_TOKENS.format("name || ' ' || description")}, lambda x: md5(type) || x) AS t FROM ents), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+tf AS (SELECT key, token, dl, count(*) AS tf FROM (SELECT key, unnest(t) AS token, len(t) AS dl FROM d) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT DISTINCT item, unnest(list_transform({_TOKENS.format("concat_ws(' ', label, expanded)")}, lambda x: md5(type) || x)) AS token FROM items JOIN compatible USING (kind)),
+c AS (SELECT item, key FROM (SELECT item, key, row_number() OVER (PARTITION BY item ORDER BY round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 7) DESC, key) AS r FROM w JOIN tf USING (token) JOIN df USING (token), n GROUP BY item, key) WHERE r <= 10),
+p AS (SELECT c.item, c.key, kind, label, coalesce(expanded, '') AS expanded, said, context, name, description,
+  EXISTS (SELECT 1 FROM neighbours x WHERE x.item = c.item) AS known, EXISTS (SELECT 1 FROM neighbours x WHERE x.item = c.item AND x.key = c.key) AS near FROM c JOIN items USING (item) JOIN ents USING (key)),
+s AS (SELECT *, greatest(0.7 * jaro_winkler_similarity(CASE WHEN length(expanded) > length(label) THEN expanded ELSE label END, name) + 0.3 * jaro_winkler_similarity(said, description),
+  CASE WHEN label = name OR expanded = name THEN 0.95
+       WHEN list_has_all(string_split(name, ' '), string_split(label, ' ')) OR list_has_all(string_split(label, ' '), string_split(name, ' ')) OR (expanded <> '' AND (list_has_all(string_split(name, ' '), string_split(expanded, ' ')) OR list_has_all(string_split(expanded, ' '), string_split(name, ' ')))) THEN 0.85
+       WHEN contains(name, label) OR contains(label, name) OR (expanded <> '' AND (contains(name, expanded) OR contains(expanded, name))) THEN 0.80 ELSE 0 END) AS s0,
+  len(list_intersect({_STOPLESS.format('context')}, {_STOPLESS.format('description')})) / least(len({_STOPLESS.format('context')}), len({_STOPLESS.format('description')})) AS shared FROM p),
+g AS (SELECT *, CASE WHEN context IS NULL THEN s0 WHEN shared > 0 THEN 0.7 * s0 + 0.3 * shared ELSE 0.9 * s0 END AS s1 FROM s),
+b AS (SELECT item, key, kind, CASE WHEN NOT known THEN s1 WHEN near THEN least(1.0, s1 * 1.2) ELSE s1 * 0.95 END AS score FROM g),
+r AS (SELECT *, row_number() OVER v AS r, lead(score) OVER v AS nxt FROM b WINDOW v AS (PARTITION BY item ORDER BY round(score, 9) DESC, key))
+SELECT item, key, round(score, 6) AS score, round(score - coalesce(nxt, 0), 6) AS margin FROM r WHERE r = 1 AND score >= CASE kind WHEN 'architecture' THEN 0.5 WHEN 'module' THEN 0.7 ELSE 0.6 END""")
+def br_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Names resolved to golden entities: the ten best by words of compatible types, then scores, context and neighbourhood."""
+    p = load(spark, d, "part")
+    first = F.min("p_partkey")
+    i = p.groupBy("p_name").agg(first.alias("k"), F.lower(F.min("p_type")).alias("t"), F.replace(F.lower(F.min("p_brand")), F.lit("#"), F.lit("")).alias("b"))
+    kind = F.when(F.length("p_name") % 3 == 0, "architecture").when(F.length("p_name") % 3 == 1, "module").otherwise("signal")
+    items = i.select(
+        F.col("p_name").alias("item"), kind.alias("kind"), F.col("p_name").alias("label"), F.when(F.col("k") % 2 == 0, F.concat("p_name", F.lit(" unit"))).alias("expanded"),
+        F.concat("p_name", F.lit(" in "), "t").alias("said"), F.when(F.col("k") % 4 != 0, F.concat(F.lit("made by "), "b")).alias("context"), "k",
+    )
+    e = p.groupBy("p_type", "p_name").agg(first.alias("key"), F.replace(F.lower(F.min("p_brand")), F.lit("#"), F.lit("")).alias("b"))
+    ents = e.select("key", F.when(F.col("key") % 3 == 0, F.concat("p_name", F.lit(" unit"))).otherwise(F.col("p_name")).alias("name"), F.concat(F.lit("the "), F.lower("p_type"), F.lit(" "), "p_name", F.lit(" by "), "b").alias("description"), F.col("p_type").alias("type"))
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("architecture", "module", "signal")])).alias("kind")
+    compatible = ents.select("type").distinct().select("type", kinds).filter((F.length("type") + F.length("kind")) % 2 == 0)
+    neighbours = items.filter("k % 5 <> 0").select("item", (F.col("k") % 16).alias("m")).join(ents.select("key", (F.col("key") % 16).alias("m")), "m").select("item", "key")
+    found = bridge.bridge(items.drop("k"), ents, compatible, neighbours, scratch(spark, "bridge-index"), cut)
+    return found.select("item", "key", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
 # --- paths ------------------------------------------------------------------------------------------------
 
 #: Part p leads to p div 2 and to p div 3, at a cost.
