@@ -51,26 +51,42 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, within: str, late
     return a.join(b, on).select("k", "left_id", "right_id")
 
 
-def versions(df: DataFrame) -> DataFrame:
-    """Versions closed by the next event of a user: (user_id, event_id, valid_from, valid_to), by state of one open
-    version a user. The open ones are in the state and come out when they close."""
+def versions(df: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Versions closed by the next event of a user: (user_id, event_id, valid_from, valid_to), in the order of events.
+
+    A user's state is an ordered buffer of the events that the watermark hasn't passed, and the version that is open
+    at it. Events may come in any order, ``late`` after others at most: only what the watermark has passed closes a
+    version, and a timer at the first buffered event calls the user up when it does. Later ones are dropped, as late rows
+    are everywhere. The last version of each user is open, and stays in the state.
+    """
+    import json
+
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, frames, state):
-        open_ = state.get if state.exists else None
+        open_, held = json.loads(state.get[0]) if state.exists else (None, [])
+        if not state.hasTimedOut:
+            for pdf in frames:
+                held += [[int(t), int(e)] for e, t in zip(pdf["event_id"], pdf["micros"])]
+        passed = state.getCurrentWatermarkMs() * 1000
+        held.sort()
         out = []
-        for pdf in frames:
-            for e, t in sorted(zip(pdf["event_id"], pdf["micros"]), key=lambda x: (x[1], x[0])):
-                if open_ is not None:
-                    out.append((key[0], open_[0], open_[1], int(t)))
-                open_ = (int(e), int(t))
-        if open_ is not None:
-            state.update(open_)
+        done = 0
+        for t, e in held:
+            if t >= passed:
+                break
+            if open_ is not None:
+                out.append((key[0], open_[1], open_[0], t))
+            open_, done = [t, e], done + 1
+        held = held[done:]
+        state.update((json.dumps([open_, held]),))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0] // 1000 + 1, passed // 1000 + 1))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "valid_from", "valid_to"])
 
-    d = df.select("user_id", "event_id", F.unix_micros("ts").alias("micros"))
-    return d.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, valid_from long, valid_to long", "event_id long, valid_from long", "append", GroupStateTimeout.NoTimeout)
+    d = df.withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("micros"))
+    return d.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, valid_from long, valid_to long", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def alerts(df: DataFrame, threshold: float) -> DataFrame:

@@ -12,6 +12,7 @@ from tempolith.operators import consolidate, curve, graph, names, paths, search,
 from tempolith.plans.graph import cut
 from tempolith.sources.shared import scratch
 from tempolith.sources.writes import BucketedTable
+from tempolith.streaming import events
 
 
 def edits(a, b):
@@ -236,6 +237,25 @@ def test_live_versions_without_making_all(spark):
     assert {tuple(r) for r in temporal.diff_at(two, 5, 15, "v").collect()} == {tuple(r) for r in temporal.diff(every, 5, 15, "v").collect()}
 
 
+def test_streamed_versions_of_shuffled_runs(spark):
+    """Events out of order across two runs of a query, which is stopped in between, close the versions of the batch."""
+    rnd = random.Random(6)
+    rows = [(i, rnd.randrange(4), 1_700_000_000 + rnd.randrange(3600 * 20)) for i in range(120)]
+    rows.sort(key=lambda r: r[2] + rnd.randrange(3000))  # up to 50 minutes late
+    path, out, state = (scratch(spark, f"versions-{x}") for x in ("in", "out", "state"))
+    put = lambda x: spark.createDataFrame(x, "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(path)
+    for part in (rows[:60], rows[60:], [(-1, -1, 1_800_000_000)]):
+        put(part)
+        s = events.versions(events.stream(spark, path, "event_id long, user_id long, ts timestamp", files_per_trigger=1))
+        events.run_to_table(s, out, state)
+    got = [tuple(r) for r in spark.read.schema(s.schema).parquet(out).collect()]
+    want = []
+    for u in range(4):
+        mine = sorted((t * 1_000_000, e) for e, v, t in rows if v == u)
+        want += [(u, e, t, until) for (t, e), (until, _) in zip(mine, mine[1:])]
+    assert sorted(got) == sorted(want)
+
+
 # --- tables that are opened again ---------------------------------------------------------------------
 
 
