@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bridge, consolidate, paths, signatures
+from ..operators import bridge, consolidate, paths, quality, signatures
 from ..registry import CORE
 from ..sources.shared import scratch
 from ..tables import load
 from .graph import cut
+from .matching import er_fuzzy_pairs
 
 q = CORE.query
 
@@ -113,6 +114,12 @@ def br_lineage(spark: SparkSession, d: str) -> DataFrame:
     return signatures.lineage(n.filter("side = 0"), n.filter("side = 1"), "k", "name", "even -> odd", 0.85)
 
 
+@q("PL-14", "AG-07", oracle=f"SELECT floor(round(confidence / 0.1, 9)) * 0.1 AS bucket, count(*) AS n FROM ({CORE.entries['er_fuzzy_pairs'].oracle}) GROUP BY 1")
+def br_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How confident fuzzy matches are: a histogram."""
+    return quality.histogram(er_fuzzy_pairs(spark, d), "confidence")
+
+
 #: Items are the names of parts, entities the names of each type. What is compatible and near is by their numbers.
 _ITEMS = """items AS (SELECT p_name AS item, CASE length(p_name) % 3 WHEN 0 THEN 'architecture' WHEN 1 THEN 'module' ELSE 'signal' END AS kind, p_name AS label, CASE WHEN min(p_partkey) % 2 = 0 THEN p_name || ' unit' END AS expanded,
   p_name || ' in ' || lower(min(p_type)) AS said, CASE WHEN min(p_partkey) % 4 <> 0 THEN 'made by ' || lower(replace(min(p_brand), '#', '')) END AS context, min(p_partkey) AS k FROM part GROUP BY p_name),

@@ -184,3 +184,13 @@ def ext_model_output(spark: SparkSession, d: str) -> DataFrame:
     answer = F.when(F.col("n_nationkey") % 5 == 4, '{"entities": [').otherwise(F.concat(F.lit("```json\n"), F.to_json(obj), F.lit("\n```")))
     _, r = X.entities_and_relations(n.select(F.col("n_nationkey").alias("k"), answer.alias("text")), "k", "text")
     return r.select("k", "source", "target", "type")
+
+
+@q("SRC-03", oracle="SELECT 'nation' AS kind, n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region")
+def src_json_array(spark: SparkSession, d: str) -> DataFrame:
+    """Two files that hold one JSON array each, of tables that don't grow, read together."""
+    p = scratch(spark, "json-arrays")
+    for kind, key, name in (("nation", "n_nationkey", "n_name"), ("region", "r_regionkey", "r_name")):
+        rows = load(spark, d, kind).select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(name).alias("name"))
+        rows.agg(F.to_json(F.collect_list(F.struct("kind", "key", "name")))).coalesce(1).write.mode("append").text(p)
+    return files.read_json_array(spark, p, "kind string, key int, name string")
