@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import documents as D
 from ..functions import more as M
 from ..functions import strings as S
 from ..functions import values as V
@@ -107,6 +108,22 @@ def fn_object(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@q("FN-OBJ", "FN-TYPE", oracle="""
+WITH e AS (SELECT event_id, event_type, props, '{"k":{"deep":' || event_id || ',"x":[1,{"x":2}]},"x":"' || event_type || '"}' AS other FROM events)
+SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN 'object' ELSE '?' END AS whole, CASE WHEN json_type(json_extract(other, '$.k.x')) = 'ARRAY' THEN 'array' ELSE '?' END AS inner_, 'number' AS number_,
+       CAST(json_merge_patch('{"y":0,"k":{"old":1}}', other) AS VARCHAR) AS merged_, '{"k":{"deep":' || event_id || '}}' AS unset_, '{"k":{"x":[1,{"x":2}]},"x":"' || event_type || '"}' AS kept_,
+       CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'pressed' ELSE event_type END AS told, CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'pressed' ELSE 'other' END AS told_or FROM e""")
+def fn_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Types of JSON values, recursive merges and projections, translations."""
+    other = F.concat(F.lit('{"k":{"deep":'), F.col("event_id").cast("string"), F.lit(',"x":[1,{"x":2}]},"x":"'), F.col("event_type"), F.lit('"}'))
+    lookup = F.create_map(F.lit("view"), F.lit("seen"), F.lit("click"), F.lit("pressed"))
+    return load(spark, d, "events").withColumn("other", other).select(
+        "event_id", D.typename(F.col("props")).alias("whole"), D.typename(F.get_json_object("other", "$.k.x")).alias("inner_"), D.typename(F.get_json_object("other", "$.k.deep")).alias("number_"),
+        D.merge_recursive(F.lit('{"y":0,"k":{"old":1}}'), F.col("other")).alias("merged_"), D.unset_recursive(F.col("other"), "x").alias("unset_"), D.keep_recursive(F.col("other"), "k", "x").alias("kept_"),
+        D.translate(F.col("event_type"), lookup).alias("told"), D.translate(F.col("event_type"), lookup, F.lit("other")).alias("told_or"),
+    )
+
+
 @q("FN-BIT", oracle="""
 SELECT p_partkey, p_partkey & 255 AS a, p_partkey | 1 AS o, xor(p_partkey, 170) AS x, (p_partkey << 2) & 65535 AS sl, p_partkey >> 1 AS sr, CAST(bit_count(p_partkey) AS BIGINT) AS pop, ~p_partkey & 65535 AS neg, lpad(bin(p_partkey & 65535), 16, '0') AS s FROM part""")
 def fn_bit(spark: SparkSession, d: str) -> DataFrame:

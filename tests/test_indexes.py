@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempolith.functions import analyzers as N
+from tempolith.functions import documents as D
 from tempolith.operators import consolidate, curve, graph, names, paths, search, signatures, temporal
 from tempolith.plans.graph import cut
 from tempolith.sources.shared import scratch
@@ -128,6 +129,17 @@ def test_analyzers(spark):
     assert one(N.identity, "A b") == ["A b"]
 
 
+def test_documents_of_unknown_shape(spark):
+    one = lambda c: spark.range(1).select(c.alias("c")).first()["c"]
+    kinds = {"null": "null", "true": "bool", "1": "number", "-2.5e3": "number", '"x"': "string", "[]": "array", '{"a":[1]}': "object", "{broken": None}
+    assert {k: one(D.typename(F.lit(k))) for k in kinds} == kinds
+    assert one(D.merge_recursive(F.lit('{"a":{"b":1,"c":2},"d":1}'), F.lit('{"a":{"c":3},"d":{"e":1}}'))) == '{"a":{"b":1,"c":3},"d":{"e":1}}'
+    assert one(D.unset_recursive(F.lit('{"a":{"x":1,"y":[{"x":2,"z":3}]},"x":0}'), "x")) == '{"a":{"y":[{"z":3}]}}'
+    assert one(D.keep_recursive(F.lit('{"a":{"x":1,"y":2},"x":{"b":1},"c":3}'), "a", "x")) == '{"a":{"x":1},"x":{}}'
+    assert one(D.merge_recursive(F.lit("[1]"), F.lit("{}"))) is None and one(D.unset_recursive(F.lit(None).cast("string"), "x")) is None
+    assert [tuple(r) for r in one(D.entries(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))))] == [("a", 2), ("b", 1)]
+
+
 # --- paths --------------------------------------------------------------------------------------------
 
 
