@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import release, scratch, scratch_mark
 
-__all__ = ["LEAST", "WORD", "chunks", "lean", "neutral", "partitions", "range_bounds", "range_of", "release", "scratch", "scratch_mark", "word_count", "written"]
+__all__ = ["LEAST", "WORD", "chunks", "give_back", "lean", "neutral", "partitions", "range_bounds", "range_of", "release", "scratch", "scratch_mark", "word_count", "written"]
 
 #: The least long; no range bound is so small.
 LEAST = -(2**63)
@@ -80,21 +80,28 @@ def lean(task):
     """``task``, which gives the memory that its batches took back to the system when it ends: workers live on."""
 
     def run(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Memory that nothing holds any more goes back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # --- columns under neutral names ------------------------------------------------------------------
 
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, lean
+from .common import chunks, give_back, lean
 
 MIN_DOCS, FEATURES, TELLING = 2, 20_000, 7.0
 #: Probability of grade 2 from which a text is toxic. Held out by the labels' crc32(doc_id as text) mod 4, it is reached
@@ -112,9 +112,10 @@ def fit_rows(texts: list[str], grades: list[int], l1: float = 1e-5, l2: float =
         return Ordinal({}, [], levels)
     y = np.array([levels.index(g) for g in grades])
     k = len(levels)
-    counts = [features(Counter(words(t))) for t in texts]
+    # texts are cut into features twice, as these take many times the room of the texts
+    cut = lambda: (features(Counter(words(t))) for t in texts)
     df, bad = Counter(), Counter()
-    for c, g in zip(counts, y):
+    for c, g in zip(cut(), y):
         df.update(c.keys())
         if g == k - 1:
             bad.update(c.keys())
@@ -135,7 +136,7 @@ def fit_rows(texts: list[str], grades: list[int], l1: float = 1e-5, l2: float =
     vocabulary = vocabulary[: min(FEATURES, max(enough, 10))]
     place = {w: i for i, w in enumerate(vocabulary)}
     rows, cols, vals = [], [], []
-    for i, c in enumerate(counts):
+    for i, c in enumerate(cut()):
         for w, n in c.items():
             j = place.get(w)
             if j is not None:
@@ -204,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000) -> Ordinal:
 
         pdf = pdf.sort_values(["doc_id", "grade", "text"])
         m = fit_rows(pdf["text"].tolist(), pdf["grade"].tolist())
+        give_back()
         return pd.DataFrame({"words": [list(m.weights)], "weights": [list(m.weights.values())], "thresholds": [m.thresholds], "levels": [m.levels]})
 
     got = labelled(docs, labels, sample_docs).withColumn("one", F.col("grade") * 0).groupBy("one").applyInPandas(learn, "words array<string>, weights array<double>, thresholds array<double>, levels array<int>").collect()
