@@ -39,6 +39,9 @@ _shipped: set[str] = set()
 #: times their size outside the heap, which is kept for good.
 BATCH_ROWS = "2000"
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: And about so many bytes at most, where it has the default: rows may hold whole texts, or sets of them.
+BATCH_BYTES = str(16 << 20)
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,6 +49,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if spark.conf.get(_ROWS) == "10000":
         spark.conf.set(_ROWS, BATCH_ROWS)
+    if spark.conf.get(_BYTES).rstrip("bB") == "67108864":
+        spark.conf.set(_BYTES, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
