@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resolve
 from ..registry import CORE
-from ..tables import load
+from ..tables import load, rounded_seconds
 
 q = CORE.query
 
@@ -178,7 +178,7 @@ SELECT o_custkey, o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS valid_from_t
 def win_lead_close(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.temporal import close_intervals
 
-    o = load(spark, d, "orders").withColumn("ts", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
+    o = load(spark, d, "orders").withColumn("ts", rounded_seconds("o_orderdate"))
     return close_intervals(o, ["o_custkey"], "ts", ["o_orderkey"]).select("o_custkey", "o_orderkey", "valid_from_ts", "valid_to_ts")
 
 
@@ -187,7 +187,7 @@ WITH e AS (SELECT c_mktsegment AS repo, year(o_orderdate) AS epoch, min(CAST(epo
 SELECT repo, epoch, start_ts, lead(start_ts) OVER (PARTITION BY repo ORDER BY start_ts) AS end_ts FROM e""")
 def win_epoch_end(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    e = o.groupBy(F.col("c_mktsegment").alias("repo"), F.year("o_orderdate").cast("long").alias("epoch")).agg(F.min(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("start_ts"))
+    e = o.groupBy(F.col("c_mktsegment").alias("repo"), F.year("o_orderdate").cast("long").alias("epoch")).agg(F.min(rounded_seconds("o_orderdate")).alias("start_ts"))
     return e.withColumn("end_ts", F.lead("start_ts").over(Window.partitionBy("repo").orderBy("start_ts")))
 
 
@@ -218,5 +218,5 @@ def win_middle(spark: SparkSession, d: str) -> DataFrame:
 @q("WN-10", oracle="""
 SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(epoch(ts) AS BIGINT) RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS burst FROM events""")
 def win_burst(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-604800, 0)
+    w = Window.partitionBy("user_id").orderBy(rounded_seconds("ts")).rangeBetween(-604800, 0)
     return load(spark, d, "events").select("user_id", "event_id", F.count("*").over(w).alias("burst"))

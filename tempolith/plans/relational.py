@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as rel
 from ..registry import CORE
-from ..tables import load
+from ..tables import load, rounded_seconds
 
 q = CORE.query
 
 
-def _ts(c: str):
-    return F.unix_seconds(F.col(c).cast("timestamp"))
-
-
 @q("SRC-01", "SRC-02", "JN-04", oracle="SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (1, 7, 33, 100, 512)")
 def scan_document_lookup(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").filter(F.col("o_orderkey").isin(1, 7, 33, 100, 512))
@@ -172,7 +168,7 @@ SELECT repo, y, count(*) AS live, count(DISTINCT o_custkey) AS owners FROM e JOI
 def jn_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.temporal import close_intervals
 
-    o = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("repo"), "o_custkey", "o_orderkey", "o_orderdate", _ts("o_orderdate").alias("ts"))
+    o = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("repo"), "o_custkey", "o_orderkey", "o_orderdate", rounded_seconds("o_orderdate").alias("ts"))
     start = F.date_trunc("year", F.col("o_orderdate").cast("timestamp"))
     e = o.groupBy("repo", F.year("o_orderdate").cast("long").alias("y")).agg(F.unix_seconds(F.min(start)).alias("e_from"), F.unix_seconds(F.min(start + F.expr("INTERVAL 1 YEAR"))).alias("e_to"))
     v = close_intervals(o, ["o_custkey"], "ts", ["o_orderkey"]).select("repo", "o_custkey", F.col("valid_from_ts").alias("v_from"), F.col("valid_to_ts").alias("v_to"))
@@ -184,7 +180,7 @@ def jn_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
 WITH x AS (SELECT o_custkey, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderkey FROM orders)
 SELECT o_custkey, ts, abs(ts - 852076800) AS distance, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(ts - 852076800), ts, o_orderkey) AS r FROM x) WHERE r = 1""")
 def jn_nearest(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders").select("o_custkey", _ts("o_orderdate").alias("ts"), "o_orderkey")
+    o = load(spark, d, "orders").select("o_custkey", rounded_seconds("o_orderdate").alias("ts"), "o_orderkey")
     return rel.nearest(o, ["o_custkey"], "ts", 852076800, ["o_orderkey"])
 
 
@@ -260,7 +256,7 @@ def sl_sort_offset(spark: SparkSession, d: str) -> DataFrame:
 
 @q("SL-03", "SL-04", oracle="SELECT o_orderkey, CAST(abs(epoch(o_orderdate) - 852076800) AS BIGINT) AS away FROM orders ORDER BY away, o_orderkey LIMIT 40")
 def sl_topk_expr(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "orders").select("o_orderkey", F.abs(_ts("o_orderdate") - 852076800).alias("away")).orderBy("away", "o_orderkey").limit(40)
+    return load(spark, d, "orders").select("o_orderkey", F.abs(rounded_seconds("o_orderdate") - 852076800).alias("away")).orderBy("away", "o_orderkey").limit(40)
 
 
 @q("SL-06", oracle="""

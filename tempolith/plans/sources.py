@@ -9,7 +9,7 @@ from ..operators import extract as X
 from ..operators import relational as rel
 from ..registry import CORE
 from ..sources import files
-from ..tables import load
+from ..tables import load, rounded_seconds
 from ..sources.shared import scratch
 
 q = CORE.query
@@ -99,7 +99,7 @@ def src_copy(spark: SparkSession, d: str) -> DataFrame:
 @q("SRC-10", oracle="SELECT o_orderkey AS commit, 'c' || o_custkey AS author, CAST(epoch(o_orderdate) AS BIGINT) AS ts, 'a|||b ' || o_orderstatus AS subject FROM orders")
 def src_commits(spark: SparkSession, d: str) -> DataFrame:
     """Log lines, of which the last field contains the separator."""
-    sec = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")
+    sec = rounded_seconds("o_orderdate").cast("string")
     lines = load(spark, d, "orders").select(F.concat_ws("|||", F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), "o_custkey"), F.lit("m@x"), sec, F.concat(F.lit("a|||b "), "o_orderstatus")).alias("value"))
     return files.parse_commits(lines).select(F.col("commit").cast("long").alias("commit"), "author", "ts", "subject")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import temporal as tm
 from ..registry import CORE
-from ..tables import load
+from ..tables import load, rounded_seconds
 
 #: Versions of a part: every order that touches it opens one, the next one closes it.
 VERSIONS_SQL = """
@@ -23,7 +23,7 @@ T = 852076800
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return li.join(o, li.l_orderkey == o.o_orderkey).withColumn("ts", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
+    return li.join(o, li.l_orderkey == o.o_orderkey).withColumn("ts", rounded_seconds("o_orderdate"))
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 q = CORE.query
-_SEC = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
 T1, T2 = 820454400, 852076800
 
 
@@ -137,7 +136,7 @@ def epoch_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     n = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_partkey") / 40).alias("ratio"))
     c = o.join(n, o.o_orderkey == n.l_orderkey, "left").select(
-        F.col("c_mktsegment").alias("repo"), F.col("o_orderkey").alias("commit"), _SEC("o_orderdate").alias("ts"),
+        F.col("c_mktsegment").alias("repo"), F.col("o_orderkey").alias("commit"), rounded_seconds("o_orderdate").alias("ts"),
         F.when(F.col("o_orderkey") % 997 == 0, F.concat(F.lit("v"), F.col("o_orderkey") % 9, F.lit(".1-rc"))).alias("tag"), F.coalesce("ratio", F.lit(0.0)).alias("change_ratio"),
     )
     return tm.detect_epochs(c)
@@ -190,7 +189,7 @@ SELECT o_custkey, count(*) AS total_commits, min(CAST(epoch(o_orderdate) AS BIGI
 def tm_author_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.people import rollup
 
-    o = load(spark, sf_dir, "orders").select("o_custkey", _SEC("o_orderdate").alias("ts"))
+    o = load(spark, sf_dir, "orders").select("o_custkey", rounded_seconds("o_orderdate").alias("ts"))
     return rollup(o, "o_custkey", "ts").orderBy(F.desc("total_commits"), "o_custkey").limit(10)
 
 
