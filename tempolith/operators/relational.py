@@ -32,6 +32,21 @@ def as_of_previous(events: DataFrame, versions: DataFrame, keys: list[str], ts:
     return both.select(*keys, *[F.col(f"_e_{c}").alias(c) for c in events.columns if c not in keys], *[F.col(f"_last.{n}").alias(n) for n in names])
 
 
+def ordered_pairs(rows: DataFrame, group: list[str], key: str, first: str, second: str, span: int = 1 << 14) -> DataFrame:
+    """(group, pairs): how many pairs of a row that counts as ``first`` and one that counts as ``second`` have keys in rising order.
+
+    No pair is made. ``first`` and ``second`` are numbers, ``key`` is a whole one. Keys are cut into stretches of
+    ``span``: within a stretch, a running sum counts what comes before a row; between stretches, their totals do, so no
+    window has more than a stretch of a group.
+    """
+    r = rows.filter(F.col(key).isNotNull()).select(*group, F.col(key).alias("_k"), F.floor(F.col(key) / span).alias("_at"), F.col(first).cast("long").alias("_a"), F.col(second).cast("long").alias("_b"))
+    near = Window.partitionBy(*group, "_at").orderBy("_k").rangeBetween(Window.unboundedPreceding, -1)
+    far = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    within = r.withColumn("_n", F.col("_b") * F.coalesce(F.sum("_a").over(near), F.lit(0)))
+    across = r.groupBy(*group, "_at").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).withColumn("_n", F.col("_b") * F.coalesce(F.sum("_a").over(far), F.lit(0)))
+    return within.select(*group, "_n").unionByName(across.select(*group, "_n")).groupBy(*group).agg(F.sum("_n").alias("pairs"))
+
+
 def nearest(rows: DataFrame, keys: list[str], ts: str, at: int, pick: list[str]) -> DataFrame:
     """For each key the row nearest to a time, on either side; ties go to the earlier."""
     best = F.min(F.struct(F.abs(F.col(ts) - at).alias("_d"), F.col(ts).alias("_t"), *pick))

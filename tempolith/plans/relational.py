@@ -104,9 +104,11 @@ SELECT a.metal AS source_type, b.metal AS candidate_type, count(*) AS pairs FROM
 def flt_type_matrix(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d, "part").filter(~F.col("p_name").isin(STOP_NAMES)).select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(-1)).alias("metal"), "p_brand")
     c = F.broadcast(spark.createDataFrame(COMPATIBLE, "source_type string, candidate_type string"))
-    a = t.withColumnRenamed("metal", "source_type").join(c, "source_type")
-    b = t.select(F.col("p_partkey").alias("other"), F.col("metal").alias("candidate_type"), "p_brand")
-    return a.join(b, ["candidate_type", "p_brand"]).filter("p_partkey < other").groupBy("source_type", "candidate_type").agg(F.count("*").alias("pairs"))
+    group = ["source_type", "candidate_type", "p_brand"]
+    a = t.withColumnRenamed("metal", "source_type").join(c, "source_type").select(*group, "p_partkey", F.lit(1).alias("first"), F.lit(0).alias("second"))
+    b = t.withColumnRenamed("metal", "candidate_type").join(c, "candidate_type").select(*group, "p_partkey", F.lit(0).alias("first"), F.lit(1).alias("second"))
+    n = rel.ordered_pairs(a.unionByName(b).filter("p_brand IS NOT NULL"), group, "p_partkey", "first", "second")
+    return n.groupBy("source_type", "candidate_type").agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
 
 
 # --- joins --------------------------------------------------------------------------------------
