@@ -146,22 +146,58 @@ def similar_pairs(a: DataFrame, b: DataFrame, key: str, vector: str, threshold:
     import numpy as np
     import pandas as pd
 
-    a, b = (t.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")) for t in (a, b))
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == "a"], pdf[pdf["side"] == "b"]
+        parts = []
+        for at, s in _cosines(x, y):
+            i, j = np.nonzero(s >= threshold)
+            parts.append(pd.DataFrame({"a": x["k"].to_numpy()[at + i], "b": y["k"].to_numpy()[j], "score": s[i, j]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    return _dealt(a, b, key, vector, block).groupBy("i", "j").applyInPandas(meet, "a long, b long, score double")
+
+
+def best_by_label(a: DataFrame, b: DataFrame, key: str, vector: str, label: str, block: int = 2048) -> DataFrame:
+    """(a, label, score): the greatest cosine of each vector of ``a`` with those of ``b`` that have a whole-numbered label, null among them.
+
+    All pairs are scored as by ``similar_pairs``, but a task returns a row a vector and label, not one a pair.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == "a"], pdf[pdf["side"] == "b"].sort_values("label")
+        starts = np.flatnonzero(~y["label"].duplicated().to_numpy())
+        labels = [None if pd.isna(v) else int(v) for v in y["label"].to_numpy()[starts]]
+        parts = [pd.DataFrame({"a": np.repeat(x["k"].to_numpy()[at : at + len(s)], len(labels)), "label": pd.array(labels * len(s), dtype="Int64"), "score": np.maximum.reduceat(s, starts, axis=1).ravel()}) for at, s in _cosines(x, y)]
+        return pd.concat(parts) if parts else pd.DataFrame({"a": np.zeros(0, np.int64), "label": pd.array([], dtype="Int64"), "score": np.zeros(0)})
+
+    best = _dealt(a, b, key, vector, block, label).groupBy("i", "j").applyInPandas(meet, "a long, label long, score double")
+    return best.groupBy("a", "label").agg(F.max("score").alias("score")).withColumn("label", F.col("label").cast(b.schema[label].dataType))
+
+
+def _dealt(a: DataFrame, b: DataFrame, key: str, vector: str, block: int, label: str | None = None) -> DataFrame:
+    """(side, k, v, label, i, j): blocks of both tables, each copied to all blocks of the other one."""
+    own = F.col(label).cast("long") if label else F.lit(None).cast("long")
+    a, b = (t.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), x.alias("label")) for t, x in ((a, F.lit(None).cast("long")), (b, own)))
     rows, columns = (max(1, -(-t.count() // block)) for t in (a, b))
 
     def dealt(t: DataFrame, side: str, own: str, n: int, other: str, m: int) -> DataFrame:
         d = t.withColumn("side", F.lit(side)).withColumn(own, F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("side", "k", "v", "i", "j")
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("side", "k", "v", "label", "i", "j")
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["side"] == "a"], pdf[pdf["side"] == "b"]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "score": np.zeros(0)})
-        m, o = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (x, y))
-        norm = np.linalg.norm(m, axis=1)[:, None] * np.linalg.norm(o, axis=1)[None, :]
-        s = np.divide(m @ o.T, norm, out=np.zeros_like(norm), where=norm > 0)
-        i, j = np.nonzero(s >= threshold)
-        return pd.DataFrame({"a": x["k"].to_numpy()[i], "b": y["k"].to_numpy()[j], "score": s[i, j]})
-
-    both = dealt(a, "a", "i", rows, "j", columns).unionByName(dealt(b, "b", "j", columns, "i", rows))
-    return both.groupBy("i", "j").applyInPandas(meet, "a long, b long, score double")
+    return dealt(a, "a", "i", rows, "j", columns).unionByName(dealt(b, "b", "j", columns, "i", rows))
+
+
+def _cosines(x, y, slice_rows: int = 128):
+    """Cosines of vectors of two frames, some rows of the first at a time: (first row, matrix)."""
+    import numpy as np
+
+    if not len(x) or not len(y):
+        return
+    o = np.stack(y["v"].to_numpy()).astype(np.float64)
+    length = np.linalg.norm(o, axis=1)[None, :]
+    for at in range(0, len(x), slice_rows):
+        m = np.stack(x["v"].to_numpy()[at : at + slice_rows]).astype(np.float64)
+        norm = np.linalg.norm(m, axis=1)[:, None] * length
+        yield at, np.divide(m @ o.T, norm, out=np.zeros_like(norm), where=norm > 0)

@@ -229,8 +229,7 @@ r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt FROM s WINDO
 SELECT item, cand, round(score, 6) AS score FROM r WHERE r = 1 AND score >= 0.25 AND (item % 3 = 0 OR (score >= 0.8 AND score - nxt >= 0.05))""")
 def br_embedding_gate(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings")
-    p = sim.similar_pairs(e.filter("vec_id % 50 = 0"), e.filter("vec_id % 50 <> 0"), "vec_id", "embedding", -1.0)
-    s = p.join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("cand")), "b").groupBy(F.col("a").alias("item"), "cand").agg(F.max("score").alias("score"))
+    s = sim.best_by_label(e.filter("vec_id % 50 = 0"), e.filter("vec_id % 50 <> 0"), "vec_id", "embedding", "label").select(F.col("a").alias("item"), F.col("label").alias("cand"), "score")
     best = resolve.best_match(s, "item", "score", ["cand"], 0.25)
     ok = resolve.embedding_gate(F.col("score"), F.col("margin"), (F.col("item") % 3 == 0).cast("int"), 0.25)
     return best.filter(ok).select("item", "cand", F.round("score", 6).alias("score"))
