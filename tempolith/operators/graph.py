@@ -133,9 +133,21 @@ def shortest_path(edges: DataFrame, source, target, direction: str = "outbound",
     raise RuntimeError(f"no shortest path was certain after {high} steps")
 
 
+#: Edges that a task has at a time where they are told apart, about.
+EDGES = 1_000_000
+
+
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """Each (src, dst) once, in so many partitions by both ends that a task's memory doesn't grow with the table."""
+    n = max(1, -(-edges.count() // EDGES))
+    e = edges.select("src", "dst")
+    return e.repartition(max(n, e.sparkSession.sparkContext.defaultParallelism), "src", "dst").distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
-    """(node, out_degree, in_degree, degree) in one shuffle over stacked endpoints."""
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    """(node, out_degree, in_degree, degree) in one shuffle over the endpoints, which one pass over the edges gives."""
+    end = lambda c, o, i: F.struct(F.col(c).alias("node"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edges.select(F.inline(F.array(end("src", 1, 0), end("dst", 0, 1))))
     g = ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
     return g.withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
