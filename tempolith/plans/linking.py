@@ -102,7 +102,7 @@ def br_signatures(spark: SparkSession, d: str) -> DataFrame:
     """Parts of two repositories whose ports are alike."""
     sized = F.transform(F.concat(F.array("p_brand", "p_type"), F.split("p_name", " ")), lambda x: F.concat(F.lower(x), F.lit("_"), F.col("p_size").cast("string")))
     s = load(spark, d, "part").select((F.col("p_partkey") % 2).alias("side"), F.col("p_partkey").alias("k"), sized.alias("ports"))
-    return signatures.similar_sets(s, "side", "k", "ports", 0.75, cut).select("a", "b", F.round("score", 4).alias("score"))
+    return signatures.similar_sets(s, "side", "k", "ports", 0.75, cut, digits=4).select("a", "b", "score")
 
 
 @q("PL-08", "JN-14", oracle="""
