@@ -4,16 +4,25 @@ A level has three steps. Vertices move to the neighbouring community that raises
 communities are refined: within each, every vertex starts by itself and joins a connected part of the community once.
 The refined parts become the vertices of the next level's graph, with the weights between them summed, and start in
 the communities that their members were in. Levels end when nothing merges any more. At last communities that moves
-have cut apart are split into their connected parts, which raises modularity, too.
+have cut apart are split into their connected parts, which raises modularity, too; as refined parts are connected, the
+last level's graph says where.
 
 All vertices decide at once, but only a hashed half of them moves in a round, so that two neighbours don't swap for ever;
-in a refining round, parts that may move aren't joined by others, so parts stay connected.
+in a refining round, parts that may move aren't joined by others, so parts stay connected. A round sends the state of
+each vertex along its edges and meets it once, at the neighbours, where all of a vertex's choices lie together.
+
+A vertex with a single neighbour is in that one's community in any best division, if the resolution is 1 at most, so
+these are joined before the first level. Where at most ``FEW`` edges are left to look at, rounds of all vertices are worth
+less than one task, in which vertices decide one after another: those that still want to move, those that are still by
+themselves in refinement, and all vertices of a level's graph that has no more edges, through all further levels.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +31,8 @@ from .components import connected_components
 Keep = Callable[[DataFrame, str], DataFrame]
 #: Gains below are rounding.
 LEAST = 1e-9
+#: Edges, counted in both directions, up to which one task has them.
+FEW = 100_000
 
 
 def _half(node: Column, i: int) -> Column:
@@ -29,61 +40,121 @@ def _half(node: Column, i: int) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(node.cast("string"), F.lit(f":{i // 2}"))), 1, 1), 16, 10).cast("int") % 2) == i % 2
 
 
-def _gains(e: DataFrame, nodes: DataFrame, m2: float, resolution: float, within: str | None = None) -> DataFrame:
-    """(node, community, gain) of moving each vertex of ``nodes`` (node, k, community) into each community beside it.
+def _choices(e: DataFrame, state: DataFrame, m2: float, resolution: float, *own: str) -> DataFrame:
+    """(node, k, community, n, stay, new, gain and ``own`` columns): the best community beside each vertex of ``state`` (node,
+    k, community, total, open), among those of ``n`` open neighbours, and the gain of moving there; and what staying gains.
+
+    The vertex counts as taken out of its own community. ``e`` has the weights ``k`` of its ``src``.
+    """
+    other = state.filter("open").select(F.col("node").alias("dst"), "community", "total")
+    none = [F.lit(None).cast(state.schema[c].dataType).alias(c) for c in own]
+    beside = e.join(other, "dst").select(F.col("src").alias("node"), "k", "community", "total", "w", F.lit(1).alias("n"), F.lit(False).alias("own"), *none)
+    self = state.select("node", "k", "community", "total", F.lit(0.0).alias("w"), F.lit(0).alias("n"), F.lit(True).alias("own"), *own)
+    most = [F.max(c).alias(c) for c in own]
+    rows = beside.unionByName(self).repartition("node").groupBy("node", "community").agg(F.max("k").alias("k"), F.max("total").alias("total"), F.sum("w").alias("into"), F.sum("n").alias("n"), F.max("own").alias("own"), *most)
+    rest = F.col("total") - F.when(F.col("own"), F.col("k")).otherwise(0.0)
+    rows = rows.withColumn("gain", F.round(F.col("into") - resolution * rest * F.col("k") / m2, 9))
+    best = F.min(F.when(~F.col("own"), F.struct((-F.col("gain")).alias("g"), "community")))
+    mine = lambda c: F.max(F.when(F.col("own"), F.col(c)))
+    rows = rows.groupBy("node").agg(F.max("k").alias("k"), mine("community").alias("community"), F.sum("n").alias("n"), mine("gain").alias("stay"), best.alias("b"), *most)
+    return rows.select("node", "k", "community", "n", "stay", F.col("b.community").alias("new"), (-F.col("b.g")).alias("gain"), *own)
+
+
+def _settled(e: DataFrame, state: DataFrame, free: DataFrame, m2: float, resolution: float, once: bool) -> DataFrame:
+    """(node, to): vertices of ``free`` that have few edges, moved one after another until none of them gains by it.
 
-    The vertex counts as taken out of its own one. With ``within``, only parts of the same value of that column count.
+    With ``once``, they are by themselves at first, and each one that joins another, or is joined, stays.
     """
-    extra = [within] if within else []
-    size = nodes.groupBy("community").agg(F.sum("k").alias("total"))
-    other = nodes.select(F.col("node").alias("dst"), "community", *[F.col(c).alias(f"_{c}") for c in extra])
-    own = nodes.select(F.col("node").alias("src"), "k", F.col("community").alias("own"), *extra)
-    to = e.filter("src <> dst").join(other, "dst").groupBy("src", "community", *[f"_{c}" for c in extra]).agg(F.sum("w").alias("into"))
-    j = to.join(size, "community").join(own, "src")
-    if within:
-        j = j.filter(F.col(within) == F.col(f"_{within}"))
-    rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-    gain = F.round(F.col("into") - resolution * rest * F.col("k") / m2, 9)
-    return j.select(F.col("src").alias("node"), "community", "own", gain.alias("gain"))
+    import pandas as pd
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["src", "dst"])
+        near, ks, of = {}, {}, {}
+        total = dict(zip(x["own"], x["own_total"])) | dict(zip(x["community"], x["total"]))
+        for v, u, w, k, own, c in zip(x["src"], x["dst"], x["w"], x["k"], x["own"], x["community"]):
+            near.setdefault(v, []).append((u, w))
+            ks[v], of[v], of[u] = k, own, c
+        alone = {of[v] for v in ks} if once else None
+        todo, waits = deque(sorted(ks)), set(ks)
+        while todo:
+            v = todo.popleft()
+            waits.discard(v)
+            if alone is not None and of[v] not in alone:
+                continue
+            c = _best(near[v], of, total, of[v], ks[v], m2, resolution)
+            if c is None:
+                continue
+            total[of[v]] -= ks[v]
+            total[c] += ks[v]
+            if alone is not None:
+                alone -= {of[v], c}
+            of[v] = c
+            more = [u for u, _ in near[v] if u in ks and of[u] != c and u not in waits]
+            todo.extend(more)
+            waits.update(more)
+        return pd.DataFrame({"node": list(ks), "to": [of[v] for v in ks]})
+
+    mine = state.join(free.select("node"), "node").select(F.col("node").alias("src"), F.col("community").alias("own"), F.col("total").alias("own_total"))
+    rows = e.join(mine, "src").join(state.select(F.col("node").alias("dst"), "community", "total"), "dst")
+    kind = state.schema["node"].dataType.simpleString()
+    return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, f"node {kind}, to {kind}")
+
+
+def _best(near: list, of, total, own, k: float, m2: float, resolution: float):  # noqa: ANN001
+    """The community beside a vertex that it gains most by moving to; None if staying, or being alone, gains as much."""
+    into: dict = {}
+    for u, x in near:
+        into[of[u]] = into.get(of[u], 0.0) + x
+    # a vertex without neighbours in its own community gains nothing there
+    stay = max(into.pop(own, 0.0) - resolution * (total[own] - k) * k / m2, 0.0)
+    g, c = min(((resolution * total[c] * k / m2 - x, c) for c, x in into.items()), default=(0.0, None))
+    return c if -g > stay + LEAST else None
 
 
 def _moved(e: DataFrame, nodes: DataFrame, m2: float, resolution: float, rounds: int, keep: Keep) -> DataFrame:
-    quiet = 0
-    for i in range(rounds):
-        g = _gains(e, nodes, m2, resolution)
-        best = g.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("g"), "community")).alias("b"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
+    i = 0
+    while i < rounds:
+        state = nodes.join(nodes.groupBy("community").agg(F.sum("k").alias("total")), "community").withColumn("open", F.lit(True))
         # a vertex without neighbours in its own community gains nothing there
-        better = (-F.col("b.g") > F.coalesce("stay", F.lit(0.0)) + LEAST) & _half(F.col("node"), i)
-        new = nodes.join(best, "node", "left").withColumn("new", F.when(better, F.col("b.community")).otherwise(F.col("community")))
-        new = keep(new.select("node", "k", F.col("new").alias("community"), (F.col("new") != F.col("community")).alias("moved")), "moved")
-        quiet = 0 if new.filter("moved").limit(1).count() else quiet + 1
-        nodes = new.drop("moved")
-        if quiet == 2:
+        better = F.coalesce(F.col("gain") > F.greatest("stay", F.lit(0.0)) + LEAST, F.lit(False))
+        new = keep(_choices(e, state, m2, resolution).select("node", "k", "community", "n", "new", better.alias("better")), "moved")
+        ready = new.filter("better")
+        n = ready.agg(F.sum("n")).first()[0]
+        if not n:
             break
+        if n <= FEW:
+            to = _settled(e, state, ready, m2, resolution, False)
+            new = keep(nodes.join(to, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community"), F.coalesce(F.col("to") != F.col("community"), F.lit(False)).alias("moved")), "settled")
+            nodes = new.drop("moved")
+            if not new.filter("moved").limit(1).count():
+                break  # rounding alone made them ready
+        else:
+            nodes = new.select("node", "k", F.when(F.col("better") & _half(F.col("node"), i), F.col("new")).otherwise(F.col("community")).alias("community"))
+            i += 1
     return nodes
 
 
 def _refined(e: DataFrame, nodes: DataFrame, m2: float, resolution: float, rounds: int, keep: Keep) -> DataFrame:
     """(node, k, community, part): connected parts of communities."""
-    parts = nodes.select("node", "k", F.col("community").alias("whole"), F.col("node").alias("community"))
-    inner = nodes.select("node", F.col("community").alias("c"))
-    e = e.filter("src <> dst").join(inner.select(F.col("node").alias("src"), F.col("c").alias("_a")), "src").join(inner.select(F.col("node").alias("dst"), F.col("c").alias("_b")), "dst").filter("_a = _b").select("src", "dst", "w")
-    e = keep(e, "inner")
-    quiet = 0
-    for i in range(rounds):
-        alone = parts.groupBy("community").agg((F.count("*") == 1).alias("single"), F.min("node").alias("first"))
-        movable = F.col("single") & _half(F.col("first"), i)
-        state = alone.select("community", movable.alias("movable"))
-        g = _gains(e, parts, m2, resolution, within="whole")
-        g = g.join(state.withColumnRenamed("movable", "_target"), "community").filter("NOT _target")
-        g = g.join(state.select(F.col("community").alias("own"), F.col("movable").alias("_mover")), "own").filter("_mover AND community <> own")
-        best = g.filter(F.col("gain") > LEAST).groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("g"), "community"))["community"].alias("new"))
-        new = parts.join(best, "node", "left").select("node", "k", "whole", F.coalesce("new", "community").alias("community"), F.col("new").isNotNull().alias("moved"))
-        new = keep(new, "refined")
-        quiet = 0 if new.filter("moved").limit(1).count() else quiet + 1
-        parts = new.drop("moved")
-        if quiet == 2:
+    of = lambda end, c: nodes.select(F.col("node").alias(end), F.col("community").alias(c))
+    e = keep(e.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").filter("_a = _b").select("src", "dst", "w", "k"), "inner")
+    parts = nodes.join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("edges")), "node", "left").select("node", "k", F.col("community").alias("whole"), F.col("node").alias("community"), F.coalesce("edges", F.lit(0)).alias("edges"))
+    left, quiet, i = e.count(), 0, 0
+    while quiet < 2 and i < rounds:
+        state = parts.join(parts.groupBy("community").agg(F.sum("k").alias("total"), (F.count("*") == 1).alias("single"), F.min("node").alias("_first")), "community")
+        if left <= FEW:
+            to = _settled(e, state, state.filter("single AND edges > 0"), m2, resolution, True)
+            parts = keep(parts.join(to, "node", "left").select("node", "k", "whole", F.coalesce("to", "community").alias("community")), "refined")
             break
+        mover = F.col("single") & _half(F.col("_first"), i)
+        state = state.withColumn("mover", mover).withColumn("open", ~F.col("mover"))
+        joins = F.coalesce(F.col("mover") & (F.col("gain") > LEAST), F.lit(False))
+        new = _choices(e, state, m2, resolution, "whole", "edges", "single", "mover").withColumn("moved", joins)
+        new = keep(new.select("node", "k", "whole", F.when(F.col("moved"), F.col("new")).otherwise(F.col("community")).alias("community"), "edges", "single", "moved"), "refined")
+        moved, left = new.agg(F.max("moved"), F.coalesce(F.sum(F.when(F.col("single") & ~F.col("moved"), F.col("edges"))), F.lit(0))).first()
+        quiet = 0 if moved else quiet + 1
+        parts = new.drop("moved", "single")
+        i += 1
     return parts.select("node", "k", F.col("whole").alias("community"), F.col("community").alias("part"))
 
 
@@ -94,30 +165,126 @@ def undirected(edges: DataFrame, weight: str | None) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def _contracted(e: DataFrame, of: DataFrame, keep: Keep) -> DataFrame:
+    """Edges between the parts of ``of`` (at, part)."""
+    a, b = of.select(F.col("at").alias("src"), F.col("part").alias("a")), of.select(F.col("at").alias("dst"), F.col("part").alias("b"))
+    return keep(e.join(a, "src").join(b, "dst").filter("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "edges")
+
+
+def _followers(e: DataFrame) -> DataFrame:
+    """(at, part): vertices with a single neighbour, and that one; of two that have only each other, the greater one."""
+    one = e.groupBy(F.col("src").alias("at")).agg(F.count("*").alias("n"), F.min("dst").alias("part")).filter("n = 1").select("at", "part")
+    both = one.select(F.col("at").alias("part"), F.col("part").alias("at"), F.lit(True).alias("_both"))
+    return one.join(both, ["at", "part"], "left").filter("_both IS NULL OR at > part").select("at", "part")
+
+
+def _one_by_one(src: np.ndarray, dst: np.ndarray, w: np.ndarray, k: np.ndarray, of: np.ndarray, m2: float, resolution: float) -> np.ndarray:
+    """Community numbers of the vertices 0 to n - 1 of a small graph, through all levels; communities are connected."""
+    at = np.arange(len(k))
+    while True:
+        n = len(k)
+        order = np.argsort(src, kind="stable")
+        ends = np.searchsorted(src[order], np.arange(n + 1))
+        to, ws, ks = dst[order].tolist(), w[order].tolist(), k.tolist()
+        near = [list(zip(to[a:b], ws[a:b])) for a, b in zip(ends[:-1], ends[1:])]
+
+        whole = of.tolist()
+        total: dict[int, float] = {}
+        for c, x in zip(whole, ks):
+            total[c] = total.get(c, 0.0) + x
+        todo, waits = deque(range(n)), [True] * n
+        while todo:
+            v = todo.popleft()
+            waits[v] = False
+            c = _best(near[v], whole, total, whole[v], ks[v], m2, resolution)
+            if c is not None:
+                total[whole[v]] -= ks[v]
+                total[c] += ks[v]
+                whole[v] = c
+                for u, _ in near[v]:
+                    if whole[u] != c and not waits[u]:
+                        waits[u] = True
+                        todo.append(u)
+        part, count, total = list(range(n)), [1] * n, dict(enumerate(ks))
+        for v in range(n):
+            within = [(u, x) for u, x in near[v] if whole[u] == whole[v]]
+            c = _best(within, part, total, part[v], ks[v], m2, resolution) if count[part[v]] == 1 else None
+            if c is not None:
+                count[v], count[c] = 0, count[c] + 1
+                total[v] -= ks[v]
+                total[c] += ks[v]
+                part[v] = c
+        names, new = np.unique(part, return_inverse=True)
+        of = np.unique(np.array(whole)[names], return_inverse=True)[1]
+        a, b = new[src], new[dst]
+        pairs, first = np.unique((a * len(names) + b)[a != b], return_inverse=True)
+        src, dst, w = pairs // len(names), pairs % len(names), np.bincount(first, w[a != b], len(pairs))
+        k, at = np.bincount(new, k), new[at]
+        if len(names) == n:
+            break
+    # connected parts of communities, among the last graph's vertices
+    label, moved = np.arange(len(k)), True
+    inside = of[src] == of[dst]
+    while moved:
+        low = label.copy()
+        np.minimum.at(low, src[inside], label[dst[inside]])
+        low = low[low]
+        moved, label = bool((low != label).any()), low
+    return label[at]
+
+
+def _finished(e: DataFrame, nodes: DataFrame, m2: float, resolution: float) -> DataFrame:
+    """(at, community): vertices of a graph of few edges; those without any aren't returned."""
+    import pandas as pd
+
+    def run(_: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.sort_values("node").reset_index(drop=True)
+        at = pd.Index(y["node"])
+        of = np.unique(y["community"].to_numpy(), return_inverse=True)[1]
+        x = x.sort_values(["src", "dst"])
+        found = _one_by_one(at.get_indexer(x["src"]), at.get_indexer(x["dst"]), x["w"].to_numpy(), y["k"].to_numpy(), of, m2, resolution)
+        first = pd.Series(np.arange(len(y))).groupby(found).transform("min").to_numpy()
+        return pd.DataFrame({"at": y["node"], "community": y["node"].to_numpy()[first]})
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    linked = nodes.join(e.select(F.col("src").alias("node")).distinct(), "node").select("node", "k", "community")
+    one = lambda d: d.withColumn("_one", F.lit(0)).groupBy("_one")
+    return one(e.select("src", "dst", "w")).cogroup(one(linked)).applyInPandas(run, f"at {kind}, community {kind}")
+
+
 def leiden(edges: DataFrame, keep: Keep, weight: str | None = None, resolution: float = 1.0, levels: int = 10, rounds: int = 20) -> DataFrame:
     """(node, community) of all vertices that have an edge to another one; a community is named by its least vertex."""
-    first = e = keep(undirected(edges, weight), "edges")
+    e = keep(undirected(edges, weight), "edges")
     m2 = e.agg(F.sum("w")).first()[0]
     if not m2:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("community")).limit(0)
-    nodes = keep(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")), "nodes")
-    members = nodes.select("node", F.col("node").alias("at"))  # which vertex of the level's graph each one is in
+    members = keep(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("at", F.col("node")), "members")  # which vertex of the level's graph each one is in
+    if resolution <= 1:
+        members = keep(members.join(_followers(e), "at", "left").select("node", "k", F.coalesce("part", "at").alias("at")), "members")
+        e = _contracted(e, members.select(F.col("node").alias("at"), F.col("at").alias("part")), keep)
+    nodes = keep(members.groupBy(F.col("at").alias("node")).agg(F.sum("k").alias("k")).withColumn("community", F.col("node")), "nodes")
     for _ in range(levels):
-        nodes = _moved(e, nodes, m2, resolution, rounds, keep)
-        parts = _refined(e, nodes, m2, resolution, rounds, keep)
+        if e.count() <= FEW:
+            break
+        weighed = keep(e.join(nodes.select(F.col("node").alias("src"), "k"), "src").select("src", "dst", "w", "k"), "weighed")
+        nodes = _moved(weighed, nodes, m2, resolution, rounds, keep)
+        parts = _refined(weighed, nodes, m2, resolution, rounds, keep)
         n_before, n_after = parts.agg(F.count("*"), F.countDistinct("part")).first()
-        of = parts.select(F.col("node").alias("at"), "part", "community")
-        members = keep(members.join(of.select("at", "part"), "at").select("node", F.col("part").alias("at")), "members")
-        a, b = of.select(F.col("at").alias("src"), F.col("part").alias("a")), of.select(F.col("at").alias("dst"), F.col("part").alias("b"))
-        e = keep(e.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "edges")
+        of = parts.select(F.col("node").alias("at"), "part")
+        members = keep(members.join(of, "at").select("node", F.col("part").alias("at")), "members")
+        e = _contracted(e, of, keep)
         nodes = keep(parts.groupBy(F.col("part").alias("node")).agg(F.sum("k").alias("k"), F.min("community").alias("community")), "nodes")
         if n_before == n_after:
             break
-    found = keep(members.join(nodes.select(F.col("node").alias("at"), "community"), "at").select("node", "community"), "found")
-    of = lambda end, c: found.select(F.col("node").alias(end), F.col("community").alias(c))
-    inside = first.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a = b AND src < dst").select("src", "dst")
-    split = connected_components(inside, keep).select("node", "component")
-    return found.join(split, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
+    if e.count() <= FEW:
+        found = _finished(e, nodes, m2, resolution)
+    else:
+        of = lambda end, c: nodes.select(F.col("node").alias(end), F.col("community").alias(c))
+        inside = e.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a = b AND src < dst").select("src", "dst")
+        found = connected_components(inside, keep).select(F.col("node").alias("at"), F.col("component").alias("community"))
+    found = keep(members.join(found, "at", "left").select("node", F.coalesce("community", "at").alias("of")), "found")
+    names = found.groupBy("of").agg(F.min("node").alias("community"))
+    return found.join(names, "of").select("node", "community")
 
 
 def modularity(edges: DataFrame, communities: DataFrame, weight: str | None = None, resolution: float = 1.0) -> float:
