@@ -1,9 +1,9 @@
 """Communities of a weighted undirected graph by the Leiden method.
 
-A level has three steps. Vertices move to the neighbouring community that raises modularity most, until none does. Then
-communities are refined: within each, every vertex starts by itself and joins a connected part of the community once.
-The refined parts become the vertices of the next level's graph, with the weights between them summed, and start in
-the communities that their members were in. Levels end when nothing merges any more. At last communities that moves
+A level has three steps. Vertices move to the neighbouring community that raises modularity most; those beside a moved
+one are looked at again, until none is left. Then communities are refined: within each, every vertex starts by itself and
+joins a connected part of the community once. The refined parts become the vertices of the next level's graph, with the
+weights between them summed, and start in the communities that their members were in. Levels end when nothing merges any more. At last communities that moves
 have cut apart are split into their connected parts, which raises modularity, too; as refined parts are connected, the
 last level's graph says where.
 
@@ -23,7 +23,7 @@ from collections import deque
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -41,27 +41,28 @@ def _half(node: Column, i: int) -> Column:
 
 
 def _choices(e: DataFrame, state: DataFrame, m2: float, resolution: float, *own: str) -> DataFrame:
-    """(node, k, community, n, stay, new, gain and ``own`` columns): the best community beside each vertex of ``state`` (node,
-    k, community, total, open), among those of ``n`` open neighbours, and the gain of moving there; and what staying gains.
+    """(node, k, community, stay, new, gain and ``own`` columns): the best community beside each vertex of ``state`` (node, k,
+    community, total, open), among those of open vertices, and the gain of moving there; and what staying gains.
 
     The vertex counts as taken out of its own community. ``e`` has the weights ``k`` of its ``src``.
     """
     other = state.filter("open").select(F.col("node").alias("dst"), "community", "total")
     none = [F.lit(None).cast(state.schema[c].dataType).alias(c) for c in own]
-    beside = e.join(other, "dst").select(F.col("src").alias("node"), "k", "community", "total", "w", F.lit(1).alias("n"), F.lit(False).alias("own"), *none)
-    self = state.select("node", "k", "community", "total", F.lit(0.0).alias("w"), F.lit(0).alias("n"), F.lit(True).alias("own"), *own)
+    beside = e.join(other, "dst").select(F.col("src").alias("node"), "k", "community", "total", "w", F.lit(False).alias("own"), *none)
+    self = state.select("node", "k", "community", "total", F.lit(0.0).alias("w"), F.lit(True).alias("own"), *own)
     most = [F.max(c).alias(c) for c in own]
-    rows = beside.unionByName(self).repartition("node").groupBy("node", "community").agg(F.max("k").alias("k"), F.max("total").alias("total"), F.sum("w").alias("into"), F.sum("n").alias("n"), F.max("own").alias("own"), *most)
+    rows = beside.unionByName(self).repartition("node").groupBy("node", "community").agg(F.max("k").alias("k"), F.max("total").alias("total"), F.sum("w").alias("into"), F.max("own").alias("own"), *most)
     rest = F.col("total") - F.when(F.col("own"), F.col("k")).otherwise(0.0)
     rows = rows.withColumn("gain", F.round(F.col("into") - resolution * rest * F.col("k") / m2, 9))
     best = F.min(F.when(~F.col("own"), F.struct((-F.col("gain")).alias("g"), "community")))
     mine = lambda c: F.max(F.when(F.col("own"), F.col(c)))
-    rows = rows.groupBy("node").agg(F.max("k").alias("k"), mine("community").alias("community"), F.sum("n").alias("n"), mine("gain").alias("stay"), best.alias("b"), *most)
-    return rows.select("node", "k", "community", "n", "stay", F.col("b.community").alias("new"), (-F.col("b.g")).alias("gain"), *own)
+    rows = rows.groupBy("node").agg(F.max("k").alias("k"), mine("community").alias("community"), mine("gain").alias("stay"), best.alias("b"), *most)
+    return rows.select("node", "k", "community", "stay", F.col("b.community").alias("new"), (-F.col("b.g")).alias("gain"), *own)
 
 
 def _settled(e: DataFrame, state: DataFrame, free: DataFrame, m2: float, resolution: float, once: bool) -> DataFrame:
-    """(node, to): vertices of ``free`` that have few edges, moved one after another until none of them gains by it.
+    """(node, to): vertices of ``free`` that have few edges, moved one after another until none of them gains by it; and, with
+    null, their neighbours in other communities, who may gain now.
 
     With ``once``, they are by themselves at first, and each one that joins another, or is joined, stays.
     """
@@ -75,7 +76,7 @@ def _settled(e: DataFrame, state: DataFrame, free: DataFrame, m2: float, resolut
             near.setdefault(v, []).append((u, w))
             ks[v], of[v], of[u] = k, own, c
         alone = {of[v] for v in ks} if once else None
-        todo, waits = deque(sorted(ks)), set(ks)
+        todo, waits, beside = deque(sorted(ks)), set(ks), set()
         while todo:
             v = todo.popleft()
             waits.discard(v)
@@ -89,14 +90,17 @@ def _settled(e: DataFrame, state: DataFrame, free: DataFrame, m2: float, resolut
             if alone is not None:
                 alone -= {of[v], c}
             of[v] = c
+            beside.update(u for u, _ in near[v] if u not in ks and of[u] != c)
             more = [u for u, _ in near[v] if u in ks and of[u] != c and u not in waits]
             todo.extend(more)
             waits.update(more)
-        return pd.DataFrame({"node": list(ks), "to": [of[v] for v in ks]})
+        beside = [] if once else sorted(beside)
+        return pd.DataFrame({"node": [*ks, *beside], "to": pd.Series([*(of[v] for v in ks), *[None] * len(beside)], dtype=kinds[0] if beside else None)})
 
     mine = state.join(free.select("node"), "node").select(F.col("node").alias("src"), F.col("community").alias("own"), F.col("total").alias("own_total"))
     rows = e.join(mine, "src").join(state.select(F.col("node").alias("dst"), "community", "total"), "dst")
     kind = state.schema["node"].dataType.simpleString()
+    kinds = ["Int64" if kind in ("tinyint", "smallint", "int", "bigint") else "object"]
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, f"node {kind}, to {kind}")
 
 
@@ -112,25 +116,33 @@ def _best(near: list, of, total, own, k: float, m2: float, resolution: float):
 
 
 def _moved(e: DataFrame, nodes: DataFrame, m2: float, resolution: float, rounds: int, keep: Keep) -> DataFrame:
-    i = 0
+    """Vertices moved until none beside a moved one is left to gain by it, or still many are after ``rounds`` rounds of all."""
+    i, waiting = 0, None
     while i < rounds:
-        state = nodes.join(nodes.groupBy("community").agg(F.sum("k").alias("total")), "community").withColumn("open", F.lit(True))
-        # a vertex without neighbours in its own community gains nothing there
-        better = F.coalesce(F.col("gain") > F.greatest("stay", F.lit(0.0)) + LEAST, F.lit(False))
-        new = keep(_choices(e, state, m2, resolution).select("node", "k", "community", "n", "new", better.alias("better")), "moved")
-        ready = new.filter("better")
-        n = ready.agg(F.sum("n")).first()[0]
-        if not n:
-            break
-        if n <= FEW:
-            to = _settled(e, state, ready, m2, resolution, False)
-            new = keep(nodes.join(to, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community"), F.coalesce(F.col("to") != F.col("community"), F.lit(False)).alias("moved")), "settled")
-            nodes = new.drop("moved")
-            if not new.filter("moved").limit(1).count():
-                break  # rounding alone made them ready
+        state = nodes.withColumn("total", F.sum("k").over(Window.partitionBy("community"))).withColumn("open", F.lit(True))
+        if waiting is None:
+            # a vertex without neighbours in its own community gains nothing there
+            better = F.coalesce(F.col("gain") > F.greatest("stay", F.lit(0.0)) + LEAST, F.lit(False))
+            new = keep(_choices(e, state, m2, resolution, "n").select("node", "k", "n", "community", "new", better.alias("better")), "moved")
+            ready = new.filter("better")
+            n = ready.agg(F.sum("n")).first()[0]
+            if not n:
+                break
+            if n > FEW:
+                to = F.when(F.col("better") & _half(F.col("node"), i), F.col("new")).otherwise(F.col("community"))
+                nodes = new.select("node", "k", "n", to.alias("community"))
+                i += 1
+                continue
         else:
-            nodes = new.select("node", "k", F.when(F.col("better") & _half(F.col("node"), i), F.col("new")).otherwise(F.col("community")).alias("community"))
-            i += 1
+            ready = waiting
+        to = _settled(e, state, ready, m2, resolution, False).withColumn("_seen", F.lit(True))
+        new = nodes.join(to, "node", "left").select("node", "k", "n", F.coalesce("to", "community").alias("community"), F.coalesce(F.col("to") != F.col("community"), F.lit(False)).alias("moved"), (F.col("_seen").isNotNull() & F.col("to").isNull()).alias("waits"))
+        new = keep(new, "settled")
+        nodes = new.drop("moved", "waits")
+        moved, n = new.agg(F.max("moved"), F.sum(F.when(F.col("waits"), F.col("n")))).first()
+        if not moved or not n:
+            break
+        waiting = new.filter("waits") if n <= FEW else None  # if many wait, all are looked at again
     return nodes
 
 
@@ -138,20 +150,21 @@ def _refined(e: DataFrame, nodes: DataFrame, m2: float, resolution: float, round
     """(node, k, community, part): connected parts of communities."""
     of = lambda end, c: nodes.select(F.col("node").alias(end), F.col("community").alias(c))
     e = keep(e.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").filter("_a = _b").select("src", "dst", "w", "k"), "inner")
-    parts = nodes.join(e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("edges")), "node", "left").select("node", "k", F.col("community").alias("whole"), F.col("node").alias("community"), F.coalesce("edges", F.lit(0)).alias("edges"))
+    parts = _degrees(e, nodes).select("node", "k", "n", F.col("community").alias("whole"), F.col("node").alias("community"))
     left, quiet, i = e.count(), 0, 0
     while quiet < 2 and i < rounds:
-        state = parts.join(parts.groupBy("community").agg(F.sum("k").alias("total"), (F.count("*") == 1).alias("single"), F.min("node").alias("_first")), "community")
+        of = Window.partitionBy("community")
+        state = parts.select("*", F.sum("k").over(of).alias("total"), (F.count("*").over(of) == 1).alias("single"))
         if left <= FEW:
-            to = _settled(e, state, state.filter("single AND edges > 0"), m2, resolution, True)
+            to = _settled(e, state, state.filter("single AND n > 0"), m2, resolution, True)
             parts = keep(parts.join(to, "node", "left").select("node", "k", "whole", F.coalesce("to", "community").alias("community")), "refined")
             break
-        mover = F.col("single") & _half(F.col("_first"), i)
+        mover = F.col("single") & _half(F.col("node"), i)
         state = state.withColumn("mover", mover).withColumn("open", ~F.col("mover"))
         joins = F.coalesce(F.col("mover") & (F.col("gain") > LEAST), F.lit(False))
-        new = _choices(e, state, m2, resolution, "whole", "edges", "single", "mover").withColumn("moved", joins)
-        new = keep(new.select("node", "k", "whole", F.when(F.col("moved"), F.col("new")).otherwise(F.col("community")).alias("community"), "edges", "single", "moved"), "refined")
-        moved, left = new.agg(F.max("moved"), F.coalesce(F.sum(F.when(F.col("single") & ~F.col("moved"), F.col("edges"))), F.lit(0))).first()
+        new = _choices(e, state, m2, resolution, "whole", "n", "single", "mover").withColumn("moved", joins)
+        new = keep(new.select("node", "k", "whole", F.when(F.col("moved"), F.col("new")).otherwise(F.col("community")).alias("community"), "n", "single", "moved"), "refined")
+        moved, left = new.agg(F.max("moved"), F.coalesce(F.sum(F.when(F.col("single") & ~F.col("moved"), F.col("n"))), F.lit(0))).first()
         quiet = 0 if moved else quiet + 1
         parts = new.drop("moved", "single")
         i += 1
@@ -165,6 +178,12 @@ def undirected(edges: DataFrame, weight: str | None) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def _degrees(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` with their numbers of edges, n."""
+    n = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    return nodes.drop("n").join(n, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def _contracted(e: DataFrame, of: DataFrame, keep: Keep) -> DataFrame:
     """Edges between the parts of ``of`` (at, part)."""
     a, b = of.select(F.col("at").alias("src"), F.col("part").alias("a")), of.select(F.col("at").alias("dst"), F.col("part").alias("b"))
@@ -267,7 +286,7 @@ def leiden(edges: DataFrame, keep: Keep, weight: str | None = None, resolution:
         if e.count() <= FEW:
             break
         weighed = keep(e.join(nodes.select(F.col("node").alias("src"), "k"), "src").select("src", "dst", "w", "k"), "weighed")
-        nodes = _moved(weighed, nodes, m2, resolution, rounds, keep)
+        nodes = _moved(weighed, keep(_degrees(e, nodes), "degrees"), m2, resolution, rounds, keep)
         parts = _refined(weighed, nodes, m2, resolution, rounds, keep)
         n_before, n_after = parts.agg(F.count("*"), F.countDistinct("part")).first()
         of = parts.select(F.col("node").alias("at"), "part")
